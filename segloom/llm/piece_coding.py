@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, text_or_empty
+from .common import map_arrow, read, text_or_empty
 from .subwords import SPACE, Batch, Pieces, char_ends, parts_of, pieces, spread, sums
 
 NO_WAY = -np.inf
@@ -109,7 +109,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "piece_ids",
             kept = batch.drop_columns(["__parts"])
             yield pa.RecordBatch.from_arrays([*kept.columns, found], names=[*kept.schema.names, ids])
 
-    return source.mapInArrow(run, _extended(plain, ids, T.ArrayType(T.IntegerType())))
+    return map_arrow(source, run, _extended(plain, ids, T.ArrayType(T.IntegerType())))
 
 
 def decode(df: DataFrame, path: str, ids: str = "piece_ids", text: str = "decoded") -> DataFrame:
@@ -121,7 +121,7 @@ def decode(df: DataFrame, path: str, ids: str = "piece_ids", text: str = "decode
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, decode_batch(batch.column(ids), model)], names=[*batch.schema.names, text])
 
-    return plain.mapInArrow(run, _extended(plain, text, T.StringType()))
+    return map_arrow(plain, run, _extended(plain, text, T.StringType()))
 
 
 def model_path() -> str:

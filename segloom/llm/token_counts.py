@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, text_or_empty
+from .common import map_arrow, read, text_or_empty
 from .piece_coding import model_path
 from .subwords import Batch, Pieces, char_ends, parts_of, pieces, spread, sums
 
@@ -152,7 +152,7 @@ def count_tokens(df: DataFrame, path: str, limit: int = LIMIT, text: str = "text
             kept = batch.drop_columns(["__parts"])
             yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(x, pa.int64()) for x in found)], names=[*kept.schema.names, "n_tokens", "n_chars_fit"])
 
-    return source.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("n_chars_fit", T.LongType())]))
+    return map_arrow(source, run, T.StructType([*plain.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("n_chars_fit", T.LongType())]))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
