@@ -145,8 +145,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are kept. Texts are counted twice and never shuffled."""
-    names = docs.columns
-    whole = with_counts(docs.withColumns({f"__{c}": F.col(c) for c in names}))
+    whole = with_counts(docs.select(F.struct(*docs.columns).alias("__whole"), "text"))
     marked = judge(whole, fit(with_counts(docs.select("text")))).withColumn("__row", F.monotonically_increasing_id())
     # with a column like __row below it, the filter isn't moved to where it would compute all counts anew
-    return marked.where(F.col("kept") & (F.col("__row") >= 0)).select(*[F.col(f"__{c}").alias(c) for c in names])
+    return marked.where(F.col("kept") & (F.col("__row") >= 0)).select("__whole.*")
