@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import tables, timeline
+
 
 def queries() -> dict:
-    return {}
+    return timeline.QUERIES | tables.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return timeline.ORACLES | tables.ORACLES
