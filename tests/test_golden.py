@@ -128,6 +128,9 @@ def test_message_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text('{"type":"progress","stage":"tts","task_id":"t","progress":40}\nnot json\n{"type":"complete","stage":"tts","task_id":"t"}\n{"type":"progress","stage":"asr","task_id":"t","progress":5}\n')
     stream = messages.task_outcomes(messages.parse_messages(spark.readStream.text(str(tmp_path / "in"))))
-    run = stream.writeStream.format("memory").queryName("outcomes").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    assert run.awaitTermination(120)
+    run = stream.writeStream.format("memory").queryName("outcomes").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        run.processAllAvailable()
+    finally:
+        run.stop()
     assert [tuple(r) for r in spark.table("outcomes").collect()] == [("t", "tts", "complete", 40)]
