@@ -95,17 +95,20 @@ def find_licenses(docs: DataFrame, templates: DataFrame, min_contained: float =
     windows = each.select(*me, "at", F.posexplode(F.array(*[F.col(f"m.m{k}") for k in range(BANDS)])).alias("band", "key"))
     met = checkpoint(windows.join(few(cut, BROADCAST_PIECES), ["band", "key"]).select(*me, "at", "license").distinct())
     wholes = checkpoint(cut.select("license", "whole").distinct())
-    places = met.groupBy(*me, "license").agg(F.collect_set("at").alias("places")).join(few(wholes, BROADCAST_PIECES), "license")
-    places = checkpoint(places.select(*[F.col(c).alias(f"_{c}") for c in me], "license", "whole", "places"))
+    by_license = met.groupBy(*me, "license").agg(F.collect_set("at").alias("places"))
+    places = by_license.groupBy(*me).agg(F.collect_list(F.struct("license", "places")).alias("items"))
+    places = checkpoint(places.select(*[F.col(c).alias(f"_{c}") for c in me], "items"))
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_a") == F.col("_text_a")) & (F.col("text_b") == F.col("_text_b"))
-    again = named.join(few(places, BROADCAST_DOCS), same).dropDuplicates(["doc_id", "text_a", "text_b", "license"])
-    seen = again.select("doc_id", "license", "whole", "places", shingles(text_or_empty()).alias("h"))
+    # a document's shingles are made once, for all templates that it may hold
+    again = named.join(few(places, BROADCAST_DOCS), same).select(*me, shingles(text_or_empty()).alias("h"), "items")
+    each = again.select(*me, "h", F.explode("items").alias("item")).select(*me, "h", F.col("item.license").alias("license"), F.col("item.places").alias("places"))
+    seen = each.join(few(wholes, BROADCAST_PIECES), "license")
     window = lambda i: F.slice("h", i * PIECE + 1, 2 * PIECE)
     held = seen.withColumn("held", F.filter("places", lambda i: F.arrays_overlap(window(i), F.col("whole"))))
     shared = F.array_intersect(F.array_distinct(F.flatten(F.transform("held", window))), F.col("whole"))
     first = F.array_min(F.transform("held", lambda i: i * PIECE)).cast("long")
-    found = held.select("doc_id", "license", (F.size(shared) / F.size("whole")).alias("contained"), first.alias("first_shingle"))
-    return found.where(F.col("contained") >= min_contained)
+    found = held.select(*me, "license", (F.size(shared) / F.size("whole")).alias("contained"), first.alias("first_shingle"))
+    return found.where(F.col("contained") >= min_contained).dropDuplicates([*me, "license"]).drop("text_a", "text_b")
 
 
 def templates(spark: SparkSession) -> DataFrame:
