@@ -7,7 +7,7 @@ probability n / (2 * PIECE): in none of BANDS bands for less than one case in a
 document's bands are hash-joined with those of the pieces; then the shingles of the windows met are compared with the
 whole template's. A template is found if the document's windows contain MIN_CONTAINED of its shingles.
 
-All of it is SQL. Minima of windows are those of two blocks, so each shingle is looked at once for a band.
+All of it is SQL. Bands are made only for windows that hold a key of some piece, as no other can meet one.
 
 Defined cases: a null or short text has no license; several templates may be found in one document, and a row is
 given for each; templates of fewer than MIN_PIECE shingles are refused; documents are told apart by id and text, so
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import checkpoint, let, read, small_enough, text_or_empty
 
 PIECE, MIN_PIECE, BANDS, MIN_CONTAINED = 5, 4, 14, 0.9
-#: Rows of pieces and of documents met that are broadcast: some 100 and 200 bytes each.
-BROADCAST_PIECES, BROADCAST_DOCS = 100_000, 500_000
+#: Rows of pieces that are broadcast, some 100 bytes each, and distinct keys of them that are listed in the plan.
+BROADCAST_PIECES, LISTED_KEYS = 100_000, 10_000
 
 # Notices as licenses word them.
 TEMPLATES = [
@@ -64,12 +64,6 @@ def minima(hashes: Column) -> Column:
     return F.aggregate(hashes, start, lambda have, h: F.struct(*[F.least(have[m], x).alias(m) for m, x in zip(names, first(h), strict=True)]))
 
 
-def _cut(hashes: Column, step: int, width: int) -> Column:
-    """Slices of ``width`` hashes, ``step`` apart; the last may be shorter."""
-    at = F.sequence(F.lit(0), F.size(hashes) - 1, F.lit(step))
-    return F.when(F.size(hashes) > 0, F.transform(at, lambda i: F.slice(hashes, i + 1, width))).otherwise(F.array().cast("array<array<bigint>>"))
-
-
 def pieces(templates: DataFrame) -> DataFrame:
     """band, key, license, whole: a row for each band of each piece; ``whole`` has the template's distinct shingles."""
     hashed = templates.select("license", shingles(F.col("text")).alias("h"))
@@ -86,29 +80,35 @@ def pieces(templates: DataFrame) -> DataFrame:
 def find_licenses(docs: DataFrame, templates: DataFrame, min_contained: float = MIN_CONTAINED) -> DataFrame:
     """doc_id, license, contained, first_shingle: the templates in each document, and where the first window with one begins."""
     cut = checkpoint(pieces(templates))
-    few = lambda df, n: F.broadcast(df) if small_enough(df, n) else df
-    named = docs.select("doc_id", "text").withColumns({"text_a": F.xxhash64("text"), "text_b": F.xxhash64("text", F.lit(1))})
+    few = small_enough(cut, BROADCAST_PIECES)
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_a"), F.xxhash64("text", F.lit(1)).alias("text_b"), shingles(text_or_empty()).alias("h"))
     me = ["doc_id", "text_a", "text_b"]
-    joined = lambda m: F.transform(m, lambda x, i: F.struct(*[F.least(x[f"m{k}"], F.get(m, i + 1)[f"m{k}"]).alias(f"m{k}") for k in range(BANDS)]))
-    blocks = let(let(shingles(text_or_empty()), lambda h: F.transform(_cut(h, PIECE, PIECE), minima)), joined)  # the least of the last block and nothing is its own
-    each = named.select(*me, F.posexplode(blocks).alias("at", "m"))
-    windows = each.select(*me, "at", F.posexplode(F.array(*[F.col(f"m.m{k}") for k in range(BANDS)])).alias("band", "key"))
-    met = checkpoint(windows.join(few(cut, BROADCAST_PIECES), ["band", "key"]).select(*me, "at", "license").distinct())
-    wholes = checkpoint(cut.select("license", "whole").distinct())
-    by_license = met.groupBy(*me, "license").agg(F.collect_set("at").alias("places"))
-    places = by_license.groupBy(*me).agg(F.collect_list(F.struct("license", "places")).alias("items"))
-    places = checkpoint(places.select(*[F.col(c).alias(f"_{c}") for c in me], "items"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_a") == F.col("_text_a")) & (F.col("text_b") == F.col("_text_b"))
-    # a document's shingles are made once, for all templates that it may hold
-    again = named.join(few(places, BROADCAST_DOCS), same).select(*me, shingles(text_or_empty()).alias("h"), "items")
-    each = again.select(*me, "h", F.explode("items").alias("item")).select(*me, "h", F.col("item.license").alias("license"), F.col("item.places").alias("places"))
-    seen = each.join(few(wholes, BROADCAST_PIECES), "license")
-    window = lambda i: F.slice("h", i * PIECE + 1, 2 * PIECE)
-    held = seen.withColumn("held", F.filter("places", lambda i: F.arrays_overlap(window(i), F.col("whole"))))
-    shared = F.array_intersect(F.array_distinct(F.flatten(F.transform("held", window))), F.col("whole"))
-    first = F.array_min(F.transform("held", lambda i: i * PIECE)).cast("long")
-    found = held.select(*me, "license", (F.size(shared) / F.size("whole")).alias("contained"), first.alias("first_shingle"))
-    return found.where(F.col("contained") >= min_contained).dropDuplicates([*me, "license"]).drop("text_a", "text_b")
+    window = F.slice("h", F.col("at") * PIECE + 1, 2 * PIECE)
+    windows = hashed.select(*me, "h", F.explode(_places(cut)).alias("at")).select(*me, "at", window.alias("window"))
+    bands = F.posexplode(F.array(*[F.col(f"m.m{k}") for k in range(BANDS)])).alias("band", "key")
+    keyed = windows.withColumn("m", minima(F.col("window"))).select(*me, "at", "window", bands)
+    met = keyed.join(F.broadcast(cut) if few else cut, ["band", "key"])
+    # what a window shares with a template is one of few sets, however often a long text repeats it
+    each = met.select(*me, "license", F.size("whole").alias("n"), "at", F.array_sort(F.array_intersect("window", "whole")).alias("shared")).where(F.size("shared") > 0)
+    found = each.groupBy(*me, "license").agg(F.max("n").alias("n"), F.min("at").alias("at"), F.collect_set("shared").alias("shared"))
+    contained = F.size(F.array_distinct(F.flatten("shared"))) / F.col("n")
+    return found.select("doc_id", "license", contained.alias("contained"), (F.col("at") * PIECE).cast("long").alias("first_shingle")).where(F.col("contained") >= min_contained)
+
+
+def _places(cut: DataFrame) -> Column:
+    """The numbers of the windows whose bands are to be compared: those with a shingle that gives a key of ``cut``.
+
+    A band's key comes from one of the window's own shingles, so no other window can meet a piece. Beyond LISTED_KEYS keys
+    it is all windows.
+    """
+    blocks = F.when(F.size("h") > 0, F.sequence(F.lit(0), F.floor((F.size("h") - 1) / PIECE).cast("int"))).otherwise(F.array().cast("array<int>"))
+    salts = F.array(*[_salt(k) for k in range(BANDS)])
+    keys = cut.select(F.col("key").bitwiseXOR(F.get(salts, F.col("band"))).alias("key")).distinct()
+    if not small_enough(keys, LISTED_KEYS):
+        return blocks
+    listed = [r["key"] for r in keys.collect()]
+    at = F.filter(F.transform("h", lambda x, i: F.when(x.isin(listed), F.floor(i / PIECE).cast("int"))), lambda i: i.isNotNull())
+    return F.array_distinct(F.flatten(F.transform(F.array_distinct(at), lambda i: F.when(i > 0, F.array(i - 1, i)).otherwise(F.array(i)))))
 
 
 def templates(spark: SparkSession) -> DataFrame:
