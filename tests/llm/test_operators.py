@@ -287,3 +287,13 @@ def test_pipeline(spark, folder):
 
     got = corpus_pipeline.run(spark, folder)
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "piece_ids", "n_pieces"] and got.count() > 10
+
+
+def test_slices_keep_all_rows():
+    import pyarrow as pa
+
+    texts = ["a" * 100, None, "", "b" * 1000, *[""] * 50, "c", None]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    got = list(lm_scoring.slices(iter([batch, batch.slice(0, 0)]), 200))
+    assert [x for part in got for x in part.column("text").to_pylist()] == texts and len(got) > 5
+    assert all(sum(len(x or "") for x in part.column("text").to_pylist()[:-1]) <= 200 for part in got)
