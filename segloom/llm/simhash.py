@@ -261,9 +261,9 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.join(grouped, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: For whole texts: words of a shingle, the least share of common shingles, and fingerprint words, whose radius is
+#: For whole texts: words of a shingle, the least share of common shingles (four fifths, as whole numbers), and fingerprint words, whose radius is
 #: three standard deviations beyond what texts of that share differ by on average (39 of 256 bits).
-NEAR_SHINGLE, NEAR, WORDS, NEAR_RADIUS = 5, 0.8, 4, 56
+NEAR_SHINGLE, NEAR, WORDS, NEAR_RADIUS = 5, (4, 5), 4, 56
 #: Buckets for whole texts: pairs of minima of shingle hashes. Texts with a share of 0.8 miss all of them in 4 of 100,000 cases.
 PAIRS = 10
 #: Ids of texts with a link, and rows that go, that are broadcast: 8 and 16 bytes each.
@@ -312,7 +312,7 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     side = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"of_{k}"))
     both = maybe.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("of_a", "of_b"))
-    return rows.select("doc_id", "node"), both.where((1 + NEAR) * common >= NEAR * (F.size("of_a") + F.size("of_b"))).select("a", "b")
+    return rows.select("doc_id", "node"), both.where(sum(NEAR) * common >= NEAR[0] * (F.size("of_a") + F.size("of_b"))).select("a", "b")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -118,6 +118,14 @@ def test_near_dedup_keeps_one(docs):
     assert kept.columns == docs.columns
 
 
+def kept_ids(spark, texts):
+    return sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect())
+
+
+def test_near_dedup_at_exactly_four_fifths(spark):
+    assert kept_ids(spark, [" ".join(f"w{i}" for i in range(32)), " ".join(f"w{i}" for i in range(39))]) == [0]
+
+
 def test_lm_scoring(spark, folder, docs):
     got = sorted(lm_scoring.op2_lm_scoring(spark, folder).collect(), key=lambda r: (str(r.doc_id), r.n_tokens))
     rows = sorted(docs.collect(), key=lambda r: (str(r.doc_id), len(words(r.text))))
