@@ -261,9 +261,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.join(grouped, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: For whole texts: words of a shingle, the least share of common shingles (four fifths, as whole numbers), and fingerprint words, whose radius is
-#: three standard deviations beyond what texts of that share differ by on average (39 of 256 bits).
-NEAR_SHINGLE, NEAR, WORDS, NEAR_RADIUS = 5, (4, 5), 4, 56
+#: For whole texts: words of a shingle, the least share of common shingles (four fifths, as whole numbers), fingerprint
+#: words, and their radius: texts of that share differ by 48 of 256 bits at most on average (sets of 4 and 5; large ones
+#: by 39), and exceed the radius in 1.6 of 100,000 cases (large ones in fewer than 1 of 100 million).
+NEAR_SHINGLE, NEAR, WORDS, NEAR_RADIUS = 5, (4, 5), 4, 75
 #: Buckets for whole texts: pairs of minima of shingle hashes. Texts with a share of 0.8 miss all of them in 4 of 100,000 cases.
 PAIRS = 10
 #: Ids of texts with a link, and rows that go, that are broadcast: 8 and 16 bytes each.
@@ -300,7 +301,7 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.view(np.int64).ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), *lists], names=["doc_id", "node", "words", "keys"])
 
-    hashed = docs.select("doc_id", node, shingle_hashes(text_or_empty(), NEAR_SHINGLE).alias("hashes"))
+    hashed = docs.select("doc_id", node, F.array_distinct(shingle_hashes(text_or_empty(), NEAR_SHINGLE)).alias("hashes"))
     rows = table(map_arrow(hashed, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node bigint, words array<bigint>, keys array<bigint>"))
     texts = table(rows.groupBy("node").agg(F.first("words").alias("words"), F.first("keys").alias("keys")))
     placed = texts.select("node", "words", F.posexplode("keys").alias("choice", "bits")).where("bits <> 0")

@@ -126,6 +126,11 @@ def test_near_dedup_at_exactly_four_fifths(spark):
     assert kept_ids(spark, [" ".join(f"w{i}" for i in range(32)), " ".join(f"w{i}" for i in range(39))]) == [0]
 
 
+def test_near_dedup_of_repeated_lines(spark):
+    body, line = "\n".join(" ".join(f"b{i}" for i in range(k, k + 10)) for k in range(0, 300, 10)), " ".join(f"l{i}" for i in range(12))
+    assert kept_ids(spark, ["\n".join([body, *[line] * n]) for n in (1, 10, 20)]) == [0]
+
+
 def test_lm_scoring(spark, folder, docs):
     got = sorted(lm_scoring.op2_lm_scoring(spark, folder).collect(), key=lambda r: (str(r.doc_id), r.n_tokens))
     rows = sorted(docs.collect(), key=lambda r: (str(r.doc_id), len(words(r.text))))
