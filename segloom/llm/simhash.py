@@ -13,7 +13,9 @@ over the links of distinct fingerprints, each round written to the shared checkp
 
 For whole texts (``keep_one``) a link is a share of at least NEAR of all shingles of five words. Fingerprints of 256 bits
 are compared the same way at a radius that such texts stay below, in buckets of equal minima of shingle hashes; what is
-found is compared exactly, shingle by shingle. A text is known by its 64-bit hash.
+found is compared exactly, shingle by shingle. A forest alone would hide links behind candidates that fail this
+comparison, so sets of texts that such candidates touch are gone through again: with several forests, at last with all
+pairs that no link connects yet. A text is known by its 64-bit hash.
 
 Defined cases: a null text counts as empty, and texts without words have the fingerprint zero, linked like any other;
 texts of fewer words than a shingle are one shingle; a component of rows without ids has no id; repeated rows are
@@ -37,6 +39,8 @@ BITS, RADIUS, BANDS, SHINGLE, SEED = 64, 3, 5, 3, 42
 CHUNK = 4096
 #: Pairs of a query and a word of 64 fingerprints that are compared at a time, some 100 bytes each.
 BLOCKS = 200_000
+#: Links that are handed on at a time.
+LINKS = 500_000
 #: Hashes of shingles that are counted at a time, 64 bytes each for one fingerprint word.
 HASHES = 500_000
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -144,8 +148,8 @@ def near_pairs(prints: np.ndarray, group: np.ndarray, radius: int, side: np.ndar
 class Forest:
     """Sets of rows that grow together; keeps the links that joined two of them."""
 
-    def __init__(self, n: int):
-        self.root = np.arange(n)
+    def __init__(self, root: np.ndarray):
+        self.root = root.copy()
         self.links: list[tuple[np.ndarray, np.ndarray]] = []
 
     def find(self, rows: np.ndarray) -> np.ndarray:
@@ -155,28 +159,52 @@ class Forest:
                 return up
             self.root[rows] = up
 
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            x, y = self.find(a), self.find(b)
+    def add(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Takes the links that join two sets; returns those that don't."""
+        at, left = np.arange(len(a)), np.ones(len(a), dtype=bool)
+        while len(at):
+            x, y = self.find(a[at]), self.find(b[at])
             apart = x != y
-            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            at, x, y = at[apart], x[apart], y[apart]
             high, low = np.maximum(x, y), np.minimum(x, y)
             _, one = np.unique(high, return_index=True)  # each set joins one lower set at a time, so links make no circle
             self.root[high[one]] = low[one]
-            self.links.append((a[one], b[one]))
+            self.links.append((a[at[one]], b[at[one]]))
+            left[at[one]] = False
+        return a[left], b[left]
 
     def rows(self) -> tuple[np.ndarray, np.ndarray]:
         none = np.zeros(0, dtype=np.int64)
         return tuple(np.concatenate([none, *(x[k] for x in self.links)]).astype(np.int64) for k in (0, 1))
 
 
-def forest(prints: np.ndarray, group: np.ndarray, radius: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links in all groups, closer links first among those that are found together."""
-    joined = Forest(len(prints))
+def forests(prints: np.ndarray, group: np.ndarray, radius: int, side: np.ndarray | None = None, known: np.ndarray | None = None, sizes: np.ndarray | None = None, number: int | None = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links in all groups, as ``number`` spanning forests, each of what the ones before left; closer links first among
+    those that are found together. None: all links, as they are found.
+
+    Only links between rows that differ in ``known`` (one number for rows that are joined already) and, with ``sizes``
+    of their shingle sets, that may share NEAR of them.
+    """
+    joined = np.arange(len(prints))
+    if known is not None:
+        _, first, of = np.unique(np.stack([group, known]), axis=1, return_index=True, return_inverse=True)
+        joined = first[of.reshape(-1)]
+    layers = [Forest(joined) for _ in range(number or 0)]
     for a, b, distance in near_pairs(prints, group, radius, side):
+        use = joined[a] != joined[b]
+        if sizes is not None:
+            use &= sum(NEAR) * np.minimum(sizes[a], sizes[b]) >= NEAR[0] * (sizes[a] + sizes[b])
+        a, b, distance = a[use], b[use], distance[use]
+        if number is None:
+            for k in range(0, len(a), LINKS):
+                yield a[k : k + LINKS], b[k : k + LINKS]
+            continue
         for d in range(int(distance.max(initial=0)) + 1):
-            joined.add(a[distance == d], b[distance == d])
-    return joined.rows()
+            x, y = a[distance == d], b[distance == d]
+            for layer in layers:
+                x, y = layer.add(x, y)
+    for layer in layers:
+        yield layer.rows()
 
 
 def _buckets(prints: DataFrame, radius: int) -> DataFrame:
@@ -190,28 +218,32 @@ def _buckets(prints: DataFrame, radius: int) -> DataFrame:
     return prints.select("fp", key)
 
 
-def links_in_buckets(placed: DataFrame, radius: int) -> DataFrame:
-    """a, b: a spanning forest of each bucket's links. ``placed`` has choice, bits (the bucket), node, words (the fingerprint)."""
+def links_in_buckets(placed: DataFrame, radius: int, number: int | None = 1) -> DataFrame:
+    """a, b: ``number`` spanning forests of each bucket's links, or all of them (None).
+
+    ``placed`` has choice, bits (the bucket), node, words (the fingerprint), and may have known and size as for ``forests``.
+    """
+    own_columns = ["node", "words", *(c for c in ("known", "size") if c in placed.columns)]
     shared = checkpoint(placed.groupBy("choice", "bits").count().where(F.col("count") > 1))
     # only buckets that two share are gathered; the large ones in chunks, each pair of chunks together
     parts = F.ceil(F.col("count") / CHUNK).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int")
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("mine")).alias("x"), F.greatest(k, F.col("mine")).alias("y"), (F.col("mine") > k).cast("int").alias("side"))))
-    together = placed.join(shared, ["choice", "bits"]).withColumn("parts", parts).withColumn("mine", mine).select("choice", "bits", "node", "words", pair.alias("p"))
-    gathered = together.groupBy("choice", "bits", "p.x", "p.y").agg(F.collect_list(F.struct("node", "words", "p.side")).alias("rows")).where(F.size("rows") > 1)
+    together = placed.join(shared, ["choice", "bits"]).withColumn("parts", parts).withColumn("mine", mine).select("choice", "bits", *own_columns, pair.alias("p"))
+    gathered = together.groupBy("choice", "bits", "p.x", "p.y").agg(F.collect_list(F.struct(*own_columns, "p.side")).alias("rows")).where(F.size("rows") > 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column("rows")
             group = np.repeat(np.arange(len(rows)), rows.value_lengths().to_numpy(zero_copy_only=False))
             fields = rows.flatten()
-            nodes, side = (fields.field(f).to_numpy(zero_copy_only=False) for f in ("node", "side"))
+            nodes, side, known, sizes = (fields.field(f).to_numpy(zero_copy_only=False) if f in (*own_columns, "side") else None for f in ("node", "side", "known", "size"))
             prints = np.ascontiguousarray(fields.field("words").flatten().to_numpy(zero_copy_only=False)).view(np.uint64).reshape(len(nodes), -1)
             two = (batch.column("x").to_numpy() != batch.column("y").to_numpy())[group]
             for chosen, sides in ((~two, None), (two, side)):
                 own = np.flatnonzero(chosen)
-                if len(own):
-                    a, b = forest(np.ascontiguousarray(prints[own]), group[own], radius, None if sides is None else sides[own])
+                of = lambda x: None if x is None else x[own]  # noqa: B023, E731
+                for a, b in forests(np.ascontiguousarray(prints[own]), group[own], radius, of(sides), of(known), of(sizes), number) if len(own) else ():
                     yield pa.RecordBatch.from_arrays([pa.array(nodes[own][a]), pa.array(nodes[own][b])], names=["a", "b"])
 
     found = map_arrow(gathered.select("x", "y", "rows"), run, "a bigint, b bigint")
@@ -265,6 +297,8 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: words, and their radius: texts of that share differ by 48 of 256 bits at most on average (sets of 4 and 5; large ones
 #: by 39), and exceed the radius in 1.6 of 100,000 cases (large ones in fewer than 1 of 100 million).
 NEAR_SHINGLE, NEAR, WORDS, NEAR_RADIUS = 5, (4, 5), 4, 75
+#: Spanning forests in each round of candidates; in the last round, all that are left.
+ROUNDS = (1, 16, None)
 #: Buckets for whole texts: pairs of minima of shingle hashes. Texts with a share of 0.8 miss all of them in 4 of 100,000 cases.
 PAIRS = 10
 #: Ids of texts with a link, and rows that go, that are broadcast: 8 and 16 bytes each.
@@ -292,28 +326,47 @@ def sketches_of(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, node) with node for the text, and links (a, b) between texts that share NEAR of their shingles."""
+    """Rows (doc_id, node) with node for the text, and links (a, b) that connect all texts that share NEAR of their shingles."""
     node = F.xxhash64(text_or_empty()).alias("node")
+    shingles = F.array_distinct(shingle_hashes(text_or_empty(), NEAR_SHINGLE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = sketches_of(*list_values(batch.column("hashes")))
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.view(np.int64).ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), *lists], names=["doc_id", "node", "words", "keys"])
-
-    hashed = docs.select("doc_id", node, F.array_distinct(shingle_hashes(text_or_empty(), NEAR_SHINGLE)).alias("hashes"))
-    rows = table(map_arrow(hashed, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node bigint, words array<bigint>, keys array<bigint>"))
-    texts = table(rows.groupBy("node").agg(F.first("words").alias("words"), F.first("keys").alias("keys")))
-    placed = texts.select("node", "words", F.posexplode("keys").alias("choice", "bits")).where("bits <> 0")
-    maybe = table(links_in_buckets(placed, NEAR_RADIUS))
-    nodes = table(maybe.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    few = small_enough(nodes, BROADCAST_NODES)
-    linked = docs.select("text", node).join(F.broadcast(nodes) if few else nodes, "node", "left_semi").dropDuplicates(["node"])
-    sets = table(linked.select("node", F.array_distinct(shingle_hashes(text_or_empty(), NEAR_SHINGLE)).alias("shingles")))
-    side = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"of_{k}"))
-    both = maybe.join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    return rows.select("doc_id", "node"), both.where(sum(NEAR) * common >= NEAR[0] * (F.size("of_a") + F.size("of_b"))).select("a", "b")
+            hashes, ends = list_values(batch.column("hashes"))
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.view(np.int64).ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in sketches_of(hashes, ends)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(np.diff(ends, prepend=0)), *lists], names=["doc_id", "node", "size", "words", "keys"])
+
+    hashed = docs.select("doc_id", node, shingles.alias("hashes"))
+    rows = table(map_arrow(hashed, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node bigint, size bigint, words array<bigint>, keys array<bigint>"))
+    texts = table(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", "words", "keys"))))
+    placed = now = texts.select("node", "size", "words", F.posexplode("keys").alias("choice", "bits")).where("bits <> 0")
+    sets = checked = None
+    for number in ROUNDS:
+        maybe = links_in_buckets(now, NEAR_RADIUS, number)
+        maybe = table(maybe if checked is None else maybe.join(checked, ["a", "b"], "left_anti"))
+        if sets is None:  # later rounds have no other texts
+            nodes = table(maybe.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+            few = small_enough(nodes, BROADCAST_NODES)
+            linked = docs.select("text", node).join(F.broadcast(nodes) if few else nodes, "node", "left_semi").dropDuplicates(["node"])
+            sets = table(linked.select("node", shingles.alias("shingles")))
+        side = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"of_{k}"))  # noqa: B023, E731
+        common = F.size(F.array_intersect("of_a", "of_b"))
+        near = sum(NEAR) * common >= NEAR[0] * (F.size("of_a") + F.size("of_b"))
+        found = table(maybe.join(side("a"), "a").join(side("b"), "b").select("a", "b", near.alias("near")))
+        checked = found if checked is None else checked.union(found)
+        links = checked.where("near").select("a", "b")
+        if number is None:
+            break
+        # a link that is hidden lies between two sets of linked texts that failed candidates touch
+        roots = checkpoint(components(links))
+        known = checkpoint(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("known")))
+        end = lambda k: known.select(F.col("node").alias(k), F.col("known").alias(f"known_{k}"))  # noqa: B023, E731
+        failed = checked.where("NOT near").join(end("a"), "a").join(end("b"), "b").where("known_a <> known_b")
+        unsure = checkpoint(failed.select(F.explode(F.array("known_a", "known_b")).alias("known")).distinct())
+        if not unsure.limit(1).count():
+            break
+        now = placed.join(known.join(unsure, "known", "left_semi"), "node")
+    return rows.select("doc_id", "node"), links
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -122,6 +122,36 @@ def kept_ids(spark, texts):
     return sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect())
 
 
+def test_near_dedup_of_independent_copies(spark):
+    rng = random.Random(7)
+    original = [f"w{i}" for i in range(300)]
+    made = [" ".join(original)]
+    for c in range(200):  # to the original 0.82 or 0.85, to each other 0.7
+        at = {10 * x + 5 for x in rng.sample(range(29), rng.choice((5, 6)))}
+        made.append(" ".join(f"c{c}x{i}" if i in at else w for i, w in enumerate(original)))
+    assert kept_ids(spark, made) == [0]
+
+
+@pytest.mark.parametrize("number", [1, 3, None])
+def test_forests_leave_no_link_out(number):
+    rng = np.random.default_rng(4)
+    prints = rng.integers(0, 2**64, (4, 1), dtype=np.uint64)[rng.integers(0, 4, 50)] ^ (np.uint64(1) << rng.integers(0, 64, (50, 1)).astype(np.uint64))
+    group, known = np.sort(rng.integers(0, 3, 50)), rng.integers(0, 20, 50)
+    pairs = {(i, j) for i in range(50) for j in range(i + 1, 50) if group[i] == group[j] and known[i] != known[j] and int(prints[i, 0] ^ prints[j, 0]).bit_count() <= 2}
+    found = [(int(x), int(y)) for a, b in simhash.forests(prints, group, 2, known=known, number=number) for x, y in zip(a, b, strict=True)]
+    assert len(found) == len(set(found)) and set(found) <= pairs and (number or set(found) == pairs)
+
+    def roots(links):
+        label = [(g, 100 + k) for g, k in zip(group, known, strict=True)]
+        for _ in label:
+            for i, j in links:
+                low = min(label[i], label[j])
+                label = [low if x in (label[i], label[j]) else x for x in label]
+        return label
+
+    assert roots(found) == roots(pairs)
+
+
 def test_near_dedup_at_exactly_four_fifths(spark):
     assert kept_ids(spark, [" ".join(f"w{i}" for i in range(32)), " ".join(f"w{i}" for i in range(39))]) == [0]
 
