@@ -141,8 +141,9 @@ def srt_time(spark: SparkSession, sf: str) -> DataFrame:
 PAIR_SQL = "pair AS (SELECT item_id, regexp_replace(substring(b.text, 1, 60), '[^ -~]', '', 'g') AS ref, regexp_replace(substring(d.text, 1, 60), '[^ -~]', '', 'g') AS hyp FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)"
 
 
-def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    plain = lambda c: F.regexp_replace(F.substring(c, 1, 60), "[^ -~]", "")
+def _pairs(spark: SparkSession, sf: str, first: int | None = None) -> DataFrame:
+    """Benchmark texts (ref) and documents (hyp) of one number; whole, or of their ``first`` characters."""
+    plain = lambda c: F.regexp_replace(F.substring(c, 1, first) if first else F.col(c), "[^ -~]", "")
     docs = D.read(spark, sf, "documents").select("doc_id", plain("text").alias("hyp"))
     return D.read(spark, sf, "benchmark").join(docs, F.col("item_id") == F.col("doc_id")).select("item_id", plain("text").alias("ref"), "hyp")
 
@@ -150,7 +151,7 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {PAIR_SQL} SELECT item_id, levenshtein(ref, hyp) / CAST(greatest(length(ref), 1) AS DOUBLE) AS cer, levenshtein(ref, hyp) / CAST(greatest(length(ref), length(hyp), 1) AS DOUBLE) AS cer_longest FROM pair")
 def cer_ascii(spark: SparkSession, sf: str) -> DataFrame:
     ref, hyp = F.col("ref"), F.col("hyp")
-    return _pairs(spark, sf).select("item_id", C.char_error_rate(ref, hyp).alias("cer"), C.char_error_rate(ref, hyp, True).alias("cer_longest"))
+    return _pairs(spark, sf, 60).select("item_id", C.char_error_rate(ref, hyp).alias("cer"), C.char_error_rate(ref, hyp, True).alias("cer_longest"))
 
 
 @query()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from segloom.functions import columns as C
 from segloom.operators import folds, intervals, islands
+from segloom.plans import tables
 from segloom.sources import transcripts
 from segloom.streaming import messages
 
@@ -85,6 +86,41 @@ def test_edit_operations():
     assert folds.edit_operations([], []) == (0, 0, 0, 0)
 
 
+def test_edit_operations_against_the_full_table():
+    def full(ref, hyp):
+        table = [list(range(len(hyp) + 1))]
+        for i, x in enumerate(ref, 1):
+            row = [i]
+            for j, y in enumerate(hyp, 1):
+                row.append(min(table[-1][j] + 1, row[-1] + 1, table[-1][j - 1] + (x != y)))
+            table.append(row)
+        i, j, counts = len(ref), len(hyp), [0, 0, 0]
+        while i or j:
+            both = i and j
+            if both and ref[i - 1] == hyp[j - 1]:
+                i, j = i - 1, j - 1
+            elif both and table[i][j] == table[i - 1][j - 1] + 1:
+                i, j, counts[0] = i - 1, j - 1, counts[0] + 1
+            elif j and table[i][j] == table[i][j - 1] + 1:
+                j, counts[1] = j - 1, counts[1] + 1
+            else:
+                i, counts[2] = i - 1, counts[2] + 1
+        return (table[-1][-1], *counts)
+
+    rng = random.Random(3)
+    for _ in range(3000):
+        ref, hyp = ([rng.choice("abcd"[: rng.randrange(1, 5)]) for _ in range(rng.randrange(12))] for _ in range(2))
+        assert folds.edit_operations(ref, hyp) == full(ref, hyp), (ref, hyp)
+
+
+def test_wer_counts_of_whole_texts(spark, tmp_path):
+    same = "word " * 20
+    spark.createDataFrame([(1, same + "one two")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, same + "one three four")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    row = tables.wer_counts(spark, str(tmp_path)).first()
+    assert (row.ref_words, row.hyp_words, row.word_errors, row.word_subs, row.word_ins, row.word_dels) == (22, 23, 2, 1, 1, 0)
+
+
 def test_split_subtitle():
     assert folds.split_subtitle("第一句话很长，第二句话也长") == ["第一句话很长", "第二句话也长"]
     assert folds.split_subtitle("短，第二句话也长") == ["短第二句话也长"]
