@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +45,30 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def slices(batches: Iterator[pa.RecordBatch], most: int, text: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches' rows again, as slices with ``most`` bytes of ``text`` and the rest of the last text at most.
+
+    Arrow batches are bounded by rows only, so whoever builds arrays by the byte takes these.
+    """
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        # every row counts a little, so that empty texts don't gather without end
+        block = (np.cumsum(sizes + 64) - sizes - 64) // most
+        edges = [*np.flatnonzero(np.diff(block, prepend=-1)), batch.num_rows]
+        for begin, end in zip(edges, edges[1:]):  # noqa: B905
+            yield batch.slice(begin, end - begin)
+
+
+def own_columns(df: DataFrame, struct: str = "__own") -> Column:
+    """All columns of ``df`` in one struct, out of the way of an operator's own names; ``<struct>.*`` gives them back."""
+    return F.struct(*[quoted(c) for c in df.columns]).alias(struct)
+
+
+def quoted(name: str) -> Column:
+    """The column of this very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder that all executors share, and read from there."""
     spark = df.sparkSession
@@ -48,19 +77,26 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def table(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet below the shared checkpoint folder, and read from there: smaller than a checkpoint."""
+    """``df`` written as Parquet below the shared checkpoint folder, and read from there: smaller than a checkpoint.
+
+    Results are read from such tables, so they go when the application ends.
+    """
     spark = df.sparkSession
     shared_folder(spark)
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     path = f"{folder}/segloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Leaves spark.checkpoint.dir as it is; only where it is unset (tests, one machine) a temporary folder is taken."""
+    """Leaves spark.checkpoint.dir as it is; where it is unset, one machine takes a temporary folder, and a cluster is refused."""
     context = spark.sparkContext
     if spark.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="segloom-"))
 
 

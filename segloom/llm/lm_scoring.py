@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import attention
 from .attention import MEMBERS, Scorer, Weights
-from .common import map_arrow, read, table, text_or_empty
+from .common import map_arrow, read, slices, table, text_or_empty
 from .piece_coding import model_path, viterbi
 from .subwords import SPACE, Batch, pieces, spread, sums
 
@@ -61,17 +61,6 @@ def words_of(texts: pa.Array) -> pa.ListArray:
     return pc.if_else(pc.equal(trimmed, ""), pa.scalar([], lists.type), lists) if (pc.min(pc.binary_length(trimmed)).as_py() or 0) == 0 and len(texts) else lists
 
 
-def slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """The batches' rows again, as slices with ``most`` bytes of text and the rest of the last text at most."""
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        # every row counts a little, so that empty texts don't gather without end
-        block = (np.cumsum(sizes + 64) - sizes - 64) // most
-        edges = [*np.flatnonzero(np.diff(block, prepend=-1)), batch.num_rows]
-        for begin, end in zip(edges, edges[1:]):  # noqa: B905
-            yield batch.slice(begin, end - begin)
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, n: how often each word stands in the texts; n_docs texts' ends are not among them."""
 

@@ -15,14 +15,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, read, text_or_empty
+from .common import map_arrow, read, slices, text_or_empty
 from .subwords import SPACE, Batch, Pieces, char_ends, parts_of, pieces, spread, sums
 
 NO_WAY = -np.inf
+#: Bytes of text, and rows of piece ids, that a worker holds as arrays at a time; a longer text makes a slice of its own.
+TEXT_BYTES, ROWS = 2 << 20, 500
 
 
 def viterbi(batch: Batch, model: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -70,46 +73,53 @@ def viterbi(batch: Batch, model: Pieces) -> tuple[np.ndarray, np.ndarray]:
     return begins, ends, ids
 
 
-def encode_batch(parts: pa.ListArray, model: Pieces) -> pa.ListArray:
+def encode_texts(texts: pa.Array, model: Pieces) -> pa.ListArray:
     """The piece ids of each text."""
-    batch = Batch(parts)
+    batch = Batch(parts_of(texts))
     begins, ends, ids = viterbi(batch, model)
     sizes = (ends - begins)[batch.which]
     n = sums(sizes, batch.begins, batch.ends)
     flat = ids[spread(begins[batch.which], sizes)]
-    return pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int64()), pa.array(flat, pa.int32()))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(flat, pa.int32()))
 
 
-def decode_batch(ids: pa.ListArray, model: Pieces) -> pa.Array:
+def decode_ids(ids: pa.ListArray, model: Pieces) -> pa.Array:
     """The text of each list of piece ids; bytes that are no UTF-8 become U+FFFD."""
-    flat = ids.flatten().to_numpy(zero_copy_only=False)
-    sizes = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    width = model.size[flat]
-    data = model.raw[spread(model.raw_at[flat], width)]
-    ends = np.cumsum(sizes)
-    total = np.concatenate([[0], np.cumsum(width)])
-    buffer = data.tobytes()
-    return pa.array([buffer[a:b].decode("utf-8", "replace").replace(SPACE, " ")[1:] for a, b in zip(total[ends - sizes].tolist(), total[ends].tolist(), strict=True)], pa.string())
+    ends = np.cumsum(pc.fill_null(ids.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    joined = model.raw.take(ids.flatten())
+    _, offsets, data = joined.buffers()
+    at = np.frombuffer(offsets, dtype=np.int64)[: len(joined) + 1] if len(joined) else np.zeros(1, dtype=np.int64)
+    places = pa.py_buffer(at[np.concatenate([[0], ends]).astype(np.int64)])
+    raw = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, places, data or pa.py_buffer(b"")])
+    try:
+        texts = raw.cast(pa.large_string())
+    except pa.ArrowInvalid:
+        texts = pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.large_string())
+    return pc.utf8_slice_codeunits(pc.replace_substring(texts, SPACE, " "), 1).cast(pa.string())
 
 
-def _extended(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
+def _extended(df: DataFrame, *more: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([*df.schema.fields, *(T.StructField(name, kind) for name, kind in more)])
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "piece_ids", keep_text: bool = True) -> DataFrame:
-    """Adds the piece ids of ``text``, an array of ints. ``path`` is the model file, which every executor has."""
-    source = df.drop(ids).withColumn("__parts", parts_of(text_or_empty(text)))
-    source = source if keep_text else source.drop(text)
-    plain = source.drop("__parts")
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "piece_ids", decoded: str | None = None, keep_text: bool = True) -> DataFrame:
+    """Adds the piece ids of ``text``, an array of ints, and with ``decoded`` the text that these stand for.
+
+    ``path`` is the model file, which every executor has. A worker holds arrays for TEXT_BYTES of text at a time.
+    """
+    plain = df.drop(ids, *([decoded] if decoded else []))
+    out = plain if keep_text else plain.drop(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
-        for batch in batches:
-            found = encode_batch(batch.column("__parts"), model).cast(pa.list_(pa.int32()))
-            kept = batch.drop_columns(["__parts"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, found], names=[*kept.schema.names, ids])
+        for batch in slices(batches, TEXT_BYTES, text):
+            found = encode_texts(batch.column(text), model)
+            kept = batch if keep_text else batch.drop_columns([text])
+            texts = [decode_ids(found, model)] if decoded else []
+            yield pa.RecordBatch.from_arrays([*kept.columns, found, *texts], names=[*kept.schema.names, ids, *([decoded] if decoded else [])])
 
-    return map_arrow(source, run, _extended(plain, ids, T.ArrayType(T.IntegerType())))
+    more = [(ids, T.ArrayType(T.IntegerType())), *([(decoded, T.StringType())] if decoded else [])]
+    return map_arrow(plain, run, _extended(out, *more))
 
 
 def decode(df: DataFrame, path: str, ids: str = "piece_ids", text: str = "decoded") -> DataFrame:
@@ -119,9 +129,11 @@ def decode(df: DataFrame, path: str, ids: str = "piece_ids", text: str = "decode
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, decode_batch(batch.column(ids), model)], names=[*batch.schema.names, text])
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                yield pa.RecordBatch.from_arrays([*part.columns, decode_ids(part.column(ids), model)], names=[*part.schema.names, text])
 
-    return map_arrow(plain, run, _extended(plain, text, T.StringType()))
+    return map_arrow(plain, run, _extended(plain, (text, T.StringType())))
 
 
 def model_path() -> str:
@@ -132,9 +144,8 @@ def model_path() -> str:
 
 def op4_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's pieces, as their number and a hash of all ids, and whether they decode to its text."""
-    path = model_path()
-    hashed = F.xxhash64(F.translate(text_or_empty(), SPACE, " ")).alias("text_hash")  # goes through Python in the text's place
-    coded = decode(encode(read(spark, sf_dir, "documents").select("doc_id", "text", hashed), path, keep_text=False), path)
+    hashed = F.xxhash64(F.translate(text_or_empty(), SPACE, " ")).alias("text_hash")  # comes back in the text's place
+    coded = encode(read(spark, sf_dir, "documents").select("doc_id", "text", hashed), model_path(), decoded="decoded", keep_text=False)
     same = F.xxhash64("decoded") == F.col("text_hash")
     return coded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.xxhash64("piece_ids").alias("ids_hash"), same.alias("round_trip"))
 

@@ -12,8 +12,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from .automaton import Automaton, Strings
 
@@ -21,10 +19,23 @@ SPACE = "▁"
 NO_PIECE = -1
 
 
-def parts_of(text: Column) -> Column:
-    """The parts of a text, an array of strings without their first ``▁``; an empty array for an empty or null text."""
-    cut = F.split(F.translate(text, SPACE, " "), "(?<=[^ ]) ", -1)
-    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(cut)
+def parts_of(texts: pa.Array) -> pa.ListArray:
+    """The parts of each text, strings without their first ``▁``; none for an empty or null text."""
+    plain = pc.replace_substring(pc.fill_null(texts, ""), SPACE, " ").cast(pa.large_string())
+    _, offsets, data = plain.buffers()
+    at = np.frombuffer(offsets, dtype=np.int64)[plain.offset : plain.offset + len(plain) + 1] if len(plain) else np.zeros(1, dtype=np.int64)
+    raw = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]] if data and at[-1] > at[0] else np.zeros(0, dtype=np.uint8)
+    at = at - at[0]
+    space = raw == ord(" ")
+    cut = space.copy()
+    cut[1:] &= ~space[:-1]
+    full = np.diff(at) > 0
+    cut[at[:-1][full]] = False  # a text's first character follows none
+    before = np.concatenate([[0], np.cumsum(cut)])
+    stops = np.sort(np.concatenate([np.flatnonzero(cut), at[1:][full]]))
+    strings = pa.LargeStringArray.from_buffers(len(stops), pa.py_buffer(np.concatenate([[0], stops - before[stops]])), pa.py_buffer(raw[~cut])).cast(pa.string())
+    ends = np.cumsum(before[at[1:]] - before[at[:-1]] + full)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), strings)
 
 
 class Pieces:
@@ -47,8 +58,7 @@ class Pieces:
         for b, i in enumerate(self.byte_ids):
             raw[i] = bytes([b])
         self.size = np.array([len(x) for x in raw], dtype=np.int64)
-        self.raw = np.frombuffer(b"".join(raw), dtype=np.uint8)
-        self.raw_at = np.concatenate([[0], np.cumsum(self.size)])[:-1]
+        self.raw = pa.array(raw, pa.large_binary())
         self.automaton = Automaton({raw[i]: i for i in plain})
 
 

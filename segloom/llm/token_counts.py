@@ -23,13 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, read, text_or_empty
+from .common import map_arrow, read, slices, text_or_empty
 from .piece_coding import model_path
 from .subwords import Batch, Pieces, char_ends, parts_of, pieces, spread, sums
 
 LIMIT = 4096
-#: Pairs that a worker remembers: 9 bytes each.
-MEMO = 8_000_000
+#: Pairs that a worker remembers, 9 bytes each, and those that it holds apart until it sorts them in.
+MEMO, RECENT = 4_000_000, 4096
+#: Bytes of text that a worker holds as arrays at a time.
+TEXT_BYTES = 2 << 20
 #: The piece before the first one, and that of a character without a piece: whatever may follow it.
 FREE = -1
 
@@ -45,6 +47,15 @@ def _varint(n: int) -> bytes:
     return out + bytes([n])
 
 
+NOTHING = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool))
+
+
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.concatenate([a[0], b[0]])
+    by = np.argsort(keys, kind="stable")
+    return keys[by], np.concatenate([a[1], b[1]])[by]
+
+
 class Neighbours:
     """Which pieces stay as they are side by side: what the library makes of them without a ``▁`` in front."""
 
@@ -58,30 +69,29 @@ class Neighbours:
         self.names = model.names
         self.whole = np.zeros(len(model.names), dtype=bool)
         self.whole[[i for i, ids in zip(model.plain, self.encode([model.names[i] for i in model.plain], num_threads=1), strict=True) if ids == [i]]] = True
-        self.keys, self.apart = np.zeros(1, dtype=np.int64) - 1, np.zeros(1, dtype=bool)
+        self.known = self.recent = NOTHING  # sorted keys of pairs, and whether they stay apart
 
     def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = left.astype(np.int64) * len(self.names) + right
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        known = self.keys[at] == keys
-        if not known.all():
-            new = np.unique(keys[~known])
+        apart, unknown = np.zeros(len(keys), dtype=bool), np.ones(len(keys), dtype=bool)
+        for have, answers in (self.known, self.recent):
+            if len(have):
+                at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+                hit = have[at] == keys
+                apart[hit] = answers[at[hit]]
+                unknown &= ~hit
+        if unknown.any():
+            new = np.unique(keys[unknown])
             pairs = [divmod(k, len(self.names)) for k in new.tolist()]
             found = self.encode([self.names[a] + self.names[b] for a, b in pairs], num_threads=1)
-            if len(self.keys) > MEMO:
-                self.keys, self.apart = self.keys[:1], self.apart[:1]
-            # what a full memo has lost is asked anew together with the rest
-            missing = np.setdiff1d(keys[known], self.keys) if len(self.keys) == 1 else new[:0]
-            if len(missing):
-                pairs += [divmod(k, len(self.names)) for k in missing.tolist()]
-                found += self.encode([self.names[a] + self.names[b] for a, b in pairs[len(new) :]], num_threads=1)
-                new = np.concatenate([new, missing])
-            merged = np.concatenate([self.keys, new])
-            by = np.argsort(merged, kind="stable")
-            self.keys = merged[by]
-            self.apart = np.concatenate([self.apart, [ids == list(pair) for ids, pair in zip(found, pairs, strict=True)]])[by]
-            at = np.searchsorted(self.keys, keys)
-        return self.apart[at]
+            answers = np.array([ids == list(pair) for ids, pair in zip(found, pairs, strict=True)])
+            apart[unknown] = answers[np.searchsorted(new, keys[unknown])]
+            self.recent = _merged(self.recent, (new, answers))
+            # what is new goes into a small table, so that the large one is sorted seldom
+            if len(self.recent[0]) > RECENT + len(self.known[0]) // 4:
+                self.known = _merged(self.known if len(self.known[0]) < MEMO else NOTHING, self.recent)
+                self.recent = NOTHING
+        return apart
 
 
 @lru_cache(maxsize=2)
@@ -119,9 +129,9 @@ def prefix_counts(batch: Batch, model: Pieces, apart: Neighbours) -> np.ndarray:
     return count
 
 
-def count_batch(parts: pa.ListArray, limit: int, model: Pieces, apart: Neighbours) -> tuple[np.ndarray, np.ndarray]:
+def count_texts(texts: pa.Array, limit: int, model: Pieces, apart: Neighbours) -> tuple[np.ndarray, np.ndarray]:
     """The tokens of each text, and the characters of its longest prefix of at most ``limit`` tokens."""
-    batch = Batch(parts)
+    batch = Batch(parts_of(texts))
     table, strings = prefix_counts(batch, model, apart), batch.strings
     ends = table[strings.slot[:-1] + strings.length]
     chars = np.diff(np.concatenate([[0], np.cumsum(table >= 0)])[strings.slot]) - 1 if len(ends) else ends
@@ -141,15 +151,14 @@ def count_batch(parts: pa.ListArray, limit: int, model: Pieces, apart: Neighbour
 
 def count_tokens(df: DataFrame, path: str, limit: int = LIMIT, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Adds ``n_tokens``, and ``n_chars_fit``: the characters of the longest prefix of at most ``limit`` tokens."""
-    source = df.drop("n_tokens", "n_chars_fit").withColumn("__parts", parts_of(text_or_empty(text)))
-    source = source if keep_text else source.drop(text)
-    plain = source.drop("__parts")
+    source = df.drop("n_tokens", "n_chars_fit")
+    plain = source if keep_text else source.drop(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, apart = pieces(path), neighbours(path)
-        for batch in batches:
-            found = count_batch(batch.column("__parts"), limit, model, apart)
-            kept = batch.drop_columns(["__parts"])
+        for batch in slices(batches, TEXT_BYTES, text):
+            found = count_texts(batch.column(text), limit, model, apart)
+            kept = batch if keep_text else batch.drop_columns([text])
             yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(x, pa.int64()) for x in found)], names=[*kept.schema.names, "n_tokens", "n_chars_fit"])
 
     return map_arrow(source, run, T.StructType([*plain.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("n_chars_fit", T.LongType())]))

@@ -13,7 +13,7 @@ import pytest
 import sentencepiece
 import xxhash
 
-from segloom.llm import attention, decontaminate, license_scan, line_dedup, lm_scoring, piece_coding, quality_model, quality_rules, secret_scan, simhash, subwords, token_counts
+from segloom.llm import attention, common, decontaminate, license_scan, line_dedup, lm_scoring, piece_coding, quality_model, quality_rules, secret_scan, simhash, subwords, token_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -58,8 +58,15 @@ def empty(spark, tmp_path_factory, folder):
     return str(path)
 
 
-def parts(texts):
-    return pa.array([re.split("(?<=[^ ]) ", t.replace("▁", " ")) if t else [] for t in texts], pa.list_(pa.string()))
+def strings(texts):
+    return pa.array(texts, pa.string())
+
+
+def test_parts():
+    some = ["a b", " a", "a ", "  ", "a  b ▁c", None, "", "é ü", "x"]
+    got = subwords.parts_of(strings(some).slice(1))
+    assert got.to_pylist() == [re.split("(?<=[^ ]) ", t.replace("▁", " ")) if t else [] for t in some[1:]]
+    assert subwords.parts_of(strings([])).to_pylist() == []
 
 
 def test_simhash(spark, folder, docs):
@@ -251,9 +258,9 @@ def test_piece_coding(texts):
         return out
 
     some = [t or "" for t in texts if len(t or "") < 3000]
-    found = piece_coding.encode_batch(parts(some), model)
+    found = piece_coding.encode_texts(strings(some), model)
     assert found.to_pylist() == [brute(t.replace("▁", " ")) for t in some]
-    assert piece_coding.decode_batch(found.cast(pa.list_(pa.int32())), model).to_pylist() == [t.replace("▁", " ") for t in some]
+    assert piece_coding.decode_ids(found, model).to_pylist() == [t.replace("▁", " ") for t in some]
 
 
 def test_token_counts(spark, folder, docs):
@@ -269,7 +276,7 @@ def test_longest_prefix():
     rng = random.Random(2)
     some = ["".join(rng.choice("ab c\ntheéin日 1=") for _ in range(rng.randrange(0, 60))) for _ in range(200)]
     path = piece_coding.model_path()
-    _, fit = token_counts.count_batch(parts(some), 7, subwords.pieces(path), token_counts.neighbours(path))
+    _, fit = token_counts.count_texts(strings(some), 7, subwords.pieces(path), token_counts.neighbours(path))
     assert fit.tolist() == [max(k for k in range(len(t) + 1) if len(library.encode(t[:k])) <= 7) for t in some]
 
 
@@ -337,6 +344,6 @@ def test_slices_keep_all_rows():
 
     texts = ["a" * 100, None, "", "b" * 1000, *[""] * 50, "c", None]
     batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
-    got = list(lm_scoring.slices(iter([batch, batch.slice(0, 0)]), 200))
+    got = list(common.slices(iter([batch, batch.slice(0, 0)]), 200))
     assert [x for part in got for x in part.column("text").to_pylist()] == texts and len(got) > 5
     assert all(sum(len(x or "") for x in part.column("text").to_pylist()[:-1]) <= 200 for part in got)
