@@ -1,7 +1,9 @@
 """Quality rules as weak supervision: rules vote or abstain, EM estimates how often each is right, a posterior decides.
 
 Rules look at counts of one text. The corpus enters through the number of documents that have each pattern of
-votes, at most 3**len(RULES) of them whatever the input; EM runs on those numbers. No Python runs on executors.
+votes, at most 3**8 of them whatever the input; EM runs on those numbers until they stand still. The shares that it
+estimates have Beta priors worth PRIOR documents and no bounds: a rule whose votes say nothing about the others'
+ends with a weight near zero, whatever its prior. No Python runs on executors.
 
 Defined cases: a null text counts as empty; empty tables give no rows and the starting rates; repeated rows are
 judged each by itself; other columns pass through, and a column with the name of a result is replaced.
@@ -10,15 +12,19 @@ judged each by itself; other columns pass through, and a column with the name of
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import exp, log
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, let, read, split_words, text_or_empty
+from .common import checkpoint, let, own_columns, read, split_words, table, text_or_empty
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 EXTRA = ["n_lines", "n_upper", "n_marks", "n_bare"]
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+#: Documents that the priors are worth; the prior share of good texts, and of right votes on good and on bad texts. Most
+#: bad texts are bad in one way only, so the other rules may well praise them; a good text is seldom blamed.
+PRIOR, GOOD, RIGHT = 100, 0.8, (0.97, 0.4)
 
 
 def repeated_words(words: Column) -> Column:
@@ -95,46 +101,52 @@ class Votes:
     good: float
     right: dict[str, tuple[float, float]]
 
+    def weights(self, rule: str) -> tuple[float, float]:
+        """What the rule's praise and blame add to the log odds of a good text."""
+        on_good, on_bad = self.right[rule]
+        return log(on_good / (1 - on_bad)), log((1 - on_good) / on_bad)
 
-def fit(counted: DataFrame, rounds: int = 30) -> Votes:
+    def log_odds(self, pattern: dict[str, int]) -> float:
+        return log(self.good / (1 - self.good)) + sum(self.weights(k)[vote < 0] for k, vote in pattern.items() if vote)
+
+
+def fit(counted: DataFrame, rounds: int = 200, least_change: float = 1e-6) -> Votes:
     """EM over the numbers of documents by pattern of votes."""
     names = list(rules())
-    rows = counted.select(*[v.alias(k) for k, v in rules().items()]).groupBy(*names).count().collect()  # 3**8 rows at most
-    good, right = 0.8, {k: (0.97, 0.4) for k in names}
-    for _ in range(rounds if rows else 0):
-        total = all_good = 0.0
-        seen = {k: [0.0, 0.0, 0.0, 0.0] for k in names}
-        for row in rows:
-            odds = good, 1 - good
-            for k in names:
-                if row[k]:
-                    a, b = right[k]
-                    odds = (odds[0] * (a if row[k] > 0 else 1 - a), odds[1] * (1 - b if row[k] > 0 else b))
-            p = odds[0] / (odds[0] + odds[1])
-            total += row["count"]
-            all_good += p * row["count"]
-            for k in names:
-                if row[k]:
-                    s = seen[k]
-                    s[0] += p * row["count"]
-                    s[1] += p * row["count"] * (row[k] > 0)
-                    s[2] += (1 - p) * row["count"]
-                    s[3] += (1 - p) * row["count"] * (row[k] < 0)
-        # most bad texts are bad in one way only, so other rules may well praise them; a good text is seldom blamed
-        good = min(max((all_good + 8) / (total + 10), 0.5), 0.99)
-        right = {k: (min(max((s[1] + 9.7) / (s[0] + 10), 0.9), 0.999), min(max((s[3] + 4) / (s[2] + 10), 0.1), 0.995)) for k, s in seen.items()}
-    return Votes(good, right)
-
+    rows = counted.select(*[v.alias(k) for k, v in rules().items()]).groupBy(*names).count().collect()
+    return estimate([({k: row[k] for k in names}, row["count"]) for row in rows], rounds, least_change)
 
-def judge(counted: DataFrame, votes: Votes) -> DataFrame:
-    """Adds ``base_failed``, ``quality`` (the posterior that the text is good) and ``kept``."""
-    from math import log
 
+def estimate(patterns: list[tuple[dict[str, int], int]], rounds: int = 200, least_change: float = 1e-6) -> Votes:
+    """The most likely shares under the priors, from patterns of votes with the number of their documents."""
+    names = list(rules())
+    votes = Votes(GOOD, dict.fromkeys(names, RIGHT))
+    for _ in range(rounds if patterns else 0):
+        total, good = float(PRIOR), PRIOR * GOOD
+        seen = {k: [PRIOR * RIGHT[0], float(PRIOR), PRIOR * RIGHT[1], float(PRIOR)] for k in names}  # right and all votes on good texts, then on bad ones
+        for pattern, n in patterns:
+            p = 1 / (1 + exp(-votes.log_odds(pattern)))
+            total, good = total + n, good + p * n
+            for k, vote in pattern.items():
+                if vote:
+                    s = seen[k]
+                    s[0], s[1] = s[0] + p * n * (vote > 0), s[1] + p * n
+                    s[2], s[3] = s[2] + (1 - p) * n * (vote < 0), s[3] + (1 - p) * n
+        now = Votes(good / total, {k: (s[0] / s[1], s[2] / s[3]) for k, s in seen.items()})
+        change = max(abs(now.good - votes.good), *(abs(x - y) for k in names for x, y in zip(now.right[k], votes.right[k], strict=True)))
+        votes = now
+        if change < least_change:
+            break
+    return votes
+
+
+def judge(counted: DataFrame, votes: Votes, min_words: int = MIN_WORDS) -> DataFrame:
+    """Adds ``base_failed`` (too short, or mostly repeats), ``quality`` (the posterior that the text is good) and ``kept``."""
     odds = F.lit(log(votes.good / (1 - votes.good)))
     for k, vote in rules().items():
-        a, b = votes.right[k]
-        odds = odds + F.when(vote > 0, log(a / (1 - b))).when(vote < 0, log((1 - a) / b)).otherwise(0.0)
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+        praise, blame = votes.weights(k)
+        odds = odds + F.when(vote > 0, praise).when(vote < 0, blame).otherwise(0.0)
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return counted.withColumns({"base_failed": failed, "quality": 1 / (1 + F.exp(-odds))}).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
 
 
@@ -144,8 +156,9 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are kept. Texts are counted twice and never shuffled."""
-    whole = with_counts(docs.select(F.struct(*docs.columns).alias("__whole"), "text"))
-    marked = judge(whole, fit(with_counts(docs.select("text")))).withColumn("__row", F.monotonically_increasing_id())
-    # with a column like __row below it, the filter isn't moved to where it would compute all counts anew
-    return marked.where(F.col("kept") & (F.col("__row") >= 0)).select("__whole.*")
+    """The documents that are kept. A short text isn't out for that alone here: its length is one vote of several.
+
+    Texts are counted once, beside the documents, and never shuffled.
+    """
+    counted = table(with_counts(docs.select(own_columns(docs), "text")).select("__own", *COUNTS, *EXTRA))
+    return judge(counted, fit(counted), min_words=0).where("kept").select("__own.*")
