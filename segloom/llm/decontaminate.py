@@ -2,15 +2,20 @@
 
 Texts become templates: words lower-cased without punctuation, numbers, names (capitalised words inside a sentence)
 and units after numbers become typed placeholders. Windows of WIDTH template words, STEP apart in documents and one
-apart in items, are joined by hash and then compared exactly; every passage of WIDTH + STEP - 1 words has such a
-window. Matches at one shift between item and document belong together: there a value of the item must always meet
-the same value of the document (slot consistency). An item is in a document if consistent matches cover at least
-half of its words.
-
-Defined cases: null texts hold nothing; items of fewer than WIDTH + STEP - 1 words are never found, for they can't
-be told from common text; of items with one template the smallest id stands for all; documents are told apart by id
-and text, so repeated rows give one result and null ids do no harm; empty tables give no rows; other columns don't
-matter. A text of any length is read whole.
+apart in items, are joined by hash; every passage of WIDTH + STEP - 1 words has such a window. A window that meets one
+of an item says where the item would lie in the document; there item and document are compared word by word. A value
+of the item must always meet the same value of the document (slot consistency) among the words whose templates agree. An
+item is in a document if runs of WIDTH or more agreeing words cover at least half of it.
+
+Windows of an item with fewer than MIN_LITERALS words that aren't placeholders are poor keys, so they find nothing as
+long as the item has better ones; an item that has none is found by its best. Shorter items than such a passage are
+compared with whole lines of the documents: a line with the item's template, consistently filled, holds the item.
+
+Items with one template and equal values at the same places are joined once; each of their ids is in the result.
+
+Defined cases: null texts hold nothing, and null or blank items are nowhere; documents are told apart by id and text, so
+repeated rows give one result and null ids do no harm; empty tables give no rows; other columns don't matter, and the
+stage passes them on whatever their names. A text of any length is read whole.
 """
 
 from __future__ import annotations
@@ -18,11 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, read, small_enough, split_words, text_or_empty
+from .common import checkpoint, let, own_columns, read, small_enough, split_words, text_or_empty
 
 WIDTH, STEP, MIN_LITERALS, MIN_COVER = 5, 3, 3, 0.5
-#: Item windows and keys of contaminated texts that are broadcast: some 150 and 16 bytes each.
-BROADCAST_WINDOWS, BROADCAST_TEXTS = 200_000, 1_000_000
+#: Item windows (with the words of their items, some kB) and keys of contaminated texts (16 bytes) that are broadcast.
+BROADCAST_WINDOWS, BROADCAST_TEXTS = 20_000, 1_000_000
 
 # Units that count as a slot after a number.
 UNITS = "mm|cm|m|km|mg|g|kg|ml|l|s|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|inch(?:es)?|feet|ft|yards?|miles?|pounds?|lbs?|oz|ounces?|dollars?|euros?|cents?|percent|degrees?|meters?|metres?|kilometers?|kilometres?|liters?|litres?|grams?|kilograms?"
@@ -31,12 +36,21 @@ NUMBER, NAME, UNIT = f"{MARK}d", f"{MARK}n", f"{MARK}u"
 
 
 def with_templates(df: DataFrame) -> DataFrame:
-    """Adds ``raw`` and ``slots``, arrays of the same words as they are and as a template has them."""
+    """Adds ``bare`` and ``template``: the text without punctuation, as it is and with placeholders; words and lines correspond."""
     names = F.regexp_replace(F.translate(text_or_empty(), MARK, " "), r"(?<=[\p{Ll}\p{N},;]\x20)(\p{Lu}\p{Ll}+)", f"{MARK}$1")
     bare = F.regexp_replace(names, rf"[^\p{{L}}\p{{M}}\p{{N}}\s{MARK}]+", "")
-    template = F.regexp_replace(F.regexp_replace("__bare", rf"{MARK}\p{{L}}+", NAME), r"(?<![^\s])\p{Nd}+(?![^\s])", NUMBER)
+    template = F.regexp_replace(F.regexp_replace("bare", rf"{MARK}\p{{L}}+", NAME), r"(?<![^\s])\p{Nd}+(?![^\s])", NUMBER)
     template = F.lower(F.regexp_replace(template, rf"(?<={NUMBER}[\x20\n])(?:{UNITS})(?![^\s])", UNIT))
-    return df.withColumn("__bare", bare).withColumn("raw", split_words(F.col("__bare"))).withColumn("slots", split_words(template)).drop("__bare")
+    return df.withColumn("bare", bare).withColumn("template", template)
+
+
+def with_words(df: DataFrame) -> DataFrame:
+    """Adds ``raw`` and ``slots``, arrays of the same words as they are and as a template has them."""
+    return df.withColumn("raw", split_words(F.col("bare"))).withColumn("slots", split_words(F.col("template")))
+
+
+def is_slot(word: Column) -> Column:
+    return word.startswith(MARK)
 
 
 def _windows(step: int) -> Column:
@@ -44,14 +58,27 @@ def _windows(step: int) -> Column:
     return F.when(F.size("slots") >= WIDTH, F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(F.col("slots"), i + 1, WIDTH)).alias("key")))).otherwise(F.array())
 
 
-def item_windows(benchmark: DataFrame) -> DataFrame:
-    """key, item_id, item_at, item_words, item_slots, item_raw: a row for each window of each item."""
-    items = with_templates(benchmark.select("item_id", "text")).where(F.size("slots") >= WIDTH + STEP - 1)
-    one = items.groupBy("slots").agg(F.min_by("raw", "item_id").alias("raw"), F.min("item_id").alias("item_id"))
-    cut = one.select("item_id", F.size("slots").alias("item_words"), "raw", "slots", F.explode(_windows(1)).alias("w"))
-    part = lambda c: F.slice(F.col(c), F.col("w.at") + 1, WIDTH)
-    found = cut.select(F.col("w.key").alias("key"), "item_id", F.col("w.at").alias("item_at"), "item_words", part("slots").alias("item_slots"), part("raw").alias("item_raw"))
-    return found.where(F.size(F.filter("item_slots", lambda x: ~x.startswith(MARK))) >= MIN_LITERALS)
+def items_of(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct templates (item, slots, fills) and which ids have them (item, item_id).
+
+    ``fills`` has for each word the first place of its value in the item, so it tells which places hold one value.
+    """
+    words = with_words(with_templates(benchmark.select("item_id", "text"))).where(F.size("slots") > 0)
+    values = F.transform("slots", lambda w, i: F.when(is_slot(w), F.concat(w, F.get("raw", i))).otherwise(""))
+    fills = let(values, lambda v: F.transform(v, lambda x, i: F.when(x == "", i + 1).otherwise(F.array_position(v, x)).cast("int")))
+    filled = words.select("item_id", "slots", fills.alias("fills"))
+    item = F.sha2(F.to_json(F.struct("slots", "fills")), 256).alias("item")
+    keyed = checkpoint(filled.select("item_id", "slots", "fills", item))
+    return keyed.groupBy("item").agg(F.first("slots").alias("slots"), F.first("fills").alias("fills")), keyed.select("item", "item_id").distinct()
+
+
+def item_windows(items: DataFrame) -> DataFrame:
+    """key, item, item_at, item_slots, item_fills: a row for each window of each item that is a key."""
+    literals = lambda i: F.size(F.filter(F.slice(F.col("slots"), i + 1, WIDTH), lambda x: ~is_slot(x)))
+    long = items.where(F.size("slots") >= WIDTH + STEP - 1).withColumn("windows", _windows(1))
+    rated = long.withColumn("least", F.least(F.lit(MIN_LITERALS), F.array_max(F.transform("windows", lambda w: literals(w["at"])))))
+    chosen = F.explode(F.filter("windows", lambda w: literals(w["at"]) >= F.col("least"))).alias("w")
+    return rated.select("item", F.col("slots").alias("item_slots"), F.col("fills").alias("item_fills"), chosen).select("w.key", "item", F.col("w.at").alias("item_at"), "item_slots", "item_fills")
 
 
 def text_keys() -> list[Column]:
@@ -59,23 +86,84 @@ def text_keys() -> list[Column]:
     return [F.xxhash64("text").alias("text_a"), F.xxhash64("text", F.lit(1)).alias("text_b")]
 
 
+def _agreeing(slots: Column, raw: Column, shift: Column) -> Column:
+    """From the item's columns and a document's words: the places of the item whose words agree, with the values there."""
+    def word(i: Column) -> Column:
+        return F.when((shift + i >= 0) & (F.get(slots, shift + i) == F.get("item_slots", i)), F.get(raw, shift + i))
+
+    pairs = F.transform("item_slots", lambda w, i: F.struct(i.alias("i"), word(i).alias("value"), is_slot(w).alias("slot")))
+    return F.filter(pairs, lambda x: x["value"].isNotNull())
+
+
+def _consistent(agreeing: Column) -> Column:
+    """Whether one value of the item always meets one value of the document."""
+    filled = F.array_distinct(F.transform(F.filter(agreeing, lambda x: x["slot"]), lambda x: F.struct(F.get("item_fills", x["i"]).alias("old"), x["value"].alias("new"))))
+    return let(filled, lambda f: F.size(f) == F.size(F.array_distinct(F.transform(f, lambda x: x["old"]))))
+
+
+def _covered(agreeing: Column) -> Column:
+    """The places in runs of WIDTH or more, as an array."""
+    places = F.transform(agreeing, lambda x: x["i"])
+    starts = lambda p: F.filter(p, lambda x, k: F.get(p, k + WIDTH - 1) == x + WIDTH - 1)
+    return F.array_distinct(F.flatten(F.transform(let(places, starts), lambda x: F.sequence(x, x + WIDTH - 1))))
+
+
+ME = ["doc_id", "text_a", "text_b"]
+
+
+def passages(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, text_a, text_b, item, places: consistent runs of an item's words in a document, for each place it may lie at.
+
+    ``docs`` has ME, raw and slots.
+    """
+    cut = checkpoint(item_windows(items))
+    placed = docs.select(*ME, "raw", "slots", F.explode(_windows(STEP)).alias("w"))
+    if small_enough(cut, BROADCAST_WINDOWS):  # words go along by reference
+        shift = (F.col("w.at") - F.col("item_at")).alias("shift")
+        met = placed.withColumn("key", F.col("w.key")).join(F.broadcast(cut), "key").select(*ME, "raw", "slots", "item", "item_slots", "item_fills", shift)
+    else:  # by a shuffle of keys and places, 50 bytes for each STEP words; then the words of the documents that meet an item
+        keys = placed.select(*ME, F.col("w.key").alias("key"), F.col("w.at").alias("at"))
+        found = checkpoint(keys.join(cut.select("key", "item", "item_at"), "key").select(*ME, "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct())
+        words = docs.join(found.select(*[F.col(c).alias(f"m_{c}") for c in ME]).distinct(), _same_text(), "left_semi").dropDuplicates(ME)
+        named = found.select(*[F.col(c).alias(f"m_{c}") for c in ME], "item", "shift")
+        wanted = items.select("item", F.col("slots").alias("item_slots"), F.col("fills").alias("item_fills"))
+        met = words.join(named, _same_text()).drop(*[f"m_{c}" for c in ME]).join(wanted, "item")
+    agreeing = met.select(*ME, "item", F.size("item_slots").alias("n"), "item_fills", "shift", _agreeing(F.col("slots"), F.col("raw"), F.col("shift")).alias("agreeing"))
+    ran = agreeing.withColumn("places", _covered(F.col("agreeing")))
+    used = F.filter("agreeing", lambda x: F.array_contains("places", x["i"]))
+    return ran.where((F.size("places") > 0) & _consistent(used)).select(*ME, "item", "n", "places")
+
+
+def _same_text() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("m_doc_id")) & (F.col("text_a") == F.col("m_text_a")) & (F.col("text_b") == F.col("m_text_b"))
+
+
+def short_lines(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """As ``passages``, for items that are whole lines. ``docs`` has ME, bare and template."""
+    size = WIDTH + STEP - 1
+    cut = lambda c: F.split(c, "\n")
+    lines = F.arrays_zip(cut("bare").alias("bare"), cut("template").alias("template"))
+    short = F.filter(F.transform(lines, lambda x: F.struct(split_words(x["bare"]).alias("raw"), split_words(x["template"]).alias("slots"))), lambda x: (F.size(x["slots"]) > 0) & (F.size(x["slots"]) < size))
+    listed = docs.select(*ME, F.explode(F.array_distinct(short)).alias("line")).select(*ME, "line.*")
+    wanted = items.select("item", F.col("slots").alias("item_slots"), F.col("fills").alias("item_fills"))
+    wanted = F.broadcast(wanted) if small_enough(wanted, BROADCAST_WINDOWS) else wanted
+    met = listed.join(wanted, F.col("slots") == F.col("item_slots"))
+    agreeing = met.select(*ME, "item", F.size("item_slots").alias("n"), "item_fills", _agreeing(F.col("slots"), F.col("raw"), F.lit(0)).alias("agreeing"))
+    return agreeing.where(_consistent(F.col("agreeing"))).select(*ME, "item", "n", F.transform("agreeing", lambda x: x["i"]).alias("places"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COVER) -> DataFrame:
     """doc_id, text_a, text_b, item_id, n_words, n_covered: the items in each document."""
-    items = checkpoint(item_windows(benchmark))
-    # a benchmark beyond the bound is joined by a shuffle of 16 bytes and the window's words for each STEP words of text
-    items = F.broadcast(items) if small_enough(items, BROADCAST_WINDOWS) else items
-    cut = with_templates(docs.select("doc_id", "text")).select("doc_id", *text_keys(), "raw", "slots", F.explode(_windows(STEP)).alias("w"))
-    met = cut.select("doc_id", "text_a", "text_b", F.col("w.key").alias("key"), F.col("w.at").alias("at"), "raw", "slots").join(items, "key")
-    part = lambda c: F.slice(F.col(c), F.col("at") + 1, WIDTH)
-    pairs = F.arrays_zip(F.col("item_slots").alias("slot"), F.col("item_raw").alias("old"), part("raw").alias("new"))
-    filled = F.transform(F.filter(pairs, lambda x: x["slot"].startswith(MARK)), lambda x: F.struct(F.concat(x["slot"], x["old"]).alias("old"), x["new"].alias("new")))
-    same = met.where(part("slots") == F.col("item_slots")).select("doc_id", "text_a", "text_b", "item_id", "item_words", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", filled.alias("filled"))
-    placed = same.groupBy("doc_id", "text_a", "text_b", "item_id", "item_words", "shift").agg(F.collect_set("item_at").alias("at"), F.array_distinct(F.flatten(F.collect_set("filled"))).alias("filled"))
-    consistent = placed.where(F.size("filled") == F.size(F.array_distinct("filled.old")))
-    whole = consistent.groupBy("doc_id", "text_a", "text_b", "item_id", "item_words").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("at"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x, x + WIDTH - 1)))))
-    counted = whole.select("doc_id", "text_a", "text_b", "item_id", F.col("item_words").cast("long").alias("n_words"), covered.cast("long").alias("n_covered"))
-    return counted.where(F.col("n_covered") >= min_cover * F.col("n_words"))
+    items, members = items_of(benchmark)
+    items = checkpoint(items)
+    templates = with_templates(docs.select("doc_id", "text")).select("doc_id", *text_keys(), "bare", "template")
+    found = passages(with_words(templates).select(*ME, "raw", "slots"), items.where(F.size("slots") >= WIDTH + STEP - 1))
+    short = items.where(F.size("slots") < WIDTH + STEP - 1)
+    if short.limit(1).count():
+        found = found.union(short_lines(templates, short))
+    covered = found.groupBy(*ME, "item").agg(F.first("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("n_covered"))
+    enough = covered.where(F.col("n_covered") >= min_cover * F.col("n"))
+    return enough.join(members, "item").select(*ME, "item_id", F.col("n").cast("long").alias("n_words"), F.col("n_covered").cast("long"))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,5 +176,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no benchmark item. Texts aren't shuffled unless very many are contaminated."""
     bad = checkpoint(leaks(docs, read(spark, sf_dir, "benchmark")).select("text_a", "text_b").distinct())
     bad = F.broadcast(bad) if small_enough(bad, BROADCAST_TEXTS) else bad
-    a, b = text_keys()
-    return docs.withColumns({"__a": a, "__b": b}).join(bad, (F.col("__a") == F.col("text_a")) & (F.col("__b") == F.col("text_b")), "left_anti").select(docs.columns)
+    return docs.select(own_columns(docs), *text_keys()).join(bad, ["text_a", "text_b"], "left_anti").select("__own.*")
