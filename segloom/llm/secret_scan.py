@@ -1,9 +1,14 @@
 """Secret scans: patterns for known kinds, and sliding-window entropy for strings that match none.
 
-``assign``, ``access`` and ``hex`` are found by pattern. Beyond them, each run of CANDIDATE characters that has a
-digit is read by a window of WINDOW characters; counts by character change by one in and one out at each step, and
-the Shannon entropy with them. A run is reported as ``entropy`` if a window reaches the threshold of the run's
-character class, if it overlaps no pattern's span, and if the allow-list doesn't know it. All of it is SQL.
+``assign``, ``access`` and ``hex`` are found by pattern. Beyond them, each run of CANDIDATE characters is cut at the
+stretches that the allow-list knows (placeholders, plain sequences, one character repeated), and each part of WINDOW
+characters or more is read by a window: counts by character change by one in and one out at each step, and the Shannon
+entropy with them. A run is reported as ``entropy`` if a window of one of its parts reaches the threshold of that part's
+character class, and if the run overlaps no pattern's span. All of it is SQL.
+
+A random key of letters in one case can't be told from a long word by entropy, so their threshold is where words don't
+reach; other classes have thresholds that random strings of WINDOW characters mostly pass. Runs of fewer than WINDOW
+characters are never reported by entropy.
 
 Spans are code points, end exclusive. Defined cases: a null text counts as empty; no match gives zero counts, an
 empty list and the SHA-256 of the empty string; repeated rows are scanned each by itself; empty tables give no
@@ -27,52 +32,75 @@ KINDS = ["assign", "access", "hex", "entropy"]
 MIN_VALUE = 8
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 WINDOW = 20
-#: Bits per character that a window needs, by the class of the whole run's characters.
-THRESHOLDS = {"digits": 9.0, "hex": 3.2, "mixed": 3.7}
-# Placeholders of documentation, plain sequences, separators only, UUIDs.
-ALLOWED = r"(?i)example|placeholder|changeme|dummy|sample|x{6,}|0123456789|1234567890|abcdefgh|(.)\1{7,}|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+#: Character classes, the narrowest first, with the bits per character that a window needs. A window of WINDOW characters
+#: can reach 3.32 (ten digits), 4 (hex) and 4.32 bits.
+CLASSES = [("digits", r"^[0-9]+$", 2.8), ("hex", r"^[0-9a-fA-F]+$", 3.2), ("one case", r"^(?:[a-z]+|[A-Z]+)$", 4.0), ("letters", r"^[A-Za-z]+$", 3.9), ("words", r"^[A-Za-z]+(?:[+/_=-]+[A-Za-z]+)*$", 4.1), ("mixed", "", 3.7)]
+# Placeholders of documentation, plain sequences, one character repeated, UUIDs.
+ALLOWED = r"(?i)example|placeholder|changeme|dummy|sample|x{6,}|0123456789|1234567890|abcdefgh|(.)\1{7,}|(?<![0-9a-f])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?![0-9a-f])"
+#: Matches whose places are added up at a time.
+CHUNK = 128
 
 SPAN = "array<struct<start:bigint,kind:int,end:bigint,text:string>>"
 
 
 def _spans(text: Column, pattern: str, kind: int) -> Column:
-    """Spans of a pattern's matches: what lies between the matches and they themselves, measured in turn."""
+    """Spans of a pattern's matches: what lies between the matches and they themselves, measured in turn.
+
+    First inside of chunks of matches, then over the chunks, as appending to one long list would copy it each time.
+    """
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("spans"))
 
-    def step(state: Column, pair: Column) -> Column:
-        begin = state["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["found"])
-        one = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), pair["found"].alias("text"))
-        return F.when(pair["found"].isNull(), state).otherwise(F.struct(end.alias("at"), F.array_append(state["spans"], one).cast(SPAN).alias("spans")))
+    def measured(rows: Column, size, one) -> Column:
+        """``one(row, begin)`` for each row, where rows are ``size(row)`` long, and where the last one ends."""
+        kind_of = f"array<{'struct<start:bigint,kind:int,end:bigint,text:string>' if one is span else 'struct<begin:bigint,spans:' + SPAN + '>'}>"
+        start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind_of).alias("out"))
+        return F.aggregate(rows, start, lambda s, x: F.struct((s["at"] + size(x)).cast("bigint").alias("at"), F.array_append(s["out"], one(x, s["at"])).cast(kind_of).alias("out")))
+
+    def span(x: Column, begin: Column) -> Column:
+        first = begin + F.length(x["gap"])
+        return F.struct(first.cast("bigint").alias("start"), F.lit(kind).alias("kind"), (first + F.length(x["found"])).cast("bigint").alias("end"), x["found"].alias("text"))
 
-    found = F.aggregate(pairs, start, step, lambda s: s["spans"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
+    def chunk(x: Column, begin: Column) -> Column:
+        return F.struct(begin.alias("begin"), x["out"].alias("spans"))
+
+    long = lambda x: F.length(x["gap"]) + F.length(x["found"])
+    whole = F.filter(pairs, lambda x: x["found"].isNotNull())  # what follows the last match has none
+    cut = let(whole, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), F.lit(CHUNK)), lambda i: measured(F.slice(w, i, CHUNK), long, span)))
+    placed = measured(cut, lambda x: x["at"], chunk)["out"]
+    moved = F.flatten(F.transform(placed, lambda c: F.transform(c["spans"], lambda s: F.struct((s["start"] + c["begin"]).alias("start"), s["kind"].alias("kind"), (s["end"] + c["begin"]).alias("end"), s["text"].alias("text")))))
+    return F.when(text.rlike(pattern), moved).otherwise(F.array().cast(SPAN))
 
 
 def window_entropy(value: Column) -> Column:
-    """The highest entropy, in bits per character, of the windows of WINDOW characters in ``value``."""
+    """The highest entropy, in bits per character, of the windows of WINDOW characters in ``value``; 0 for a shorter one."""
     table = F.array(*[F.lit(c * log2(c) if c else 0.0) for c in range(WINDOW + 2)])
     weight = lambda c: F.get(table, c)
     zero = F.struct(F.transform(F.sequence(F.lit(1), F.lit(len(ALPHABET))), lambda _: F.lit(0)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
 
     def step(codes: Column, state: Column, i: Column) -> Column:
         into, out = F.get(codes, i), F.coalesce(F.get(codes, i - WINDOW), F.lit(0))
-        grown = F.transform(state["counts"], lambda c, k: F.when(k + 1 == into, c + 1).otherwise(c))
-        shrunk = F.transform(grown, lambda c, k: F.when(k + 1 == out, c - 1).otherwise(c))
-        had, lost = F.get(state["counts"], into - 1), F.get(grown, out - 1)
+        changed = F.transform(state["counts"], lambda c, k: c + (k + 1 == into).cast("int") - (k + 1 == out).cast("int"))
+        had = F.get(state["counts"], into - 1)
+        lost = F.get(state["counts"], out - 1) + (into == out).cast("int")
         total = state["sum"] + weight(had + 1) - weight(had) + F.coalesce(weight(lost - 1) - weight(lost), F.lit(0.0))
-        return let(total, lambda t: F.struct(shrunk.alias("counts"), t.alias("sum"), F.when(i >= WINDOW - 1, F.greatest(state["best"], F.lit(log2(WINDOW)) - t / WINDOW)).otherwise(F.lit(0.0)).alias("best")))
+        return let(total, lambda t: F.struct(changed.alias("counts"), t.alias("sum"), F.when(i >= WINDOW - 1, F.greatest(state["best"], F.lit(log2(WINDOW)) - t / WINDOW)).otherwise(F.lit(0.0)).alias("best")))
 
     codes = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c))
     return let(codes, lambda codes: F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), zero, lambda s, i: step(codes, s, i), lambda s: s["best"]))
 
 
 def suspicious(value: Column) -> Column:
-    limit = F.when(value.rlike("^[0-9]+$"), THRESHOLDS["digits"]).when(value.rlike("^[0-9a-fA-F]+$"), THRESHOLDS["hex"]).otherwise(THRESHOLDS["mixed"])
-    return ~value.rlike(ALLOWED) & (window_entropy(value) >= limit)
+    """Whether a part of ``value`` that the allow-list doesn't know has a window of high entropy for its class."""
+
+    def fires(part: Column) -> Column:
+        limit = F.lit(CLASSES[-1][2])
+        for _, pattern, bits in reversed(CLASSES[:-1]):
+            limit = F.when(part.rlike(pattern), bits).otherwise(limit)
+        return (F.length(part) >= WINDOW) & (window_entropy(part) >= limit)
+
+    return F.exists(F.split(value, ALLOWED), fires)
 
 
 def _joined(spans: Column) -> Column:
