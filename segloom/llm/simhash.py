@@ -15,7 +15,7 @@ For whole texts (``keep_one``) a link is a share of at least NEAR of all shingle
 are compared the same way at a radius that such texts stay below, in buckets of equal minima of shingle hashes; what is
 found is compared exactly, shingle by shingle. A forest alone would hide links behind candidates that fail this
 comparison, so sets of texts that such candidates touch are gone through again: with several forests, at last with all
-pairs that no link connects yet. A text is known by its 64-bit hash.
+pairs that no link connects yet. A text is known by a 64-bit hash; of texts that share it, all but one are left alone.
 
 Defined cases: a null text counts as empty, and texts without words have the fingerprint zero, linked like any other;
 texts of fewer words than a shingle are one shingle; a component of rows without ids has no id; repeated rows are
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, let, lower_ascii, map_arrow, read, small_enough, split_words, table, text_or_empty
+from .common import checkpoint, let, lower_ascii, map_arrow, own_columns, read, small_enough, split_words, table, text_or_empty
 
 BITS, RADIUS, BANDS, SHINGLE, SEED = 64, 3, 5, 3, 42
 CHUNK = 4096
@@ -325,19 +325,23 @@ def sketches_of(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
     return prints, keys
 
 
+def text_nodes() -> list[Column]:
+    """node, check: the hash that stands for a text in links, and another by which two texts of one hash are told apart."""
+    return [F.xxhash64(text_or_empty()).alias("node"), F.xxhash64(text_or_empty(), F.lit(1)).alias("check")]
+
+
 def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, node) with node for the text, and links (a, b) that connect all texts that share NEAR of their shingles."""
-    node = F.xxhash64(text_or_empty()).alias("node")
+    """Rows (doc_id, node, check) with two hashes of the text, and links (a, b) that connect all texts that share NEAR of their shingles."""
     shingles = F.array_distinct(shingle_hashes(text_or_empty(), NEAR_SHINGLE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, ends = list_values(batch.column("hashes"))
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.view(np.int64).ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in sketches_of(hashes, ends)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(np.diff(ends, prepend=0)), *lists], names=["doc_id", "node", "size", "words", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), batch.column("check"), pa.array(np.diff(ends, prepend=0)), *lists], names=["doc_id", "node", "check", "size", "words", "keys"])
 
-    hashed = docs.select("doc_id", node, shingles.alias("hashes"))
-    rows = table(map_arrow(hashed, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node bigint, size bigint, words array<bigint>, keys array<bigint>"))
+    hashed = docs.select("doc_id", *text_nodes(), shingles.alias("hashes"))
+    rows = table(map_arrow(hashed, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node bigint, check bigint, size bigint, words array<bigint>, keys array<bigint>"))
     texts = table(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", "words", "keys"))))
     placed = now = texts.select("node", "size", "words", F.posexplode("keys").alias("choice", "bits")).where("bits <> 0")
     sets = checked = None
@@ -347,7 +351,7 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if sets is None:  # later rounds have no other texts
             nodes = table(maybe.select(F.explode(F.array("a", "b")).alias("node")).distinct())
             few = small_enough(nodes, BROADCAST_NODES)
-            linked = docs.select("text", node).join(F.broadcast(nodes) if few else nodes, "node", "left_semi").dropDuplicates(["node"])
+            linked = docs.select("text", text_nodes()[0]).join(F.broadcast(nodes) if few else nodes, "node", "left_semi").dropDuplicates(["node"])
             sets = table(linked.select("node", shingles.alias("shingles")))
         side = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"of_{k}"))  # noqa: B023, E731
         common = F.size(F.array_intersect("of_a", "of_b"))
@@ -366,25 +370,29 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if not unsure.limit(1).count():
             break
         now = placed.join(known.join(unsure, "known", "left_semi"), "node")
-    return rows.select("doc_id", "node"), links
+    return rows.select("doc_id", "node", "check"), links
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without the near copies: of each group of linked texts, the row with the smallest id stays (null: last)."""
     rows, links = near_links(docs)
     roots = checkpoint(components(table(links)))
-    first = F.min("doc_id").alias("id")
-    texts = checkpoint(rows.groupBy("node").agg(first))
-    rooted = checkpoint(texts.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "id", F.coalesce("root", "node").alias("root")))
-    order = F.struct(F.col("id").isNull(), "id", "node")
-    stays = checkpoint(rooted.groupBy("root").agg(F.min_by("node", order).alias("stays"))).join(rooted, "root").select("node", "id", (F.col("node") == F.col("stays")).alias("stays"))
-    goes = checkpoint(rows.join(checkpoint(stays), "node").where(~(F.col("stays") & F.col("doc_id").eqNullSafe(F.col("id")))).select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")).distinct())
+    texts = checkpoint(rows.groupBy("node").agg(F.min("doc_id").alias("id"), F.min("check").alias("check"), F.max("check").alias("other")))
+    rooted = checkpoint(texts.select(F.col("node").alias("n"), "id").join(roots, F.col("n") == F.col("node"), "left").select("n", "id", F.coalesce("root", "n").alias("root")))
+    stays = checkpoint(rooted.groupBy("root").agg(F.min_by(F.struct("n", "id"), F.struct(F.col("id").isNull(), "id", "n")).alias("s"))).select(F.col("s.n").alias("n"), F.col("s.id").alias("id"))
+    # a group has one row in stays, so that the rows of a hot text lie apart by their ids
+    goes = rows.join(stays, (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_anti")
+    clashes = texts.where(F.col("check") != F.col("other")).select(F.col("node").alias("n"), F.col("check").alias("known"))
+    if clashes.limit(1).count():  # other texts of the same hash are no copies
+        goes = goes.join(F.broadcast(clashes) if small_enough(clashes, BROADCAST_NODES) else clashes, F.col("node") == F.col("n"), "left").where(F.col("known").isNull() | (F.col("known") == F.col("check")))
+    goes = checkpoint(goes.select(F.col("doc_id").alias("id"), F.col("node").alias("n"), F.col("check").alias("c")).distinct())
     few = small_enough(goes, BROADCAST_NODES)
-    marked = docs.withColumn("__text", F.xxhash64(text_or_empty()))
-    kept = marked.join(F.broadcast(goes) if few else goes, (F.col("__text") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
-    if rows.groupBy("doc_id", "node").count().where("count > 1").limit(1).count():  # rows that only a shuffle can tell apart
-        kept = kept.dropDuplicates(["doc_id", "__text"])
-    return kept.select(docs.columns)
+    marked = docs.select(own_columns(docs), F.col("doc_id").alias("doc"), *text_nodes())
+    same = (F.col("node") == F.col("n")) & (F.col("check") == F.col("c")) & F.col("doc").eqNullSafe(F.col("id"))
+    kept = marked.join(F.broadcast(goes) if few else goes, same, "left_anti")
+    if rows.groupBy("doc_id", "node", "check").count().where("count > 1").limit(1).count():  # rows that only a shuffle can tell apart
+        kept = kept.dropDuplicates(["doc", "node", "check"])
+    return kept.select("__own.*")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
