@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from segloom.plans.shipping import ship_package
 
@@ -45,6 +46,27 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def add_columns(df: DataFrame, source: str, made: Callable[[pa.Array], list[pa.Array]], more: dict[str, T.DataType], cut: Callable, keep: bool = True) -> DataFrame:
+    """``df`` with the columns ``more``, which ``made`` makes of arrays of ``source``; ``cut`` gives it smaller batches.
+
+    Columns go through Python by number, so they may have any names; columns with the names of results are replaced.
+    """
+    plain = df.select(*[quoted(c) for c in df.columns if c not in more])
+    names = plain.columns
+    numbered = plain.toDF(*[f"c{i}" for i in range(len(names))])
+    own = f"c{names.index(source)}"
+    kept = [i for i in range(len(names)) if keep or names[i] != source]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in cut(batches, own):
+            columns = [*(batch.column(i) for i in kept), *made(batch.column(own))]
+            yield pa.RecordBatch.from_arrays(columns, names=[f"o{i}" for i in range(len(columns))])
+
+    kinds = [*(numbered.schema[i].dataType for i in kept), *more.values()]
+    schema = T.StructType([T.StructField(f"o{i}", kind) for i, kind in enumerate(kinds)])
+    return map_arrow(numbered, run, schema).toDF(*[names[i] for i in kept], *more)
+
+
 def slices(batches: Iterator[pa.RecordBatch], most: int, text: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches' rows again, as slices with ``most`` bytes of ``text`` and the rest of the last text at most.
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, read, slices, text_or_empty
+from .common import add_columns, read, slices, text_or_empty
 from .subwords import SPACE, Batch, Pieces, char_ends, parts_of, pieces, spread, sums
 
 NO_WAY = -np.inf
@@ -98,42 +98,28 @@ def decode_ids(ids: pa.ListArray, model: Pieces) -> pa.Array:
     return pc.utf8_slice_codeunits(pc.replace_substring(texts, SPACE, " "), 1).cast(pa.string())
 
 
-def _extended(df: DataFrame, *more: tuple[str, T.DataType]) -> T.StructType:
-    return T.StructType([*df.schema.fields, *(T.StructField(name, kind) for name, kind in more)])
-
-
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "piece_ids", decoded: str | None = None, keep_text: bool = True) -> DataFrame:
     """Adds the piece ids of ``text``, an array of ints, and with ``decoded`` the text that these stand for.
 
     ``path`` is the model file, which every executor has. A worker holds arrays for TEXT_BYTES of text at a time.
     """
-    plain = df.drop(ids, *([decoded] if decoded else []))
-    out = plain if keep_text else plain.drop(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(texts: pa.Array) -> list[pa.Array]:
         model = pieces(path)
-        for batch in slices(batches, TEXT_BYTES, text):
-            found = encode_texts(batch.column(text), model)
-            kept = batch if keep_text else batch.drop_columns([text])
-            texts = [decode_ids(found, model)] if decoded else []
-            yield pa.RecordBatch.from_arrays([*kept.columns, found, *texts], names=[*kept.schema.names, ids, *([decoded] if decoded else [])])
+        found = encode_texts(texts, model)
+        return [found, *([decode_ids(found, model)] if decoded else [])]
 
-    more = [(ids, T.ArrayType(T.IntegerType())), *([(decoded, T.StringType())] if decoded else [])]
-    return map_arrow(plain, run, _extended(out, *more))
+    more = {ids: T.ArrayType(T.IntegerType())} | ({decoded: T.StringType()} if decoded else {})
+    return add_columns(df, text, made, more, lambda batches, name: slices(batches, TEXT_BYTES, name), keep_text)
 
 
 def decode(df: DataFrame, path: str, ids: str = "piece_ids", text: str = "decoded") -> DataFrame:
     """Adds the text that the piece ids in ``ids`` stand for."""
-    plain = df.drop(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pieces(path)
-        for batch in batches:
-            for k in range(0, batch.num_rows, ROWS):
-                part = batch.slice(k, ROWS)
-                yield pa.RecordBatch.from_arrays([*part.columns, decode_ids(part.column(ids), model)], names=[*part.schema.names, text])
+    def few_rows(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
+        return (batch.slice(k, ROWS) for batch in batches for k in range(0, batch.num_rows, ROWS))
 
-    return map_arrow(plain, run, _extended(plain, (text, T.StringType())))
+    return add_columns(df, ids, lambda lists: [decode_ids(lists, pieces(path))], {text: T.StringType()}, few_rows)
 
 
 def model_path() -> str:

@@ -14,7 +14,6 @@ pass through, and columns with the names of results are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, read, slices, text_or_empty
+from .common import add_columns, read, slices, text_or_empty
 from .piece_coding import model_path
 from .subwords import Batch, Pieces, char_ends, parts_of, pieces, spread, sums
 
@@ -151,17 +150,9 @@ def count_texts(texts: pa.Array, limit: int, model: Pieces, apart: Neighbours) -
 
 def count_tokens(df: DataFrame, path: str, limit: int = LIMIT, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Adds ``n_tokens``, and ``n_chars_fit``: the characters of the longest prefix of at most ``limit`` tokens."""
-    source = df.drop("n_tokens", "n_chars_fit")
-    plain = source if keep_text else source.drop(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, apart = pieces(path), neighbours(path)
-        for batch in slices(batches, TEXT_BYTES, text):
-            found = count_texts(batch.column(text), limit, model, apart)
-            kept = batch if keep_text else batch.drop_columns([text])
-            yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(x, pa.int64()) for x in found)], names=[*kept.schema.names, "n_tokens", "n_chars_fit"])
-
-    return map_arrow(source, run, T.StructType([*plain.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("n_chars_fit", T.LongType())]))
+    made = lambda texts: [pa.array(x, pa.int64()) for x in count_texts(texts, limit, pieces(path), neighbours(path))]
+    more = {"n_tokens": T.LongType(), "n_chars_fit": T.LongType()}
+    return add_columns(df, text, made, more, lambda batches, name: slices(batches, TEXT_BYTES, name), keep_text)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
