@@ -10,8 +10,10 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 import sentencepiece
 import xxhash
+from pyspark.sql import functions as F
 
 from segloom.llm import attention, common, decontaminate, license_scan, line_dedup, lm_scoring, piece_coding, quality_model, quality_rules, secret_scan, simhash, subwords, token_counts
 
@@ -227,6 +229,31 @@ def test_secret_scan(spark):
         assert row.n_entropy == (1 if row.doc_id == 6 else 0)
 
 
+def test_planted_keys(spark):
+    """Of random keys nine tenths are found, of plain text less than one run in a thousand."""
+    rng = random.Random(8)
+    key = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    small, large, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = {"base64": (small + large + digits + "+/", 40), "mixed case": (small + large, 36), "lower and digits": (small + digits, 32), "digits": (digits, 28), "upper hex": (digits + "ABCDEF", 40)}
+    rows = [(k, f"see {key(letters, n)} there") for k, (letters, n) in kinds.items() for _ in range(100)]
+    got = {r.kind: r.n for r in secret_scan.scan(spark.createDataFrame(rows, "kind string, text string")).groupBy("kind").agg(F.sum("n_entropy").alias("n")).collect()}
+    assert all(got[k] >= 90 for k in kinds), got
+    syllables = "ver lich ung zu be ein keit schaft ation ment able the ing er on de la tion que ou".split()
+    plain = [" ".join("".join(rng.choice(syllables) for _ in range(rng.randrange(1, 12))) for _ in range(200)) + " https/some/path/to_a_file-name/and/more" for _ in range(100)]
+    assert secret_scan.scan(spark.createDataFrame([(t,) for t in plain], "text string")).agg(F.sum("n_entropy").alias("n")).first()["n"] <= 10
+
+
+def test_allow_list_hides_its_own_part_only(spark):
+    rows = [("example/" + "kZ8Qw3Lm9Xp2Vb7Nc4Jd6Rt5",), ("example1234567890abcdefgh",), ("123e4567-e89b-12d3-a456-426614174000",), ("aaaaaaaaaaaaaaaaaaaaaaaaaaaaa",), ("short" * 3,)]
+    assert [r.n_entropy for r in secret_scan.scan(spark.createDataFrame(rows, "text string")).collect()] == [1, 0, 0, 0, 0]
+
+
+def test_many_matches(spark):
+    text = " ".join(f"token=abcdefgh{i}" for i in range(700))
+    row = secret_scan.scan(spark.createDataFrame([(text,)], "text string")).first()
+    assert row.spans == ",".join(f"assign:{m.start()}:{m.end()}" for m in re.finditer(r"token=\w+", text)) and row.n_assign == 700
+
+
 def test_window_entropy(spark):
     text = "Zk8Qw3Lm9Xp2Vb7Nc4Jd6aaaaaaaa"
     windows = [text[i : i + secret_scan.WINDOW] for i in range(len(text) - secret_scan.WINDOW + 1)]
@@ -292,10 +319,43 @@ def test_quality_rules(spark, folder, docs):
 
 
 def test_line_dedup(spark):
-    rows = [(i, f"Menu\nown line {i} with some more words\n\nMenu", "h") for i in range(30)] + [(30, "Menu", "h"), (31, None, "h"), (32, "Menu\nx", None)]
-    got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), "source").collect()}
+    rows = [(i, f"Menu\nown line {i} with some more words\n\nMenu", "h", 77) for i in range(30)] + [(30, "Menu", "h", 77), (31, None, "h", 77), (32, "Menu\nx", None, 77)]
+    rows += [(40 + i, f"Small\nonly here {i}", "small", 77) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_dropped bigint")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.drop_boilerplate(df, "source").collect()}
     assert got[3] == ("own line 3 with some more words\n", 2)
-    assert got[30] == ("Menu", 0) and got[31] == (None, 0) and got[32] == ("Menu\nx", 0)
+    assert got[30] == ("", 1) and got[31] == (None, 0) and got[32] == ("Menu\nx", 0)
+    assert got[41] == ("only here 1", 1)
+    named = df.withColumn("n_chars", F.length("text"))
+    kept = {r.doc_id: r for r in line_dedup.stage(spark, named, "").collect()}
+    assert kept[3]["n_dropped"] == 77 and kept[3]["n_chars"] == len(kept[3]["text"]) and kept[30]["text"] == "Menu"
+
+
+def test_votes_are_estimated():
+    rng = random.Random(3)
+    right = dict(zip(quality_rules.rules(), [(0.9, 0.7), (0.85, 0.6), (0.95, 0.5), (0.9, 0.8), (0.8, 0.6), (0.97, 0.4), (0.9, 0.5), (0.88, 0.7)], strict=True))
+    counts = Counter()
+    for _ in range(20_000):
+        good = rng.random() < 0.75
+        pattern = {k: 0 if rng.random() < 0.3 else (1 if (rng.random() < p[0] if good else rng.random() >= p[1]) else -1) for k, p in right.items()}
+        counts[tuple(pattern.items())] += 1
+    votes = quality_rules.estimate([(dict(k), n) for k, n in counts.items()])
+    assert votes.good == pytest.approx(0.75, abs=0.03)
+    for k, (a, b) in right.items():
+        assert votes.right[k] == pytest.approx((a, b), abs=0.04)
+    assert quality_rules.estimate([]).good == quality_rules.GOOD
+
+
+def test_kept_is_the_posterior(spark, docs):
+    counted = quality_rules.with_counts(docs.select("doc_id", "text"))
+    votes = quality_rules.fit(counted)
+    rows = quality_rules.judge(counted.select("*", *[v.alias(f"v_{k}") for k, v in quality_rules.rules().items()]), votes).collect()
+    for r in rows:
+        good, bad = votes.good, 1 - votes.good
+        for k, (a, b) in votes.right.items():
+            v = r[f"v_{k}"]
+            good, bad = good * (1 if not v else a if v > 0 else 1 - a), bad * (1 if not v else 1 - b if v > 0 else b)
+        assert r.quality == pytest.approx(good / (good + bad)) and r.kept == (not r.base_failed and good >= bad)
 
 
 def test_quality_model(spark, tmp_path):
@@ -310,18 +370,108 @@ def test_quality_model(spark, tmp_path):
     assert sum(r.predicted == 1 - r.doc_id % 2 for r in held) >= 0.95 * len(held)
 
 
-def test_license_scan(spark):
+@pytest.mark.parametrize("bound", [license_scan.BROADCAST_PIECES, 0])
+def test_license_scan(spark, monkeypatch, bound):
+    monkeypatch.setattr(license_scan, "BROADCAST_PIECES", bound)
+    full = dict(license_scan.TEMPLATES)["MIT-text"]
     rows = [(0, "intro words here.\nReleased under the MIT License.\nmore text"), (1, "Licensed under CC BY-NC 4.0."), (2, "nothing to see"), (3, None), (None, "x " * 50 + "This work is licensed under the GNU General Public License, version 3. " + "y " * 50)]
+    rows += [(4, "a b " * 30_000 + full + " c d" * 1000), (5, " ".join(f"{w} between{i}" for i, w in enumerate(full.split()))), (6, "under the MIT License " + "z " * 100 + "Released under the")]
     df = spark.createDataFrame([*rows, rows[0]], "doc_id bigint, text string")
     got = license_scan.find_licenses(df, license_scan.templates(spark)).collect()
-    assert sorted((str(r.doc_id), r.license) for r in got) == [("0", "MIT-notice"), ("1", "CC-BY-NC-4.0"), ("None", "GPL-3.0")]
-
-
-def test_decontaminate(spark, folder):
+    assert sorted((str(r.doc_id), r.license) for r in got) == [("0", "MIT-notice"), ("1", "CC-BY-NC-4.0"), ("4", "MIT"), ("4", "MIT-text"), ("None", "GPL-3.0")]
+
+
+def test_licenses_against_brute_force(spark):
+    rng = random.Random(9)
+    split = lambda t: [w for w in re.split(r"[^\w]+|_", t.lower()) if w]
+    pairs = lambda w: list(zip(w, w[1:]))  # noqa: E731, B905
+    wanted = {k: pairs(split(t)) for k, t in license_scan.TEMPLATES}
+    rows = []
+    for k in range(60):
+        name, template = rng.choice(license_scan.TEMPLATES)
+        words = template.split()
+        for _ in range(rng.choice((0, 0, 1, 3))):
+            words[rng.randrange(len(words))] = "other"
+        filler = lambda: " ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(60)))
+        rows.append((k, f"{filler()} {' '.join(words)} {filler()}"))
+    got = {(r.doc_id, r.license) for r in license_scan.find_licenses(spark.createDataFrame(rows, "doc_id bigint, text string"), license_scan.templates(spark)).collect()}
+    best = {}
+    for k, text in rows:
+        h = pairs(split(text))
+        for name, t in wanted.items():
+            best[k, name] = max((len(set(h[i : i + len(t)]) & set(t)) / len(set(t)) for i in range(max(1, len(h) - len(t) + 1))), default=0)
+    assert {x for x in best if best[x] >= license_scan.MIN_CONTAINED} <= got
+    assert all(len(set(pairs(split(rows[k][1]))) & set(wanted[n])) >= license_scan.MIN_CONTAINED * len(set(wanted[n])) for k, n in got)
+
+
+def template_of(text):
+    """The words of a text, and its template's."""
+    units = decontaminate.UNITS
+    marked = regex.sub(r"(?<=[\p{Ll}\p{N},;] )(\p{Lu}\p{Ll}+)", "\x01\\1", text or "")
+    bare = regex.sub(r"[^\p{L}\p{M}\p{N}\s\x01]+", "", marked)
+    t = regex.sub(r"(?<!\S)\p{Nd}+(?!\S)", "\x01d", regex.sub(r"\x01\p{L}+", "\x01n", bare))
+    return WORD.findall(bare), WORD.findall(regex.sub(rf"(?<=\x01d[ \n])(?:{units})(?!\S)", "\x01u", t).lower())
+
+
+def leaked(text, item):
+    """Words of the item that the text covers, by trying all places."""
+    (raw, slots), (old, want) = template_of(text), template_of(item)
+    width, covered = decontaminate.WIDTH, set()
+    slot = lambda w: w.startswith("\x01")
+    literals = [sum(not slot(w) for w in want[i : i + width]) for i in range(len(want) - width + 1)]
+    for shift in range(-len(want), len(slots)) if literals else ():
+        same = [0 <= shift + i < len(slots) and slots[shift + i] == w for i, w in enumerate(want)]
+        keys = [i for i, n in enumerate(literals) if n >= min(decontaminate.MIN_LITERALS, max(literals)) and (shift + i) % decontaminate.STEP == 0 and all(same[i : i + width])]
+        places = {i + k for i in range(len(literals)) if all(same[i : i + width]) for k in range(width)}
+        filled = {(want[i] + old[i], raw[shift + i]) for i in places if slot(want[i])}
+        if keys and len({x for x, _ in filled}) == len(filled):
+            covered |= places
+    return len(covered) if 2 * len(covered) >= len(want) else 0
+
+
+@pytest.mark.parametrize("bound", [decontaminate.BROADCAST_WINDOWS, 0])
+def test_decontaminate(spark, folder, monkeypatch, bound):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", bound)
     bench = spark.read.parquet(f"{folder}/benchmark.parquet")
     rows = [(0, "text before. Anna has 12 red apples and eats 5 of them each day. How many apples are left? after"), (1, "so: Maria has 90 red apples and eats 7 of them each day. How many apples are left?"), (2, "Some one else has red hair"), (3, None)]
+    rows += [(4, "one line\nToo short.\nmore"), (5, "it is too short for this"), (None, "so: Maria has 90 red apples and eats 90 of them each day.")]
     got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()
-    assert sorted({(r.doc_id, r.item_id) for r in got}) == [(0, 0), (1, 0)]
+    assert sorted({(r.doc_id, r.item_id) for r in got}, key=str) == [(0, 0), (1, 0), (4, 2), (None, 0)]
+
+
+@pytest.mark.parametrize("bound", [decontaminate.BROADCAST_WINDOWS, 0])
+def test_decontaminate_against_brute_force(spark, monkeypatch, bound):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", bound)
+    rng = random.Random(11)
+    vocabulary = ["has", "red", "apples", "Anna", "Bob", "Maria", "12", "5", "7", "km", "kg", "and", "eats", "of", "them", "day", "then", "walks", "far"]
+    made = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [made(rng.randrange(7, 25)) for _ in range(20)]
+    items += [["walks", *[rng.choice(["Anna", "5", "7", "Bob"]) for _ in range(9)]], [{"5": "9", "7": "3"}.get(w, w) for w in items[0]]]
+    rows = []
+    for k in range(120):
+        item = list(rng.choice(items))
+        fresh = {"12": "99", "5": "6", "7": rng.choice(["8", "6"]), "Anna": "Eve"} if k % 2 else {}
+        some = [fresh.get(w, w) for w in item[rng.randrange(3) :]]
+        if k % 3 == 0:
+            some[rng.randrange(len(some))] = "else"
+        rows.append((k, " ".join([*made(rng.randrange(30)), *some, *made(rng.randrange(30))])))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.n_covered for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()}
+    want = {(k, i): n for k, t in rows for i, x in enumerate(items) if (n := leaked(t, " ".join(x)))}
+    assert got == want and len(want) > 50
+
+
+def test_stages_keep_foreign_columns(spark, folder):
+    names = ["doc_id", "text", "lang", "source", "n_chars", "text_a", "a.b", "n_dropped", "node", "key", "host", "n_words", "raw"]
+    good = " ".join(f"word{i}" for i in range(80))
+    rows = [(i, f"{good} text {i} " + f"own{i} " * 30, "en", "s", 1, "x", "y", 7, "n", "k", "h", -1, "r") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, text_a string, `a.b` string, n_dropped bigint, node string, key string, host string, n_words bigint, raw string")
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, df, folder)
+        assert got.columns[: len(names)] == names, name
+        assert got.count() in (1, 3) and {tuple(r[5:13]) for r in got.collect()} <= {tuple(r[5:13]) for r in rows}, name
 
 
 @pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10"])
