@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import schemas
-from ..operators.folds import BRIDGE_MS, LEAST_MS, MAX_DISTANCE, edit_distance
+from ..operators.folds import BRIDGE_MS, LEAST_MS, MAX_DISTANCE, edit_operations
 from ..plans.shipping import ship_package
 
 
@@ -70,7 +70,7 @@ def frame_segments(frames: DataFrame, delay: str = "10 seconds") -> DataFrame:
                     now = int(ts.timestamp() * 1000)
                     if not word:
                         continue
-                    if text is not None and now - last <= BRIDGE_MS and edit_distance(word, text) <= MAX_DISTANCE:
+                    if text is not None and now - last <= BRIDGE_MS and edit_operations(list(word), list(text))[0] <= MAX_DISTANCE:
                         last = max(last, now)
                         continue
                     if text is not None:

@@ -63,24 +63,6 @@ def test_range_pairs_like_nested_loops(spark):
     assert sorted((r.a_seg_idx, r.b_seg_idx) for r in got.collect()) == want
 
 
-def frames(*texts):
-    return [(500 * i, t, 0.0, 10.0) for i, t in enumerate(texts)]
-
-
-def test_anchored_runs():
-    seen = [(r.text, r.start, r.end) for r in folds.anchored_runs(frames("hello", "hello", "hallo", "", "hello", "world!!", "world!!"))]
-    assert seen == [("hello", 0, 2500), ("world!!", 2500, 3000)]
-    seen = [(r.text, r.start, r.end) for r in folds.anchored_runs([(0, "hello", 0, 1), (500, "hello", 0, 1), (1000, "", None, None), (3000, "hello", 0, 1), (3500, "hello", 0, 1)])]
-    assert seen == [("hello", 0, 1000), ("hello", 3000, 3500)]
-    assert [(r.start, r.end) for r in folds.anchored_runs(frames("aaaa", "aabb", "bbbb"))] == [(0, 1000), (1000, 1000)]
-
-
-def test_flickers_and_parts():
-    run = lambda t, s, e: folds.Run(t, s, e, 0, 10)
-    assert [(r.text, r.start, r.end) for r in folds.drop_flickers([run("abcd", 0, 900), run("x", 900, 1200), run("abcd", 1200, 2000)])] == [("abcd", 0, 2000)]
-    assert [(r.text, r.start, r.end) for r in folds.absorb_parts([run("c", 0, 100), run("abcd", 100, 900)])] == [("abcd", 0, 900)]
-
-
 def test_edit_operations():
     assert folds.edit_operations(list("abc"), list("axcd")) == (2, 1, 1, 0)
     assert folds.edit_operations([], []) == (0, 0, 0, 0)
@@ -121,13 +103,6 @@ def test_wer_counts_of_whole_texts(spark, tmp_path):
     assert (row.ref_words, row.hyp_words, row.word_errors, row.word_subs, row.word_ins, row.word_dels) == (22, 23, 2, 1, 1, 0)
 
 
-def test_split_subtitle():
-    assert folds.split_subtitle("第一句话很长，第二句话也长") == ["第一句话很长", "第二句话也长"]
-    assert folds.split_subtitle("短，第二句话也长") == ["短第二句话也长"]
-    assert folds.split_subtitle("他说《你好，世界》然后走了") == ["他说《你好，世界》然后走了"]
-    assert folds.split_subtitle("  ") == []
-
-
 def test_scalars(spark):
     assert value(spark, C.js_round(F.lit(-2.5))) == -2
     assert value(spark, C.srt_time(F.lit(3723004))) == "01:02:03,004"
