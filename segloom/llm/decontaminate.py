@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import checkpoint, let, own_columns, read, small_enough, split_words, text_or_empty
 
 WIDTH, STEP, MIN_LITERALS, MIN_COVER = 5, 3, 3, 0.5
-#: Item windows (with the words of their items, some kB) and keys of contaminated texts (16 bytes) that are broadcast.
+#: Item windows (with the words of their items, some kB) that are broadcast, their keys in the plan, and keys of
+#: contaminated texts (16 bytes) that are broadcast.
 BROADCAST_WINDOWS, BROADCAST_TEXTS = 20_000, 1_000_000
 
 # Units that count as a slot after a number.
@@ -117,11 +118,13 @@ def passages(docs: DataFrame, items: DataFrame) -> DataFrame:
     ``docs`` has ME, raw and slots.
     """
     cut = checkpoint(item_windows(items))
-    placed = docs.select(*ME, "raw", "slots", F.explode(_windows(STEP)).alias("w"))
-    if small_enough(cut, BROADCAST_WINDOWS):  # words go along by reference
+    if small_enough(cut, BROADCAST_WINDOWS):  # the keys are part of the plan, so a document's words go along with windows that meet an item only
+        keys = [r["key"] for r in cut.select("key").distinct().collect()]
+        placed = docs.select(*ME, "raw", "slots", F.explode(F.filter(_windows(STEP), lambda w: w["key"].isin(keys))).alias("w"))
         shift = (F.col("w.at") - F.col("item_at")).alias("shift")
         met = placed.withColumn("key", F.col("w.key")).join(F.broadcast(cut), "key").select(*ME, "raw", "slots", "item", "item_slots", "item_fills", shift)
     else:  # by a shuffle of keys and places, 50 bytes for each STEP words; then the words of the documents that meet an item
+        placed = docs.select(*ME, F.explode(_windows(STEP)).alias("w"))
         keys = placed.select(*ME, F.col("w.key").alias("key"), F.col("w.at").alias("at"))
         found = checkpoint(keys.join(cut.select("key", "item", "item_at"), "key").select(*ME, "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct())
         words = docs.join(found.select(*[F.col(c).alias(f"m_{c}") for c in ME]).distinct(), _same_text(), "left_semi").dropDuplicates(ME)
