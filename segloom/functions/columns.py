@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Punctuation that scores ignore, and numeral characters.
-PUNCTUATION = r"[，。！？、；：“”‘’（）《》【】,.!?;:\"'()\[\]…—-]"
-NUMERALS = r"[0-9零一二三四五六七八九十百千万亿两]+"
+# White space, punctuation that scores ignore, numeral characters, and three blocks of CJK characters.
+WHITE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+PUNCTUATION = r"[。，！？、；：\x{201C}\x{201D}\"'「」【】《》（）.,!?;:'\"()\[\]{}\x{2018}\x{2019}\x{3000}\x{3001}\x{3002}\x{FF01}\x{FF0C}\x{FF1F}\x{FF1A}\x{FF1B}\x{2026}—～~-]"
+NUMERALS = r"[0-9零一二两三四五六七八九十百千万亿]+"
 CJK = r"[\x{4E00}-\x{9FFF}]"
+CJK_BLOCKS = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}]"
 
 
 def iou(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
@@ -53,7 +55,7 @@ def improvement(before: Column, after: Column) -> Column:
 
 def normalize_for_score(text: Column) -> Column:
     """One spelling, no white space or punctuation, each run of numerals as ``#``."""
-    one = F.regexp_replace(F.replace(text, F.lit("师父"), F.lit("师傅")), r"\s+", "")
+    one = F.regexp_replace(F.replace(text, F.lit("师父"), F.lit("师傅")), f"{WHITE}+", "")
     return F.regexp_replace(F.regexp_replace(one, PUNCTUATION, ""), NUMERALS, "#")
 
 
@@ -94,6 +96,11 @@ def cjk_ratio(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(CJK)) / F.nullif(F.length(text), F.lit(0)), F.lit(0.0))
 
 
+def is_cjk(text: Column) -> Column:
+    """Whether ``text`` has CJK characters of any of the three blocks only, and at least one."""
+    return F.coalesce(text.rlike(f"^{CJK_BLOCKS}+$"), F.lit(False))
+
+
 def guarded_translation(src: Column, dst: Column, target: Column) -> Column:
     """The source where a translation is empty, or is to another language and still over three tenths CJK."""
     return F.when((target != "zh") & (cjk_ratio(dst) > 0.3), src).otherwise(F.coalesce(F.nullif(dst, F.lit("")), src))
@@ -106,6 +113,12 @@ def srt_time(ms: Column) -> Column:
     return F.format_string("%02d:%02d:%02d,%03d", part(3_600_000), part(60_000) % 60, part(1000) % 60, whole % 1000)
 
 
+def ordinal(number: Column, width: int = 4) -> Column:
+    """``0007``; longer numbers as they are."""
+    text = number.cast("string")
+    return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0"))
+
+
 def short_duration(ms: Column) -> Column:
     """``—`` for null, else ``250ms``, ``12s`` or ``3m5s``."""
     seconds = F.floor(ms / 1000)
@@ -155,10 +168,51 @@ def lenient_json(text: Column) -> Column:
     return F.coalesce(good(text), good(F.nullif(span, F.lit(""))))
 
 
+def piece_text(raw: Column) -> Column:
+    """Text of bytes; what is no UTF-8 becomes U+FFFD."""
+    return F.make_valid_utf8(raw.cast("string"))
+
+
 def decode_piece(piece: Column) -> Column:
     """Text of a base64 token piece."""
-    return F.decode(F.unbase64(piece), "UTF-8")
+    return piece_text(F.unbase64(piece))
 
 
 def safe_size(x: Column, array: bool = False) -> Column:
     return F.coalesce(F.size(x) if array else F.length(x), F.lit(0))
+
+
+def cut_or(text: Column, most: int, fallback: str) -> Column:
+    """The first ``most`` characters of the trimmed text, or ``fallback`` for a null or blank one."""
+    return F.coalesce(F.nullif(F.substring(F.trim(text), 1, most), F.lit("")), F.lit(fallback))
+
+
+def pair_lines(pairs: Column, left: str = "src", right: str = "dst") -> Column:
+    """An array of structs as lines ``left -> right``."""
+    return F.array_join(F.transform(pairs, lambda x: F.concat_ws(" -> ", F.coalesce(x[left], F.lit("")), F.coalesce(x[right], F.lit("")))), "\n")
+
+
+def device_name(name: Column) -> Column:
+    """A device's name without the driver in brackets at its end."""
+    return F.trim(F.regexp_replace(name, r"\s*\([A-Z]+ .*\)$", ""))
+
+
+def run_label(path: Column) -> Column:
+    """The last part of a path without its prefixes ``results-`` and ``ggml-``."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_extract(path, r"([^/]+)/*$", 1), "^results-", ""), "^ggml-", "")
+
+
+def parameter_label(prefix: str, values: dict[str, Column]) -> Column:
+    """``prefix_a1_b2``: names and values in the order given."""
+    return F.concat_ws("_", F.lit(prefix), *[F.concat(F.lit(k), v.cast("string")) for k, v in values.items()])
+
+
+def time_id(ms: Column, size: int = 16) -> Column:
+    """An id that sorts by time: milliseconds in base 36, and random characters up to ``size``."""
+    stamp = F.lower(F.conv(ms.cast("string"), 10, 36))
+    return F.concat(stamp, F.substring(F.lower(F.replace(F.uuid(), F.lit("-"), F.lit(""))), F.lit(1), F.lit(size) - F.length(stamp)))
+
+
+def first_path(paths: Column, known: Column) -> Column:
+    """The first of ``paths`` that is among ``known``; null for none."""
+    return F.get(F.filter(paths, lambda x: F.array_contains(known, x)), F.lit(0))

@@ -15,10 +15,17 @@ def latest(log: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
 
 
 def stage_status(stored: DataFrame, specs: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Every stage of every task in order, stored or pending."""
-    wanted = tasks.select("task_id").distinct().join(F.broadcast(specs))
-    joined = wanted.join(stored, ["task_id", "name"], "left")
-    return joined.select("task_id", "ord", "name", "label", F.coalesce("status", F.lit("pending")).alias("status"), F.coalesce("progress", F.lit(0)).alias("progress"))
+    """Every stage of every task in order, stored or pending. ``specs`` is the short list of stages.
+
+    Stored rows are gathered by task, at most one for each stage, and the list is laid over them.
+    """
+    named = tasks.select("task_id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("int").alias("progress"))
+    both = stored.select("task_id", "name", "status", F.col("progress").cast("int").alias("progress")).union(named.distinct())
+    pair = F.struct("name", F.struct("status", "progress"))
+    known = both.groupBy("task_id").agg(F.map_from_entries(F.filter(F.collect_set(pair), lambda x: x["name"].isNotNull())).alias("known"))
+    listed = F.array(*[F.struct(F.lit(r["ord"]).alias("ord"), F.lit(r["name"]).alias("name"), F.lit(r["label"]).alias("label")) for r in sorted(specs.collect(), key=lambda r: r["ord"])])
+    rows = known.select("task_id", "known", F.explode(listed).alias("s")).select("task_id", "s.*", F.col("known")[F.col("s.name")].alias("have"))
+    return rows.select("task_id", "ord", "name", "label", F.coalesce("have.status", F.lit("pending")).alias("status"), F.coalesce("have.progress", F.lit(0)).alias("progress"))
 
 
 def status_summary(status: DataFrame) -> DataFrame:
@@ -27,8 +34,12 @@ def status_summary(status: DataFrame) -> DataFrame:
 
 
 def missing_stages(stored: DataFrame, specs: DataFrame, tasks: DataFrame) -> DataFrame:
-    wanted = tasks.select("task_id").distinct().join(F.broadcast(specs))
-    return wanted.join(stored.select("task_id", "name"), ["task_id", "name"], "left_anti")
+    """Stages of ``specs``, a short list, that a task has no row for."""
+    kinds = specs.schema
+    given = tasks.select("task_id", F.lit(None).cast("string").alias("name")).distinct()
+    have = stored.select("task_id", "name").union(given).groupBy("task_id").agg(F.collect_set("name").alias("have"))  # nulls aren't collected
+    listed = F.array(*[F.struct(*[F.lit(r[c]).cast(kinds[c].dataType).alias(c) for c in specs.columns]) for r in specs.collect()])
+    return have.select("task_id", F.explode(F.filter(listed, lambda s: ~F.array_contains("have", s["name"]))).alias("s")).select("task_id", "s.*")
 
 
 def resume_points(status: DataFrame) -> DataFrame:
@@ -77,6 +88,66 @@ def with_fallback(rows: DataFrame, files: DataFrame, least_bytes: int = 38_400)
     return rows.join(own, ["session_id", "seg_idx"], "left").join(first, "session_id", "left").withColumn("reference", F.coalesce("own", "first")).drop("own", "first")
 
 
-def grid(a: DataFrame, b: DataFrame, done: DataFrame) -> DataFrame:
-    """All combinations of two small parameter tables that aren't done."""
+def grid(a: DataFrame, b: DataFrame, done: DataFrame, most: int = 10_000) -> DataFrame:
+    """All combinations of two small parameter tables that aren't done; tables of over ``most`` rows are refused."""
+    if b.limit(most + 1).count() > most:
+        raise ValueError(f"the second table has over {most} rows")
     return a.join(F.broadcast(b)).join(done, [c for c in done.columns], "left_anti")
+
+
+def created(tasks: DataFrame, specs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Changes that create tasks (task_id, url) and their stages: queued at the first stage, all stages pending."""
+    first = specs.agg(F.min_by("name", "ord")).first()[0]
+    rows = tasks.withColumns({"status": F.lit("queued"), "current_stage": F.lit(first)})
+    return rows, missing_stages(rows.select("task_id", F.lit(None).cast("string").alias("name")).where("false"), specs, rows).withColumn("status", F.lit("pending"))
+
+
+def known_tasks(wanted: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Wanted URLs (video_id) with the newest task that has their video, or null: what needn't be created."""
+    newest_of = tasks.where(F.col("video_id").isNotNull()).groupBy("video_id").agg(F.max_by("task_id", F.struct("created_at", "seq")).alias("known_task"))
+    return wanted.join(newest_of, "video_id", "left")
+
+
+def with_mode(status: DataFrame, switched: DataFrame, stage: str = "merge_video") -> DataFrame:
+    """For tasks in ``switched`` the stage whose result depends on the mode is pending again, without progress."""
+    marked = status.join(switched.select("task_id", F.lit(True).alias("__switched")).distinct(), "task_id", "left")
+    reset = F.col("__switched").isNotNull() & (F.col("name") == stage)
+    return marked.withColumns({"status": F.when(reset, "pending").otherwise(F.col("status")), "progress": F.when(reset, 0).otherwise(F.col("progress"))}).drop("__switched")
+
+
+def changes(patches: DataFrame, keys: list[str]) -> DataFrame:
+    """Patches that change something: those with a value besides their keys; others do nothing."""
+    rest = [c for c in patches.columns if c not in keys]
+    return patches.where(F.coalesce(*[F.col(c).cast("string") for c in rest]).isNotNull()) if rest else patches.where("false")
+
+
+def stages_of(specs: DataFrame, pipeline: str, source: str = "asr", translate: bool = True, align: bool = False) -> DataFrame:
+    """The stages that a configuration leaves: a mode's own, those of the other source of text taken out, in order."""
+    drop = set()
+    if source == "ocr":
+        drop |= {"asr", "asr_fix", "separate"}
+    else:
+        drop |= {"ocr", "ocr_fix"}
+    drop |= set() if translate else {"translate"}
+    if pipeline == "subtitle":
+        drop |= {"tts", "merge_audio"} | (set() if align else {"split_audio"})
+    return specs.where(~F.col("name").isin(*sorted(drop)))
+
+
+def cache_state(devices: DataFrame, cached: DataFrame) -> DataFrame:
+    """For each host whether all its devices' drivers are those of its cache; hosts without a cache have a stale one."""
+    joined = devices.join(cached.select("host", "vendor", "name", F.col("driver").alias("cached")), ["host", "vendor", "name"], "left")
+    return joined.groupBy("host").agg(F.every(F.coalesce(F.col("driver") == F.col("cached"), F.lit(False))).alias("valid"))
+
+
+def settled(config: DataFrame, environment: dict[str, str], defaults: dict[str, str]) -> DataFrame:
+    """Each setting from the configuration, else from the environment, else the default."""
+    names = [*config.columns, *[k for k in {**environment, **defaults} if k not in config.columns]]
+    of = lambda c: [F.col(c)] if c in config.columns else []
+    rest = lambda c: [F.lit(x[c]) for x in (environment, defaults) if c in x]
+    return config.select(*[F.coalesce(*of(c), *rest(c)).alias(c) for c in names])
+
+
+def snapshot(config: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
+    """A run's settings: chosen fields of each group in a struct, and the groups in one."""
+    return config.select("session_id", F.struct(*[F.struct(*[F.col(f"{g}_{f}").alias(f) for f in fields]).alias(g) for g, fields in groups.items()]).alias("last_run"))

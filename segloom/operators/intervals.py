@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import iou, shares_character, similar_enough
+from .islands import merge_same_text
 
 BUCKET_MS = 60_000
 
@@ -22,14 +23,14 @@ def _renamed(df: DataFrame, prefix: str) -> DataFrame:
 def range_pairs(a: DataFrame, b: DataFrame, before: int = 0, after: int = 0, closed: bool = False, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Pairs of one session where ``a`` meets ``b`` widened by ``before`` and ``after``; columns ``a_*`` and ``b_*``.
 
-    Half-open: ``a.start < b.end + after`` and ``b.start - before < a.end``. Closed: with ``<=``.
+    Segments that end before they begin are in no pair. Half-open: ``a.start < b.end + after`` and ``b.start - before < a.end``. Closed: with ``<=``.
     """
     low, high = F.col("b_start_ms") - before, F.col("b_end_ms") + after
     cut = lambda x: F.floor(x / bucket_ms)
-    # a side that ends before it begins still has one bucket
-    spread = lambda x, y: F.explode(F.sequence(cut(x), F.greatest(cut(x), cut(y))))
-    left = _renamed(a, "a_").withColumn("__bucket", spread(F.col("a_start_ms"), F.col("a_end_ms")))
-    right = _renamed(b, "b_").withColumn("__b_bucket", spread(low, high))
+    # a segment that ends before it begins meets nothing
+    spread = lambda x, y: F.explode(F.sequence(cut(x), cut(y)))
+    left = _renamed(a, "a_").where("a_end_ms >= a_start_ms").withColumn("__bucket", spread(F.col("a_start_ms"), F.col("a_end_ms")))
+    right = _renamed(b, "b_").where("b_end_ms >= b_start_ms").withColumn("__b_bucket", spread(low, high))
     first = F.greatest(cut(F.col("a_start_ms")), cut(low))
     meets = (F.col("a_start_ms") <= high) & (low <= F.col("a_end_ms")) if closed else (F.col("a_start_ms") < high) & (low < F.col("a_end_ms"))
     on = (F.col("a_session_id") == F.col("b_session_id")) & (F.col("__bucket") == F.col("__b_bucket")) & (F.col("__bucket") == first) & meets
@@ -93,7 +94,7 @@ def overlap_text_match(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def fusion_split(ocr: DataFrame, asr: DataFrame) -> DataFrame:
-    """OCR segments cut by the ASR segments of other text inside them: the piece before, the ASR segment, the rest."""
+    """OCR segments cut by the ASR segments of other text inside them: the piece before, the ASR segment, the rest; neighbours of one text merged."""
     inside = (F.col("b_start_ms") >= F.col("a_start_ms")) & (F.col("b_end_ms") <= F.col("a_end_ms")) & (F.col("a_text") != F.col("b_text"))
     cuts = range_pairs(ocr, asr, 1, 1).where(inside).groupBy(F.col("a_session_id").alias("session_id"), F.col("a_seg_idx").alias("seg_idx")).agg(
         F.array_sort(F.collect_list(F.struct(F.col("b_start_ms").alias("s"), F.col("b_seg_idx").alias("i"), F.col("b_end_ms").alias("e"), F.col("b_text").alias("t")))).alias("cuts")
@@ -112,22 +113,28 @@ def fusion_split(ocr: DataFrame, asr: DataFrame) -> DataFrame:
         return F.concat(state["out"], rest)
 
     pieces = F.aggregate(F.coalesce("cuts", F.array().cast("array<struct<s:bigint,i:bigint,e:bigint,t:string>>")), start, step, finish)
-    return whole.select("session_id", "seg_idx", F.posexplode(pieces).alias("piece", "p")).select("session_id", "seg_idx", "piece", "p.*")
+    cut = whole.select("session_id", F.col("start_ms").alias("from_ms"), "seg_idx", F.posexplode(pieces).alias("piece", "p"))
+    return merge_same_text(cut.select("session_id", "from_ms", "seg_idx", "piece", "p.*"), order=("from_ms", "seg_idx", "piece"))
 
 
 def fusion_union(ocr: DataFrame, asr: DataFrame, slack: int = 500) -> DataFrame:
-    """OCR and those ASR segments that no OCR segment covers: ``o.start <= a.start`` and ``o.end >= a.end - slack``."""
+    """OCR and those ASR segments that no OCR segment covers: ``o.start <= a.start`` and ``o.end >= a.end - slack``; neighbours of one text merged."""
     covers = (F.col("b_start_ms") <= F.col("a_start_ms")) & (F.col("b_end_ms") >= F.col("a_end_ms") - slack)
     extra = _without(asr, range_pairs(asr, ocr, 0, slack, closed=True).where(covers), "seg_idx")
-    return ocr.withColumn("origin", F.lit("ocr")).unionByName(extra.withColumn("origin", F.lit("asr")))
+    return _united(ocr, extra)
 
 
-def fusion_short(ocr: DataFrame, asr: DataFrame, max_ms: int = 1000) -> DataFrame:
-    """OCR and those short ASR segments that touch no OCR segment which contains their text or is contained in it."""
+def _united(ocr: DataFrame, extra: DataFrame) -> DataFrame:
+    both = ocr.withColumn("source", F.lit(0)).unionByName(extra.withColumn("source", F.lit(1)))
+    return merge_same_text(both, order=("start_ms", "source", "seg_idx"))
+
+
+def fusion_short(ocr: DataFrame, asr: DataFrame, max_ms: int = 2000) -> DataFrame:
+    """OCR and those short ASR segments that touch no OCR segment which contains their text or is contained in it; neighbours of one text merged."""
     short = asr.where(F.col("end_ms") - F.col("start_ms") <= max_ms)
     alike = F.col("a_text").contains(F.col("b_text")) | F.col("b_text").contains(F.col("a_text"))
     extra = _without(short, range_pairs(short, ocr, closed=True).where(alike), "seg_idx")
-    return ocr.withColumn("origin", F.lit("ocr")).unionByName(extra.withColumn("origin", F.lit("asr")))
+    return _united(ocr, extra)
 
 
 def recalled(truth: DataFrame, found: DataFrame, slack: int = 1000) -> DataFrame:

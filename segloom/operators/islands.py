@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .sequences import Fold, fold
+
 START_PAD, END_PAD, MIN_GAP = 100, 300, 50
 
 
@@ -33,14 +35,30 @@ def pad(segments: DataFrame) -> DataFrame:
     return segments.withColumns({"padded_start": start, "padded_end": end})
 
 
-def merge_same_text(segments: DataFrame, max_gap: int = 1000) -> DataFrame:
-    """Neighbours of one text whose gap is at most ``max_gap`` become one segment. Rows are in order of start."""
-    w = by_session("start_ms", "seg_idx")
-    run = segments.withColumn("__run", F.sum((F.lag("text").over(w).eqNullSafe(F.col("text"))).cast("int").bitwiseXOR(F.lit(1))).over(w))
-    in_run = W.partitionBy("session_id", "__run").orderBy("start_ms", "seg_idx")
-    far = F.col("start_ms") - F.max("end_ms").over(in_run.rowsBetween(W.unboundedPreceding, -1)) > max_gap
-    island = run.withColumn("__island", F.sum(F.coalesce(far, F.lit(False)).cast("int")).over(in_run))
-    return island.groupBy("session_id", "__run", "__island").agg(F.min("seg_idx").alias("seg_idx"), F.first("text").alias("text"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n_merged")).drop("__run", "__island")
+MERGED = "struct<start_ms:bigint,seg_idx:bigint,text:string,end_ms:bigint,n_merged:bigint>"
+
+
+def same_text(max_gap: int | None) -> Fold:
+    """Neighbours of one text with at most ``max_gap`` between them become one; any gap will do for None."""
+    put = lambda x: F.filter(F.array(x), lambda y: y.isNotNull())
+
+    def step(last: Column, row: Column) -> tuple[Column, Column]:
+        near = F.lit(True) if max_gap is None else row["start_ms"] - last["end_ms"] <= max_gap
+        joins = F.coalesce((last["text"] == row["text"]) & near, F.lit(False))
+        grown = last.withField("end_ms", F.greatest(last["end_ms"], row["end_ms"])).withField("n_merged", last["n_merged"] + 1)
+        fresh = F.struct(row["start_ms"], row["seg_idx"], row["text"], row["end_ms"], F.lit(1)).cast(MERGED)
+        return F.when(joins, grown).otherwise(fresh), put(F.when(~joins, last))
+
+    return Fold(MERGED, MERGED, lambda: F.expr(f"cast(null as {MERGED})"), step, put)
+
+
+def merge_same_text(segments: DataFrame, max_gap: int | None = 1000, order: tuple[str, ...] = ("start_ms", "seg_idx")) -> DataFrame:
+    """Neighbours of one text whose gap is at most ``max_gap`` become one segment; blank texts are left out before.
+
+    ``order`` begins with a time; rows are ordered by it.
+    """
+    rows = segments.where(F.coalesce("text", F.lit("")) != "").select("session_id", *order, *[c for c in ("start_ms", "seg_idx", "text", "end_ms") if c not in order])
+    return fold(rows, ["session_id"], list(order), same_text(max_gap)).select("session_id", "seg_idx", "text", "start_ms", "end_ms", "n_merged")
 
 
 def frame_runs(frames: DataFrame, min_ms: int = 500) -> DataFrame:
@@ -90,3 +108,38 @@ def best_lines(lines: DataFrame) -> DataFrame:
     """The line of highest confidence in each frame, the last on ties."""
     best = F.max_by(F.struct("text", "confidence", "line_idx"), F.struct("confidence", "line_idx")).alias("best")
     return lines.groupBy("session_id", "frame_idx").agg(best).select("session_id", "frame_idx", "best.text", "best.confidence", "best.line_idx")
+
+
+def consecutive(observations: DataFrame, hold_ms: int = 0) -> DataFrame:
+    """Observations (time_ms, text) of one text in a row as one segment, to the last of them and ``hold_ms`` more."""
+    rows = observations.select("session_id", "seg_idx", "text", F.col("time_ms").alias("start_ms"), (F.col("time_ms") + hold_ms).alias("end_ms"))
+    return merge_same_text(rows, None)
+
+
+def reading_order(boxes: DataFrame, band: int = 20) -> DataFrame:
+    """Lines of a frame numbered from top to bottom, in bands of ``band``, and from left to right; ``box`` is an array of points.
+
+    Heights less apart than a band aren't ordered by them in the reference, which is no order; bands are one.
+    """
+    centre = lambda k: F.aggregate("box", F.lit(0.0), lambda a, p: a + p[k]) / F.size("box")
+    placed = boxes.withColumns({"centre_x": centre(0), "centre_y": centre(1)})
+    w = W.partitionBy("session_id", "frame_idx").orderBy(F.floor(F.col("centre_y") / band), "centre_x", "line_idx")
+    return placed.withColumn("place", F.row_number().over(w))
+
+
+def in_band(lines: DataFrame, low: float = 620, high: float = 700) -> DataFrame:
+    """Lines whose box has the middle of its height from ``low`` to ``high``, with the box's extents."""
+    side = lambda f, k: f(F.transform("box", lambda p: p[k]))
+    sized = lines.withColumns({"x_min": side(F.array_min, 0), "x_max": side(F.array_max, 0), "y_min": side(F.array_min, 1), "y_max": side(F.array_max, 1)})
+    return sized.where(((F.col("y_min") + F.col("y_max")) / 2).between(low, high))
+
+
+def sure_lines(lines: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """Lines of more than ``threshold`` confidence, not of just as much."""
+    return lines.where(F.col("confidence") > threshold)
+
+
+def snapped(rows: DataFrame, frames: DataFrame, seconds: str, per_second: int = 5) -> DataFrame:
+    """Each row with the frame (frame_no, path) nearest to its time, or nulls where there is no such frame."""
+    number = F.floor(F.col(seconds) * per_second + 0.5).cast("bigint") + 1
+    return rows.withColumn("frame_no", number).join(frames, ["session_id", "frame_no"], "left")

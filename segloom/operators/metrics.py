@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import js_round
 from .islands import with_gaps
 
 
@@ -73,17 +74,68 @@ def transcript(segments: DataFrame, separator: str = " ") -> DataFrame:
 
 
 def real_time_factors(results: DataFrame, by: list[str]) -> DataFrame:
-    """Processing time over media time for each group, best first, and the speed-up against the slowest."""
+    """Processing time over media time for each group, best first, and the speed-up against the first group's time."""
     rtf = share(F.sum("total_time_s"), F.sum("output_duration_s"))
-    from pyspark.sql import Window as W
-
     grouped = results.groupBy(*by).agg(F.count("*").alias("n"), F.sum("total_time_s").alias("total_s"), rtf.alias("rtf"))
-    return grouped.withColumn("speed_up", F.max("rtf").over(W.partitionBy(F.lit(0))) / F.nullif(F.col("rtf"), F.lit(0.0))).orderBy("rtf", *by)
+    first = grouped.agg(F.min_by("total_s", F.struct(*by)).alias("first_s"))  # one row
+    return grouped.join(F.broadcast(first)).withColumn("speed_up", F.col("first_s") / F.nullif(F.col("total_s"), F.lit(0.0))).drop("first_s").orderBy("rtf", *by)
 
 
 def outcomes(trials: DataFrame) -> DataFrame:
     """Trials by status: number, share in percent, and mean time."""
-    from pyspark.sql import Window as W
-
     counted = trials.groupBy("status").agg(F.count("*").alias("n"), F.avg("seconds").alias("mean_s"))
-    return counted.withColumn("percent", 100.0 * F.col("n") / F.sum("n").over(W.partitionBy(F.lit(0))))
+    total = counted.agg(F.sum("n").alias("all"))  # one row
+    return counted.join(F.broadcast(total)).withColumn("percent", 100.0 * F.col("n") / F.col("all")).drop("all")
+
+
+def stage_times(frames: DataFrame, stages: list[str]) -> DataFrame:
+    """For columns of milliseconds by frame: each stage's sum, rounded, and the whole's mean by frame."""
+    sums = [js_round(F.sum(c)).cast("long").alias(f"{c}_ms") for c in stages]
+    whole = sum((F.col(c) for c in stages[1:]), F.col(stages[0]))
+    return frames.groupBy("session_id").agg(F.count("*").alias("n_frames"), *sums, js_round(F.avg(whole)).cast("long").alias("mean_ms"))
+
+
+def scheduled_seconds(timings: DataFrame, start: str = "start_ms", end: str = "end_ms") -> DataFrame:
+    """The sum of all segments' lengths in seconds."""
+    return timings.groupBy("session_id").agg((F.sum(F.col(end) - F.col(start)) / 1000).alias("scheduled_s"))
+
+
+def progress_counts(items: DataFrame) -> DataFrame:
+    """How many items were made, skipped (there already, no text, or no reference) and failed, and the share that is done in percent."""
+    blank = F.trim(F.coalesce("text", F.lit(""))) == ""
+    skipped = F.col("exists") | blank | F.col("reference").isNull()
+    failed = ~skipped & F.col("failed")
+    done = F.count_if(skipped | F.col("finished"))
+    return items.groupBy("session_id").agg(
+        F.count_if(~skipped & F.col("finished") & ~F.col("failed")).alias("generated"), F.count_if(skipped).alias("skipped"), F.count_if(failed & F.col("finished")).alias("errors"),
+        F.floor(100 * done / F.count("*")).alias("percent"),
+    )
+
+
+def group_confidence(frames: DataFrame, by: list[str]) -> DataFrame:
+    """The mean confidence of a group's frames, to three digits."""
+    return frames.groupBy(*by).agg(F.round(F.avg("confidence"), 3).alias("confidence"))
+
+
+def normalised(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """``value`` less its group's mean, over the group's population deviation (1 where that is 0); and the group's peak."""
+    stats = rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"), F.max(F.abs(value)).alias("peak"))
+    scaled = (F.col(value) - F.col("mean")) / F.when(F.col("deviation") > 0, F.col("deviation")).otherwise(1.0)
+    return rows.join(stats, by).withColumn("scaled", scaled)
+
+
+def error_report(scores: DataFrame, metrics: DataFrame, key: str) -> DataFrame:
+    """Scores with the metrics known for their key, ``N/A`` for others, the lowest rate first."""
+    return scores.join(metrics, key, "left").withColumn("shown", F.when(F.col("cer").isNull(), "N/A").otherwise(F.format_string("%.2f%%", F.col("cer") * 100))).orderBy(F.col("cer").asc_nulls_last(), key)
+
+
+def fixed_width(rows: DataFrame, widths: dict[str, int]) -> DataFrame:
+    """Lines of a report: text columns padded at the right and numbers at the left, as wide as given; longer values stay whole."""
+    kinds = dict(rows.dtypes)
+
+    def cell(name: str, width: int) -> Column:
+        value = F.coalesce(F.col(name).cast("string"), F.lit("-"))
+        pad = F.rpad if kinds[name] == "string" else F.lpad
+        return F.when(F.length(value) >= width, value).otherwise(pad(value, width, " "))
+
+    return rows.select(F.concat_ws(" ", *[cell(n, w) for n, w in widths.items()]).alias("value"))

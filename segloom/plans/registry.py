@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import tables, timeline
+from . import observations, readers, tables, timeline
 
 
 def queries() -> dict:
-    return timeline.QUERIES | tables.QUERIES
+    return timeline.QUERIES | tables.QUERIES | readers.QUERIES | observations.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return timeline.ORACLES | tables.ORACLES
+    return timeline.ORACLES | tables.ORACLES | readers.ORACLES | observations.ORACLES

@@ -1,22 +1,25 @@
-"""What executors share: the folder for checkpoints."""
+"""What the driver and all executors share: the folder for checkpoints and intermediate tables."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read from there.
-
-    spark.checkpoint.dir names the folder; where it is unset, one machine takes a temporary one, and a cluster is refused.
-    """
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset, one machine takes a temporary one, and a cluster is refused."""
     context = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and context.getCheckpointDir() is None:
         if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="segloom-"))
+    return named or context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read from there."""
+    shared_path(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import guarded_translation, srt_time
+from ..functions.columns import guarded_translation, js_round, srt_time
 from ..operators import folds, islands
 
 
@@ -27,6 +27,13 @@ def translation(segments: DataFrame, dst: str, src_lang: str, dst_lang: str) ->
     return segments.select("session_id", "seg_idx", F.col("text").alias("src"), good.alias("dst"), F.lit(src_lang).alias("src_lang"), F.lit(dst_lang).alias("dst_lang"), F.floor("start_ms").alias("start_time"), F.ceil("end_ms").alias("end_time"), F.lit("1").alias("speaker"))
 
 
+def untranslated(segments: DataFrame) -> DataFrame:
+    """Rows of a session that isn't translated: the text is its own translation, and times are whole."""
+    text = F.trim("text")
+    rows = segments.where(F.length(text) > 0)
+    return rows.select("session_id", "seg_idx", text.alias("src"), text.alias("dst"), js_round(F.col("start_ms")).alias("start_time"), js_round(F.col("end_ms")).alias("end_time"))
+
+
 def cues(timings: DataFrame, text: str = "dst") -> DataFrame:
     """Subtitle cues of translated and timed rows."""
     placed = timings.select("session_id", "seg_idx", F.trim(text).alias("text"), F.coalesce("actual_start_time", "start_time").alias("start_ms"), F.coalesce("actual_end_time", "end_time").alias("end_ms"))

@@ -100,22 +100,30 @@ def _inner(spark: SparkSession, sf: str) -> DataFrame:
 PLAIN = ["session_id", "seg_idx", "text", "start_ms", "end_ms"]
 
 
+def merge_sql(rows: str, order: str, max_gap: int = 1000) -> str:
+    """CTEs ``run`` and ``isle`` over the CTE ``rows``, and the SELECT of its rows of one text merged in ``order``."""
+    return f"""run AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY {order}) AS run FROM (SELECT *, CASE WHEN lag(text) OVER (PARTITION BY session_id ORDER BY {order}) = text THEN 0 ELSE 1 END AS new FROM {rows} WHERE text <> '')),
+isle AS (SELECT *, sum(far) OVER (PARTITION BY session_id, run ORDER BY {order}) AS isle FROM (SELECT *, CASE WHEN start_ms - max(end_ms) OVER (PARTITION BY session_id, run ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > {max_gap} THEN 1 ELSE 0 END AS far FROM run))
+SELECT session_id, first(seg_idx ORDER BY {order}) AS seg_idx, any_value(text) AS text, first(start_ms ORDER BY {order}) AS start_ms, max(end_ms) AS end_ms, count(*) AS n_merged FROM isle GROUP BY session_id, run, isle"""
+
+
 @query(f"""WITH {D.SEG_SQL}, o AS (SELECT session_id, seg_idx, text, start_ms, end_ms FROM seg), i AS (SELECT session_id, seg_idx, 'x' || substring(text, 1, 5) AS t, start_ms + 100 AS s, end_ms - 50 AS e FROM seg WHERE seg_idx % 2 = 0),
-c AS (SELECT o.*, i.t, i.s, i.e FROM o LEFT JOIN i ON o.session_id = i.session_id AND i.s >= o.start_ms AND i.e <= o.end_ms AND i.t <> o.text)
-SELECT session_id, seg_idx, CAST(0 AS INTEGER) AS piece, text, start_ms, coalesce(s, end_ms) AS end_ms FROM c
-UNION ALL SELECT session_id, seg_idx, 1, t, s, e FROM c WHERE s IS NOT NULL UNION ALL SELECT session_id, seg_idx, 2, text, e, end_ms FROM c WHERE s IS NOT NULL""")
+c AS (SELECT o.*, i.t, i.s, i.e FROM o LEFT JOIN i ON o.session_id = i.session_id AND i.s >= o.start_ms AND i.e <= o.end_ms AND i.t <> o.text),
+p AS (SELECT session_id, seg_idx, 0 AS piece, start_ms AS from_ms, text, start_ms, coalesce(s, end_ms) AS end_ms FROM c
+UNION ALL SELECT session_id, seg_idx, 1, start_ms, t, s, e FROM c WHERE s IS NOT NULL UNION ALL SELECT session_id, seg_idx, 2, start_ms, text, e, end_ms FROM c WHERE s IS NOT NULL),
+{merge_sql("p", "from_ms, seg_idx, piece")}""")
 def fusion_split(spark: SparkSession, sf: str) -> DataFrame:
     return intervals.fusion_split(D.seg(spark, sf).select(PLAIN), _inner(spark, sf))
 
 
-@query(f"""WITH {D.HYP_SQL}, o AS (SELECT session_id, seg_idx, text, start_ms, end_ms FROM seg WHERE seg_idx % 3 <> 1)
-SELECT *, 'ocr' AS origin FROM o UNION ALL SELECT a.*, 'asr' FROM hyp a WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.session_id = a.session_id AND o.start_ms <= a.start_ms AND o.end_ms >= a.end_ms - 500)""")
+@query(f"""WITH {D.HYP_SQL}, o AS (SELECT session_id, seg_idx, text, start_ms, end_ms FROM seg WHERE seg_idx % 3 <> 1),
+u AS (SELECT *, 0 AS source FROM o UNION ALL SELECT a.*, 1 FROM hyp a WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.session_id = a.session_id AND o.start_ms <= a.start_ms AND o.end_ms >= a.end_ms - 500)), {merge_sql("u", "start_ms, source, seg_idx")}""")
 def fusion_union(spark: SparkSession, sf: str) -> DataFrame:
     return intervals.fusion_union(D.seg(spark, sf).select(PLAIN).where("seg_idx % 3 <> 1"), D.hyp(spark, sf))
 
 
-@query(f"""WITH {D.HYP_SQL}, o AS (SELECT session_id, seg_idx, text, start_ms, end_ms FROM seg WHERE seg_idx % 3 <> 1)
-SELECT *, 'ocr' AS origin FROM o UNION ALL SELECT a.*, 'asr' FROM hyp a WHERE a.end_ms - a.start_ms <= 1000 AND NOT EXISTS (SELECT 1 FROM o WHERE o.session_id = a.session_id AND o.start_ms <= a.end_ms AND o.end_ms >= a.start_ms AND (contains(o.text, a.text) OR contains(a.text, o.text)))""")
+@query(f"""WITH {D.HYP_SQL}, o AS (SELECT session_id, seg_idx, text, start_ms, end_ms FROM seg WHERE seg_idx % 3 <> 1),
+u AS (SELECT *, 0 AS source FROM o UNION ALL SELECT a.*, 1 FROM hyp a WHERE a.end_ms - a.start_ms <= 2000 AND NOT EXISTS (SELECT 1 FROM o WHERE o.session_id = a.session_id AND o.start_ms <= a.end_ms AND o.end_ms >= a.start_ms AND (contains(o.text, a.text) OR contains(a.text, o.text)))), {merge_sql("u", "start_ms, source, seg_idx")}""")
 def fusion_short(spark: SparkSession, sf: str) -> DataFrame:
     return intervals.fusion_short(D.seg(spark, sf).select(PLAIN).where("seg_idx % 3 <> 1"), D.hyp(spark, sf))
 
@@ -129,13 +137,15 @@ def recall_cover(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.recall_report(truth, intervals.recalled(truth, D.hyp(spark, sf)))
 
 
-NOISE_SQL = """n AS (SELECT session_id, seg_idx, substring(text, 1, CASE WHEN seg_idx % 2 = 0 THEN 40 ELSE 1 END) AS text, start_ms + CASE WHEN seg_idx % 2 = 0 THEN -3000 ELSE 0 END AS start_ms, end_ms + CASE WHEN seg_idx % 2 = 0 THEN 3000 ELSE 0 END AS end_ms, CASE WHEN seg_idx % 2 = 0 THEN 30 ELSE 9 END AS frames FROM seg)"""
+NOISE_SQL = """n AS (SELECT session_id, seg_idx, CASE WHEN seg_idx % 2 = 0 THEN text ELSE list_extract(string_split(text, ' '), -1) END AS text, start_ms + CASE WHEN seg_idx % 2 = 0 THEN -3000 ELSE 0 END AS start_ms, end_ms + CASE WHEN seg_idx % 2 = 0 THEN 3000 ELSE 0 END AS end_ms, CASE WHEN seg_idx % 2 = 0 THEN 30 ELSE 9 END AS frames FROM seg)"""
 
 
 def _noisy(spark: SparkSession, sf: str) -> DataFrame:
+    """Even turns long and whole, odd ones short with their last word."""
     even = F.col("seg_idx") % 2 == 0
     pick = lambda a, b: F.when(even, a).otherwise(b)
-    return D.seg(spark, sf).select("session_id", "seg_idx", F.substring(F.col("text"), F.lit(1), pick(40, 1)).alias("text"), (F.col("start_ms") + pick(-3000, 0)).alias("start_ms"), (F.col("end_ms") + pick(3000, 0)).alias("end_ms"), pick(30, 9).alias("frames"))
+    text = pick(F.col("text"), F.element_at(F.split("text", " ", -1), -1))
+    return D.seg(spark, sf).select("session_id", "seg_idx", text.alias("text"), (F.col("start_ms") + pick(-3000, 0)).alias("start_ms"), (F.col("end_ms") + pick(3000, 0)).alias("end_ms"), pick(30, 9).alias("frames"))
 
 
 @query(f"""WITH {D.SEG_SQL}, {NOISE_SQL} SELECT * FROM n s WHERE NOT EXISTS (SELECT 1 FROM n o WHERE o.session_id = s.session_id AND o.seg_idx <> s.seg_idx AND o.start_ms <= s.start_ms AND o.end_ms >= s.end_ms AND contains(o.text, s.text) AND o.frames > 2 * s.frames)""")
@@ -160,13 +170,11 @@ def pad_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _worded(spark: SparkSession, sf: str) -> DataFrame:
-    return D.seg(spark, sf).withColumn("text", F.when(F.col("seg_idx") % 4 < 3, "same").otherwise(F.col("speaker")))
+    return D.seg(spark, sf).withColumn("text", F.when(F.col("seg_idx") % 5 == 1, "").when(F.col("seg_idx") % 4 < 3, "same").otherwise(F.col("speaker")))
 
 
-@query(f"""WITH {D.SEG_SQL}, t AS (SELECT session_id, seg_idx, CASE WHEN seg_idx % 4 < 3 THEN 'same' ELSE speaker END AS text, start_ms, end_ms FROM seg),
-r AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY start_ms, seg_idx) AS run FROM (SELECT *, CASE WHEN lag(text) OVER (PARTITION BY session_id ORDER BY start_ms, seg_idx) = text THEN 0 ELSE 1 END AS new FROM t)),
-i AS (SELECT *, sum(far) OVER (PARTITION BY session_id, run ORDER BY start_ms, seg_idx) AS island FROM (SELECT *, CASE WHEN start_ms - max(end_ms) OVER (PARTITION BY session_id, run ORDER BY start_ms, seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 400 THEN 1 ELSE 0 END AS far FROM r))
-SELECT session_id, min(seg_idx) AS seg_idx, any_value(text) AS text, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n_merged FROM i GROUP BY session_id, run, island""")
+@query(f"""WITH {D.SEG_SQL}, t AS (SELECT session_id, seg_idx, CASE WHEN seg_idx % 5 = 1 THEN '' WHEN seg_idx % 4 < 3 THEN 'same' ELSE speaker END AS text, start_ms, end_ms FROM seg),
+{merge_sql("t", "start_ms, seg_idx", 400)}""")
 def same_text_merge(spark: SparkSession, sf: str) -> DataFrame:
     return islands.merge_same_text(_worded(spark, sf), 400)
 

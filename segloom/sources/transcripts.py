@@ -37,7 +37,7 @@ def parse_log(lines: DataFrame, column: str = "value") -> DataFrame:
     pattern = r"^\s*\[(\d+):(\d+):(\d+)[.,](\d+)\s*-->\s*(\d+):(\d+):(\d+)[.,](\d+)\]\s*(.*)$"
     part = lambda k: F.regexp_extract(column, pattern, k)
     # a fraction of two or of three digits is that of a second
-    ms = lambda k: (part(k).cast("bigint") * 3600 + part(k + 1).cast("bigint") * 60 + part(k + 2).cast("bigint")) * 1000 + F.rpad(F.substring(part(k + 3), 1, 3), 3, "0").cast("bigint")
+    ms = lambda k: (part(k).try_cast("bigint") * 3600 + part(k + 1).try_cast("bigint") * 60 + part(k + 2).try_cast("bigint")) * 1000 + F.rpad(F.substring(part(k + 3), 1, 3), 3, "0").try_cast("bigint")
     return lines.where(F.col(column).rlike(pattern)).select(F.trim(part(9)).alias("text"), ms(1).alias("start_ms"), ms(5).alias("end_ms"))
 
 
@@ -55,7 +55,7 @@ def marked_output(lines: DataFrame, marker: str, order: str = "line_no") -> Data
 
 def gpu_rows(lines: DataFrame, column: str = "value") -> DataFrame:
     """Rows of a GPU tool's CSV: name, memory in GB, share used; lines of fewer than five fields are skipped."""
-    f = F.transform(F.split(column, ","), F.trim)
+    f = F.transform(F.split(column, ","), lambda x: F.trim(x))
     rows = lines.select(f.alias("f")).where(F.size("f") >= 5)
     number = lambda k: F.expr(f"try_cast(f[{k}] AS double)")
     used = F.when(number(2) > 0, number(3) / number(2) * 100).otherwise(0.0)
@@ -102,3 +102,116 @@ def patched(stored: DataFrame, patch: DataFrame, key: str) -> DataFrame:
     named = patch.select(F.col(key), *[F.col(c).alias(f"__{c}") for c in patch.columns if c != key])
     joined = stored.join(named, key, "left")
     return joined.select(*[F.coalesce(f"__{c}", c).alias(c) if c != key and c in patch.columns else F.col(c) for c in stored.columns])
+
+
+def resolved_paths(wanted: DataFrame, listed: DataFrame) -> DataFrame:
+    """path, file: for each wanted path the file that it names among ``listed`` (path): itself if it is JSON, else the
+    transcript in its ``metadata`` folder or in itself. A path that names none is an error."""
+    own = F.col("path").endswith(".json")
+    names = F.when(own, F.array("path")).otherwise(F.array(F.concat("path", F.lit("/metadata/asr.json")), F.concat("path", F.lit("/asr.json"))))
+    tried = wanted.select("path", F.posexplode(names).alias("prio", "file"))
+    found = tried.join(listed.select(F.col("path").alias("file"), F.lit(True).alias("there")).distinct(), "file", "left")
+    first = found.groupBy("path").agg(F.min_by("file", F.when(F.col("there"), F.col("prio"))).alias("file"))
+    return first.select("path", F.coalesce("file", F.raise_error(F.concat(F.lit("no transcript at "), "path")).cast("string")).alias("file"))
+
+
+def monitor_rows(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Rows of a GPU monitor's fixed columns: lines that begin with a number; memory and use are the last two percentages."""
+    shares = F.transform(F.regexp_extract_all(column, F.lit(r"(\d+)%"), F.lit(1)), lambda x: x.cast("int"))
+    number = lambda pattern, kind: F.nullif(F.regexp_extract(column, pattern, 1), F.lit("")).cast(kind)
+    rows = lines.where(F.col(column).rlike(r"^\d+\s+")).withColumn("shares", shares)
+    last = lambda k: F.when(F.size("shares") >= k, F.get("shares", F.size("shares") - k)).otherwise(0)
+    return rows.select(number(r"^(\d+)", "int").alias("gpu"), F.coalesce(number(r"([\d.]+)°C", "double"), F.lit(0.0)).alias("temperature"), last(2).alias("memory_percent"), last(1).alias("gpu_percent"))
+
+
+def memory_totals(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Gigabytes of each kind of memory that lines ``KIND Total Memory (B): n`` name."""
+    kind, size = (F.regexp_extract(column, r"(\w+)\s+Total Memory \(B\):\s*(\d+)", k) for k in (1, 2))
+    return lines.where(kind != "").select(kind.alias("kind"), (size.cast("double") / (1 << 30)).alias("gb"))
+
+
+DEVICE = "deviceName STRING, vendorID BIGINT, heaps ARRAY<STRUCT<size:BIGINT,local:BOOLEAN>>"
+# Vendors by id.
+VENDORS = {0x10DE: "nvidia", 0x1002: "amd", 0x1022: "amd", 0x8086: "intel"}
+
+
+def devices(outputs: DataFrame, column: str = "value") -> DataFrame:
+    """Devices of a tool's outputs, each of them JSON (see DEVICE) or else text with lines ``name = value`` and heaps."""
+    parsed = F.from_json(column, DEVICE)
+    line = lambda name, pattern: F.nullif(F.regexp_extract(column, rf"{name}\s*=\s*({pattern})", 1), F.lit(""))
+    heaps = F.transform(
+        F.regexp_extract_all(column, F.lit(r"(?s)memoryHeaps\[\d+\]:.*?(?=memoryHeaps\[|$)"), F.lit(0)),
+        lambda h: F.struct(F.regexp_extract(h, r"size\s*=\s*(\d+)", 1).cast("bigint").alias("size"), h.contains("MEMORY_HEAP_DEVICE_LOCAL_BIT").alias("local")),
+    )
+    text = F.struct(F.trim(line("deviceName", "[^\n]+")).alias("deviceName"), F.conv(F.substring(line("vendorID", "0x[0-9a-fA-F]+"), 3, 16), 16, 10).cast("bigint").alias("vendorID"), heaps.alias("heaps"))
+    one = outputs.select(F.when(F.try_parse_json(column).isNotNull(), parsed).otherwise(text).alias("d")).select("d.*").where("deviceName IS NOT NULL")
+    most = lambda local: F.coalesce(F.array_max(F.transform(F.filter("heaps", lambda h: h["local"] == F.lit(local)), lambda h: h["size"])) / (1 << 30), F.lit(0.0))
+    vendor = F.coalesce(F.create_map(*[F.lit(x) for pair in VENDORS.items() for x in pair])[F.col("vendorID")], F.lit("unknown"))
+    sized = one.select(F.col("deviceName").alias("name"), vendor.alias("vendor"), most(True).alias("local_gb"), most(False).alias("shared_gb"))
+    kind = F.when((F.col("local_gb") > 0) & (F.col("shared_gb") > 0), "shared").when(F.col("local_gb") > 0, "dedicated").otherwise("unknown")
+    return sized.withColumn("memory", kind)
+
+
+def font_families(lines: DataFrame, column: str = "value") -> DataFrame:
+    """family: the names in comma-separated lines, each once."""
+    return lines.select(F.explode(F.transform(F.split(column, ","), lambda x: F.trim(x))).alias("family")).where("family <> ''").distinct()
+
+
+def font_report(configured: DataFrame, families: DataFrame) -> DataFrame:
+    """Configured families (family) and whether they are there, and for those that aren't the first family that is."""
+    first = families.agg(F.min("family").alias("first"))  # one row
+    marked = configured.join(families.select("family", F.lit(True).alias("there")).distinct(), "family", "left").join(F.broadcast(first))
+    return marked.select("family", F.col("there").isNotNull().alias("available"), F.when(F.col("there").isNull(), F.col("first")).alias("suggestion"))
+
+
+def vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """token, piece: from lines ``piece token``, or from a JSON array of pieces in order."""
+    text = spark.read.text(path, wholetext=True).select(F.col("value").alias("v"))
+    listed = F.from_json("v", "array<string>")
+    split = F.transform(F.filter(F.split("v", "\n"), lambda x: F.trim(x) != ""), lambda x: F.struct(F.element_at(F.split(F.trim(x), " "), -1).cast("int").alias("token"), F.element_at(F.split(F.trim(x), " "), 1).alias("piece")))
+    rows = F.when(F.ltrim("v").startswith("["), F.transform(listed, lambda x, i: F.struct(i.alias("token"), x.alias("piece")))).otherwise(split)
+    return text.select(F.inline(rows))
+
+
+def session_info(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A row for each session's JSON file below ``path``, with its pipeline (``dub`` where it names none)."""
+    rows = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    return rows.withColumns({"pipeline": F.coalesce("pipeline", F.lit("dub")), "path": F.col("_metadata.file_path")})
+
+
+def renamed_words(segments: DataFrame) -> DataFrame:
+    """Segments whose words' ``word`` is called ``text``."""
+    return segments.withColumn("words", F.transform("words", lambda w: F.struct(F.coalesce(w["word"], w["text"]).alias("text"), w["start"].alias("start"), w["end"].alias("end"), w["probability"].alias("probability"))))
+
+
+def write_documents(segments: DataFrame, path: str, append: bool = False) -> None:
+    """Each session's document as a line of JSON below ``path``, which is replaced unless ``append``."""
+    documents_of(segments).write.mode("append" if append else "overwrite").json(path)
+
+
+def write_subtitles(cues: DataFrame, path: str) -> None:
+    """An SRT file in a folder for each session."""
+    subtitle_files(cues).write.mode("overwrite").partitionBy("session_id").text(path)
+
+
+def append_log(lines: DataFrame, path: str) -> None:
+    """Lines (value) added to the text files below ``path``."""
+    lines.select("value").write.mode("append").text(path)
+
+
+def save_results(results: DataFrame, path: str, append: bool = False) -> None:
+    """Results in place of those below ``path``, or beside them."""
+    results.write.mode("append" if append else "overwrite").json(path)
+
+
+def json_schema(df: DataFrame) -> str:
+    """The schema of a table as JSON."""
+    return df.schema.json()
+
+
+def result_json(lines: DataFrame) -> DataFrame:
+    """session_id, value: a session's lines (text, confidence, box) and their joined text as JSON, confidences to two digits."""
+    listed = F.array_sort(F.collect_list(F.struct("frame_idx", "text", F.round("confidence", 2).cast("decimal(5,2)").alias("confidence"), "box")))
+    segments = F.transform(listed, lambda x: F.struct(x["text"].alias("text"), x["confidence"].alias("confidence"), x["box"].alias("box")))
+    whole = F.array_join(F.transform(listed, lambda x: x["text"]), "")
+    return lines.groupBy("session_id").agg(F.to_json(F.struct(whole.alias("text"), segments.alias("segments"))).alias("value"))
