@@ -1,202 +1,328 @@
 """A causal self-attention model of one layer, in numpy: trained by gradient descent, scored in batches of windows.
 
-The output is a softmax over groups and, within the wanted token's group, a softmax over its MEMBERS. Groups without
-members of their own (those past the last of ``inner``) have the first softmax only.
-
-A window has 2 * STRIDE places. Its second half is scored, each token from all tokens before it in the window; windows
-are STRIDE apart, so that each token of a text is scored once, with STRIDE to 2 * STRIDE tokens of context.
+Inputs are pieces: a frequent one has an embedding of its own, any other the sum of one for its row and one for its
+column in a square of all others. The output is a softmax over groups, and within the wanted piece's group a softmax
+over its members; in the last group, that of the square, over rows and then over the columns of the row. So every
+piece has its own probability, from the same hidden state.
+
+A window has 2 * STRIDE places. In training, windows lie side by side and every token is predicted from those before it
+in its window. In scoring they are STRIDE apart and overlap: the second half is scored, so that each token of a text is
+scored once, with STRIDE to 2 * STRIDE tokens of context.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
+from functools import cached_property
 
 import numpy as np
 
-STRIDE, WIDTH = 8, 16
-MEMBERS = 16
-#: Windows that are scored at a time; some 6 kB each, so that they stay in the cache.
-AT_ONCE = 512
-BATCH, RATE = 128, 0.03
+STRIDE, WIDTH, HIDDEN = 8, 24, 48
+PLACES = 2 * STRIDE
+#: Groups of frequent pieces and members of each; rows and columns of the square of all others.
+GROUPS, MEMBERS, SIDE = 32, 16, 179
+OWN = GROUPS * MEMBERS
+START = OWN + 2 * SIDE
+#: Windows that are scored at a time; windows in the first step of training, in later ones at most, and how they grow.
+AT_ONCE, BATCH, MOST, GROWTH, RATE = 512, 64, 512, 2, 0.01
 
 
 @dataclass
 class Weights:
-    slots: np.ndarray  # one row for each input
+    slots: np.ndarray  # own pieces, rows, columns, and one for the start of a text
     places: np.ndarray
-    query: np.ndarray
-    key: np.ndarray
-    value: np.ndarray
-    mix: np.ndarray
+    mix_in: np.ndarray  # to queries, keys and values
+    mix_out: np.ndarray
+    wide: np.ndarray
+    wide_bias: np.ndarray
+    narrow: np.ndarray
     out: np.ndarray
     bias: np.ndarray
-    inner: np.ndarray  # [groups with members, WIDTH, MEMBERS]
+    inner: np.ndarray  # [GROUPS, WIDTH, MEMBERS]
     inner_bias: np.ndarray
+    rows: np.ndarray
+    rows_bias: np.ndarray
+    columns: np.ndarray
 
     @classmethod
-    def start(cls, slots: int, share: np.ndarray, inner_share: np.ndarray) -> Weights:
+    def start(cls, share: Shares) -> Weights:
         rng = np.random.default_rng(0)
-        some = lambda *shape: (rng.standard_normal(shape) * WIDTH**-0.5 * 0.5).astype(np.float32)
-        square = [some(WIDTH, WIDTH) for _ in range(4)]
-        groups = len(inner_share)
-        return cls(some(slots, WIDTH), some(2 * STRIDE, WIDTH), *square, some(WIDTH, len(share)), np.log(share).astype(np.float32), some(groups, WIDTH, MEMBERS), np.log(inner_share).astype(np.float32))
+        some = lambda *shape: (rng.standard_normal(shape) * shape[-2] ** -0.5 * 0.5).astype(np.float32)
+        flat = lambda x: np.log(x).astype(np.float32)
+        slots = (rng.standard_normal((OWN + 2 * SIDE + 1, WIDTH)) * 0.1).astype(np.float32)
+        return cls(
+            slots, slots[:PLACES] * 0, some(WIDTH, 3 * WIDTH), some(WIDTH, WIDTH), some(WIDTH, HIDDEN), np.zeros(HIDDEN, dtype=np.float32), some(HIDDEN, WIDTH) * 0.1,
+            some(WIDTH, GROUPS + 1) * 0.1, flat(share.groups), some(GROUPS, WIDTH, MEMBERS) * 0.1, flat(share.members), some(WIDTH, SIDE) * 0.1, flat(share.rows), some(WIDTH, SIDE) * 0.1,
+        )
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, f.name).ravel() for f in fields(self)])
 
     def filled(self, values: np.ndarray) -> Weights:
-        """Weights of the same shapes."""
+        """Weights of the same shapes, as views of ``values``."""
         made, at = [], 0
         for f in fields(self):
             old = getattr(self, f.name)
-            made.append(values[at : at + old.size].reshape(old.shape).astype(np.float32))
+            made.append(values[at : at + old.size].reshape(old.shape))
             at += old.size
         return Weights(*made)
 
 
-def windows(slots: np.ndarray, begins: np.ndarray, ends: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Input slots [windows, 2 * STRIDE], which of them there are, and the place of the first token that each window scores.
-
-    Texts are slices of ``slots``; input k of a text is its token k - 1, and input 0 is ``start``.
-    """
-    n = -(-(ends - begins) // STRIDE)
+@dataclass
+class Shares:
+    """Where each piece belongs, and shares among all training tokens: of groups, of members of each, of rows, and the logs of
+    those of the columns of each row, which stay as they are."""
+
+    group: np.ndarray  # by piece; GROUPS for the square
+    member: np.ndarray  # by piece: its place in the group, or row * SIDE + column
+    groups: np.ndarray
+    members: np.ndarray
+    rows: np.ndarray
+    log_columns: np.ndarray
+
+    @cached_property
+    def slots(self) -> tuple[np.ndarray, np.ndarray]:
+        """The slot of each piece and of the start, and the second slot of a piece in the square, -1 for others."""
+        square = self.group == GROUPS
+        row, column = np.divmod(self.member, SIDE)
+        first, second = np.where(square, OWN + row, self.group * MEMBERS + self.member), np.where(square, OWN + SIDE + column, -1)
+        return np.append(first, START).astype(np.int16), np.append(second, -1).astype(np.int16)
+
+
+def embeddings(w: Weights, shares: Shares) -> np.ndarray:
+    """The embedding of every piece, and that of the start as the last one."""
+    first, second = shares.slots
+    made = w.slots[first]
+    square = np.flatnonzero(second >= 0)
+    made[square] += w.slots[second[square]]
+    return made
+
+
+def side_by_side(begins: np.ndarray, ends: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first token of each window of texts that are slices of one row of tokens, and the text that it belongs to."""
+    n = -(-(ends - begins) // stride)
     text = np.repeat(np.arange(len(n)), n)
-    first = begins[text] + STRIDE * (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n))
-    at = first[:, None] + np.arange(-STRIDE, STRIDE)  # the input for the token at this place
-    there = (at >= begins[text][:, None]) & (at < ends[text][:, None])
-    before = slots[np.clip(at - 1, 0, max(len(slots) - 1, 0))] if len(slots) else at
-    return np.where(there, np.where(at == begins[text][:, None], start, before), start), there, first
+    return begins[text] + stride * (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)), text
+
+
+def inputs(ids: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """For places ``at`` of windows, the piece before each (``start`` at a text's beginning), and which places there are."""
+    there = (at >= begin[:, None]) & (at < end[:, None])
+    before = ids[np.clip(at - 1, 0, len(ids) - 1)]
+    return np.where(there & (at > begin[:, None]), before, start), there
 
 
-_SEEN = (np.arange(2 * STRIDE)[None, :] <= np.arange(STRIDE, 2 * STRIDE)[:, None]).astype(np.float32)
-_LATER = np.where(np.arange(2 * STRIDE)[None, :] > np.arange(STRIDE, 2 * STRIDE)[:, None], np.float32(-1e9), np.float32(0))
+_LATER = np.triu(np.full((PLACES, PLACES), -1e9, dtype=np.float32), 1)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=-1, keepdims=True))
+    x -= x.max(axis=-1, keepdims=True)
+    np.exp(x, out=x)
     x /= x.sum(axis=-1, keepdims=True)
     return x
 
 
-def _picked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return x[np.arange(len(at)), at]
-
-
 def _log_share(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    np.clip(logits, -60, 60, out=logits)
+    logits -= logits.max(axis=-1, keepdims=True)
     found = logits[np.arange(len(at)), at]
     np.exp(logits, out=logits)
-    return found - np.log(logits @ np.ones(logits.shape[-1], dtype=np.float32))
+    return found - np.log(logits @ np.ones(logits.shape[-1], dtype=logits.dtype))
+
+
+def _by_group(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in order of their group, and where each group begins among them."""
+    order = np.argsort(group.astype(np.uint8), kind="stable")
+    return order, np.searchsorted(group[order], np.arange(GROUPS + 2))
 
 
 class Scorer:
-    """Projections of all slots and places made once, so that a window needs gathers, a few products and softmaxes."""
-
-    def __init__(self, w: Weights):
-        scale = np.float32(WIDTH**-0.5)
-        self.w = w
-        self.query, self.query_place = w.slots @ w.query * scale, (w.places @ w.query * scale)[STRIDE:]
-        self.both, self.both_place = (np.concatenate([x @ w.key, x @ w.value], axis=1) for x in (w.slots, w.places))
-
-    def slots_placed(self, last: np.ndarray) -> np.ndarray:
-        z = self.w.slots.take(last, axis=0)
-        z += self.w.places[STRIDE:]
-        return z.reshape(-1, WIDTH)
-
-    def log_shares(self, inputs: np.ndarray, there: np.ndarray, group: np.ndarray, member: np.ndarray) -> np.ndarray:
-        """Natural log of the share of each wanted group and member, [windows, STRIDE]."""
-        found = np.empty(group.shape, dtype=np.float32)
-        w, inner, ones = self.w, len(self.w.inner), np.ones(2 * STRIDE, dtype=np.float32)
-        for i in range(0, len(inputs), AT_ONCE):
-            x, seen = inputs[i : i + AT_ONCE], there[i : i + AT_ONCE]
-            last = x[:, STRIDE:]
-            kv = self.both.take(x, axis=0)
-            kv += self.both_place
-            q = self.query.take(last, axis=0)
-            q += self.query_place
-            scores = q @ kv[:, :, :WIDTH].transpose(0, 2, 1)
-            np.clip(scores, -60, 60, out=scores)
-            np.exp(scores, out=scores)
-            scores *= _SEEN
-            if not seen.all():
-                scores *= seen[:, None, :]
-            total = scores.reshape(-1, 2 * STRIDE) @ ones
-            z = (scores @ kv[:, :, WIDTH:]).reshape(-1, WIDTH)
-            z /= np.maximum(total, np.float32(1e-30))[:, None]  # places past a text's end see nothing, and aren't counted
-            z = z @ w.mix
-            z += self.slots_placed(last)
-            g, m = group[i : i + AT_ONCE].ravel(), member[i : i + AT_ONCE].ravel()
-            shares = _log_share(z @ w.out + w.bias, g)
-            order = np.argsort(g.astype(np.uint8), kind="stable")
-            stops = np.searchsorted(g[order], np.arange(inner + 1))
-            rows = order[: stops[-1]]
-            zs, logits = z[rows], np.empty((len(rows), MEMBERS), dtype=np.float32)
-            for k in range(inner):
-                mine = slice(stops[k], stops[k + 1])
-                logits[mine] = zs[mine] @ w.inner[k]
-                logits[mine] += w.inner_bias[k]
-            shares[rows] += _log_share(logits, m[rows])
-            found[i : i + AT_ONCE] = shares.reshape(len(x), STRIDE)
+    """Queries, keys and values of all pieces and places made once, so that a window needs gathers, a few products and softmaxes."""
+
+    def __init__(self, w: Weights, shares: Shares):
+        self.w, self.shares = w, shares
+        self.pieces = embeddings(w, shares)
+        scale = np.ones(3 * WIDTH, dtype=np.float32)
+        scale[:WIDTH] = WIDTH**-0.5
+        self.mixed, self.mixed_place = self.pieces @ w.mix_in * scale, w.places @ w.mix_in * scale
+
+    def log_shares(self, x: np.ndarray, there: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Natural logs of the probabilities of the pieces ``wanted`` at the windows' second halves, [windows, STRIDE]."""
+        found = np.empty(wanted.shape, dtype=np.float32)
+        for i in range(0, len(x), AT_ONCE):
+            one = slice(i, i + AT_ONCE)
+            found[one] = self._block(x[one], there[one], wanted[one])
         return found
 
-
-def gradients(w: Weights, x: np.ndarray, there: np.ndarray, group: np.ndarray, member: np.ndarray) -> tuple[float, Weights]:
-    """Mean loss of the scored tokens that there are, and its derivatives."""
-    scale = np.float32(WIDTH**-0.5)
-    used = there[:, STRIDE:].ravel()
-    n = np.float32(max(int(used.sum()), 1))
-    rows = lambda t: t.reshape(-1, t.shape[-1])
-    h = w.slots[x] + w.places
-    hq = h[:, STRIDE:]
-    q, k, v = hq @ w.query, h @ w.key, h @ w.value
-    a = _softmax(q @ k.transpose(0, 2, 1) * scale + _LATER + np.where(there, np.float32(0), np.float32(-1e9))[:, None, :])
-    c = a @ v
-    z = rows(hq + c @ w.mix)
-    g, m = group.ravel(), member.ravel()
-
-    def losses(logits: np.ndarray, at: np.ndarray, counted: np.ndarray) -> tuple[float, np.ndarray]:
+    def _block(self, x: np.ndarray, there: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        w = self.w
+        mixed = self.mixed.take(x, axis=0)
+        mixed += self.mixed_place
+        a = mixed[:, STRIDE:, :WIDTH] @ mixed[:, :, WIDTH : 2 * WIDTH].transpose(0, 2, 1)
+        a += _LATER[STRIDE:]
+        if not there.all():
+            a += np.where(there, np.float32(0), np.float32(-1e9))[:, None, :]
+        last = self.pieces.take(x[:, STRIDE:], axis=0)
+        last += w.places[STRIDE:]
+        z = last.reshape(-1, WIDTH) + (_softmax(a) @ mixed[:, :, 2 * WIDTH :]).reshape(-1, WIDTH) @ w.mix_out
+        high = z @ w.wide
+        high += w.wide_bias
+        np.maximum(high, 0, out=high)
+        z += high @ w.narrow
+        flat = wanted.ravel()
+        group, member = self.shares.group[flat], self.shares.member[flat]
+        logits = z @ w.out
+        logits += w.bias
+        shares = _log_share(logits, group)
+        order, begin = _by_group(group)
+        inner = np.empty((begin[GROUPS], MEMBERS), dtype=np.float32)
+        for k in range(GROUPS):
+            mine = order[begin[k] : begin[k + 1]]
+            np.matmul(z[mine], w.inner[k], out=inner[begin[k] : begin[k + 1]])
+            inner[begin[k] : begin[k + 1]] += w.inner_bias[k]
+        own = order[: begin[GROUPS]]
+        shares[own] += _log_share(inner, member[own])
+        if len(rest := order[begin[GROUPS] :]):
+            row, column = np.divmod(member[rest], SIDE)
+            shares[rest] += _log_share(z[rest] @ w.rows + w.rows_bias, row)
+            shares[rest] += _log_share(z[rest] @ w.columns + self.shares.log_columns[row], column)
+        return shares.reshape(wanted.shape)
+
+
+def gradients(w: Weights, shares: Shares, x: np.ndarray, there: np.ndarray, wanted: np.ndarray) -> tuple[float, Weights]:
+    """Mean loss of the tokens that there are, and its derivatives. ``x`` has pieces, the number of pieces for the start."""
+    kind = w.slots.dtype
+    flat_x = x.ravel()
+    one, two = (slot.take(flat_x) for slot in shares.slots)
+    square = np.flatnonzero(two >= 0)
+    h = w.slots.take(one, axis=0)
+    h[square] += w.slots[two[square]]
+    shape = (*x.shape, WIDTH)
+    h = (h.reshape(shape) + w.places).reshape(-1, WIDTH)
+    mixed = (h @ w.mix_in).reshape(*x.shape, 3 * WIDTH)
+    q, k, v = mixed[..., :WIDTH], mixed[..., WIDTH : 2 * WIDTH], mixed[..., 2 * WIDTH :]
+    scale = kind.type(WIDTH**-0.5)
+    a = q @ k.transpose(0, 2, 1)
+    a *= scale
+    a += _LATER
+    a = _softmax(a)
+    c = (a @ v).reshape(-1, WIDTH)
+    y = h + c @ w.mix_out
+    high = y @ w.wide + w.wide_bias
+    np.maximum(high, 0, out=high)
+    z = y + high @ w.narrow
+    full = there.all()
+    used = slice(None) if full else np.flatnonzero(there.ravel())
+    z_used, target = z[used], wanted.ravel()[used]
+    n = max(len(target), 1)
+    group, member = shares.group[target], shares.member[target]
+
+    def losses(logits: np.ndarray, at: np.ndarray) -> tuple[float, np.ndarray]:
         p = _softmax(logits)
-        lost = -np.log(_picked(p, at) + 1e-20)
-        p[np.arange(len(p)), at] -= 1
-        return float(lost[counted].sum() / n), p * (counted[:, None] / n)
-
-    loss, dl = losses(z @ w.out + w.bias, g, used)
-    dz, inner, inner_bias = dl @ w.out.T, np.zeros_like(w.inner), np.zeros_like(w.inner_bias)
-    order = np.argsort(g, kind="stable")
-    stops = np.searchsorted(g[order], np.arange(len(inner) + 1))
-    for j in range(len(inner)):
-        mine = order[stops[j] : stops[j + 1]]
-        if len(mine):
-            more, di = losses(z[mine] @ w.inner[j] + w.inner_bias[j], m[mine], used[mine])
-            loss += more
-            inner[j], inner_bias[j] = z[mine].T @ di, di.sum(axis=0)
-            dz[mine] += di @ w.inner[j].T
-    out, bias = z.T @ dl, dl.sum(axis=0)
-    dz = dz.reshape(hq.shape)
-    dc = dz @ w.mix.T
+        rows = np.arange(len(p))
+        lost = -float(np.log(p[rows, at] + 1e-20).sum())
+        p[rows, at] -= 1
+        p /= n
+        return lost / n, p
+
+    loss, d = losses(z_used @ w.out + w.bias, group)
+    g_out, g_bias, dz_used = z_used.T @ d, d.sum(axis=0), d @ w.out.T
+    order, begin = _by_group(group)
+    g_inner, g_inner_bias = np.zeros_like(w.inner), np.zeros_like(w.inner_bias)
+    logits = np.empty((begin[GROUPS], MEMBERS), dtype=kind)
+    own = order[: begin[GROUPS]]
+    z_own = z_used[own]
+    for j in range(GROUPS):
+        mine = slice(begin[j], begin[j + 1])
+        np.matmul(z_own[mine], w.inner[j], out=logits[mine])
+        logits[mine] += w.inner_bias[j]
+    more, d = losses(logits, member[own])
+    loss += more
+    dz_own = np.empty_like(z_own)
+    for j in range(GROUPS):
+        mine = slice(begin[j], begin[j + 1])
+        np.matmul(z_own[mine].T, d[mine], out=g_inner[j])
+        g_inner_bias[j] = d[mine].sum(axis=0)
+        np.matmul(d[mine], w.inner[j].T, out=dz_own[mine])
+    dz_used[own] += dz_own
+    rest = order[begin[GROUPS] :]
+    row, column = np.divmod(member[rest], SIDE)
+    z_rest = z_used[rest]
+    more, d_row = losses(z_rest @ w.rows + w.rows_bias, row)
+    again, d_column = losses(z_rest @ w.columns + shares.log_columns[row], column)
+    loss += more + again
+    dz_used[rest] += d_row @ w.rows.T + d_column @ w.columns.T
+    dz = dz_used
+    if not full:
+        dz = np.zeros_like(z)
+        dz[used] = dz_used
+    d_high = dz @ w.narrow.T
+    d_high *= high > 0
+    dy = dz + d_high @ w.wide.T
+    dc = (dy @ w.mix_out.T).reshape(shape)
     da, dv = dc @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dc
-    ds = a * (da - (da * a).sum(axis=-1, keepdims=True)) * scale
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    dh = dk @ w.key.T + dv @ w.value.T
-    dh[:, STRIDE:] += dq @ w.query.T + dz
-    slots = np.zeros_like(w.slots)
-    np.add.at(slots, x.ravel(), rows(dh))
-    return loss, Weights(slots, dh.sum(axis=0), rows(hq).T @ rows(dq), rows(h).T @ rows(dk), rows(h).T @ rows(dv), rows(c).T @ rows(dz), out, bias, inner, inner_bias)
-
-
-def train(w: Weights, x: np.ndarray, there: np.ndarray, group: np.ndarray, member: np.ndarray, seed: int, rate: float = RATE) -> tuple[Weights, float]:
-    """One pass of Adam over the windows; the weights after it, and the mean loss during it."""
-    order = np.random.default_rng(seed).permutation(len(x))
-    flat = w.flat()
-    mean, square, total = np.zeros_like(flat), np.zeros_like(flat), 0.0
-    steps = -(-len(x) // BATCH)
-    for t in range(steps):
-        rows = order[t * BATCH : (t + 1) * BATCH]
-        loss, g = gradients(w.filled(flat), x[rows], there[rows], group[rows], member[rows])
-        total += loss
-        g = g.flat()
-        mean += 0.1 * (g - mean)
-        square += 0.001 * (g * g - square)
-        now = rate * (1 - t / steps) + rate / 20
-        flat -= now * (mean / (1 - 0.9 ** (t + 1))) / (np.sqrt(square / (1 - 0.999 ** (t + 1))) + 1e-8)
-    return w.filled(flat), total / max(steps, 1)
+    da -= (da * a).sum(axis=-1, keepdims=True)
+    da *= a
+    da *= scale
+    d_mixed = np.concatenate([da @ k, da.transpose(0, 2, 1) @ q, dv], axis=-1).reshape(-1, 3 * WIDTH)
+    dh = dy + d_mixed @ w.mix_in.T
+    g_slots = np.zeros_like(w.slots)
+    for slot, rows in ((one, np.arange(len(one))), (two[square], square)):
+        if len(rows):
+            by = np.argsort(slot, kind="stable")
+            starts = np.flatnonzero(np.diff(slot[by], prepend=-1))
+            g_slots[slot[by[starts]]] += np.add.reduceat(dh[rows[by]], starts, axis=0)
+    return loss, Weights(
+        g_slots, dh.reshape(shape).sum(axis=0), h.T @ d_mixed, c.T @ dy, y.T @ d_high, d_high.sum(axis=0), high.T @ dz, g_out, g_bias, g_inner, g_inner_bias,
+        z_rest.T @ d_row, d_row.sum(axis=0), z_rest.T @ d_column,
+    )
+
+
+class Trainer:
+    """Adam over windows in the order in which they come, mixed within what ``learn`` is given; rates fall from step to step."""
+
+    def __init__(self, w: Weights, shares: Shares, rate: float = RATE):
+        self.values = w.flat()
+        self.w, self.shares, self.rate = w.filled(self.values), shares, rate
+        self.mean, self.square, self.steps = np.zeros_like(self.values), np.zeros_like(self.values), 0
+        self.seen = 0  # tokens
+
+    def learn(self, ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> float:
+        """One pass over the windows of some texts; the mean loss by token."""
+        first, text = side_by_side(begins, ends, PLACES)
+        order = np.random.default_rng(self.steps).permutation(len(first))
+        total, i = 0.0, 0
+        while i < len(order):
+            chosen = order[i : i + min(MOST, BATCH + self.steps // GROWTH)]
+            i += len(chosen)
+            at = first[chosen][:, None] + np.arange(PLACES)
+            x, there = inputs(ids, at, begins[text[chosen]], ends[text[chosen]], len(self.shares.group))
+            loss, g = gradients(self.w, self.shares, x, there, ids[np.minimum(at, len(ids) - 1)])
+            total += loss * int(there.sum())
+            self._step(g.flat())
+        self.seen += int((ends - begins).sum())
+        return total / max(int((ends - begins).sum()), 1)
+
+    def _step(self, g: np.ndarray) -> None:
+        self.steps += 1
+        self.mean += 0.1 * (g - self.mean)
+        self.square += 0.005 * (g * g - self.square)
+        rate = self.rate * min(1.0, self.steps / 20) / (1 + self.steps / 300) ** 0.5
+        self.values -= rate * (self.mean / (1 - 0.9**self.steps)) / (np.sqrt(self.square / (1 - 0.995**self.steps)) + 1e-6)
+
+
+def score_texts(scorer: Scorer, ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The natural log of each text's probability; arrays are made for AT_ONCE windows at a time."""
+    first, text = side_by_side(begins, ends, STRIDE)
+    total = np.zeros(len(first) + 1)
+    for i in range(0, len(first), AT_ONCE):
+        one = slice(i, i + AT_ONCE)
+        of = text[one]
+        at = first[one][:, None] + np.arange(-STRIDE, STRIDE)
+        x, there = inputs(ids, at, begins[of], ends[of], len(scorer.shares.group))
+        wanted = at[:, STRIDE:]
+        logs = scorer.log_shares(x, there, ids[np.minimum(wanted, len(ids) - 1)])
+        total[1:][one] = np.where(there[:, STRIDE:], logs, 0).sum(axis=1, dtype=np.float64)
+    total = np.cumsum(total)
+    n = -(-(ends - begins) // STRIDE)
+    stop = np.cumsum(n)
+    return total[stop] - total[stop - n]

@@ -1,18 +1,18 @@
 """LM scoring: a causal self-attention model on subword ids gives each text's probability.
 
 The model's event is the text's words, A-Z lower-cased, and one end. Words are encoded as pieces of a SentencePiece
-model (``piece_coding``). The most frequent pieces are told apart by the attention model alone, from the pieces before
-them: first their group, then the piece. A group has pieces with like neighbours in all training words. All other
-pieces form two groups, in which a piece's probability is its share in all training documents.
+model (``piece_coding``), once, into a table beside the rows. Every piece has its own probability (``attention``): the most
+frequent ones stand in groups of pieces with like neighbours, all others in a square of rows and columns.
 
-Training: word counts, piece counts and piece neighbours cover all training documents. The attention weights learn
-from one run of RUN words in every EVERY runs of every training document, at least one of each, so they see the same
-share of any corpus; runs are dealt to as many tasks as SHARD needs, each task makes a pass of gradient descent, and
-the weights are averaged, ROUNDS times. Only averaged weights, figures by piece and frequent words reach the driver.
+Training: counts of words, pieces and neighbours cover all training documents, and so does gradient descent: every token of
+every training document is predicted once, in rounds over growing parts of the documents (PARTS), each task going through
+its own documents from the weights that the round before gave; the tasks' changes are averaged by their tokens. Corpora of
+fewer than LEAST_TOKENS tokens are gone through several times. Only averaged weights, figures by piece and frequent words
+reach the driver.
 
-Beside it stands the base, a unigram model of whole words. Words that are at least N / FREQUENT of the training tokens,
-so at most FREQUENT of them, are looked up in a broadcast table; all others are joined with the counts by a shuffle, in
-which no key is hot.
+Beside it stands the base, a unigram model of whole words. Words that are at least N / FREQUENT of the training tokens and
+not overlong, so at most FREQUENT of them, are looked up in a broadcast table; all others are joined with the counts by a
+shuffle, in which no key is hot.
 
 Defined cases: a null text counts as empty and scores its end alone; without training documents shares are even and
 ``n_known`` is 0; null ids count as training rows with the CRC of the empty string; repeated rows count as often as they
@@ -22,8 +22,6 @@ occur; empty tables give no rows; other columns don't matter. Texts of any lengt
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
-
 from math import log10
 
 import numpy as np
@@ -32,21 +30,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention
-from .attention import MEMBERS, Scorer, Weights
+from .attention import GROUPS, MEMBERS, OWN, RATE, SIDE, Scorer, Shares, Trainer, Weights, score_texts
 from .common import map_arrow, read, slices, table, text_or_empty
 from .piece_coding import model_path, viterbi
 from .subwords import SPACE, Batch, pieces, spread, sums
 
 FOLDS, HELD_OUT = 5, 1
-#: A word with at least this fraction of the tokens is frequent: at most so many words, some 20 bytes each.
-FREQUENT = 4_000_000
-RUN, EVERY, SHARD, ROUNDS = 16, 16, 20_000, 2
-DEPTH, BUCKETS = 5, 128
-GROUPS = 2**DEPTH
-OWN = GROUPS * MEMBERS
-#: Bytes of text that a task holds as arrays at a time, and as lists of words; a longer text makes a slice of its own.
-ARRAY_BYTES, LIST_BYTES = 4 << 20, 16 << 20
+#: A word with at least this fraction of the tokens is frequent if it has at most LONGEST characters: some 30 bytes each.
+FREQUENT, LONGEST = 500_000, 40
+#: Sixteenths of the documents at which the rounds end; passes over a small corpus.
+PARTS, LEAST_TOKENS, PASSES = (1, 5, 16), 4_000_000, 6
+DEPTH, BUCKETS = 5, 128  # 2**DEPTH groups
+#: Bytes of text, and tokens, that a task holds as arrays at a time; a longer text makes a slice of its own.
+ARRAY_BYTES, LIST_BYTES, TOKENS = 2 << 20, 8 << 20, 400_000
+CHUNK = 256  # weights in a row
 END = 2  # the id of </s>, which no text encodes to
 
 
@@ -109,27 +106,6 @@ def piece_neighbours(counts: DataFrame, path: str) -> DataFrame:
     return map_arrow(counts.select("word", "n"), run, "piece bigint, bucket bigint, n bigint").groupBy("piece", "bucket").agg(F.sum("n").alias("n"))
 
 
-@dataclass
-class Classes:
-    """For each piece: its group, its place in the group, its input slot, and the natural log of its share of its group."""
-
-    group: np.ndarray
-    member: np.ndarray
-    slot: np.ndarray
-    log_share: np.ndarray
-    share: np.ndarray  # of each group among all pieces
-    inner_share: np.ndarray  # of each member of the groups that have members
-
-    @property
-    def start(self) -> int:
-        return OWN + len(self.share)
-
-    def targets(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For windows that begin at ``first``: groups and members of the tokens that they score, and the logs beside them."""
-        wanted = ids[np.minimum(first[:, None] + np.arange(attention.STRIDE), len(ids) - 1)]
-        return self.group[wanted], self.member[wanted], self.log_share[wanted]
-
-
 def halves(seen: np.ndarray, rows: np.ndarray, depth: int) -> list[np.ndarray]:
     """``rows`` cut in two again and again, at the median of their first principal component."""
     if not depth:
@@ -143,14 +119,17 @@ def halves(seen: np.ndarray, rows: np.ndarray, depth: int) -> list[np.ndarray]:
     return [x for half in np.split(order, 2) for x in halves(seen, half, depth - 1)]
 
 
-def classes(neighbours: DataFrame, n_docs: int, path: str) -> Classes:
+def shares_of(neighbours: DataFrame, n_docs: int, path: str) -> Shares:
     """From at most 32,000 figures by piece, and BUCKETS * 2 for each of OWN pieces, which the driver collects."""
     names = pieces(path).names
+    if len(names) > OWN + SIDE * SIDE:
+        raise ValueError(f"{path} has more pieces than the square holds")
     n = np.zeros(len(names))
     for row in neighbours.where(F.col("bucket") < BUCKETS).groupBy("piece").agg(F.sum("n").alias("n")).collect():
         n[row["piece"]] = row["n"]
     n[END] = n_docs
-    top = np.argsort(-n, kind="stable")[:OWN]
+    by_count = np.argsort(-n, kind="stable")
+    top, rest = by_count[:OWN], by_count[OWN:]
     place = np.full(len(names), -1)
     place[top] = np.arange(OWN)
     seen = np.zeros((OWN, 2 * BUCKETS))
@@ -158,99 +137,28 @@ def classes(neighbours: DataFrame, n_docs: int, path: str) -> Classes:
     for row in neighbours.join(F.broadcast(chosen), "piece").collect():
         seen[place[row["piece"]], row["bucket"]] = row["n"]
     seen = np.sqrt(seen / np.maximum(seen.sum(axis=1, keepdims=True), 1))
-    group, member = np.array([GROUPS + name.startswith(SPACE) for name in names]), np.zeros(len(names), dtype=np.int64)
+    group, member = np.full(len(names), GROUPS), np.zeros(len(names), dtype=np.int64)
     for k, rows in enumerate(halves(seen, np.arange(OWN), DEPTH)):
         group[top[rows]], member[top[rows]] = k, np.arange(MEMBERS)
+    begins = np.array([names[i].startswith(SPACE) for i in rest])
+    member[np.concatenate([rest[~begins], rest[begins]])] = np.arange(len(rest))
     smooth = n + 0.5
-    total = np.bincount(group, smooth, minlength=GROUPS + 2)
-    inner = np.zeros((GROUPS, MEMBERS))
-    own = place >= 0
-    inner[group[own], member[own]] = smooth[own] / total[group[own]]
-    slot = np.where(own, place, OWN + group)
-    return Classes(group, member, slot, np.where(own, 0.0, np.log(smooth / total[group])), total / total.sum(), inner)
+    groups = np.bincount(group, smooth, minlength=GROUPS + 1)
+    members, own = np.zeros((GROUPS, MEMBERS)), group < GROUPS
+    members[group[own], member[own]] = smooth[own] / groups[group[own]]
+    square = np.full(SIDE * SIDE, 1e-6)
+    square[member[~own]] = smooth[~own]
+    square = square.reshape(SIDE, SIDE)
+    rows = square.sum(axis=1, keepdims=True)
+    return Shares(group, member, groups / groups.sum(), members, rows[:, 0] / rows.sum(), np.log(square / rows).astype(np.float32))
 
 
-def training_runs(docs: DataFrame) -> DataFrame:
-    """words, last: every EVERYth run of RUN words of each text, from a place that the text's hash names; ``last`` if its end follows."""
+def coded_texts(docs: DataFrame, frequent: pa.Table, n: int, v: int, path: str) -> DataFrame:
+    """row, doc_id, held_out, n_tokens, n_known and base_score of frequent words, the other words as ``rare``, and ``ids``."""
+    sent = docs.sparkSession.sparkContext.broadcast((frequent.column("word").combine_chunks(), frequent.column("n").to_numpy().astype(np.float64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, LIST_BYTES):
-            lists = words_of(batch.column("text"))
-            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            begins = np.cumsum(sizes) - sizes
-            runs = np.maximum(-(-sizes // RUN), 1)
-            first = batch.column("h").to_numpy() % np.minimum(runs, EVERY)
-            n = -(-(runs - first) // EVERY)
-            text = np.repeat(np.arange(len(n)), n)
-            at = RUN * (first[text] + EVERY * (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)))
-            length = np.clip(sizes[text] - at, 0, RUN)
-            flat = lists.flatten().take(pa.array(spread(begins[text] + at, length)))
-            found = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), flat.cast(pa.string()))
-            yield pa.RecordBatch.from_arrays([found, pa.array(at + length >= sizes[text])], names=["words", "last"])
-
-    hashed = docs.select("text", F.pmod(F.xxhash64("text"), F.lit(EVERY * 1_000_003)).alias("h"))
-    return map_arrow(hashed, run, "words array<string>, last boolean")
-
-
-def sequences(lists: pa.ListArray, last: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Piece ids of all texts in a row, an END after those that ``last`` marks, and where each text begins and ends."""
-    batch = Batch(lists)
-    begins, ends, ids = viterbi(batch, pieces(path))
-    sizes = (ends - begins)[batch.which]
-    n = sums(sizes, batch.begins, batch.ends)
-    stop = np.cumsum(n + last)
-    out = np.full(int(stop[-1]) if len(stop) else 0, END, dtype=np.int32)
-    out[spread(stop - n - last, n)] = ids[spread(begins[batch.which], sizes)]
-    return out, stop - n - last, stop
-
-
-def fit(runs: DataFrame, known: Classes, path: str) -> Weights:
-    """Weights averaged over tasks, ROUNDS times."""
-    shards = max(1, -(-runs.count() // (SHARD * ROUNDS)))
-    weights = Weights.start(known.start + 1, known.share, known.inner_share)
-    chunk = 256
-    for turn in range(ROUNDS):
-        dealt = runs.where(F.pmod(F.xxhash64("words"), F.lit(ROUNDS)) == turn).repartition(shards)
-        sent = runs.sparkSession.sparkContext.broadcast((weights, known))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
-            now, known = sent.value
-            old, some = now.flat(), 0
-            for batch in batches:
-                ids, begins, ends = sequences(batch.column("words"), batch.column("last").to_numpy(zero_copy_only=False).astype(np.int64), path)
-                if not len(ids):
-                    continue
-                x, there, first = attention.windows(known.slot[ids], begins, ends, known.start)
-                now, _ = attention.train(now, x, there, *known.targets(ids, first)[:2], turn, attention.RATE / (1 + 2 * turn))
-                some += len(x)
-            flat = now.flat()
-            padded = np.zeros(-(-len(flat) // chunk) * chunk, dtype=np.float64)
-            padded[: len(flat)] = (flat - old) * some
-            values = pa.FixedSizeListArray.from_arrays(pa.array(padded), chunk).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), values, pa.array(np.full(len(values), some))], names=["at", "change", "n"])
-
-        changes = map_arrow(dealt, run, "at bigint, change array<double>, n bigint")
-        each = changes.select("at", "n", F.posexplode("change").alias("k", "x")).groupBy("at", "k").agg((F.sum("x") / F.greatest(F.sum("n"), F.lit(1))).alias("x"))
-        flat = weights.flat().astype(np.float64)
-        mean = np.zeros(-(-len(flat) // chunk) * chunk)
-        for row in each.collect():
-            mean[row["at"] * chunk + row["k"]] = row["x"]
-        weights = weights.filled(flat + mean[: len(flat)])
-        sent.unpersist()
-    return weights
-
-
-
-
-def score_texts(docs: DataFrame, weights: Weights, known: Classes, frequent: list, n: int, v: int, path: str) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, base_score, score of frequent words and ends, and the other words as ``rare``."""
-    words = pa.array([r["word"] for r in frequent], pa.string())
-    counts = np.array([r["n"] for r in frequent], dtype=np.float64)
-    sent = docs.sparkSession.sparkContext.broadcast((weights, known, words, counts))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, known, words, counts = sent.value
-        scorer = Scorer(weights)
+        words, counts = sent.value
         for batch in slices(batches, ARRAY_BYTES):
             lists = words_of(batch.column("text")).cast(pa.list_(pa.string()))
             coded = Batch(lists)
@@ -260,43 +168,124 @@ def score_texts(docs: DataFrame, weights: Weights, known: Classes, frequent: lis
             stop = np.cumsum(size + 1)
             all_ids = np.full(int(stop[-1]), END, dtype=np.int32)
             all_ids[spread(stop - size - 1, size)] = ids[spread(begins[coded.which], sizes)]
-            x, there, first = attention.windows(known.slot[all_ids], stop - size - 1, stop, known.start)
-            group, member, beside = known.targets(all_ids, first)
-            shares = np.where(there[:, attention.STRIDE :], scorer.log_shares(x, there, group, member) + beside, 0)
-            by_window = np.zeros(len(all_ids) + 1)
-            by_window[first] = shares.sum(axis=1, dtype=np.float64)
-            score = sums(by_window, stop - size - 1, stop) / np.log(10)
             # distinct words lie in the order of the strings' lengths; the table's place of each, or -1
-            plain = pc.utf8_slice_codeunits(coded.words, 1).cast(pa.string())
+            plain = pc.utf8_slice_codeunits(coded.words, 1).cast(words.type)
             place = np.empty(len(plain), dtype=np.int64)
             place[coded.strings.order] = pc.fill_null(pc.index_in(plain, value_set=words), -1).to_numpy(zero_copy_only=False)
             place = place[coded.which]
             is_known = place >= 0
             c = np.where(is_known, counts[place] if len(counts) else 0, 0)
             base = np.where(is_known, np.log10((c + 0.5) / (n + 0.5 * (v + 1))), 0)
-            flat = lists.flatten().filter(pa.array(~is_known))
-            rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sums((~is_known).astype(np.int64), coded.begins, coded.ends))]), pa.int32()), flat)
-            columns = {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": pa.array(coded.ends - coded.begins + 1), "n_known": pa.array(sums(is_known.astype(np.int64), coded.begins, coded.ends)), "base_score": pa.array(sums(base, coded.begins, coded.ends)), "score": pa.array(score), "rare": rare}
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            lacking = np.concatenate([[0], np.cumsum(sums((~is_known).astype(np.int64), coded.begins, coded.ends))])
+            rare = pa.ListArray.from_arrays(pa.array(lacking, pa.int32()), lists.flatten().filter(pa.array(~is_known)))
+            listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stop]), pa.int32()), pa.array(all_ids))
+            known = pa.array(sums(is_known.astype(np.int64), coded.begins, coded.ends))
+            columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(coded.ends - coded.begins + 1), known, pa.array(sums(base, coded.begins, coded.ends)), rare, listed]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "rare", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    marked = docs.select("doc_id", "text", (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"))
-    return map_arrow(marked, run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, rare array<string>")
+    made = map_arrow(docs, run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, rare array<string>, ids array<int>")
+    return made.withColumn("row", F.monotonically_increasing_id())
+
+
+def token_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows again, TOKENS tokens at a time, with all tokens in a row and where each text begins and ends."""
+    for batch in batches:
+        sizes = batch.column("ids").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        block = (np.cumsum(sizes) - sizes) // TOKENS
+        edges = [*np.flatnonzero(np.diff(block, prepend=-1)), batch.num_rows]
+        for first, last in zip(edges, edges[1:]):  # noqa: B905
+            part = batch.slice(first, last - first)
+            stop = np.cumsum(sizes[first:last])
+            yield part, part.column("ids").flatten().to_numpy(zero_copy_only=False), stop - sizes[first:last], stop
+
+
+def averaged(ids: DataFrame, weights: Weights, shares: Shares, rate: float) -> Weights:
+    """The weights after each task of ``ids`` has learned its rows from ``weights``, averaged by tokens."""
+    sent = ids.sparkSession.sparkContext.broadcast((weights, shares))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, shares = sent.value
+        trainer = Trainer(now, shares, rate)
+        for _, tokens, begins, ends in token_slices(batches):
+            trainer.learn(tokens, begins, ends)
+        change = np.zeros(-(-len(trainer.values) // CHUNK) * CHUNK, dtype=np.float64)
+        change[: len(trainer.values)] = (trainer.values.astype(np.float64) - now.flat()) * trainer.seen
+        yield _chunks(np.arange(len(change) // CHUNK), change, trainer.seen)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        seen: dict[int, int] = {}
+        for batch in batches:
+            values = batch.column("change").flatten().to_numpy(zero_copy_only=False).reshape(-1, CHUNK)
+            for at, change, n in zip(batch.column("at").to_pylist(), values, batch.column("n").to_pylist(), strict=True):
+                total[at], seen[at] = total.get(at, 0) + change, seen.get(at, 0) + n
+        if total:
+            yield _chunks(np.array(list(total)), np.concatenate(list(total.values())), np.array(list(seen.values())))
+
+    kind = "at bigint, change array<double>, n bigint"
+    changes = map_arrow(ids, learn, kind)
+    flat = weights.flat().astype(np.float64)
+    mean = np.zeros(-(-len(flat) // CHUNK) * CHUNK)
+    for row in map_arrow(changes.repartition("at"), add, kind).collect():  # the weights, in rows of CHUNK
+        mean[row["at"] * CHUNK : (row["at"] + 1) * CHUNK] = np.array(row["change"]) / max(row["n"], 1)
+    sent.unpersist()
+    return weights.filled((flat + mean[: len(flat)]).astype(np.float32))
+
+
+def _chunks(at: np.ndarray, values: np.ndarray, n) -> pa.RecordBatch:
+    listed = pa.FixedSizeListArray.from_arrays(pa.array(values), CHUNK).cast(pa.list_(pa.float64()))
+    return pa.RecordBatch.from_arrays([pa.array(at), listed, pa.array(np.broadcast_to(n, len(at)).astype(np.int64))], names=["at", "change", "n"])
+
+
+def fit(coded: DataFrame, shares: Shares) -> Weights:
+    """Weights from the rows of ``coded`` that are no held-out ones; every one of their tokens is learned."""
+    training = coded.where("NOT held_out").select("ids", F.pmod(F.xxhash64("row"), F.lit(PARTS[-1])).alias("part"))
+    tokens = training.agg(F.sum(F.size("ids"))).first()[0] or 0
+    weights = Weights.start(shares)
+    if not tokens:
+        return weights
+    tasks = coded.rdd.getNumPartitions()
+    for turn in range(min(PASSES, max(1, -(-LEAST_TOKENS // tokens)))):
+        begin = 0
+        for k, end in enumerate(PARTS):
+            part = training.where((F.col("part") >= begin) & (F.col("part") < end)).select("ids")
+            # a round has as many tasks as its share of the documents is worth
+            part = part.coalesce(max(1, tasks * (end - begin) // PARTS[-1]))
+            weights = averaged(part, weights, shares, RATE / (1 + k + turn))
+            begin = end
+    return weights
+
+
+def scored_rows(coded: DataFrame, weights: Weights, shares: Shares) -> DataFrame:
+    """The rows of ``coded`` without words and pieces, with ``score``."""
+    kept = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score"]
+    sent = coded.sparkSession.sparkContext.broadcast((weights, shares))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*sent.value)
+        for batch, tokens, begins, ends in token_slices(batches):
+            found = score_texts(scorer, tokens, begins, ends) / np.log(10)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found)], names=[*kept, "score"])
+
+    kinds = ", ".join(f"{c} {coded.schema[c].dataType.simpleString()}" for c in kept)
+    return map_arrow(coded.select(*kept, "ids"), run, f"{kinds}, score double")
 
 
 def score(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    training = docs.select("text").where(fold(F.col("doc_id")) != HELD_OUT).withColumn("text", text_or_empty())
+    marked = docs.select("doc_id", text_or_empty().alias("text"), (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"))
+    training = marked.where("NOT held_out")
     counts = table(word_counts(training))
     figures = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     n_docs = training.count()
     n, v = figures["n"] + n_docs, figures["v"] + (n_docs > 0)
-    known = classes(table(piece_neighbours(counts, path)), n_docs, path)
-    weights = fit(table(training_runs(training)), known, path)
-    often = F.col("n") >= max(n / FREQUENT, 1)
-    scored = table(score_texts(docs, weights, known, counts.where(often).collect(), n, v, path)).withColumn("row", F.monotonically_increasing_id())
+    often = (F.col("n") >= max(n / FREQUENT, 1)) & (F.length("word") <= LONGEST)
+    coded = table(coded_texts(marked, counts.where(often).toArrow(), n, v, path))
+    shares = shares_of(table(piece_neighbours(counts, path)), n_docs, path)
+    scored = scored_rows(coded, fit(coded, shares), shares)
     total = F.lit(n + 0.5 * (v + 1))
-    listed = scored.select("row", F.explode("rare").alias("word"))
+    listed = coded.select("row", F.explode("rare").alias("word"))
     c = F.coalesce("n", F.lit(0))
     found = listed.join(counts.where(~often), "word", "left").groupBy("row").agg(F.count("n").alias("k"), F.sum(F.log10((c + 0.5) / total)).alias("b"))
     end = log10((n_docs + 0.5) / (n + 0.5 * (v + 1)))

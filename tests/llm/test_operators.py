@@ -183,35 +183,93 @@ def test_lm_scoring(spark, folder, docs):
         assert g.base_score == pytest.approx(base) and g.score < 0
 
 
-def test_attention_gradients_and_causality():
+def small_shares(kind=np.float64):
+    """200 pieces: five to a group, and the rest in the square."""
+    rng = np.random.default_rng(3)
+    group = np.full(200, attention.GROUPS)
+    member = np.arange(200)
+    group[:160], member[:160] = np.repeat(np.arange(attention.GROUPS), 5), np.tile(np.arange(5), attention.GROUPS)
+    member[160:] = rng.choice(attention.SIDE**2, 40, replace=False)
+    square = np.full(attention.SIDE**2, 1e-6)
+    square[member[160:]] = rng.random(40)
+    square = square.reshape(attention.SIDE, attention.SIDE)
+    even = lambda *shape: np.full(shape, 1 / shape[-1])
+    return attention.Shares(group, member, even(attention.GROUPS + 1), even(attention.GROUPS, attention.MEMBERS), even(attention.SIDE), np.log(square / square.sum(axis=1, keepdims=True)).astype(kind))
+
+
+def shaken(shares, kind=np.float64):
     rng = np.random.default_rng(0)
-    share, inner = np.full(3, 1 / 3), np.full((2, attention.MEMBERS), 1 / attention.MEMBERS)
-    w = attention.Weights.start(9, share, inner)
-    w = w.filled(w.flat().astype(np.float64))
-    for f in vars(w):
-        setattr(w, f, getattr(w, f).astype(np.float64))
-    ids = rng.integers(0, 8, 21)
-    x, there, first = attention.windows(ids, np.array([0, 13]), np.array([13, 21]), 8)
-    assert sorted((first[:, None] + np.arange(attention.STRIDE))[there[:, attention.STRIDE :]].tolist()) == list(range(21))
-    group, member = rng.integers(0, 3, (len(x), attention.STRIDE)), rng.integers(0, attention.MEMBERS, (len(x), attention.STRIDE))
-    _, g = attention.gradients(w, x, there, group, member)
+    w = attention.Weights.start(shares)
+    flat = w.flat().astype(kind)
+    return w.filled((flat + 0.2 * rng.standard_normal(len(flat))).astype(kind))
+
+
+def windows_of(ids, begins, ends, shares):
+    first, text = attention.side_by_side(begins, ends, attention.PLACES)
+    at = first[:, None] + np.arange(attention.PLACES)
+    x, there = attention.inputs(ids, at, begins[text], ends[text], len(shares.group))
+    return x, there, ids[np.minimum(at, len(ids) - 1)]
+
+
+def test_attention_gradients():
+    shares = small_shares()
+    w = shaken(shares)
+    rng = np.random.default_rng(1)
+    ids = rng.integers(0, 200, 60)
+    x, there, wanted = windows_of(ids, np.array([0, 37]), np.array([37, 60]), shares)
+    _, g = attention.gradients(w, shares, x, there, wanted)
     for f in vars(w):
-        at = tuple(rng.integers(0, n) for n in getattr(w, f).shape)
-        if f == "slots":
-            at = (int(x[0, -1]), at[1])
         values = getattr(w, f)
-        old, step = values[at], 1e-3
-        values[at] = old + step
-        up = attention.gradients(w, x, there, group, member)[0]
-        values[at] = old - step
-        down = attention.gradients(w, x, there, group, member)[0]
-        values[at] = old
-        assert getattr(g, f)[at] == pytest.approx((up - down) / (2 * step), rel=2e-2, abs=1e-5)
-    found = attention.Scorer(w).log_shares(x, there, group, member)
-    assert -found[there[:, attention.STRIDE :]].mean() == pytest.approx(attention.gradients(w, x, there, group, member)[0], rel=1e-4)
-    later = x.copy()
-    later[:, -1] = (later[:, -1] + 1) % 8
-    assert np.allclose(attention.Scorer(w).log_shares(later, there, group, member)[:, :-1], found[:, :-1], atol=1e-5)
+        for at in [tuple(rng.integers(0, n) for n in values.shape) for _ in range(3)] + [np.unravel_index(np.abs(getattr(g, f)).argmax(), values.shape)]:
+            old, step = values[at], 1e-5
+            values[at] = old + step
+            up = attention.gradients(w, shares, x, there, wanted)[0]
+            values[at] = old - step
+            down = attention.gradients(w, shares, x, there, wanted)[0]
+            values[at] = old
+            assert getattr(g, f)[at] == pytest.approx((up - down) / (2 * step), rel=1e-3, abs=1e-8), f
+
+
+def test_attention_scores_against_dense_logits():
+    """Each token of a text from the full distribution over all pieces, computed place by place without windows or batches."""
+    shares = small_shares(np.float32)
+    w = shaken(shares, np.float32)
+    ids = np.random.default_rng(2).integers(0, 200, 45)
+    e = attention.embeddings(w, shares)
+    soft = lambda t: np.exp(t - t.max()) / np.exp(t - t.max()).sum()
+    total = 0.0
+    for i in range(len(ids)):
+        begin = max(i // attention.STRIDE * attention.STRIDE - attention.STRIDE, 0)
+        shift = attention.STRIDE if i < attention.STRIDE else 0  # the first window has nothing in its first half
+        h = np.array([e[ids[j - 1] if j else 200] + w.places[j - begin + shift] for j in range(begin, i + 1)])
+        q, k, v = (h @ w.mix_in[:, n * attention.WIDTH : (n + 1) * attention.WIDTH] for n in range(3))
+        y = h[-1] + soft(q[-1] @ k.T / attention.WIDTH**0.5) @ v @ w.mix_out
+        z = y + np.maximum(y @ w.wide + w.wide_bias, 0) @ w.narrow
+        groups, rows = soft(z @ w.out + w.bias), soft(z @ w.rows + w.rows_bias)
+        p = np.zeros(200)
+        for piece in range(200):
+            g, m = shares.group[piece], shares.member[piece]
+            if g < attention.GROUPS:
+                p[piece] = groups[g] * soft(z @ w.inner[g] + w.inner_bias[g])[m]
+            else:
+                r, c = divmod(m, attention.SIDE)
+                p[piece] = groups[g] * rows[r] * soft(z @ w.columns + shares.log_columns[r])[c]
+        assert 0 < p.sum() <= 1.0001
+        total += np.log(p[ids[i]])
+    found = attention.score_texts(attention.Scorer(w, shares), np.concatenate([ids, ids[:3]]), np.array([0, 45]), np.array([45, 48]))
+    assert found[0] == pytest.approx(total, rel=1e-4) and found[1] < 0
+    later = ids.copy()
+    later[-1] = (later[-1] + 1) % 200
+    cut = attention.score_texts(attention.Scorer(w, shares), ids[:40], np.array([0]), np.array([40]))
+    assert cut == pytest.approx(attention.score_texts(attention.Scorer(w, shares), later[:40], np.array([0]), np.array([40])))
+
+
+def test_attention_learns():
+    shares = small_shares(np.float32)
+    ids = np.tile(np.arange(20), 200)
+    trainer = attention.Trainer(attention.Weights.start(shares), shares)
+    losses = [trainer.learn(ids, np.array([0]), np.array([len(ids)])) for _ in range(40)]
+    assert losses[-1] < 0.3 * losses[0] and trainer.seen == 40 * len(ids)
 
 
 def test_secret_scan(spark):
