@@ -39,7 +39,7 @@ FOLDS, HELD_OUT = 5, 1
 #: A word with at least this fraction of the tokens is frequent if it has at most LONGEST characters: some 30 bytes each.
 FREQUENT, LONGEST = 500_000, 40
 #: Sixteenths of the documents at which the rounds end; passes over a small corpus.
-PARTS, LEAST_TOKENS, PASSES = (1, 5, 16), 4_000_000, 6
+PARTS, LEAST_TOKENS, PASSES = (1, 5, 16), 6_000_000, 8
 DEPTH, BUCKETS = 5, 128  # 2**DEPTH groups
 #: Bytes of text, and tokens, that a task holds as arrays at a time; a longer text makes a slice of its own.
 ARRAY_BYTES, LIST_BYTES, TOKENS = 2 << 20, 8 << 20, 400_000
@@ -252,7 +252,7 @@ def fit(coded: DataFrame, shares: Shares) -> Weights:
             part = training.where((F.col("part") >= begin) & (F.col("part") < end)).select("ids")
             # a round has as many tasks as its share of the documents is worth
             part = part.coalesce(max(1, tasks * (end - begin) // PARTS[-1]))
-            weights = averaged(part, weights, shares, RATE / (1 + k + turn))
+            weights = averaged(part, weights, shares, RATE / (1 + (k + turn) / 2))
             begin = end
     return weights
 
