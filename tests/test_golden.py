@@ -1,13 +1,16 @@
 """Cases worked out by hand, and folds against plain loops."""
 
+import base64
+import os
 import random
 import time
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from segloom.functions import columns as C
-from segloom.operators import folds, intervals, islands
+from segloom.operators import decoding, folds, intervals, islands, sequences
 from segloom.plans import tables
 from segloom.sources import transcripts
 from segloom.streaming import messages
@@ -136,6 +139,113 @@ def test_subtitle_file(spark):
     assert transcripts.subtitle_files(cues).first()["value"] == "1\n00:00:00,000 --> 00:00:01,000\na\n\n2\n00:00:01,000 --> 00:00:02,000\nb\n"
 
 
+def run_stream(spark, stream, name, tmp_path, until):
+    """Runs a stream into a table in memory until it has ``until`` rows, or a time is over."""
+    query = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"checkpoint-{name}")).start()
+    try:
+        deadline = time.time() + 120  # a query with timers has batches without data, and so no end of its own
+        while time.time() < deadline and spark.table(name).count() < until:
+            time.sleep(1)
+    finally:
+        query.stop()
+    return spark.table(name).collect()
+
+
+def test_idle_task(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text('{"type":"progress","stage":"tts","task_id":"t","progress":40}\n')
+    stream = messages.task_outcomes(messages.parse_messages(spark.readStream.text(str(tmp_path / "in"))), idle_ms=1)
+    assert [tuple(r) for r in run_stream(spark, stream, "idle", tmp_path, 1)] == [("t", "tts", "idle", 40)]
+
+
+def arriving(spark, tmp_path, schema, *batches):
+    """A stream of the batches, one file after the other."""
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / "made" / str(k)))
+    files = sorted((tmp_path / "made").glob("*/part-*.json"))
+    (tmp_path / "in").mkdir()
+    for k, f in enumerate(files):
+        f.rename(tmp_path / "in" / f"{k}.json")
+        os.utime(tmp_path / "in" / f"{k}.json", (1000 + k, 1000 + k))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+
+
+def test_frames_as_they_come(spark, tmp_path):
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    first = [("s", at(0), "hello"), ("s", at(1), "hallo"), ("s", at(3), "world"), ("s", at(4), "world"), ("s", at(4.5), "")]
+    frames = arriving(spark, tmp_path, "session_id string, ts timestamp, text string", first, [("other", at(90), "x")], [("other", at(200), "x")])
+    got = run_stream(spark, messages.frame_segments(frames), "segments", tmp_path, 2)
+    zero = int(datetime(2024, 1, 1).timestamp() * 1000)
+    assert sorted((r.text, r.start_ms - zero, r.end_ms - zero) for r in got if r.session_id == "s") == [("hello", 0, 2500), ("world", 3000, 4000)]
+
+
+def test_sessions_of_events(spark, tmp_path):
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    events = arriving(spark, tmp_path, "user_id int, ts timestamp", [(1, at(0)), (1, at(20)), (1, at(80))], [(2, at(900))], [(2, at(1900))])
+    got = run_stream(spark, messages.event_sessions(events), "sessions", tmp_path, 2)
+    assert sorted((r.user_id, r.start, r.end, r.n) for r in got if r.user_id == 1) == [(1, at(0), at(50), 2), (1, at(80), at(110), 1)]
+
+
+def test_progress_lines(spark):
+    lines = spark.createDataFrame([("[PROGRESS] 40",), ("3/12",), ("none",), ("1/0",)], "value string")
+    assert [r.progress for r in messages.progress_of(lines).collect()] == [40, 25]
+
+
+def test_decoders(spark):
+    steps = F.array(*[F.array(*map(F.lit, row)) for row in ([0.1, 0.7, 0.2], [0.1, 0.8, 0.1], [0.9, 0.1, 0.0], [0.0, 0.6, 0.4], [0.5, 0.5, 0.0], [0.1, 0.2, 0.7])])
+    assert value(spark, decoding.best_path(steps, F.array(F.lit(""), F.lit("a"), F.lit("b")))) == ("aab", pytest.approx((0.7 + 0.6 + 0.7) / 3))
+    assert value(spark, decoding.best_path(F.array().cast("array<array<double>>"), F.array(F.lit("")))) == ("", 0.0)
+    vocabulary = spark.createDataFrame([(0, base64.b64encode(b" hi").decode()), (1, base64.b64encode("é".encode()[:1]).decode()), (2, base64.b64encode("é".encode()[1:]).decode()), (3, "=")], "token int, piece string")
+    ids = {"plain": [0, 1, 2, 3, 50300], "timed": [0, 50364, 1, 2, 50414, 50424, 0, 50264], "none": [50364, 50365]}
+    tokens = spark.createDataFrame([(s, i, t) for s, row in ids.items() for i, t in enumerate(row)], "session_id string, pos int, token int")
+    got = decoding.timed_tokens(tokens, vocabulary).collect()
+    assert sorted((r.session_id, r.text, r.start_ms, r.end_ms) for r in got) == [("plain", "hié", 0, 0), ("timed", "hi", 1200, 1700), ("timed", "hié", 0, 1000)]
+
+
+def test_tokens_by_character(spark):
+    vocabulary = spark.createDataFrame([(0, "▁中文"), (1, "中"), (2, "文"), (3, "文字"), (4, "ab"), (5, "中")], "token int, piece string")
+    tokens = spark.createDataFrame([("s", i, t) for i, t in enumerate([4, 0, 3, 0])], "session_id string, pos int, token int")
+    assert decoding.by_character(tokens, vocabulary).first()["tokens"] == [4, 1, 2, 3, 1, 2]
+
+
+def test_merges_of_a_hot_session(spark, monkeypatch):
+    rng = random.Random(5)
+    spans, at = [], 0
+    for _ in range(200):
+        at += rng.choice([0, 300, 1500])
+        spans.append((at, at + rng.choice([50, 900, 4000])))
+    df = rows(spark, *spans, texts={i: rng.choice(["a", "b", ""]) for i in range(200)})
+    want = sorted(islands.merge_same_text(df).collect())
+    monkeypatch.setattr(sequences, "MAX_ROWS", 0)
+    monkeypatch.setattr(sequences, "CHUNK_MS", 3000)
+    assert sorted(islands.merge_same_text(df).collect()) == want and 10 < len(want) < 150
+
+
+@pytest.mark.parametrize("text, want", [("师父，你好", "师傅你好"), ("「好」{a}～~[b]", "好ab"), ("a\u3000b\ufeffc", "abc"), ("一百20个…—-", "#个"), ("“x” ‘y’", "xy")])
+def test_scored_text(spark, text, want):
+    assert value(spark, C.normalize_for_score(F.lit(text))) == want
+
+
+def test_fusions_by_hand(spark):
+    seg = lambda *r: spark.createDataFrame([("s", i, *x) for i, x in enumerate(r)], SEGMENTS)
+    plain = lambda df: [(r.text, r.start_ms, r.end_ms) for r in df.orderBy("start_ms").collect()]
+    assert plain(intervals.fusion_split(seg(("a", 0, 3000), ("a", 3500, 4000)), seg(("b", 1000, 2000), ("a", 2100, 2200)))) == [("a", 0, 1000), ("b", 1000, 2000), ("a", 2000, 4000)]
+    assert plain(intervals.fusion_union(seg(("a", 0, 1000)), seg(("x", 100, 1400), ("a", 1200, 2000)))) == [("a", 0, 2000)]
+    assert plain(intervals.fusion_short(seg(("abc", 0, 1000)), seg(("b", 500, 900), ("x", 1500, 3500), ("y", 4000, 6001)))) == [("abc", 0, 1000), ("x", 1500, 3500)]
+
+
+def test_time_ids(spark):
+    a, b = (spark.range(1).select(C.time_id(F.lit(ms))).first()[0] for ms in (1_700_000_000_000, 1_700_000_000_001))
+    assert len(a) == len(b) == 16 and a[:8] < b[:8]
+
+
+def test_whole_texts_are_compared(spark, tmp_path):
+    spark.createDataFrame([(1, "a" * 100 + "bc"), (2, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "a" * 100 + "xé"), (2, "abcd")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.item_id: (r.cer, r.cer_longest) for r in tables.cer_whole(spark, str(tmp_path)).collect()}
+    assert got == {1: (pytest.approx(2 / 102), pytest.approx(2 / 102)), 2: (4.0, 1.0)}
+
+
 def test_message_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text('{"type":"progress","stage":"tts","task_id":"t","progress":40}\nnot json\n{"type":"complete","stage":"tts","task_id":"t"}\n{"type":"progress","stage":"asr","task_id":"t","progress":5}\n')
