@@ -14,8 +14,8 @@ over the links of distinct fingerprints, each round written to the shared checkp
 For whole texts (``keep_one``) a link is a share of at least NEAR of all shingles of five words. Fingerprints of 256 bits
 are compared the same way at a radius that such texts stay below, in buckets of equal minima of shingle hashes; what is
 found is compared exactly, shingle by shingle. A forest alone would hide links behind candidates that fail this
-comparison, so sets of texts that such candidates touch are gone through again: with several forests, at last with all
-pairs that no link connects yet. A text is known by a 64-bit hash; of texts that share it, all but one are left alone.
+comparison, so sets of texts that such candidates touch are gone through again with their shingles in the buckets: there
+every pair that no link connects yet is compared at once, and only true links go into the forest. A text is known by a 64-bit hash; of texts that share it, all but one are left alone.
 
 Defined cases: a null text counts as empty, and texts without words have the fingerprint zero, linked like any other;
 texts of fewer words than a shingle are one shingle; a component of rows without ids has no id; repeated rows are
@@ -178,33 +178,54 @@ class Forest:
         return tuple(np.concatenate([none, *(x[k] for x in self.links)]).astype(np.int64) for k in (0, 1))
 
 
-def forests(prints: np.ndarray, group: np.ndarray, radius: int, side: np.ndarray | None = None, known: np.ndarray | None = None, sizes: np.ndarray | None = None, number: int | None = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links in all groups, as ``number`` spanning forests, each of what the ones before left; closer links first among
-    those that are found together. None: all links, as they are found.
+def common_counts(values: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For pairs of rows, how many values their slices of ``values`` share; a slice has no value twice."""
+    begins = np.concatenate([[0], ends[:-1]])
+    out = np.zeros(len(a), dtype=np.int64)
+    by = np.argsort(a, kind="stable")
+    stops = np.flatnonzero(np.diff(a[by], append=-1)) + 1
+    for first, last in zip(np.concatenate([[0], stops[:-1]]).tolist(), stops.tolist(), strict=True) if len(a) else ():
+        own = np.sort(values[begins[a[by[first]]] : ends[a[by[first]]]])
+        for k in range(first, last, COMPARED):
+            rows = by[k : min(k + COMPARED, last)]
+            sizes = (ends - begins)[b[rows]]
+            stop = np.cumsum(sizes)
+            flat = values[np.repeat(begins[b[rows]] - (stop - sizes), sizes) + np.arange(int(stop[-1]))]
+            at = np.minimum(np.searchsorted(own, flat), max(len(own) - 1, 0))
+            hit = np.concatenate([[0], np.cumsum(own[at] == flat)]) if len(own) else np.zeros(len(flat) + 1, dtype=np.int64)
+            out[rows] = hit[stop] - hit[stop - sizes]
+    return out
+
+
+def forest(prints: np.ndarray, group: np.ndarray, radius: int, side: np.ndarray | None = None, known: np.ndarray | None = None, sizes: np.ndarray | None = None, keys: np.ndarray | None = None, choice: np.ndarray | None = None, sets: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links in all groups, as a spanning forest; closer links first among those that are found together.
 
     Only links between rows that differ in ``known`` (one number for rows that are joined already) and, with ``sizes``
-    of their shingle sets, that may share NEAR of them.
+    of their shingle sets, that may share NEAR of them. With ``sets`` (the shingles of all rows, and where each row's end)
+    a link is a pair that does share NEAR; such a pair is compared in the first bucket that it shares, which ``keys`` of
+    all buckets and ``choice`` of this one tell.
     """
     joined = np.arange(len(prints))
     if known is not None:
         _, first, of = np.unique(np.stack([group, known]), axis=1, return_index=True, return_inverse=True)
         joined = first[of.reshape(-1)]
-    layers = [Forest(joined) for _ in range(number or 0)]
+    found = Forest(joined)
     for a, b, distance in near_pairs(prints, group, radius, side):
-        use = joined[a] != joined[b]
+        use = found.find(a) != found.find(b)
         if sizes is not None:
             use &= sum(NEAR) * np.minimum(sizes[a], sizes[b]) >= NEAR[0] * (sizes[a] + sizes[b])
         a, b, distance = a[use], b[use], distance[use]
-        if number is None:
-            for k in range(0, len(a), LINKS):
-                yield a[k : k + LINKS], b[k : k + LINKS]
-            continue
-        for d in range(int(distance.max(initial=0)) + 1):
-            x, y = a[distance == d], b[distance == d]
-            for layer in layers:
-                x, y = layer.add(x, y)
-    for layer in layers:
-        yield layer.rows()
+        if keys is not None:
+            new = np.ones(len(a), dtype=bool)
+            for k in range(keys.shape[1]):
+                new &= (keys[a, k] != keys[b, k]) | (choice[a] <= k)
+            a, b, distance = a[new], b[new], distance[new]
+        if sets is not None:
+            near = sum(NEAR) * common_counts(*sets, a, b) >= NEAR[0] * (sizes[a] + sizes[b])
+            a, b, distance = a[near], b[near], distance[near]
+        for d in np.unique(distance):
+            found.add(a[distance == d], b[distance == d])
+    return found.rows()
 
 
 def _buckets(prints: DataFrame, radius: int) -> DataFrame:
@@ -218,35 +239,45 @@ def _buckets(prints: DataFrame, radius: int) -> DataFrame:
     return prints.select("fp", key)
 
 
-def links_in_buckets(placed: DataFrame, radius: int, number: int | None = 1) -> DataFrame:
-    """a, b: ``number`` spanning forests of each bucket's links, or all of them (None).
+def links_in_buckets(placed: DataFrame, radius: int) -> DataFrame:
+    """a, b: a spanning forest of each bucket's links.
 
-    ``placed`` has choice, bits (the bucket), node, words (the fingerprint), and may have known and size as for ``forests``.
+    ``placed`` has choice, bits (the bucket), node, words (the fingerprint), and may have known, size, keys and shingles as
+    for ``forest``.
     """
-    own_columns = ["node", "words", *(c for c in ("known", "size") if c in placed.columns)]
-    shared = checkpoint(placed.groupBy("choice", "bits").count().where(F.col("count") > 1))
+    own_columns = ["node", "words", *(c for c in ("known", "size", "keys", "shingles") if c in placed.columns)]
+    compared = "shingles" in own_columns
+    weight = F.sum("size") / SHINGLES if compared else F.lit(0.0)
+    shared = checkpoint(placed.groupBy("choice", "bits").agg(F.count("*").alias("count"), F.ceil(F.greatest(F.count("*") / CHUNK, weight)).cast("int").alias("parts")).where(F.col("count") > 1))
     # only buckets that two share are gathered; the large ones in chunks, each pair of chunks together
-    parts = F.ceil(F.col("count") / CHUNK).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int")
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("mine")).alias("x"), F.greatest(k, F.col("mine")).alias("y"), (F.col("mine") > k).cast("int").alias("side"))))
-    together = placed.join(shared, ["choice", "bits"]).withColumn("parts", parts).withColumn("mine", mine).select("choice", "bits", *own_columns, pair.alias("p"))
+    together = placed.join(shared, ["choice", "bits"]).withColumn("mine", mine).select("choice", "bits", *own_columns, pair.alias("p"))
     gathered = together.groupBy("choice", "bits", "p.x", "p.y").agg(F.collect_list(F.struct(*own_columns, "p.side")).alias("rows")).where(F.size("rows") > 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 1 if compared else b.num_rows) for b in batches for k in range(0, b.num_rows, 1 if compared else b.num_rows)):
             rows = batch.column("rows")
             group = np.repeat(np.arange(len(rows)), rows.value_lengths().to_numpy(zero_copy_only=False))
             fields = rows.flatten()
-            nodes, side, known, sizes = (fields.field(f).to_numpy(zero_copy_only=False) if f in (*own_columns, "side") else None for f in ("node", "side", "known", "size"))
-            prints = np.ascontiguousarray(fields.field("words").flatten().to_numpy(zero_copy_only=False)).view(np.uint64).reshape(len(nodes), -1)
+            plain = lambda f: fields.field(f).to_numpy(zero_copy_only=False) if f in (*own_columns, "side") else None  # noqa: B023, E731
+            nodes, side, known, sizes = (plain(f) for f in ("node", "side", "known", "size"))
+            wide = lambda f, kind: np.ascontiguousarray(fields.field(f).flatten().to_numpy(zero_copy_only=False)).view(kind).reshape(len(nodes), -1)  # noqa: B023, E731
+            prints = wide("words", np.uint64)
             two = (batch.column("x").to_numpy() != batch.column("y").to_numpy())[group]
             for chosen, sides in ((~two, None), (two, side)):
                 own = np.flatnonzero(chosen)
                 of = lambda x: None if x is None else x[own]  # noqa: B023, E731
-                for a, b in forests(np.ascontiguousarray(prints[own]), group[own], radius, of(sides), of(known), of(sizes), number) if len(own) else ():
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes[own][a]), pa.array(nodes[own][b])], names=["a", "b"])
-
-    found = map_arrow(gathered.select("x", "y", "rows"), run, "a bigint, b bigint")
+                if not len(own):
+                    continue
+                more = {}
+                if compared:  # one bucket, so that all of its rows are chosen
+                    more = {"keys": wide("keys", np.int64), "choice": batch.column("choice").to_numpy()[group], "sets": list_values(fields.field("shingles"))}
+                a, b = forest(np.ascontiguousarray(prints[own]), group[own], radius, of(sides), of(known), of(sizes), **more)
+                for k in range(0, len(a), LINKS):
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[own][a[k : k + LINKS]]), pa.array(nodes[own][b[k : k + LINKS]])], names=["a", "b"])
+
+    found = map_arrow(gathered.select("choice", "x", "y", "rows"), run, "a bigint, b bigint")
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -297,8 +328,8 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: words, and their radius: texts of that share differ by 48 of 256 bits at most on average (sets of 4 and 5; large ones
 #: by 39), and exceed the radius in 1.6 of 100,000 cases (large ones in fewer than 1 of 100 million).
 NEAR_SHINGLE, NEAR, WORDS, NEAR_RADIUS = 5, (4, 5), 4, 75
-#: Spanning forests in each round of candidates; in the last round, all that are left.
-ROUNDS = (1, 16, None)
+#: Shingles of the texts of a chunk of a bucket, 8 bytes each, and pairs of one text that are compared at a time.
+SHINGLES, COMPARED = 1_000_000, 2000
 #: Buckets for whole texts: pairs of minima of shingle hashes. Texts with a share of 0.8 miss all of them in 4 of 100,000 cases.
 PAIRS = 10
 #: Ids of texts with a link, and rows that go, that are broadcast: 8 and 16 bytes each.
@@ -311,6 +342,10 @@ def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
+#: Odd factors without small multiples among each other: a hash that is small under one isn't so under the next.
+FACTORS = _mixed(_mixed(np.arange(1, 2 * PAIRS + 1, dtype=np.uint64), 1), 2) | np.uint64(1)
+
+
 def sketches_of(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of WORDS words, and PAIRS bucket keys, of each slice of ``hashes``; keys of empty slices are zero."""
     hashes = hashes.view(np.uint64)
@@ -320,7 +355,7 @@ def sketches_of(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
     for k in range(WORDS):
         prints[:, k] = fingerprints_of(_mixed(hashes, k), ends)
     for k in range(2 * PAIRS if len(some) else 0):
-        least = np.minimum.reduceat(hashes * np.uint64((k + 1) * 0xD1342543DE82EF95 % (1 << 64) | 1), begins[some])
+        least = np.minimum.reduceat(hashes * FACTORS[k], begins[some])
         keys[some, k // 2] = _mixed(keys[some, k // 2] ^ least, k)
     return prints, keys
 
@@ -343,33 +378,26 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     hashed = docs.select("doc_id", *text_nodes(), shingles.alias("hashes"))
     rows = table(map_arrow(hashed, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node bigint, check bigint, size bigint, words array<bigint>, keys array<bigint>"))
     texts = table(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", "words", "keys"))))
-    placed = now = texts.select("node", "size", "words", F.posexplode("keys").alias("choice", "bits")).where("bits <> 0")
-    sets = checked = None
-    for number in ROUNDS:
-        maybe = links_in_buckets(now, NEAR_RADIUS, number)
-        maybe = table(maybe if checked is None else maybe.join(checked, ["a", "b"], "left_anti"))
-        if sets is None:  # later rounds have no other texts
-            nodes = table(maybe.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-            few = small_enough(nodes, BROADCAST_NODES)
-            linked = docs.select("text", text_nodes()[0]).join(F.broadcast(nodes) if few else nodes, "node", "left_semi").dropDuplicates(["node"])
-            sets = table(linked.select("node", shingles.alias("shingles")))
-        side = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"of_{k}"))  # noqa: B023, E731
-        common = F.size(F.array_intersect("of_a", "of_b"))
-        near = sum(NEAR) * common >= NEAR[0] * (F.size("of_a") + F.size("of_b"))
-        found = table(maybe.join(side("a"), "a").join(side("b"), "b").select("a", "b", near.alias("near")))
-        checked = found if checked is None else checked.union(found)
-        links = checked.where("near").select("a", "b")
-        if number is None:
-            break
-        # a link that is hidden lies between two sets of linked texts that failed candidates touch
-        roots = checkpoint(components(links))
-        known = checkpoint(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("known")))
-        end = lambda k: known.select(F.col("node").alias(k), F.col("known").alias(f"known_{k}"))  # noqa: B023, E731
-        failed = checked.where("NOT near").join(end("a"), "a").join(end("b"), "b").where("known_a <> known_b")
-        unsure = checkpoint(failed.select(F.explode(F.array("known_a", "known_b")).alias("known")).distinct())
-        if not unsure.limit(1).count():
-            break
-        now = placed.join(known.join(unsure, "known", "left_semi"), "node")
+    placed = texts.select("node", "size", "words", "keys", F.posexplode("keys").alias("choice", "bits")).where("bits <> 0")
+    maybe = table(links_in_buckets(placed.drop("keys"), NEAR_RADIUS))
+    nodes = table(maybe.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    few = small_enough(nodes, BROADCAST_NODES)
+    linked = docs.select("text", text_nodes()[0]).join(F.broadcast(nodes) if few else nodes, "node", "left_semi").dropDuplicates(["node"])
+    sets = table(linked.select("node", shingles.alias("shingles")))
+    # a text is in as many pairs as its buckets have it joined to others, so its shingles go along for each of these
+    side = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"of_{k}"))
+    near = sum(NEAR) * F.size(F.array_intersect("of_a", "of_b")) >= NEAR[0] * (F.size("of_a") + F.size("of_b"))
+    checked = table(maybe.join(side("a"), "a").join(side("b"), "b").select("a", "b", near.alias("near")))
+    links = checked.where("near").select("a", "b")
+    # a link that is hidden lies between two sets of linked texts that failed candidates touch
+    roots = checkpoint(components(links))
+    known = checkpoint(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("known")))
+    end = lambda k: known.select(F.col("node").alias(k), F.col("known").alias(f"known_{k}"))
+    failed = checked.where("NOT near").join(end("a"), "a").join(end("b"), "b").where("known_a <> known_b")
+    unsure = checkpoint(failed.select(F.explode(F.array("known_a", "known_b")).alias("known")).distinct())
+    if unsure.limit(1).count():
+        again = checkpoint(known.join(unsure, "known", "left_semi"))
+        links = links.union(table(links_in_buckets(placed.join(again, "node").join(sets, "node"), NEAR_RADIUS)))
     return rows.select("doc_id", "node", "check"), links
 
 
