@@ -4,8 +4,8 @@ Words, and runs of ASCII punctuation, fall into BUCKETS by hash. Each bucket has
 signs; a bucket's word vector is the sum of the index vectors that stand within REACH of it in any document, scaled to
 length one. Each task sums its own documents' vectors; the sums are added up by a shuffle of BUCKETS rows a task. A
 document is the mean and the spread of its words' vectors, and its length. Two layers with softmax are trained on at
-most TRAIN_ROWS labelled documents, one in five of which set the temperature instead, so that shares of labels and
-scores agree.
+most TRAIN_ROWS labelled documents (the first by a hash, of labels and then of rows), one in five of which set the
+temperature instead, so that shares of labels and scores agree.
 
 Vectors come from all documents, labelled or not, and never from labels. Training rows are those whose CRC-32 of the
 id leaves a remainder other than HELD_OUT; source, language and id are no inputs.
@@ -28,13 +28,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, read, table
+from .common import map_arrow, read, slices, table
 
 BUCKETS, WIDTH, NONZERO, REACH = 1 << 14, 32, 2, 2
 TRAIN_ROWS, HIDDEN, EPOCHS, BATCH, RATE = 20_000, 32, 30, 64, 0.003
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
-#: Texts that a task holds as arrays at a time.
-TEXTS = 1000
+#: Bytes of text that a task holds as arrays at a time.
+TEXT_BYTES = 4 << 20
 
 
 def fold(doc_id: Column) -> Column:
@@ -64,12 +64,6 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, WIDTH, (BUCKETS, NONZERO)), rng.choice([-1.0, 1.0], (BUCKETS, NONZERO))
 
 
-def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, TEXTS):
-            yield batch.slice(i, TEXTS)
-
-
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """[BUCKETS, WIDTH], each row of length one or zero; 2 MB whatever the input."""
     names = [f"v{k}" for k in range(WIDTH)]
@@ -77,7 +71,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, signs = index_vectors()
         total = np.zeros(BUCKETS * WIDTH)
-        for batch in texts_of(batches):
+        for batch in slices(batches, TEXT_BYTES):
             word, ends = buckets_of(batch.column("text"))
             text = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
             for step in range(1, REACH + 1):
@@ -182,13 +176,14 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = sent.value
-        for batch in texts_of(batches):
+        for batch in slices(batches, TEXT_BYTES):
             x = features(batch.column("text"), vectors, vectors**2)
             yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("y"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))], names=["order", "y", "x"])
 
     train = table(chosen)  # at most TRAIN_ROWS rows of two numbers
     joined = docs.join(F.broadcast(train), F.col("doc_id") == F.col("__id")).select(F.xxhash64("doc_id", "text").alias("order"), "y", "text")
-    rows = sorted(map_arrow(joined, pooled, "order bigint, y double, x array<float>").limit(2 * TRAIN_ROWS).collect(), key=lambda r: (r["order"], r["y"]))
+    # rows of one id may be many; the first TRAIN_ROWS by hash train
+    rows = map_arrow(joined, pooled, "order bigint, y double, x array<float>").orderBy("order", "y").limit(TRAIN_ROWS).collect()
     x = np.array([r["x"] for r in rows], dtype=np.float32).reshape(-1, 2 * WIDTH + 1)
     net = fit(x, np.array([r["y"] for r in rows]))
     sent_net = docs.sparkSession.sparkContext.broadcast(net)
@@ -196,7 +191,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, net = sent.value, sent_net.value
         squares = vectors**2
-        for batch in texts_of(batches):
+        for batch in slices(batches, TEXT_BYTES):
             score = net.score(features(batch.column("text"), vectors, squares))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score)], names=["doc_id", "held_out", "score"])
 

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -513,6 +514,7 @@ def test_licenses_against_brute_force(spark):
     assert all(len(set(pairs(split(rows[k][1]))) & set(wanted[n])) >= license_scan.MIN_CONTAINED * len(set(wanted[n])) for k, n in got)
 
 
+@lru_cache(maxsize=None)
 def template_of(text):
     """The words of a text, and its template's."""
     units = decontaminate.UNITS
@@ -526,6 +528,9 @@ def leaked(text, item):
     """Words of the item that the text covers, by trying all places."""
     (raw, slots), (old, want) = template_of(text), template_of(item)
     width, covered = decontaminate.WIDTH, set()
+    runs = lambda w: {tuple(w[i : i + width]) for i in range(len(w) - width + 1)}
+    if not runs(slots) & runs(want):
+        return 0
     slot = lambda w: w.startswith("\x01")
     literals = [sum(not slot(w) for w in want[i : i + width]) for i in range(len(want) - width + 1)]
     for shift in range(-len(want), len(slots)) if literals else ():
