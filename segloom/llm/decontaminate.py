@@ -9,7 +9,8 @@ item is in a document if runs of WIDTH or more agreeing words cover at least hal
 
 Windows of an item with fewer than MIN_LITERALS words that aren't placeholders are poor keys, so they find nothing as
 long as the item has better ones; an item that has none is found by its best. Shorter items than such a passage are
-compared with whole lines of the documents: a line with the item's template, consistently filled, holds the item.
+compared with whole lines of the documents (of fewer than 14 words, to begin with): a line with the item's template,
+consistently filled, holds the item.
 
 Items with one template and equal values at the same places are joined once; each of their ids is in the result.
 
@@ -155,6 +156,14 @@ def short_lines(docs: DataFrame, items: DataFrame) -> DataFrame:
     return agreeing.where(_consistent(F.col("agreeing"))).select(*ME, "item", "n", F.transform("agreeing", lambda x: x["i"]).alias("places"))
 
 
+def _lines_of(docs: DataFrame) -> DataFrame:
+    """ME, bare and template of each document's lines of fewer than twice the words that a short item has at most."""
+    most = 2 * (WIDTH + STEP - 1)
+    lines = F.filter(F.split(text_or_empty(), "\n"), lambda x: F.size(split_words(x)) < most)
+    some = docs.select("doc_id", *text_keys(), F.array_join(lines, "\n").alias("text")).where(F.btrim("text") != "")
+    return with_templates(some).select(*ME, "bare", "template")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COVER) -> DataFrame:
     """doc_id, text_a, text_b, item_id, n_words, n_covered: the items in each document."""
     items, members = items_of(benchmark)
@@ -163,7 +172,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COVER) -
     found = passages(with_words(templates).select(*ME, "raw", "slots"), items.where(F.size("slots") >= WIDTH + STEP - 1))
     short = items.where(F.size("slots") < WIDTH + STEP - 1)
     if short.limit(1).count():
-        found = found.union(short_lines(templates, short))
+        found = found.union(short_lines(_lines_of(docs), short))
     covered = found.groupBy(*ME, "item").agg(F.first("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("n_covered"))
     enough = covered.where(F.col("n_covered") >= min_cover * F.col("n"))
     return enough.join(members, "item").select(*ME, "item_id", F.col("n").cast("long").alias("n_words"), F.col("n_covered").cast("long"))
