@@ -2,6 +2,9 @@
 
 All go through ``range_pairs``: both sides are cut into buckets of time and joined on (session, bucket) and the range
 condition, so that a long session is spread over its buckets, and a pair is kept only in the first bucket it shares.
+Where lengths are ``mixed``, a segment of over WIDEST buckets, say one with a broken end, lies in buckets that are WIDEST
+times as wide, and so on, so that it has few rows however long it is; the other side's segments also lie in such buckets
+where there are any. Which widths there are takes another look at both sides, so this is not the default.
 Segments have session_id, an index, text, start_ms and end_ms.
 """
 
@@ -14,27 +17,58 @@ from ..functions.columns import iou, shares_character, similar_enough
 from .islands import merge_same_text
 
 BUCKET_MS = 60_000
+#: Buckets that a segment may lie in.
+WIDEST = 64
 
 
 def _renamed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns])
 
 
-def range_pairs(a: DataFrame, b: DataFrame, before: int = 0, after: int = 0, closed: bool = False, bucket_ms: int = BUCKET_MS) -> DataFrame:
+def _level(low: Column, high: Column, widths: list[int]) -> Column:
+    """Which of ``widths`` is the least of which a segment takes no more than WIDEST buckets."""
+    level = F.lit(len(widths) - 1)
+    for k in reversed(range(len(widths) - 1)):
+        level = F.when(_bucket(high, widths[k]) - _bucket(low, widths[k]) < WIDEST, k).otherwise(level)
+    return level
+
+
+def _bucket(at: Column, width: int) -> Column:
+    return F.floor(at / width)
+
+
+def _placed(df: DataFrame, low: Column, high: Column, widths: list[int], others: Column) -> DataFrame:
+    """``df`` in buckets ``at`` (level, bucket) with the ``first`` of them: those of its own level, and of higher ``others``."""
+
+    def on(k: int) -> Column:
+        first, last = _bucket(low, widths[k]), _bucket(high, widths[k])
+        cells = F.transform(F.sequence(first, last), lambda x: F.struct(F.lit(k).alias("level"), x.alias("bucket"), first.alias("first")))
+        wanted = F.col("__level") == k
+        if k:
+            wanted |= (F.col("__level") < k) & F.array_contains("__others", k)
+        return F.when(wanted, cells).otherwise(F.array().cast("array<struct<level:int,bucket:bigint,first:bigint>>"))
+
+    known = df.withColumns({"__level": _level(low, high, widths), "__others": others})
+    return known.withColumn("__at", F.explode(F.flatten(F.array(*[on(k) for k in range(len(widths))])))).drop("__others")
+
+
+def range_pairs(a: DataFrame, b: DataFrame, before: int = 0, after: int = 0, closed: bool = False, bucket_ms: int = BUCKET_MS, mixed: bool = False) -> DataFrame:
     """Pairs of one session where ``a`` meets ``b`` widened by ``before`` and ``after``; columns ``a_*`` and ``b_*``.
 
     Segments that end before they begin are in no pair. Half-open: ``a.start < b.end + after`` and ``b.start - before < a.end``. Closed: with ``<=``.
+    ``mixed``: bounded rows also for segments of any length.
     """
+    widths = [w for k in range(11 if mixed else 1) if (w := bucket_ms * WIDEST**k) < 1 << 60]
+    left, right = _renamed(a, "a_").where("a_end_ms >= a_start_ms"), _renamed(b, "b_").where("b_end_ms >= b_start_ms")
     low, high = F.col("b_start_ms") - before, F.col("b_end_ms") + after
-    cut = lambda x: F.floor(x / bucket_ms)
-    # a segment that ends before it begins meets nothing
-    spread = lambda x, y: F.explode(F.sequence(cut(x), cut(y)))
-    left = _renamed(a, "a_").where("a_end_ms >= a_start_ms").withColumn("__bucket", spread(F.col("a_start_ms"), F.col("a_end_ms")))
-    right = _renamed(b, "b_").where("b_end_ms >= b_start_ms").withColumn("__b_bucket", spread(low, high))
-    first = F.greatest(cut(F.col("a_start_ms")), cut(low))
+    own, other = (F.col("a_start_ms"), F.col("a_end_ms")), (low, high)
+    levels = lambda df, at: df.agg(F.collect_set(_level(*at, widths))).scalar() if mixed else F.array().cast("array<int>")
+    left, right = _placed(left, *own, widths, levels(right, other)), _placed(right, *other, widths, levels(left, own))
+    right = right.withColumnsRenamed({"__level": "__b_level", "__at": "__b_at"})
     meets = (F.col("a_start_ms") <= high) & (low <= F.col("a_end_ms")) if closed else (F.col("a_start_ms") < high) & (low < F.col("a_end_ms"))
-    on = (F.col("a_session_id") == F.col("b_session_id")) & (F.col("__bucket") == F.col("__b_bucket")) & (F.col("__bucket") == first) & meets
-    return left.join(right, on).drop("__bucket", "__b_bucket")
+    same = (F.col("__at.level") == F.col("__b_at.level")) & (F.col("__at.bucket") == F.col("__b_at.bucket"))
+    once = (F.col("__at.level") == F.greatest("__level", "__b_level")) & (F.col("__at.bucket") == F.greatest("__at.first", "__b_at.first"))
+    return left.join(right, (F.col("a_session_id") == F.col("b_session_id")) & same & once & meets).drop("__at", "__b_at", "__level", "__b_level")
 
 
 def _overlap() -> Column:

@@ -66,6 +66,24 @@ def test_range_pairs_like_nested_loops(spark):
     assert sorted((r.a_seg_idx, r.b_seg_idx) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize(("before", "after", "closed"), [(0, 0, False), (500, 700, True)])
+def test_range_pairs_of_mixed_lengths(spark, before, after, closed):
+    """Points, broken ends far away, ends before the start, and rows without a session; no segment has many rows."""
+    draw = random.Random(1)
+
+    def some(n):
+        starts = [draw.randrange(-(10**6), 10**8) for _ in range(n)]
+        return [(draw.choice([1, 2, None]), i, at, at + draw.choice([0, 1, 500, 60_000, 10**7, 10**10, 10**15, -5, 3 * 10**18])) for i, at in enumerate(starts)]
+
+    a, b = some(80), some(80)
+    of = lambda rows: spark.createDataFrame(rows, "session_id bigint, seg_idx bigint, start_ms bigint, end_ms bigint")
+    meet = lambda x, y: (x[2] <= y[3] + after and y[2] - before <= x[3]) if closed else (x[2] < y[3] + after and y[2] - before < x[3])
+    want = {(x[1], y[1]) for x in a for y in b if x[0] is not None and x[0] == y[0] and x[2] <= x[3] and y[2] <= y[3] and meet(x, y)}
+    found = [(r["a_seg_idx"], r["b_seg_idx"]) for r in intervals.range_pairs(of(a), of(b), before, after, closed, mixed=True).collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    assert intervals.range_pairs(of(a), of([]), mixed=True).count() == 0
+
+
 def test_edit_operations():
     assert folds.edit_operations(list("abc"), list("axcd")) == (2, 1, 1, 0)
     assert folds.edit_operations([], []) == (0, 0, 0, 0)
