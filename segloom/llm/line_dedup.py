@@ -14,11 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, checkpoint, own_columns, quoted, read, small_enough
+from .common import SPACES, checkpoint, own_columns, quoted, read
 
 RATIO, MIN_PAGES = 0.05, 2
-#: Hosts whose boilerplate is broadcast: each has at most (lines on a page) / RATIO lines of 16 bytes.
-BROADCAST_HOSTS = 50_000
+#: Hosts whose boilerplate is broadcast, and the lines of them all, 32 bytes each at most.
+BROADCAST_HOSTS, BROADCAST_LINES = 50_000, 1_000_000
 
 
 def host_of(url: Column) -> Column:
@@ -52,7 +52,8 @@ def drop_boilerplate(pages: DataFrame, host: str, ratio: float = RATIO, min_page
 def _cleaned(parts: DataFrame, ratio: float, min_pages: int) -> DataFrame:
     """__own, text, good (the text without boilerplate), dropped, for ``parts`` with __own, host and text."""
     found = checkpoint(boilerplate(parts, "host", ratio, min_pages)).select(F.col("host").alias("of_host"), F.col("lines").alias("bad"))
-    few = small_enough(found, BROADCAST_HOSTS)
+    hosts, n_lines = found.agg(F.count("*"), F.sum(F.size("bad"))).first()
+    few = hosts <= BROADCAST_HOSTS and (n_lines or 0) <= BROADCAST_LINES
     # beyond the bound it is a shuffle join, whose large hosts adaptive execution splits
     joined = parts.join(F.broadcast(found) if few else found.hint("shuffle_merge"), F.col("host").eqNullSafe(F.col("of_host")), "left")
     lines = F.split("text", "\n")

@@ -428,7 +428,9 @@ def test_quality_rules(spark, folder, docs):
         assert row.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and not (row.base_failed and row.kept)
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("bound", [line_dedup.BROADCAST_LINES, 0])
+def test_line_dedup(spark, monkeypatch, bound):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", bound)
     rows = [(i, f"Menu\nown line {i} with some more words\n\nMenu", "h", 77) for i in range(30)] + [(30, "Menu", "h", 77), (31, None, "h", 77), (32, "Menu\nx", None, 77)]
     rows += [(40 + i, f"Small\nonly here {i}", "small", 77) for i in range(3)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_dropped bigint")
