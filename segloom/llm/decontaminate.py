@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from .common import checkpoint, let, own_columns, read, small_enough, split_words, text_or_empty
 
 WIDTH, STEP, MIN_LITERALS, MIN_COVER = 5, 3, 3, 0.5
-#: Item windows (with the words of their items, some kB) that are broadcast, their keys in the plan, and keys of
+#: Item windows that are broadcast (their keys in the plan), bytes of the words of their items, and keys of
 #: contaminated texts (16 bytes) that are broadcast.
-BROADCAST_WINDOWS, BROADCAST_TEXTS = 20_000, 1_000_000
+BROADCAST_WINDOWS, BROADCAST_BYTES, BROADCAST_TEXTS = 20_000, 64 << 20, 1_000_000
 
 # Units that count as a slot after a number.
 UNITS = "mm|cm|m|km|mg|g|kg|ml|l|s|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|inch(?:es)?|feet|ft|yards?|miles?|pounds?|lbs?|oz|ounces?|dollars?|euros?|cents?|percent|degrees?|meters?|metres?|kilometers?|kilometres?|liters?|litres?|grams?|kilograms?"
@@ -51,6 +51,13 @@ def with_words(df: DataFrame) -> DataFrame:
     return df.withColumn("raw", split_words(F.col("bare"))).withColumn("slots", split_words(F.col("template")))
 
 
+def light(items: DataFrame) -> bool:
+    """Whether rows with ``item_slots`` and ``item_fills`` are few and small enough to be broadcast."""
+    size = F.octet_length(F.array_join("item_slots", "")) + 32 * F.size("item_slots") + 64
+    rows, weight = items.agg(F.count("*"), F.sum(size.cast("bigint"))).first()
+    return rows <= BROADCAST_WINDOWS and (weight or 0) <= BROADCAST_BYTES
+
+
 def is_slot(word: Column) -> Column:
     return word.startswith(MARK)
 
@@ -119,7 +126,7 @@ def passages(docs: DataFrame, items: DataFrame) -> DataFrame:
     ``docs`` has ME, raw and slots.
     """
     cut = checkpoint(item_windows(items))
-    if small_enough(cut, BROADCAST_WINDOWS):  # the keys are part of the plan, so a document's words go along with windows that meet an item only
+    if light(cut):  # the keys are part of the plan, so a document's words go along with windows that meet an item only
         keys = [r["key"] for r in cut.select("key").distinct().collect()]
         placed = docs.select(*ME, "raw", "slots", F.explode(F.filter(_windows(STEP), lambda w: w["key"].isin(keys))).alias("w"))
         shift = (F.col("w.at") - F.col("item_at")).alias("shift")
@@ -150,7 +157,7 @@ def short_lines(docs: DataFrame, items: DataFrame) -> DataFrame:
     short = F.filter(F.transform(lines, lambda x: F.struct(split_words(x["bare"]).alias("raw"), split_words(x["template"]).alias("slots"))), lambda x: (F.size(x["slots"]) > 0) & (F.size(x["slots"]) < size))
     listed = docs.select(*ME, F.explode(F.array_distinct(short)).alias("line")).select(*ME, "line.*")
     wanted = items.select("item", F.col("slots").alias("item_slots"), F.col("fills").alias("item_fills"))
-    wanted = F.broadcast(wanted) if small_enough(wanted, BROADCAST_WINDOWS) else wanted
+    wanted = F.broadcast(wanted) if light(wanted) else wanted
     met = listed.join(wanted, F.col("slots") == F.col("item_slots"))
     agreeing = met.select(*ME, "item", F.size("item_slots").alias("n"), "item_fills", _agreeing(F.col("slots"), F.col("raw"), F.lit(0)).alias("agreeing"))
     return agreeing.where(_consistent(F.col("agreeing"))).select(*ME, "item", "n", F.transform("agreeing", lambda x: x["i"]).alias("places"))
