@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from .common import checkpoint, let, read, small_enough, text_or_empty
 
 PIECE, MIN_PIECE, BANDS, MIN_CONTAINED, SLACK = 5, 4, 14, 0.9, 25
-#: Rows of pieces that are broadcast, some 100 bytes each, and distinct keys of them that are listed in the plan.
-BROADCAST_PIECES, LISTED_KEYS = 100_000, 10_000
+#: Rows of pieces that are broadcast, and the shingles of their templates, 8 bytes each; distinct keys of pieces that are
+#: listed in the plan.
+BROADCAST_PIECES, BROADCAST_SHINGLES, LISTED_KEYS = 100_000, 8_000_000, 10_000
 
 # Notices as licenses word them, then whole licenses without their copyright lines.
 TEMPLATES = [
@@ -118,7 +119,8 @@ def pieces(templates: DataFrame) -> DataFrame:
 def find_licenses(docs: DataFrame, templates: DataFrame, min_contained: float = MIN_CONTAINED) -> DataFrame:
     """doc_id, license, contained, first_shingle: the templates in each document, with the best passage of each."""
     cut = checkpoint(pieces(templates))
-    few = small_enough(cut, BROADCAST_PIECES)
+    rows, carried = cut.agg(F.count("*"), F.sum(F.size("whole"))).first()
+    few = rows <= BROADCAST_PIECES and (carried or 0) <= BROADCAST_SHINGLES
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_a"), F.xxhash64("text", F.lit(1)).alias("text_b"), shingles(text_or_empty()).alias("h"))
     me = ["doc_id", "text_a", "text_b"]
     bands = F.posexplode(F.array(*[F.col(f"m.m{k}") for k in range(BANDS)])).alias("band", "key")
