@@ -2,68 +2,61 @@
 
 All go through ``range_pairs``: both sides are cut into buckets of time and joined on (session, bucket) and the range
 condition, so that a long session is spread over its buckets, and a pair is kept only in the first bucket it shares.
-Where lengths are ``mixed``, a segment of over WIDEST buckets, say one with a broken end, lies in buckets that are WIDEST
-times as wide, and so on, so that it has few rows however long it is; the other side's segments also lie in such buckets
-where there are any. Which widths there are takes another look at both sides, so this is not the default.
+A segment of over WIDEST buckets, say one with a broken end, lies in buckets that are WIDEST times as wide, and so on, so
+that it has few rows however long it is; the other side's segments also lie in such buckets where there are any, which a
+subquery over times alone tells. Nearest starts need no pairs: both sides are sorted together.
 Segments have session_id, an index, text, start_ms and end_ms.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import iou, shares_character, similar_enough
 from .islands import merge_same_text
 
-BUCKET_MS = 60_000
+BUCKET_MS, CELL_MS = 60_000, 600_000
 #: Buckets that a segment may lie in.
-WIDEST = 64
+WIDEST, LEVELS = 64, 11
 
 
 def _renamed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns])
 
 
-def _level(low: Column, high: Column, widths: list[int]) -> Column:
-    """Which of ``widths`` is the least of which a segment takes no more than WIDEST buckets."""
-    level = F.lit(len(widths) - 1)
-    for k in reversed(range(len(widths) - 1)):
-        level = F.when(_bucket(high, widths[k]) - _bucket(low, widths[k]) < WIDEST, k).otherwise(level)
+def _level(low: Column, high: Column, width: int) -> Column:
+    """The least level of which a segment takes WIDEST buckets or fewer; level k has buckets of ``width * WIDEST**k``."""
+    level, span = F.lit(0), high - low
+    for k in range(1, LEVELS):
+        if (least := width * WIDEST ** (k - 1) * (WIDEST - 1)) < 1 << 62:
+            level += (span >= least).cast("int")
     return level
 
 
-def _bucket(at: Column, width: int) -> Column:
-    return F.floor(at / width)
+def _placed(df: DataFrame, low: Column, high: Column, width: int, others: Column) -> DataFrame:
+    """``df`` in buckets ``__at`` (level, bucket, first: the first bucket of that level): those of its own ``__level``, and of higher levels among ``others``."""
+    own = F.col("__level")
+    levels = F.concat(F.array(own), F.filter("__others", lambda k: k > own))
 
+    def buckets(k: Column) -> Column:
+        wide = F.lit(float(width)) * F.pow(F.lit(float(WIDEST)), k)
+        return F.transform(F.sequence(F.floor(low / wide), F.floor(high / wide)), lambda x: F.struct(k.alias("level"), x.alias("bucket"), F.floor(low / wide).alias("first")))
 
-def _placed(df: DataFrame, low: Column, high: Column, widths: list[int], others: Column) -> DataFrame:
-    """``df`` in buckets ``at`` (level, bucket) with the ``first`` of them: those of its own level, and of higher ``others``."""
+    return df.withColumns({"__level": _level(low, high, width), "__others": others}).withColumn("__at", F.explode(F.flatten(F.transform(levels, buckets)))).drop("__others")
 
-    def on(k: int) -> Column:
-        first, last = _bucket(low, widths[k]), _bucket(high, widths[k])
-        cells = F.transform(F.sequence(first, last), lambda x: F.struct(F.lit(k).alias("level"), x.alias("bucket"), first.alias("first")))
-        wanted = F.col("__level") == k
-        if k:
-            wanted |= (F.col("__level") < k) & F.array_contains("__others", k)
-        return F.when(wanted, cells).otherwise(F.array().cast("array<struct<level:int,bucket:bigint,first:bigint>>"))
 
-    known = df.withColumns({"__level": _level(low, high, widths), "__others": others})
-    return known.withColumn("__at", F.explode(F.flatten(F.array(*[on(k) for k in range(len(widths))])))).drop("__others")
-
-
-def range_pairs(a: DataFrame, b: DataFrame, before: int = 0, after: int = 0, closed: bool = False, bucket_ms: int = BUCKET_MS, mixed: bool = False) -> DataFrame:
+def range_pairs(a: DataFrame, b: DataFrame, before: int = 0, after: int = 0, closed: bool = False, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Pairs of one session where ``a`` meets ``b`` widened by ``before`` and ``after``; columns ``a_*`` and ``b_*``.
 
     Segments that end before they begin are in no pair. Half-open: ``a.start < b.end + after`` and ``b.start - before < a.end``. Closed: with ``<=``.
-    ``mixed``: bounded rows also for segments of any length.
     """
-    widths = [w for k in range(11 if mixed else 1) if (w := bucket_ms * WIDEST**k) < 1 << 60]
     left, right = _renamed(a, "a_").where("a_end_ms >= a_start_ms"), _renamed(b, "b_").where("b_end_ms >= b_start_ms")
     low, high = F.col("b_start_ms") - before, F.col("b_end_ms") + after
     own, other = (F.col("a_start_ms"), F.col("a_end_ms")), (low, high)
-    levels = lambda df, at: df.agg(F.collect_set(_level(*at, widths))).scalar() if mixed else F.array().cast("array<int>")
-    left, right = _placed(left, *own, widths, levels(right, other)), _placed(right, *other, widths, levels(left, own))
+    levels = lambda df, at: df.agg(F.collect_set(_level(*at, bucket_ms))).scalar()
+    left, right = _placed(left, *own, bucket_ms, levels(right, other)), _placed(right, *other, bucket_ms, levels(left, own))
     right = right.withColumnsRenamed({"__level": "__b_level", "__at": "__b_at"})
     meets = (F.col("a_start_ms") <= high) & (low <= F.col("a_end_ms")) if closed else (F.col("a_start_ms") < high) & (low < F.col("a_end_ms"))
     same = (F.col("__at.level") == F.col("__b_at.level")) & (F.col("__at.bucket") == F.col("__b_at.bucket"))
@@ -101,23 +94,41 @@ def false_positives(truth: DataFrame, found: DataFrame) -> DataFrame:
     return missed(found, truth)
 
 
+def _nearest(a: DataFrame, others: list[DataFrame], tolerance: int) -> DataFrame:
+    """session_id, seg_idx and text of ``a``, and ``near_k`` (dist, seg_idx, text): the nearest start in each of ``others``, or null.
+
+    All rows are sorted together by start, so the last one before and, backwards, the last one behind are the
+    candidates. A session is cut into cells; only what lies within the tolerance of a border is in two of them.
+    """
+    width = max(CELL_MS, 4 * tolerance)
+    cell = lambda at: F.floor(at / width)
+    row = ("session_id", "seg_idx", "text", "start_ms")
+    rows = a.select(*row, F.lit(-1).alias("kind"), cell(F.col("start_ms")).alias("cell"))
+    for k, b in enumerate(others):
+        rows = rows.unionByName(b.select(*row, F.lit(k).alias("kind"), F.explode(F.sequence(cell(F.col("start_ms") - tolerance), cell(F.col("start_ms") + tolerance))).alias("cell")))
+    is_a = F.col("kind") == -1
+    forth, back = (W.partitionBy("session_id", "cell").orderBy(at, is_a.asc(), F.desc("seg_idx")).rowsBetween(W.unboundedPreceding, W.currentRow) for at in (F.asc("start_ms"), F.desc("start_ms")))
+    own = lambda k: F.when(F.col("kind") == k, F.struct("start_ms", "seg_idx", "text"))
+    both = range(len(others))
+    seen = rows.withColumns({f"{name}_{k}": F.last(own(k), ignorenulls=True).over(w) for k in both for name, w in (("before", forth), ("behind", back))}).where(is_a)
+
+    def candidate(x: Column) -> Column:
+        dist = F.abs(F.col("start_ms") - x["start_ms"])
+        return F.when(dist <= tolerance, F.struct(dist.alias("dist"), x["seg_idx"].alias("seg_idx"), x["text"].alias("text")))
+
+    return seen.select("session_id", "seg_idx", "text", *[F.least(*[candidate(F.col(f"{name}_{k}")) for name in ("before", "behind")]).alias(f"near_{k}") for k in both])
+
+
 def nearest_start(a: DataFrame, b: DataFrame, tolerance: int = 4000) -> DataFrame:
     """For each segment of ``a`` the one of ``b`` whose start is nearest, within ``tolerance``, the first on ties."""
-    point = lambda df: df.withColumn("end_ms", F.col("start_ms"))
-    pairs = range_pairs(point(a), point(b), tolerance, tolerance, closed=True).withColumn("dist", F.abs(F.col("a_start_ms") - F.col("b_start_ms")))
-    best = pairs.groupBy(F.col("a_session_id").alias("session_id"), F.col("a_seg_idx").alias("seg_idx")).agg(
-        F.min_by(F.struct("b_seg_idx", "dist", "b_text"), F.struct("dist", "b_seg_idx")).alias("best")
-    )
-    return a.join(best, ["session_id", "seg_idx"], "left").select("session_id", "seg_idx", "text", F.col("best.b_seg_idx").alias("near_idx"), F.col("best.dist").alias("dist"), F.col("best.b_text").alias("near_text"))
+    return _nearest(a, [b], tolerance).select("session_id", "seg_idx", "text", F.col("near_0.seg_idx").alias("near_idx"), F.col("near_0.dist").alias("dist"), F.col("near_0.text").alias("near_text"))
 
 
 def nearest_of_two(truth: DataFrame, first: DataFrame, second: DataFrame, tolerance: int = 4000) -> DataFrame:
     """The nearer of two versions' segments; the first version's on equal distance."""
-    one, two = nearest_start(truth, first, tolerance), nearest_start(truth, second, tolerance)
-    named = two.select("session_id", "seg_idx", F.col("near_idx").alias("idx_2"), F.col("dist").alias("dist_2"))
-    both = one.join(named, ["session_id", "seg_idx"])
-    use_first = F.col("dist").isNotNull() & (F.col("dist_2").isNull() | (F.col("dist") <= F.col("dist_2")))
-    return both.select("session_id", "seg_idx", "text", F.when(use_first, F.col("near_idx")).otherwise(F.col("idx_2")).alias("match_idx"), F.when(use_first, F.col("dist")).otherwise(F.col("dist_2")).alias("dist"))
+    one, two = F.col("near_0"), F.col("near_1")
+    best = F.when(one["dist"] <= F.coalesce(two["dist"], one["dist"]), one).otherwise(two)
+    return _nearest(truth, [first, second], tolerance).select("session_id", "seg_idx", "text", best["seg_idx"].alias("match_idx"), best["dist"].alias("dist"))
 
 
 def overlap_text_match(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -130,25 +141,21 @@ def overlap_text_match(a: DataFrame, b: DataFrame) -> DataFrame:
 def fusion_split(ocr: DataFrame, asr: DataFrame) -> DataFrame:
     """OCR segments cut by the ASR segments of other text inside them: the piece before, the ASR segment, the rest; neighbours of one text merged."""
     inside = (F.col("b_start_ms") >= F.col("a_start_ms")) & (F.col("b_end_ms") <= F.col("a_end_ms")) & (F.col("a_text") != F.col("b_text"))
-    cuts = range_pairs(ocr, asr, 1, 1).where(inside).groupBy(F.col("a_session_id").alias("session_id"), F.col("a_seg_idx").alias("seg_idx")).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("b_start_ms").alias("s"), F.col("b_seg_idx").alias("i"), F.col("b_end_ms").alias("e"), F.col("b_text").alias("t")))).alias("cuts")
+    cuts = range_pairs(ocr, asr, 1, 1).where(inside).select(
+        F.col("a_session_id").alias("session_id"), F.col("a_seg_idx").alias("seg_idx"), F.struct(F.col("b_start_ms").alias("s"), F.col("b_seg_idx").alias("i"), F.col("b_end_ms").alias("e"), F.col("b_text").alias("t")).alias("cut")
     )
-    whole = ocr.join(cuts, ["session_id", "seg_idx"], "left")
-    kind = "array<struct<text:string,start_ms:bigint,end_ms:bigint>>"
+    in_order = W.partitionBy("session_id", "seg_idx").orderBy("cut")
+    at = F.coalesce(F.lag("cut.e").over(in_order), F.col("start_ms"))
+    last = F.lead("cut").over(in_order).isNull()
+    placed = ocr.join(cuts, ["session_id", "seg_idx"], "left").withColumns({"at": at, "last": last, "k": F.row_number().over(in_order)})
     piece = lambda t, s, e: F.struct(t.alias("text"), s.alias("start_ms"), e.alias("end_ms"))
-    start = F.struct(F.col("start_ms").alias("at"), F.array().cast(kind).alias("out"))
-
-    def step(state: Column, cut: Column) -> Column:
-        before = F.when(cut["s"] > state["at"], F.array(piece(F.col("text"), state["at"], cut["s"]))).otherwise(F.array().cast(kind))
-        return F.struct(cut["e"].alias("at"), F.concat(state["out"], before, F.array(piece(cut["t"], cut["s"], cut["e"]))).cast(kind).alias("out"))
-
-    def finish(state: Column) -> Column:
-        rest = F.when(state["at"] < F.col("end_ms"), F.array(piece(F.col("text"), state["at"], F.col("end_ms")))).otherwise(F.array().cast(kind))
-        return F.concat(state["out"], rest)
-
-    pieces = F.aggregate(F.coalesce("cuts", F.array().cast("array<struct<s:bigint,i:bigint,e:bigint,t:string>>")), start, step, finish)
-    cut = whole.select("session_id", F.col("start_ms").alias("from_ms"), "seg_idx", F.posexplode(pieces).alias("piece", "p"))
-    return merge_same_text(cut.select("session_id", "from_ms", "seg_idx", "piece", "p.*"), order=("from_ms", "seg_idx", "piece"))
+    rest = F.coalesce("cut.e", "start_ms")
+    pieces = F.array(
+        F.when(F.col("cut.s") > F.col("at"), piece(F.col("text"), F.col("at"), F.col("cut.s"))), F.when(F.col("cut").isNotNull(), piece(F.col("cut.t"), F.col("cut.s"), F.col("cut.e"))),
+        F.when(F.col("last") & (rest < F.col("end_ms")), piece(F.col("text"), rest, F.col("end_ms"))),
+    )
+    cut = placed.select("session_id", F.col("start_ms").alias("from_ms"), "seg_idx", "k", F.posexplode(pieces).alias("piece", "p")).where("p IS NOT NULL")
+    return merge_same_text(cut.select("session_id", "from_ms", "seg_idx", (3 * F.col("k") + F.col("piece")).alias("piece"), "p.*"), order=("from_ms", "seg_idx", "piece"))
 
 
 def fusion_union(ocr: DataFrame, asr: DataFrame, slack: int = 500) -> DataFrame:

@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .sequences import Fold, fold
-
 START_PAD, END_PAD, MIN_GAP = 100, 300, 50
+CHUNK_MS = 600_000
 
 
 def by_session(*order: str):
@@ -35,30 +34,41 @@ def pad(segments: DataFrame) -> DataFrame:
     return segments.withColumns({"padded_start": start, "padded_end": end})
 
 
-MERGED = "struct<start_ms:bigint,seg_idx:bigint,text:string,end_ms:bigint,n_merged:bigint>"
-
-
-def same_text(max_gap: int | None) -> Fold:
-    """Neighbours of one text with at most ``max_gap`` between them become one; any gap will do for None."""
-    put = lambda x: F.filter(F.array(x), lambda y: y.isNotNull())
+def _merged(rows: DataFrame, keys: list[str], order: tuple[str, ...], max_gap: int | None) -> DataFrame:
+    """``rows`` (first: the order and the first row's seg_idx, text and start_ms; end_ms, n_merged, parted) merged inside of ``keys``.
 
-    def step(last: Column, row: Column) -> tuple[Column, Column]:
-        near = F.lit(True) if max_gap is None else row["start_ms"] - last["end_ms"] <= max_gap
-        joins = F.coalesce((last["text"] == row["text"]) & near, F.lit(False))
-        grown = last.withField("end_ms", F.greatest(last["end_ms"], row["end_ms"])).withField("n_merged", last["n_merged"] + 1)
-        fresh = F.struct(row["start_ms"], row["seg_idx"], row["text"], row["end_ms"], F.lit(1)).cast(MERGED)
-        return F.when(joins, grown).otherwise(fresh), put(F.when(~joins, last))
-
-    return Fold(MERGED, MERGED, lambda: F.expr(f"cast(null as {MERGED})"), step, put)
+    Neighbours of one text are a run, unless one is ``parted`` from what is before; a run is cut where a start is more
+    than ``max_gap`` behind all ends before. Adds ``run`` and ``isle``, the number within the run.
+    """
+    in_order = [F.col(f"first.{c}") for c in order]
+    new = F.col("parted") | ~F.lag("first.text").over(W.partitionBy(*keys).orderBy(*in_order)).eqNullSafe(F.col("first.text"))
+    runs = rows.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(W.partitionBy(*keys).orderBy(*in_order)))
+    in_run = W.partitionBy(*keys, "run").orderBy(*in_order)
+    far = F.lit(0)
+    if max_gap is not None:
+        before = F.max("end_ms").over(in_run.rowsBetween(W.unboundedPreceding, -1))
+        far = F.coalesce((F.col("first.start_ms") - before > max_gap).cast("int"), F.lit(0))
+    isles = runs.withColumn("far", far).withColumn("isle", F.sum("far").over(in_run))
+    return isles.groupBy(*keys, "run", "isle").agg(F.min("first").alias("first"), F.max("end_ms").alias("end_ms"), F.sum("n_merged").alias("n_merged"))
 
 
 def merge_same_text(segments: DataFrame, max_gap: int | None = 1000, order: tuple[str, ...] = ("start_ms", "seg_idx")) -> DataFrame:
     """Neighbours of one text whose gap is at most ``max_gap`` become one segment; blank texts are left out before.
 
-    ``order`` begins with a time; rows are ordered by it.
+    ``order`` begins with a time; rows are ordered by it. Merging merged segments gives what merging the rows gives, so
+    chunks of CHUNK_MS are merged side by side, and then, for each session, what lies in the first and last run of a
+    chunk: nothing else can meet what is in another chunk. A long session is spread over its chunks.
     """
-    rows = segments.where(F.coalesce("text", F.lit("")) != "").select("session_id", *order, *[c for c in ("start_ms", "seg_idx", "text", "end_ms") if c not in order])
-    return fold(rows, ["session_id"], list(order), same_text(max_gap)).select("session_id", "seg_idx", "text", "start_ms", "end_ms", "n_merged")
+    own = [*order, *[c for c in ("seg_idx", "text", "start_ms") if c not in order]]
+    chunk = F.coalesce(F.floor(F.col(order[0]) / CHUNK_MS), F.lit(-(1 << 62)))  # rows without a time come first
+    rows = segments.where(F.coalesce("text", F.lit("")) != "").select("session_id", chunk.alias("chunk"), F.struct(*own).alias("first"), "end_ms", F.lit(1).alias("n_merged"), F.lit(False).alias("parted"))
+    inside = _merged(rows, ["session_id", "chunk"], order, max_gap)
+    last = F.max("run").over(W.partitionBy("session_id", "chunk"))
+    edge = (F.col("run") == 1) | (F.col("run") == F.col("last"))
+    parted = (F.col("run") == F.col("last")) & (F.col("run") > 1) & (F.col("isle") == 0)
+    across = inside.withColumn("last", last).select("session_id", F.when(~edge, F.col("chunk")).alias("inner"), "first", "end_ms", "n_merged", parted.alias("parted"))
+    whole = _merged(across, ["session_id", "inner"], order, max_gap)
+    return whole.select("session_id", "first.seg_idx", "first.text", "first.start_ms", "end_ms", "n_merged")
 
 
 def frame_runs(frames: DataFrame, min_ms: int = 500) -> DataFrame:

@@ -1,76 +1,41 @@
-"""Folds over the rows of a key in order, in the JVM, also where one key has a large share of all rows.
+"""Folds over the rows of a key in order, for recurrences that windows can't express: streams with a bounded state.
 
-A fold is an ``aggregate`` over a sorted array. Keys of up to MAX_ROWS rows are one array each. Where a key has more, all
-keys are cut into chunks of time; each chunk is folded from the start, and then anew from what the chunk before it
-carries over, until no chunk is handed anything else than it began with. That is the same result in a few rounds, for a
-fold forgets what lies far back; no array holds more than a chunk, and chunks of one key are folded side by side.
+``fold`` deals rows out by key, sorts each partition, which spills, and hands every key's rows as an iterator to a small
+generator. Nothing of a key is held but what the generator itself keeps, so cost is linear and memory bounded however
+many rows a key has. A recurrence is sequential, so one key is one stream.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections import namedtuple
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby, islice, starmap
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..plans.shared import checkpoint
+from ..plans.shipping import ship_package
 
-MAX_ROWS, CHUNK_MS = 1_000_000, 600_000
+BATCH = 10_000
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-@dataclass
-class Fold:
-    """``step(carry, row)`` gives the next carry and an array of rows to put out; ``finish(carry)`` the rows at the end."""
-
-    carry: str
-    out: str
-    start: Callable[[], Column]
-    step: Callable[[Column, Column], tuple[Column, Column]]
-    finish: Callable[[Column], Column]
-
-    def rows(self, *values: Column) -> Column:
-        return F.array(*values).cast(f"array<{self.out}>")
-
-    def over(self, rows: Column, carry: Column) -> Column:
-        kind = f"struct<carry:{self.carry},out:array<{self.out}>>"
-
-        def step(state: Column, row: Column) -> Column:
-            now, out = self.step(state["carry"], row)
-            return F.struct(now.alias("carry"), F.concat(state["out"], out).alias("out")).cast(kind)
-
-        return F.aggregate(rows, F.struct(carry.cast(self.carry).alias("carry"), self.rows().alias("out")).cast(kind), step)
-
-
-def has_long_keys(rows: DataFrame, keys: list[str]) -> bool:
-    return rows.groupBy(*keys).count().where(F.col("count") > MAX_ROWS).limit(1).count() > 0
-
-
-def fold(rows: DataFrame, keys: list[str], order: list[str], by: Fold, backwards: bool = False, long_keys: bool | None = None) -> DataFrame:
-    """The keys and what the fold puts out. The first of ``order`` is a time in milliseconds."""
+def fold(rows: DataFrame, keys: list[str], order: list[str], run: Callable[[Iterable], Iterator[tuple]], out: str, backwards: bool = False) -> DataFrame:
+    """The keys and what ``run`` yields for each key's rows in ``order``: tuples of ``out``, a schema. Rows have the columns but the keys by name."""
     rest = [c for c in rows.columns if c not in (*keys, *order)]
-    listed = F.array_sort(F.collect_list(F.struct(*order, *rest)))
-    listed = F.reverse(listed) if backwards else listed
-    if not (has_long_keys(rows, keys) if long_keys is None else long_keys):
-        whole = rows.groupBy(*keys).agg(by.over(listed, by.start()).alias("state"))
-        return whole.select(*keys, F.inline(F.concat("state.out", by.finish(F.col("state.carry")))))
-    chunks = rows.groupBy(*keys, F.floor(F.col(order[0]) / CHUNK_MS).alias("chunk")).agg(listed.alias("rows"))
-    done = checkpoint(chunks.withColumn("carry", by.start().cast(by.carry)).withColumn("state", by.over(F.col("rows"), by.start())))
-    one_after_other = W.partitionBy(*keys).orderBy(F.desc("chunk") if backwards else F.asc("chunk"))
-    while True:
-        handed = F.coalesce(F.lag("state.carry").over(one_after_other), by.start().cast(by.carry))
-        shifted = done.withColumn("handed", handed)
-        new = ~F.col("carry").eqNullSafe(F.col("handed"))
-        if not shifted.where(new).limit(1).count():
-            break
-        state = F.when(new, by.over(F.col("rows"), F.col("handed"))).otherwise(F.col("state"))
-        done = checkpoint(shifted.select(*keys, "chunk", "rows", F.col("handed").alias("carry"), state.alias("state")))
-    last = F.lead("chunk").over(one_after_other).isNull()
-    out = F.when(F.col("last"), F.concat("state.out", by.finish(F.col("state.carry")))).otherwise(F.col("state.out"))
-    return done.withColumn("last", last).select(*keys, F.inline(out))
+    ordered = rows.select(*keys, *order, *rest).repartition(*keys).sortWithinPartitions(*keys, *[F.desc(c) if backwards else F.asc(c) for c in order])
+    schema = T.StructType([*(rows.schema[k] for k in keys), *T.StructType.fromDDL(out).fields])
+    names, n = [*order, *rest], len(keys)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = namedtuple("row", names)  # noqa: PYI024
+        kinds = to_arrow_schema(schema)
+        values = (v for batch in batches for v in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        found = ((*key, *made) for key, own in groupby(values, key=lambda v: v[:n]) for made in run(starmap(row, (v[n:] for v in own))))
+        while part := list(islice(found, BATCH)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind.type) for c, kind in zip(zip(*part, strict=True), kinds, strict=True)], schema=kinds)
+
+    ship_package(rows.sparkSession)
+    return ordered.mapInArrow(stream, schema)

@@ -34,6 +34,16 @@ def eval_matches(spark: SparkSession, sf: str) -> DataFrame:
     return intervals.best_match(D.seg(spark, sf), D.hyp(spark, sf))
 
 
+@query(f"""WITH {D.HYP_SQL}, broken AS (SELECT session_id, seg_idx, text, start_ms, CASE WHEN seg_idx >= 1000 THEN 100000000000000 ELSE end_ms END AS end_ms FROM (SELECT session_id, seg_idx, text, CASE WHEN seg_idx >= 1000 THEN 0 ELSE start_ms END AS start_ms, end_ms FROM hyp))
+SELECT g.session_id, g.seg_idx, h.seg_idx AS hyp_idx, least(g.end_ms, h.end_ms) - greatest(g.start_ms, h.start_ms) AS overlap_ms FROM seg g JOIN broken h ON {OVERLAP}""")
+def broken_ends(spark: SparkSession, sf: str) -> DataFrame:
+    """All overlaps where one hypothesis of each session never ends."""
+    extra = F.col("seg_idx") >= 1000
+    hyp = D.hyp(spark, sf).withColumns({"start_ms": F.when(extra, 0).otherwise(F.col("start_ms")), "end_ms": F.when(extra, 10**14).otherwise(F.col("end_ms"))})
+    pairs = intervals.range_pairs(D.seg(spark, sf), hyp)
+    return pairs.select(F.col("a_session_id").alias("session_id"), F.col("a_seg_idx").alias("seg_idx"), F.col("b_seg_idx").alias("hyp_idx"), (F.least("a_end_ms", "b_end_ms") - F.greatest("a_start_ms", "b_start_ms")).alias("overlap_ms"))
+
+
 @query(MATCH_SQL + """SELECT session_id, count(*) AS n_truth, count(hyp_idx) AS n_matched, avg(start_offset) AS mean_start_offset, median(start_offset) AS median_start_offset,
 avg(end_offset) AS mean_end_offset, median(end_offset) AS median_end_offset, count(hyp_idx) / CAST(count(*) AS DOUBLE) AS detection FROM matches GROUP BY session_id""")
 def eval_offsets(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from segloom.functions import columns as C
-from segloom.operators import decoding, folds, intervals, islands, sequences
+from segloom.operators import decoding, folds, intervals, islands
 from segloom.plans import tables
 from segloom.sources import transcripts
 from segloom.streaming import messages
@@ -79,9 +79,9 @@ def test_range_pairs_of_mixed_lengths(spark, before, after, closed):
     of = lambda rows: spark.createDataFrame(rows, "session_id bigint, seg_idx bigint, start_ms bigint, end_ms bigint")
     meet = lambda x, y: (x[2] <= y[3] + after and y[2] - before <= x[3]) if closed else (x[2] < y[3] + after and y[2] - before < x[3])
     want = {(x[1], y[1]) for x in a for y in b if x[0] is not None and x[0] == y[0] and x[2] <= x[3] and y[2] <= y[3] and meet(x, y)}
-    found = [(r["a_seg_idx"], r["b_seg_idx"]) for r in intervals.range_pairs(of(a), of(b), before, after, closed, mixed=True).collect()]
+    found = [(r["a_seg_idx"], r["b_seg_idx"]) for r in intervals.range_pairs(of(a), of(b), before, after, closed).collect()]
     assert len(found) == len(set(found)) and set(found) == want
-    assert intervals.range_pairs(of(a), of([]), mixed=True).count() == 0
+    assert intervals.range_pairs(of(a), of([])).count() == 0
 
 
 def test_edit_operations():
@@ -226,17 +226,26 @@ def test_tokens_by_character(spark):
     assert decoding.by_character(tokens, vocabulary).first()["tokens"] == [4, 1, 2, 3, 1, 2]
 
 
-def test_merges_of_a_hot_session(spark, monkeypatch):
+@pytest.mark.parametrize("chunk", [600_000, 3000, 500])
+def test_merges_of_a_hot_session(spark, monkeypatch, chunk):
+    """Row by row by definition, whatever the chunks, with broken ends among the rows."""
     rng = random.Random(5)
     spans, at = [], 0
-    for _ in range(200):
+    for _ in range(400):
         at += rng.choice([0, 300, 1500])
-        spans.append((at, at + rng.choice([50, 900, 4000])))
-    df = rows(spark, *spans, texts={i: rng.choice(["a", "b", ""]) for i in range(200)})
-    want = sorted(islands.merge_same_text(df).collect())
-    monkeypatch.setattr(sequences, "MAX_ROWS", 0)
-    monkeypatch.setattr(sequences, "CHUNK_MS", 3000)
-    assert sorted(islands.merge_same_text(df).collect()) == want and 10 < len(want) < 150
+        spans.append((at, at + rng.choice([50, 900, 4000, -20])))
+    texts = {i: rng.choice(["a", "a", "a", "b", ""]) for i in range(400)}
+    want = []
+    for i, (start, end) in enumerate(spans):
+        if not texts[i]:
+            continue
+        if want and want[-1][1] == texts[i] and start - want[-1][3] <= 1000:
+            want[-1] = [*want[-1][:3], max(want[-1][3], end), want[-1][4] + 1]
+        else:
+            want.append([i, texts[i], start, end, 1])
+    monkeypatch.setattr(islands, "CHUNK_MS", chunk)
+    found = islands.merge_same_text(rows(spark, *spans, texts=texts)).select("seg_idx", "text", "start_ms", "end_ms", "n_merged")
+    assert sorted(list(r) for r in found.collect()) == want and 10 < len(want) < 250
 
 
 @pytest.mark.parametrize("text, want", [("师父，你好", "师傅你好"), ("「好」{a}～~[b]", "好ab"), ("a\u3000b\ufeffc", "abc"), ("一百20个…—-", "#个"), ("“x” ‘y’", "xy")])
