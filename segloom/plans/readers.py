@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import json
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import control
+from ..sources import named_files as N
 from ..sources import transcripts as T
 from . import datasets as D
 from . import stages
-from .shared import shared_path
+from .shared import scratch_path as _scratch
 
 QUERIES, ORACLES = {}, {}
 
@@ -28,10 +26,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _scratch(spark: SparkSession) -> str:
-    return f"{shared_path(spark)}/segloom-{uuid.uuid4().hex}"
-
-
 SEG = f"WITH {D.SEG_SQL} "
 
 
@@ -59,12 +53,16 @@ def raw_transcripts(spark: SparkSession, sf: str) -> DataFrame:
 STAMP = "printf('%02d:%02d:%02d.%03d', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60, {0} % 1000)"
 
 
-@query(SEG + "SELECT trim(text) AS text, start_ms, end_ms FROM seg WHERE NOT contains(text, chr(10))")
+#: Stands for a line break in formats of one line a text.
+BREAK = "\u240a"
+
+
+@query(SEG + "SELECT trim(text) AS text, start_ms, end_ms FROM seg")
 def log_segments(spark: SparkSession, sf: str) -> DataFrame:
     stamp = lambda c: F.replace(C.srt_time(F.col(c)), F.lit(","), F.lit("."))
-    rows = D.seg(spark, sf).where(~F.col("text").contains("\n"))
-    lines = rows.select(F.concat(F.lit("["), stamp("start_ms"), F.lit(" --> "), stamp("end_ms"), F.lit("]   "), "text").alias("value"))
-    return T.parse_log(lines.union(rows.select(F.lit("whisper: no segment"))))
+    rows = D.seg(spark, sf)
+    lines = rows.select(F.concat(F.lit("["), stamp("start_ms"), F.lit(" --> "), stamp("end_ms"), F.lit("]   "), F.translate("text", "\n", BREAK)).alias("value"))
+    return T.parse_log(lines.union(rows.select(F.lit("whisper: no segment")))).withColumn("text", F.translate("text", BREAK, "\n"))
 
 
 @query("SELECT p_partkey AS run, p_retailprice AS total_ms FROM part WHERE p_size % 2 = 0")
@@ -139,12 +137,22 @@ def required_files(spark: SparkSession, sf: str) -> DataFrame:
     return T.missing_files(names.select("name"), names.where("n_regionkey <> 0").select("name"))
 
 
-@query("SELECT CAST(row_number() OVER (ORDER BY n_name) - 1 AS INTEGER) AS token, n_name AS piece FROM nation")
+@query("SELECT CAST(p_partkey AS INTEGER) AS token, replace(p_name, ' ', '▁') AS piece FROM part")
 def vocabulary_file(spark: SparkSession, sf: str) -> DataFrame:
+    """A piece and its token a line, in as many files as there are partitions."""
+    path, piece = _scratch(spark), F.replace("p_name", F.lit(" "), F.lit("▁"))
+    D.read(spark, sf, "part").select(F.concat_ws(" ", piece, F.col("p_partkey").cast("string")).alias("value")).write.text(path)
+    return T.vocabulary_lines(spark, path)
+
+
+@query("SELECT p_brand AS name, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS INTEGER) AS token, p_name AS piece FROM part")
+def vocabulary_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """A vocabulary for each brand, as a JSON array of its pieces in order in a file of its own."""
     path = _scratch(spark)
-    listed = F.to_json(F.array_sort(F.collect_list("n_name")))
-    D.read(spark, sf, "nation").agg(listed.alias("value")).coalesce(1).write.text(path)
-    return T.vocabulary(spark, path)
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x["p_name"])
+    lists = D.read(spark, sf, "part").groupBy("p_brand").agg(F.to_json(pieces).alias("value"))
+    N.write_named_files(lists.select(F.concat("p_brand", F.lit(".json")).alias("name"), "value"), path)
+    return T.vocabulary(spark, path).select(F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("name"), "token", "piece").withColumn("name", F.url_decode("name"))
 
 
 @query(SEG + f"SELECT session_id, string_agg(k || chr(10) || {STAMP.format('start_ms').replace('.%03d', ',%03d')} || ' --> ' || {STAMP.format('end_ms').replace('.%03d', ',%03d')} || chr(10) || text || chr(10), chr(10) ORDER BY k) AS value FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY start_ms, seg_idx) AS k FROM seg) GROUP BY session_id")
@@ -181,11 +189,14 @@ def saved_results(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(rows.schema).json(path)
 
 
-@query("SELECT column_name AS name FROM (DESCRIBE SELECT * FROM nation)")
+@query("""WITH o AS (SELECT json_object('key', o_orderkey, 'priority', o_orderpriority) AS j FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT json_object('key', o_orderkey, 'price', o_totalprice, 'clerk', json_object('id', o_custkey)) FROM orders WHERE o_orderkey % 2 = 1),
+k AS (SELECT j, unnest(json_keys(j)) AS name FROM o) SELECT name, count(*) AS n, CASE WHEN name IN ('key') THEN 'integer' WHEN name = 'price' THEN 'number' WHEN name = 'clerk' THEN 'object' ELSE 'string' END AS type, count(*) = (SELECT count(*) FROM orders) AS required FROM k GROUP BY name""")
 def schema_fields(spark: SparkSession, sf: str) -> DataFrame:
-    """Field names of a table's schema as JSON."""
-    fields = json.loads(T.json_schema(D.read(spark, sf, "nation")))["fields"]
-    return spark.createDataFrame([(f["name"],) for f in fields], "name string")
+    """The JSON Schema's properties that documents of two kinds really have."""
+    key, even = F.col("o_orderkey"), F.col("o_orderkey") % 2 == 0
+    one = F.to_json(F.struct(key.alias("key"), F.col("o_orderpriority").alias("priority")))
+    two = F.to_json(F.struct(key.alias("key"), F.col("o_totalprice").alias("price"), F.struct(F.col("o_custkey").alias("id")).alias("clerk")))
+    return T.schema_properties(D.read(spark, sf, "orders").select(F.when(even, one).otherwise(two).alias("value")))
 
 
 @query("SELECT c_custkey AS session_id, CASE WHEN c_custkey % 2 = 0 THEN 'subtitle' ELSE 'dub' END AS pipeline, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) ELSE c_name END AS title FROM customer")
@@ -281,14 +292,14 @@ def scalar_functions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(SEG + "SELECT session_id, CAST(floor(seg_idx / CAST(4 AS DOUBLE)) AS BIGINT) AS batch, count(*) AS n, min(trim(text)) AS least FROM seg WHERE trim(text) <> '' AND NOT contains(text, chr(10)) GROUP BY ALL")
+@query(SEG + "SELECT session_id, CAST(floor(seg_idx / CAST(4 AS DOUBLE)) AS BIGINT) AS batch, count(*) AS n, min(trim(text)) AS least FROM seg WHERE trim(text) <> '' GROUP BY ALL")
 def answered_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Numbered lines of a batch, parsed again."""
-    rows = D.seg(spark, sf).where((F.trim("text") != "") & ~F.col("text").contains("\n"))
+    rows = D.seg(spark, sf).where(F.trim("text") != "").withColumn("text", F.translate("text", "\n", BREAK))
     listed = F.array_sort(F.collect_list(F.struct("seg_idx", "text")))
     asked = rows.groupBy("session_id", F.floor(F.col("seg_idx") / 4).alias("batch")).agg(F.array_join(F.transform(listed, lambda x: F.concat(x["seg_idx"].cast("string"), F.lit(") "), x["text"])), "\n").alias("answer"), F.count("*").cast("int").alias("n"))
     texts = asked.withColumn("texts", C.numbered_lines(F.col("answer"), F.col("n")))
-    return texts.select("session_id", "batch", F.size("texts").cast("bigint").alias("n"), F.array_min("texts").alias("least"))
+    return texts.select("session_id", "batch", F.size("texts").cast("bigint").alias("n"), F.array_min(F.transform("texts", lambda t: F.translate(t, BREAK, "\n"))).alias("least"))
 
 
 @query(SEG + "SELECT session_id, seg_idx, text, start_ms, end_ms FROM seg WHERE seg_idx % 2 = 0 UNION ALL SELECT session_id, seg_idx, text, start_ms, end_ms FROM seg WHERE seg_idx % 3 = 0")
@@ -304,6 +315,3 @@ def range_union(spark: SparkSession, sf: str) -> DataFrame:
 def json_paths(spark: SparkSession, sf: str) -> DataFrame:
     page = F.get_json_object("props", "$.k")
     return D.read(spark, sf, "events").groupBy(F.col("user_id").alias("session_id"), page.alias("page")).agg(F.count("*").alias("n"))
-
-
-

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read from there."""
     shared_path(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder's path below the shared one; what is written there goes when the application ends."""
+    path = f"{shared_path(spark)}/segloom-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path

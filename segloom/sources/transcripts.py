@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.columns import srt_time
+from .named_files import write_named_files
 
 
 def read_transcripts(spark: SparkSession, path: str, recursive: bool = False, pattern: str | None = None) -> DataFrame:
-    """One row for each JSON document below ``path``, with the label that its folder names."""
-    reader = spark.read.schema(schemas.TRANSCRIPT).option("multiLine", True).option("recursiveFileLookup", recursive)
+    """One row for each JSON document below ``path``, with the label that its folder names; ``corrupt`` is the text of one that isn't JSON."""
+    reader = spark.read.schema(f"{schemas.TRANSCRIPT}, corrupt STRING").option("multiLine", True).option("recursiveFileLookup", recursive).option("columnNameOfCorruptRecord", "corrupt")
     reader = reader.option("pathGlobFilter", pattern) if pattern else reader
     file = F.col("_metadata.file_path")
     return reader.json(path).withColumns({"path": file, "label": F.regexp_extract(file, r"/([^/]+)/(?:metadata/)?[^/]+$", 1)})
@@ -164,13 +165,16 @@ def font_report(configured: DataFrame, families: DataFrame) -> DataFrame:
     return marked.select("family", F.col("there").isNotNull().alias("available"), F.when(F.col("there").isNull(), F.col("first")).alias("suggestion"))
 
 
+def vocabulary_lines(spark: SparkSession, path: str) -> DataFrame:
+    """token, piece: from lines ``piece token`` of files below ``path``."""
+    bare = F.trim("value")
+    return spark.read.text(path).where(bare != "").select(F.element_at(F.split(bare, " "), -1).cast("int").alias("token"), F.element_at(F.split(bare, " "), 1).alias("piece"))
+
+
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """token, piece: from lines ``piece token``, or from a JSON array of pieces in order."""
-    text = spark.read.text(path, wholetext=True).select(F.col("value").alias("v"))
-    listed = F.from_json("v", "array<string>")
-    split = F.transform(F.filter(F.split("v", "\n"), lambda x: F.trim(x) != ""), lambda x: F.struct(F.element_at(F.split(F.trim(x), " "), -1).cast("int").alias("token"), F.element_at(F.split(F.trim(x), " "), 1).alias("piece")))
-    rows = F.when(F.ltrim("v").startswith("["), F.transform(listed, lambda x, i: F.struct(i.alias("token"), x.alias("piece")))).otherwise(split)
-    return text.select(F.inline(rows))
+    """path, token, piece: from files with a JSON array of pieces in order, each of them one vocabulary."""
+    text = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", "array<string>").alias("pieces"))
+    return text.select("path", F.posexplode("pieces").alias("token", "piece"))
 
 
 def session_info(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -190,8 +194,8 @@ def write_documents(segments: DataFrame, path: str, append: bool = False) -> Non
 
 
 def write_subtitles(cues: DataFrame, path: str) -> None:
-    """An SRT file in a folder for each session."""
-    subtitle_files(cues).write.mode("overwrite").partitionBy("session_id").text(path)
+    """An SRT file for each session, by the session's name."""
+    write_named_files(subtitle_files(cues).select(F.concat(F.lit("subtitles/"), F.col("session_id").cast("string"), F.lit(".srt")).alias("name"), "value"), path)
 
 
 def append_log(lines: DataFrame, path: str) -> None:
@@ -209,6 +213,17 @@ def json_schema(df: DataFrame) -> str:
     return df.schema.json()
 
 
+def schema_properties(documents: DataFrame, column: str = "value") -> DataFrame:
+    """name, n, type, required: the properties of JSON documents, by what they have; of several types the most general, else a string."""
+    entry = documents.select(F.parse_json(column).alias("v"))
+    named = entry.select(F.explode(F.map_entries(F.from_json(F.to_json("v"), "map<string,string>"))).alias("e"), "v").select(F.col("e.key").alias("name"), F.schema_of_variant(F.try_variant_get("v", F.concat(F.lit("$['"), "e.key", F.lit("']")), "variant")).alias("kind"))
+    kind = F.when(F.col("kind") == "BIGINT", 1).when(F.col("kind").startswith("DECIMAL") | F.col("kind").isin("DOUBLE", "FLOAT"), 2).when(F.col("kind") == "BOOLEAN", 3).when(F.col("kind").startswith("OBJECT"), 4).when(F.col("kind").startswith("ARRAY"), 5).otherwise(6)
+    counts = named.where("kind <> 'VOID'").groupBy("name").agg(F.count("*").alias("n"), F.min(kind).alias("low"), F.max(kind).alias("high"))
+    type_name = F.when((F.col("low") == F.col("high")) | (F.col("high") == 2), F.element_at(F.array(*[F.lit(x) for x in ("integer", "number", "boolean", "object", "array", "string")]), F.col("high"))).otherwise("string")
+    total = documents.agg(F.count("*").alias("total"))  # one row
+    return counts.join(F.broadcast(total)).select("name", "n", type_name.alias("type"), (F.col("n") == F.col("total")).alias("required"))
+
+
 def result_json(lines: DataFrame) -> DataFrame:
     """session_id, value: a session's lines (text, confidence, box) and their joined text as JSON, confidences to two digits."""
     listed = F.array_sort(F.collect_list(F.struct("frame_idx", "text", F.round("confidence", 2).cast("decimal(5,2)").alias("confidence"), "box")))
