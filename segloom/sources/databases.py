@@ -12,7 +12,7 @@ import sqlite3
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
-from urllib.parse import quote, urlparse
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,10 +32,11 @@ SQLITE = {"bigint": "INTEGER", "int": "INTEGER", "smallint": "INTEGER", "tinyint
 
 
 def local_path(path: str) -> str:
-    parts = urlparse(path)
-    if parts.scheme not in ("", "file"):
+    if path.startswith("file:"):
+        return "/" + path.removeprefix("file:").lstrip("/")
+    if "://" in path:
         raise ValueError(f"SQLite files must be on a mounted file system, not at {path}")
-    return parts.path
+    return path
 
 
 def files_of(path: str) -> list[str]:
@@ -132,7 +133,9 @@ class SqliteReader(DataSourceReader):
             out += [Rows(file, first, min(first + step, high + 1)) for first in range(low, high + 1, step)]
         return out
 
-    def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Rows | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there was none to read
+            return
         types = to_arrow_schema(self.schema)
         made = [PYTHON[f.dataType] for f in self.schema]
         wanted = [*self.where, *(["rowid >= ? AND rowid < ?"] if partition.first is not None else [])]

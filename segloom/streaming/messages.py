@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from .. import schemas
-from ..operators.folds import BRIDGE_MS, LEAST_MS, MAX_DISTANCE, edit_operations
+from ..operators.folds import BRIDGE_MS, LEAST_MS, MAX_DISTANCE, within
 from ..plans.shipping import ship_package
 
 
@@ -53,37 +54,82 @@ def task_outcomes(messages: DataFrame, idle_ms: int = 1_800_000) -> DataFrame:
     return messages.groupBy("task_id", "stage").applyInPandasWithState(run, "task_id string, stage string, outcome string, progress int", "progress int, outcome string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def frame_segments(frames: DataFrame, delay: str = "10 seconds") -> DataFrame:
-    """Segments of a stream of frames (session_id, ts, text): a run closes when another text comes, or after the watermark passes BRIDGE_MS."""
-    ship_package(frames.sparkSession)
-    kind = frames.schema["session_id"].dataType.simpleString()
+class FrameMerger(StatefulProcessor):
+    """Frames of a session wait until the watermark has passed them and are then merged in order of time, whenever they came.
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        text, start, last = state.get if state.exists else (None, 0, 0)
-        closed = []
-        if state.hasTimedOut:
-            closed.append((text, start, last))
-            state.remove()
-        else:
-            for rows in batches:
-                for ts, word in sorted(zip(rows["ts"], rows["text"], strict=True)):
-                    now = int(ts.timestamp() * 1000)
-                    if not word:
-                        continue
-                    if text is not None and now - last <= BRIDGE_MS and edit_operations(list(word), list(text))[0] <= MAX_DISTANCE:
-                        last = max(last, now)
-                        continue
-                    if text is not None:
-                        closed.append((text, start, min(now, last + BRIDGE_MS)))
-                    text, start, last = word, now, now
-            if text is not None:
-                state.update((text, start, last))
-                state.setTimeoutTimestamp(max(last + BRIDGE_MS, state.getCurrentWatermarkMs() + 1))
+    A run goes on with a like text BRIDGE_MS behind its last frame at most. It ends where the blanks behind it begin, else
+    with the next text, but no more than BRIDGE_MS behind its last frame. One timer is set, for the first frame that waits
+    or the open run's end, whichever comes first; what waits is bounded by the watermark's delay.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ts long, text string")
+        self.run = handle.getValueState("run", "text string, start long, last long, blank long")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def _set_timer(self, at: int | None) -> None:
+        old = self.timer.get()[0] if self.timer.exists() else None
+        if old == at:
+            return
+        if old is not None:
+            self.handle.deleteTimer(old)
+            self.timer.clear()
+        if at is not None:
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        first = self.timer.get()[0] if self.timer.exists() else None
+        for batch in rows:
+            frames = [(int(t.timestamp() * 1000), text) for t, text in zip(batch["ts"], batch["text"].fillna(""), strict=True)]
+            if frames:
+                self.waiting.appendList(frames)
+                earliest = min(t for t, _ in frames)
+                first = earliest if first is None else min(first, earliest)
+        if first is not None:
+            self._set_timer(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        self.timer.clear()
+        frames = sorted(self.waiting.get())
+        rest = [f for f in frames if f[0] > watermark]
+        run, closed = self.run.get() if self.run.exists() else None, []
+        for now, text in frames[: len(frames) - len(rest)]:
+            if not text:
+                run = (*run[:3], now) if run is not None and run[3] is None else run
+            elif run is not None and now - run[2] <= BRIDGE_MS and within(text, run[0], MAX_DISTANCE):
+                run = (run[0], run[1], now, None)
+            else:
+                if run is not None:
+                    closed.append((run[0], run[1], min(now, run[2] + BRIDGE_MS, run[3] or now)))
+                run = (text, now, now, None)
+        if run is not None and run[2] + BRIDGE_MS <= watermark:
+            closed.append((run[0], run[1], min(run[2] + BRIDGE_MS, run[3] or run[2] + BRIDGE_MS)))
+            run = None
+        self.waiting.put(rest) if rest else self.waiting.clear()
+        self.run.update(run) if run is not None else self.run.clear()
+        self._set_timer(min((x for x in (rest[0][0] if rest else None, run[2] + BRIDGE_MS if run else None) if x is not None), default=None))
         found = [c for c in closed if c[2] - c[1] >= LEAST_MS]
-        yield pd.DataFrame({"session_id": [key[0]] * len(found), "text": [c[0] for c in found], "start_ms": [c[1] for c in found], "end_ms": [c[2] for c in found]})
+        if found:
+            yield pd.DataFrame({"session_id": [key[0]] * len(found), "text": [c[0] for c in found], "start_ms": [c[1] for c in found], "end_ms": [c[2] for c in found]})
+
+    def close(self) -> None:
+        pass
+
 
-    marked = frames.withWatermark("ts", delay).groupBy("session_id")
-    return marked.applyInPandasWithState(run, f"session_id {kind}, text string, start_ms bigint, end_ms bigint", "text string, start bigint, last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+def frame_segments(frames: DataFrame, delay: str = "10 seconds") -> DataFrame:
+    """Segments of a stream of frames (session_id, ts, text), the same however the frames are cut into batches: see FrameMerger.
+
+    Frames later than ``delay`` are left out. The state's lists and timers need the RocksDB store, which is set here.
+    """
+    ship_package(frames.sparkSession)
+    frames.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kind = frames.schema["session_id"].dataType.simpleString()
+    grouped = frames.select("session_id", "ts", "text").withWatermark("ts", delay).groupBy("session_id")
+    return grouped.transformWithStateInPandas(FrameMerger(), f"session_id {kind}, text string, start_ms long, end_ms long", "append", "eventTime")
 
 
 def event_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:

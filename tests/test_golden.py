@@ -180,7 +180,7 @@ def arriving(spark, tmp_path, schema, *batches):
     """A stream of the batches, one file after the other."""
     for k, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / "made" / str(k)))
-    files = sorted((tmp_path / "made").glob("*/part-*.json"))
+    files = sorted((tmp_path / "made").glob("*/part-*.json"), key=lambda f: int(f.parent.name))
     (tmp_path / "in").mkdir()
     for k, f in enumerate(files):
         f.rename(tmp_path / "in" / f"{k}.json")
@@ -194,7 +194,44 @@ def test_frames_as_they_come(spark, tmp_path):
     frames = arriving(spark, tmp_path, "session_id string, ts timestamp, text string", first, [("other", at(90), "x")], [("other", at(200), "x")])
     got = run_stream(spark, messages.frame_segments(frames), "segments", tmp_path, 2)
     zero = int(datetime(2024, 1, 1).timestamp() * 1000)
-    assert sorted((r.text, r.start_ms - zero, r.end_ms - zero) for r in got if r.session_id == "s") == [("hello", 0, 2500), ("world", 3000, 4000)]
+    assert sorted((r.text, r.start_ms - zero, r.end_ms - zero) for r in got if r.session_id == "s") == [("hello", 0, 2500), ("world", 3000, 4500)]
+
+
+@pytest.mark.parametrize("seed, size, restarts", [(1, 7, 0), (2, 20, 0), (3, 12, 2)])
+def test_frames_in_any_order(spark, tmp_path, seed, size, restarts):
+    """Shuffled arrivals in batches of any size give what the frames in order give, also across restarts."""
+    rng = random.Random(0)
+    zero, frames, at = datetime(2024, 1, 1), [], 0
+    for _ in range(60):
+        at += rng.choice([200, 400, 1000, 1800])
+        frames.append((rng.choice(["s", "t"]), zero + timedelta(milliseconds=at), rng.choice(["hello", "hallo", "world", "world!", "", None])))
+    base = int(zero.timestamp() * 1000)
+    want = []
+    for session in "st":
+        run, blanks = None, []
+        for _, ts, text in [*(f for f in frames if f[0] == session), (session, zero + timedelta(days=1), "?")]:
+            now = int(ts.timestamp() * 1000)
+            if not text:
+                blanks.append(now)
+            elif run and now - run[2] <= 1500 and folds.within(text, run[0], 2):
+                run[2], blanks = now, []
+            else:
+                if run and (end := min([now, run[2] + 1500, *blanks])) - run[1] >= 500:
+                    want.append((session, run[0], run[1] - base, end - base))
+                run, blanks = [text, now, now], []
+    shuffled = frames[:]
+    random.Random(seed).shuffle(shuffled)
+    batches = [shuffled[k : k + size] for k in range(0, len(shuffled), size)]
+    ends = [[("end", zero + timedelta(hours=k), "?")] for k in (1, 2, 3)]
+    stream = messages.frame_segments(arriving(spark, tmp_path, "session_id string, ts timestamp, text string", *batches, *ends), "10 minutes")
+    for _ in range(restarts):
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).start()
+        time.sleep(8)
+        query.stop()
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = [(r.session_id, r.text, r.start_ms - base, r.end_ms - base) for r in spark.read.schema("session_id string, text string, start_ms long, end_ms long").parquet(str(tmp_path / "out")).collect() if r.session_id != "end"]
+    assert sorted(got) == sorted(want) and len(want) > 10
 
 
 def test_sessions_of_events(spark, tmp_path):
