@@ -1,16 +1,15 @@
 """Benchmark decontamination by templates: texts that hold a benchmark item, also with other numbers, names or units.
 
 Texts become templates: words lower-cased without punctuation, numbers, names (capitalised words inside a sentence)
-and units after numbers become typed placeholders. Windows of WIDTH template words, STEP apart in documents and one
-apart in items, are joined by hash; every passage of WIDTH + STEP - 1 words has such a window. A window that meets one
-of an item says where the item would lie in the document; there item and document are compared word by word. A value
-of the item must always meet the same value of the document (slot consistency) among the words whose templates agree. An
-item is in a document if runs of WIDTH or more agreeing words cover at least half of it.
+and units after numbers become typed placeholders. All windows of WIDTH template words, of documents and of items, are
+joined by hash. A window that meets one of an item says where the item would lie in the document; there item and
+document are compared word by word. A value of the item must always meet the same value of the document (slot
+consistency) among the words whose templates agree. An item is in a document if runs of WIDTH or more agreeing words
+cover at least half of it, MIN_LITERALS of them, or all that the item has, being no placeholders.
 
-Windows of an item with fewer than MIN_LITERALS words that aren't placeholders are poor keys, so they find nothing as
-long as the item has better ones; an item that has none is found by its best. Shorter items than such a passage are
-compared with whole lines of the documents (of fewer than 14 words, to begin with): a line with the item's template,
-consistently filled, holds the item.
+Windows of placeholders alone find nothing, as long as the item has others: a run is found if some window at its place
+has a word. Items of fewer than WIDTH words are compared with whole lines of the documents of as many template words: a
+line with the item's template, consistently filled, holds the item.
 
 Items with one template and equal values at the same places are joined once; each of their ids is in the result.
 
@@ -26,10 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, let, own_columns, read, small_enough, split_words, text_or_empty
 
-WIDTH, STEP, MIN_LITERALS, MIN_COVER = 5, 3, 3, 0.5
-#: Item windows that are broadcast (their keys in the plan), bytes of the words of their items, and keys of
-#: contaminated texts (16 bytes) that are broadcast.
-BROADCAST_WINDOWS, BROADCAST_BYTES, BROADCAST_TEXTS = 20_000, 64 << 20, 1_000_000
+WIDTH, MIN_LITERALS, MIN_COVER = 5, 3, 0.5
+#: Item windows that are broadcast (their keys in the plan), bytes of the words of their items, keys of windows (8
+#: bytes) that are broadcast where items are more, and keys of contaminated texts (16 bytes).
+BROADCAST_WINDOWS, BROADCAST_BYTES, BROADCAST_KEYS, BROADCAST_TEXTS = 20_000, 64 << 20, 2_000_000, 1_000_000
 
 # Units that count as a slot after a number.
 UNITS = "mm|cm|m|km|mg|g|kg|ml|l|s|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|inch(?:es)?|feet|ft|yards?|miles?|pounds?|lbs?|oz|ounces?|dollars?|euros?|cents?|percent|degrees?|meters?|metres?|kilometers?|kilometres?|liters?|litres?|grams?|kilograms?"
@@ -62,8 +61,8 @@ def is_slot(word: Column) -> Column:
     return word.startswith(MARK)
 
 
-def _windows(step: int) -> Column:
-    at = F.sequence(F.lit(0), F.size("slots") - WIDTH, F.lit(step))
+def _windows() -> Column:
+    at = F.sequence(F.lit(0), F.size("slots") - WIDTH)
     return F.when(F.size("slots") >= WIDTH, F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(F.col("slots"), i + 1, WIDTH)).alias("key")))).otherwise(F.array())
 
 
@@ -81,13 +80,16 @@ def items_of(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed.groupBy("item").agg(F.first("slots").alias("slots"), F.first("fills").alias("fills")), keyed.select("item", "item_id").distinct()
 
 
+def _literals(slots: Column) -> Column:
+    return F.size(F.filter(slots, lambda x: ~is_slot(x)))
+
+
 def item_windows(items: DataFrame) -> DataFrame:
-    """key, item, item_at, item_slots, item_fills: a row for each window of each item that is a key."""
-    literals = lambda i: F.size(F.filter(F.slice(F.col("slots"), i + 1, WIDTH), lambda x: ~is_slot(x)))
-    long = items.where(F.size("slots") >= WIDTH + STEP - 1).withColumn("windows", _windows(1))
-    rated = long.withColumn("least", F.least(F.lit(MIN_LITERALS), F.array_max(F.transform("windows", lambda w: literals(w["at"])))))
-    chosen = F.explode(F.filter("windows", lambda w: literals(w["at"]) >= F.col("least"))).alias("w")
-    return rated.select("item", F.col("slots").alias("item_slots"), F.col("fills").alias("item_fills"), chosen).select("w.key", "item", F.col("w.at").alias("item_at"), "item_slots", "item_fills")
+    """key, item, item_at, item_slots, item_fills: a row for each window of each item that has a word, or for all if none has."""
+    long = items.where(F.size("slots") >= WIDTH).withColumn("windows", _windows())
+    worded = F.filter("windows", lambda w: _literals(F.slice(F.col("slots"), w["at"] + 1, WIDTH)) > 0)
+    chosen = F.explode(F.when(_literals(F.col("slots")) > 0, worded).otherwise(F.col("windows"))).alias("w")
+    return long.select("item", F.col("slots").alias("item_slots"), F.col("fills").alias("item_fills"), chosen).select("w.key", "item", F.col("w.at").alias("item_at"), "item_slots", "item_fills")
 
 
 def text_keys() -> list[Column]:
@@ -128,12 +130,15 @@ def passages(docs: DataFrame, items: DataFrame) -> DataFrame:
     cut = checkpoint(item_windows(items))
     if light(cut):  # the keys are part of the plan, so a document's words go along with windows that meet an item only
         keys = [r["key"] for r in cut.select("key").distinct().collect()]
-        placed = docs.select(*ME, "raw", "slots", F.explode(F.filter(_windows(STEP), lambda w: w["key"].isin(keys))).alias("w"))
+        placed = docs.select(*ME, "raw", "slots", F.explode(F.filter(_windows(), lambda w: w["key"].isin(keys))).alias("w"))
         shift = (F.col("w.at") - F.col("item_at")).alias("shift")
         met = placed.withColumn("key", F.col("w.key")).join(F.broadcast(cut), "key").select(*ME, "raw", "slots", "item", "item_slots", "item_fills", shift)
-    else:  # by a shuffle of keys and places, 50 bytes for each STEP words; then the words of the documents that meet an item
-        placed = docs.select(*ME, F.explode(_windows(STEP)).alias("w"))
+    else:  # only windows that meet an item are shuffled, as long as their keys can be broadcast; then the words of the documents that have any
+        placed = docs.select(*ME, F.explode(_windows()).alias("w"))
         keys = placed.select(*ME, F.col("w.key").alias("key"), F.col("w.at").alias("at"))
+        known = cut.select("key").distinct()
+        if small_enough(known, BROADCAST_KEYS):
+            keys = keys.join(F.broadcast(known), "key", "left_semi")
         found = checkpoint(keys.join(cut.select("key", "item", "item_at"), "key").select(*ME, "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct())
         words = docs.join(found.select(*[F.col(c).alias(f"m_{c}") for c in ME]).distinct(), _same_text(), "left_semi").dropDuplicates(ME)
         named = found.select(*[F.col(c).alias(f"m_{c}") for c in ME], "item", "shift")
@@ -151,10 +156,9 @@ def _same_text() -> Column:
 
 def short_lines(docs: DataFrame, items: DataFrame) -> DataFrame:
     """As ``passages``, for items that are whole lines. ``docs`` has ME, bare and template."""
-    size = WIDTH + STEP - 1
     cut = lambda c: F.split(c, "\n")
     lines = F.arrays_zip(cut("bare").alias("bare"), cut("template").alias("template"))
-    short = F.filter(F.transform(lines, lambda x: F.struct(split_words(x["bare"]).alias("raw"), split_words(x["template"]).alias("slots"))), lambda x: (F.size(x["slots"]) > 0) & (F.size(x["slots"]) < size))
+    short = F.filter(F.transform(lines, lambda x: F.struct(split_words(x["bare"]).alias("raw"), split_words(x["template"]).alias("slots"))), lambda x: F.size(x["slots"]).between(1, WIDTH - 1))
     listed = docs.select(*ME, F.explode(F.array_distinct(short)).alias("line")).select(*ME, "line.*")
     wanted = items.select("item", F.col("slots").alias("item_slots"), F.col("fills").alias("item_fills"))
     wanted = F.broadcast(wanted) if light(wanted) else wanted
@@ -164,10 +168,10 @@ def short_lines(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _lines_of(docs: DataFrame) -> DataFrame:
-    """ME, bare and template of each document's lines of fewer than twice the words that a short item has at most."""
-    most = 2 * (WIDTH + STEP - 1)
-    lines = F.filter(F.split(text_or_empty(), "\n"), lambda x: F.size(split_words(x)) < most)
-    some = docs.select("doc_id", *text_keys(), F.array_join(lines, "\n").alias("text")).where(F.btrim("text") != "")
+    """ME, bare and template of each document's lines of fewer than WIDTH template words, which are its words without those of punctuation alone."""
+    words = lambda x: F.size(split_words(F.regexp_replace(F.translate(x, MARK, " "), r"[^\p{L}\p{M}\p{N}\s]+", "")))
+    lines = F.filter(F.split(text_or_empty(), "\n"), lambda x: words(x).between(1, WIDTH - 1))
+    some = docs.select("doc_id", *text_keys(), F.array_join(lines, "\n").alias("text")).where(F.col("text") != "")
     return with_templates(some).select(*ME, "bare", "template")
 
 
@@ -176,13 +180,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COVER) -
     items, members = items_of(benchmark)
     items = checkpoint(items)
     templates = with_templates(docs.select("doc_id", "text")).select("doc_id", *text_keys(), "bare", "template")
-    found = passages(with_words(templates).select(*ME, "raw", "slots"), items.where(F.size("slots") >= WIDTH + STEP - 1))
-    short = items.where(F.size("slots") < WIDTH + STEP - 1)
+    found = passages(with_words(templates).select(*ME, "raw", "slots"), items.where(F.size("slots") >= WIDTH))
+    short = items.where(F.size("slots") < WIDTH)
     if short.limit(1).count():
         found = found.union(short_lines(_lines_of(docs), short))
-    covered = found.groupBy(*ME, "item").agg(F.first("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("n_covered"))
-    enough = covered.where(F.col("n_covered") >= min_cover * F.col("n"))
-    return enough.join(members, "item").select(*ME, "item_id", F.col("n").cast("long").alias("n_words"), F.col("n_covered").cast("long"))
+    places = F.array_distinct(F.flatten(F.collect_set("places")))
+    covered = found.groupBy(*ME, "item").agg(F.first("n").alias("n"), places.alias("places")).where(F.size("places") >= min_cover * F.col("n"))
+    words = F.size(F.filter("places", lambda i: ~is_slot(F.get("slots", i))))
+    enough = covered.join(items.select("item", "slots"), "item").where(words >= F.least(F.lit(MIN_LITERALS), _literals(F.col("slots"))))
+    return enough.join(members, "item").select(*ME, "item_id", F.col("n").cast("long").alias("n_words"), F.size("places").cast("long").alias("n_covered"))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,13 +86,15 @@ FROM cut
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without boilerplate lines; n_chars follows the text.
+    """The documents without boilerplate lines; n_chars, if there is one, follows the text.
 
     A page that would be left without any line is a copy of other pages: it keeps its text, by which the near-dedup that
     follows tells its group from others.
     """
     cleaned = _cleaned(docs.select(own_columns(docs), F.col("source").alias("host"), "text"), RATIO, MIN_PAGES)
     changed = (F.col("dropped") > 0) & (F.btrim("good", F.lit(SPACES)) != "")
-    fresh = {"text": F.col("good"), "n_chars": F.length("good").cast(docs.schema["n_chars"].dataType)}
+    fresh = {"text": F.col("good")}
+    if "n_chars" in docs.columns:
+        fresh["n_chars"] = F.length("good").cast(docs.schema["n_chars"].dataType)
     own = lambda c: F.col("__own")[c]
     return cleaned.select(*[F.when(changed, fresh[c]).otherwise(own(c)).alias(c) if c in fresh else own(c).alias(c) for c in docs.columns])

@@ -168,6 +168,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Network:
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted. ``labels`` has doc_id and quality (0 or 1)."""
+    docs = docs.select("doc_id", "text")
     vectors = word_vectors(docs)
     sent = docs.sparkSession.sparkContext.broadcast(vectors)
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -527,22 +527,48 @@ def template_of(text):
 
 
 def leaked(text, item):
-    """Words of the item that the text covers, by trying all places."""
+    """Words of the item that the text covers in runs of five or more, by trying all places."""
     (raw, slots), (old, want) = template_of(text), template_of(item)
-    width, covered = decontaminate.WIDTH, set()
-    runs = lambda w: {tuple(w[i : i + width]) for i in range(len(w) - width + 1)}
-    if not runs(slots) & runs(want):
+    slot = [w.startswith("\x01") for w in want]
+    covered = set()
+    words = set(slots)
+    if len(words & set(want)) < min(2, len(set(want))):
         return 0
-    slot = lambda w: w.startswith("\x01")
-    literals = [sum(not slot(w) for w in want[i : i + width]) for i in range(len(want) - width + 1)]
-    for shift in range(-len(want), len(slots)) if literals else ():
-        same = [0 <= shift + i < len(slots) and slots[shift + i] == w for i, w in enumerate(want)]
-        keys = [i for i, n in enumerate(literals) if n >= min(decontaminate.MIN_LITERALS, max(literals)) and (shift + i) % decontaminate.STEP == 0 and all(same[i : i + width])]
-        places = {i + k for i in range(len(literals)) if all(same[i : i + width]) for k in range(width)}
-        filled = {(want[i] + old[i], raw[shift + i]) for i in places if slot(want[i])}
-        if keys and len({x for x, _ in filled}) == len(filled):
-            covered |= places
-    return len(covered) if 2 * len(covered) >= len(want) else 0
+    for shift in range(4 - len(want), len(slots) - 4) if len(want) >= 5 else ():
+        runs, run = [], []
+        for i, w in enumerate(want):
+            agrees = 0 <= shift + i < len(slots) and slots[shift + i] == w
+            run = [*run, i] if agrees else []
+            if len(run) == 5:
+                runs.append(run)
+            elif len(run) > 5:
+                runs[-1] = run
+        if not any(not slot[i] for r in runs for i in r) and not all(slot):
+            continue  # nothing but placeholders
+        filled = {(want[i] + old[i], raw[shift + i]) for r in runs for i in r if slot[i]}
+        if len({x for x, _ in filled}) == len(filled):
+            covered |= {i for r in runs for i in r}
+    enough = sum(not slot[i] for i in covered) >= min(3, sum(not x for x in slot))
+    return len(covered) if 2 * len(covered) >= len(want) and enough else 0
+
+
+LONG = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+SLOTS = "the 12 km path takes 5 hours of 7 days and then the old walker rests"
+
+
+@pytest.mark.parametrize("bound", [decontaminate.BROADCAST_WINDOWS, 0])
+@pytest.mark.parametrize("keys", [decontaminate.BROADCAST_KEYS, 0])
+def test_passages_at_any_offset(spark, monkeypatch, bound, keys):
+    """Five words or more of a ten-word item, wherever they stand; slot-dense ones with other numbers; short items in odd lines."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", bound)
+    monkeypatch.setattr(decontaminate, "BROADCAST_KEYS", keys)
+    bench = spark.createDataFrame([(0, LONG), (1, SLOTS), (2, "name your fee"), (3, "four five six seven eight")], "item_id bigint, text string")
+    rows = [(100 * n + k, " ".join(["pad"] * k + LONG.split()[:n] + ["end"] * 5)) for n in (4, 5, 6, 7, 10) for k in range(12)]
+    dense = " ".join(SLOTS.split()[:10]).replace("12", "90").replace("5", "6").replace("7", "8")
+    rows += [(2000 + k, "pad " * k + dense + " end end") for k in range(6)]
+    rows += [(3000, "1 km 2 hours 3 days 4 km 5 hours 6 days and so on"), (4000, "x\n- - - - - - - - - - - - - - Name your fee.\ny"), (4001, "name your fee is no line"), (5000, "pad four five six seven eight pad")]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()}
+    assert got == {(100 * n + k, 0) for n in (5, 6, 7, 10) for k in range(12)} | {(2000 + k, 1) for k in range(6)} | {(4000, 2), (5000, 3)}
 
 
 @pytest.mark.parametrize("bound", [decontaminate.BROADCAST_WINDOWS, 0])
@@ -590,6 +616,18 @@ def test_stages_keep_foreign_columns(spark, folder):
         assert got.count() in (1, 3) and {tuple(r[5:13]) for r in got.collect()} <= {tuple(r[5:13]) for r in rows}, name
 
 
+def test_line_stage_without_lengths(spark):
+    docs = spark.createDataFrame([(k, f"same\nown {k}", "host") for k in range(3)], "doc_id bigint, text string, source string")
+    assert {r.doc_id: r.text for r in line_dedup.stage(spark, docs, "").collect()} == {k: f"own {k}" for k in range(3)}
+
+
+def test_quality_model_with_clashing_columns(spark, folder):
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    odd = docs.selectExpr("*", "1 AS y", "2 AS __id", "3 AS n", "4 AS row", "'k' AS key", "5 AS `order`", "6 AS x", "7 AS words", "8 AS h", "9 AS score")
+    plain = lambda df: sorted(((r.doc_id, r.held_out, r.score) for r in df.collect()), key=str)
+    assert plain(quality_model.classify(odd, labels)) == plain(quality_model.classify(docs, labels))
+
+
 @pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10"])
 def test_empty_tables(spark, empty, name):
     from segloom.llm import queries
