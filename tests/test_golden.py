@@ -114,6 +114,10 @@ def test_edit_operations_against_the_full_table():
     for _ in range(3000):
         ref, hyp = ([rng.choice("abcd"[: rng.randrange(1, 5)]) for _ in range(rng.randrange(12))] for _ in range(2))
         assert folds.edit_operations(ref, hyp) == full(ref, hyp), (ref, hyp)
+    for n, letters in ((700, "ab"), (300, "abcdefgh"), (900, "abcdefghijklmnopqrstuvwxyz ")):
+        ref = [rng.choice(letters) for _ in range(n)]
+        hyp = [rng.choice(letters) if rng.random() < 0.2 else x for x in ref if rng.random() < 0.9] + [rng.choice(letters) for _ in range(n // 3)]
+        assert folds.edit_operations(ref, hyp) == full(ref, hyp)
 
 
 def test_wer_counts_of_whole_texts(spark, tmp_path):
