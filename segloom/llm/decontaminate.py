@@ -62,8 +62,14 @@ def is_slot(word: Column) -> Column:
 
 
 def _windows() -> Column:
-    at = F.sequence(F.lit(0), F.size("slots") - WIDTH)
-    return F.when(F.size("slots") >= WIDTH, F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(F.col("slots"), i + 1, WIDTH)).alias("key")))).otherwise(F.array())
+    """at and key of each window: words are hashed once, and a window's key is a hash of its words' hashes."""
+    hashes = F.transform("slots", lambda w: F.xxhash64(w))
+
+    def keyed(h: Column) -> Column:
+        firsts = F.slice(h, 1, F.size("slots") - (WIDTH - 1))
+        return F.transform(firsts, lambda x, i: F.struct(i.alias("at"), F.xxhash64(x, *[F.get(h, i + k) for k in range(1, WIDTH)]).alias("key")))
+
+    return F.when(F.size("slots") >= WIDTH, let(hashes, keyed)).otherwise(F.array())
 
 
 def items_of(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -123,27 +129,31 @@ ME = ["doc_id", "text_a", "text_b"]
 
 
 def passages(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, text_a, text_b, item, places: consistent runs of an item's words in a document, for each place it may lie at.
+    """doc_id, text_a, text_b, item, places: consistent runs of an item's words in a document (doc_id, text), for each place it may lie at.
 
-    ``docs`` has ME, raw and slots.
+    Many windows say the same of a document, so first the places are found, each once, and then the words of the few
+    documents that have any are made again and compared.
     """
     cut = checkpoint(item_windows(items))
-    if light(cut):  # the keys are part of the plan, so a document's words go along with windows that meet an item only
+    slots = with_templates(docs.select("doc_id", "text")).select("doc_id", *text_keys(), split_words(F.col("template")).alias("slots"))
+    if light(cut):  # the keys are part of the plan
         keys = [r["key"] for r in cut.select("key").distinct().collect()]
-        placed = docs.select(*ME, "raw", "slots", F.explode(F.filter(_windows(), lambda w: w["key"].isin(keys))).alias("w"))
-        shift = (F.col("w.at") - F.col("item_at")).alias("shift")
-        met = placed.withColumn("key", F.col("w.key")).join(F.broadcast(cut), "key").select(*ME, "raw", "slots", "item", "item_slots", "item_fills", shift)
-    else:  # only windows that meet an item are shuffled, as long as their keys can be broadcast; then the words of the documents that have any
-        placed = docs.select(*ME, F.explode(_windows()).alias("w"))
-        keys = placed.select(*ME, F.col("w.key").alias("key"), F.col("w.at").alias("at"))
+        placed = slots.select(*ME, F.explode(F.filter(_windows(), lambda w: w["key"].isin(keys))).alias("w")).select(*ME, "w.*")
+    else:  # only windows that meet an item are shuffled, as long as their keys can be broadcast
+        placed = slots.select(*ME, F.explode(_windows()).alias("w")).select(*ME, "w.*")
         known = cut.select("key").distinct()
         if small_enough(known, BROADCAST_KEYS):
-            keys = keys.join(F.broadcast(known), "key", "left_semi")
-        found = checkpoint(keys.join(cut.select("key", "item", "item_at"), "key").select(*ME, "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct())
-        words = docs.join(found.select(*[F.col(c).alias(f"m_{c}") for c in ME]).distinct(), _same_text(), "left_semi").dropDuplicates(ME)
-        named = found.select(*[F.col(c).alias(f"m_{c}") for c in ME], "item", "shift")
-        wanted = items.select("item", F.col("slots").alias("item_slots"), F.col("fills").alias("item_fills"))
-        met = words.join(named, _same_text()).drop(*[f"m_{c}" for c in ME]).join(wanted, "item")
+            placed = placed.join(F.broadcast(known), "key", "left_semi")
+    places = cut.select("key", "item", "item_at")
+    places = F.broadcast(places) if light(cut) else places
+    found = checkpoint(placed.join(places, "key").select(*ME, "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct())
+    named = found.select(*[F.col(c).alias(f"m_{c}") for c in ME], "item", "shift")
+    texts = named.select(*[f"m_{c}" for c in ME]).distinct()
+    texts = F.broadcast(texts) if small_enough(texts, BROADCAST_TEXTS) else texts
+    own = docs.select("doc_id", "text", *text_keys()).join(texts, _same_text(), "left_semi").dropDuplicates(ME)
+    words = with_words(with_templates(own)).select(*ME, "raw", "slots")
+    wanted = items.select("item", F.col("slots").alias("item_slots"), F.col("fills").alias("item_fills"))
+    met = words.join(named, _same_text()).drop(*[f"m_{c}" for c in ME]).join(wanted, "item")
     agreeing = met.select(*ME, "item", F.size("item_slots").alias("n"), "item_fills", "shift", _agreeing(F.col("slots"), F.col("raw"), F.col("shift")).alias("agreeing"))
     ran = agreeing.withColumn("places", _covered(F.col("agreeing")))
     used = F.filter("agreeing", lambda x: F.array_contains("places", x["i"]))
@@ -179,8 +189,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COVER) -
     """doc_id, text_a, text_b, item_id, n_words, n_covered: the items in each document."""
     items, members = items_of(benchmark)
     items = checkpoint(items)
-    templates = with_templates(docs.select("doc_id", "text")).select("doc_id", *text_keys(), "bare", "template")
-    found = passages(with_words(templates).select(*ME, "raw", "slots"), items.where(F.size("slots") >= WIDTH))
+    found = passages(docs.select("doc_id", "text"), items.where(F.size("slots") >= WIDTH))
     short = items.where(F.size("slots") < WIDTH)
     if short.limit(1).count():
         found = found.union(short_lines(_lines_of(docs), short))
