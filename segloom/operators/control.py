@@ -14,6 +14,17 @@ def latest(log: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
     return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, *[c for c in rest if c != order])).alias("row")).select(*keys, "row.*")
 
 
+#: Rows that a list of stages may have: such lists become part of plans.
+MOST_STAGES = 1000
+
+
+def _listed(specs: DataFrame) -> list:
+    rows = specs.limit(MOST_STAGES + 1).collect()
+    if len(rows) > MOST_STAGES:
+        raise ValueError(f"a list of stages has {MOST_STAGES} rows at most")
+    return rows
+
+
 def stage_status(stored: DataFrame, specs: DataFrame, tasks: DataFrame) -> DataFrame:
     """Every stage of every task in order, stored or pending. ``specs`` is the short list of stages.
 
@@ -23,7 +34,7 @@ def stage_status(stored: DataFrame, specs: DataFrame, tasks: DataFrame) -> DataF
     both = stored.select("task_id", "name", "status", F.col("progress").cast("int").alias("progress")).union(named.distinct())
     pair = F.struct("name", F.struct("status", "progress"))
     known = both.groupBy("task_id").agg(F.map_from_entries(F.filter(F.collect_set(pair), lambda x: x["name"].isNotNull())).alias("known"))
-    listed = F.array(*[F.struct(F.lit(r["ord"]).alias("ord"), F.lit(r["name"]).alias("name"), F.lit(r["label"]).alias("label")) for r in sorted(specs.collect(), key=lambda r: r["ord"])])
+    listed = F.array(*[F.struct(F.lit(r["ord"]).alias("ord"), F.lit(r["name"]).alias("name"), F.lit(r["label"]).alias("label")) for r in sorted(_listed(specs), key=lambda r: r["ord"])])
     rows = known.select("task_id", "known", F.explode(listed).alias("s")).select("task_id", "s.*", F.col("known")[F.col("s.name")].alias("have"))
     return rows.select("task_id", "ord", "name", "label", F.coalesce("have.status", F.lit("pending")).alias("status"), F.coalesce("have.progress", F.lit(0)).alias("progress"))
 
@@ -38,7 +49,7 @@ def missing_stages(stored: DataFrame, specs: DataFrame, tasks: DataFrame) -> Dat
     kinds = specs.schema
     given = tasks.select("task_id", F.lit(None).cast("string").alias("name")).distinct()
     have = stored.select("task_id", "name").union(given).groupBy("task_id").agg(F.collect_set("name").alias("have"))  # nulls aren't collected
-    listed = F.array(*[F.struct(*[F.lit(r[c]).cast(kinds[c].dataType).alias(c) for c in specs.columns]) for r in specs.collect()])
+    listed = F.array(*[F.struct(*[F.lit(r[c]).cast(kinds[c].dataType).alias(c) for c in specs.columns]) for r in _listed(specs)])
     return have.select("task_id", F.explode(F.filter(listed, lambda s: ~F.array_contains("have", s["name"]))).alias("s")).select("task_id", "s.*")
 
 
@@ -134,6 +145,15 @@ def stages_of(specs: DataFrame, pipeline: str, source: str = "asr", translate: b
     return specs.where(~F.col("name").isin(*sorted(drop)))
 
 
+def stages_by_mode(tasks: DataFrame, modes: dict[str, DataFrame]) -> DataFrame:
+    """A row for each task (with ``mode``) and each of its mode's stages, which are short lists."""
+    listed = None
+    for mode, specs in modes.items():
+        rows = specs.withColumn("mode", F.lit(mode))
+        listed = rows if listed is None else listed.unionByName(rows)
+    return tasks.join(F.broadcast(listed), "mode")
+
+
 def cache_state(devices: DataFrame, cached: DataFrame) -> DataFrame:
     """For each host whether all its devices' drivers are those of its cache; hosts without a cache have a stale one."""
     joined = devices.join(cached.select("host", "vendor", "name", F.col("driver").alias("cached")), ["host", "vendor", "name"], "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,10 @@ from ..sources import databases, named_files
 from ..sources import transcripts as T
 from ..streaming import sinks
 from . import datasets as D
+from . import runner, timeline
+from .runner import Stage, StageFailed
 from .shared import scratch_path
+from .stages import STAGES
 
 QUERIES, ORACLES = {}, {}
 
@@ -26,6 +31,8 @@ def query(sql: str | None = None):
 
 
 SEG = f"WITH {D.SEG_SQL} "
+#: The schedule's SQL over the segments that have text.
+ORACLE_SCHEDULE = timeline.ORACLES["drift_schedule"].replace("AS k FROM seg)", "AS k FROM seg WHERE trim(text) <> '')")
 
 
 @query("SELECT o_orderkey, o_clerk, o_totalprice FROM (SELECT o_orderkey, o_custkey AS o_clerk, o_totalprice FROM orders) WHERE o_totalprice > 150000 AND o_orderkey % 2 = 1")
@@ -129,3 +136,22 @@ def appended_once(spark: SparkSession, sf: str) -> DataFrame:
     sinks.append_once(stream, f"{path}/table", f"{path}/checkpoint").awaitTermination()
     sinks.replace_batch(table, 0, f"{path}/table")
     return sinks.read_appended(spark, f"{path}/table").drop("batch")
+
+
+@query(ORACLE_SCHEDULE)
+def staged_schedule(spark: SparkSession, sf: str) -> DataFrame:
+    """Stages from the registry, run from segments to a schedule: one fails at first, and the next run goes on with it."""
+    path, asr = scratch_path(spark), D.seg(spark, sf)
+    bracketed = lambda rows: rows.withColumn("d", F.concat(F.lit("["), "text", F.lit("]")))
+    timed = lambda rows: rows.select("session_id", "seg_idx", F.col("start_time").alias("start_ms"), F.col("end_time").alias("end_ms"), (F.col("end_time") - F.col("start_time") + (F.col("seg_idx") * 211) % 700 - 300).alias("dur_ms"))
+    broken = Stage("translate", ("asr_fix",), lambda t: t["asr_fix"].withColumn("text", F.raise_error(F.lit("no model")).cast("string")))
+    chain = [
+        Stage("asr_fix", ("asr",), lambda t: STAGES["asr_fix"](t["asr"])), Stage("translate", ("asr_fix",), lambda t: STAGES["translate"](bracketed(t["asr_fix"]), "d", "en", "fr")),
+        Stage("merge_audio", ("translate",), lambda t: STAGES["merge_audio"](timed(t["translate"]))),
+    ]
+    with contextlib.suppress(StageFailed):
+        runner.run(spark, path, [chain[0], broken, chain[2]], {"asr": asr}, {"asr": "1"})
+    outcomes = runner.run(spark, path, chain, {"asr": asr}, {"asr": "1"})
+    if list(outcomes.values()) != ["fresh", "made", "made"]:
+        raise AssertionError(f"stages were {outcomes}")
+    return versions.read_tables(spark, path)["merge_audio"]

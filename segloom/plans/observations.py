@@ -87,8 +87,10 @@ def consecutive_texts(spark: SparkSession, sf: str) -> DataFrame:
 def snapped_frames(spark: SparkSession, sf: str) -> DataFrame:
     """Every third of 300 frames is there."""
     rows = D.seg(spark, sf).select("session_id", "seg_idx", (F.col("start_ms") / 1000).alias("seconds"))
-    there = spark.range(3, 301, 3).select(F.col("id").alias("frame_no"), F.concat(F.lit("frame_"), C.ordinal(F.col("id"), 5), F.lit(".jpg")).alias("path"))
-    frames = rows.select("session_id").distinct().join(F.broadcast(there))
+    # the frames that rows could ask for, below a bound for each session
+    number = F.floor(F.col("seconds") * 5 + 0.5).cast("bigint") + 1
+    there = rows.select("session_id", number.alias("frame_no")).where((F.col("frame_no") % 3 == 0) & (F.col("frame_no") <= 300)).distinct()
+    frames = there.withColumn("path", F.concat(F.lit("frame_"), C.ordinal(F.col("frame_no"), 5), F.lit(".jpg")))
     return islands.snapped(rows, frames, "seconds").select("session_id", "seg_idx", "frame_no", "path")
 
 
@@ -151,11 +153,36 @@ def created_tasks(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(made.select("task_id"), "task_id", "left_semi").select("task_id", "ord", "name", "label", "status")
 
 
-@query(f"WITH {D.DIM_STAGE_SQL} SELECT 'subtitle ocr' AS mode, name FROM dim_stage WHERE name IN ('download', 'ocr', 'ocr_fix', 'translate', 'merge_video') UNION ALL SELECT 'dub asr', name FROM dim_stage WHERE name NOT IN ('ocr', 'ocr_fix', 'translate')")
+@query(f"""WITH {D.DIM_STAGE_SQL} SELECT o_orderkey AS task_id, CASE WHEN o_orderkey % 2 = 0 THEN 'subtitle ocr' ELSE 'dub asr' END AS mode, ord, name FROM orders, dim_stage
+WHERE CASE WHEN o_orderkey % 2 = 0 THEN name IN ('download', 'ocr', 'ocr_fix', 'translate', 'merge_video') ELSE name NOT IN ('ocr', 'ocr_fix', 'translate') END""")
 def mode_stages(spark: SparkSession, sf: str) -> DataFrame:
+    """The stages of each task by its mode."""
     dim = D.dim_stage(spark)
-    one, two = control.stages_of(dim, "subtitle", "ocr"), control.stages_of(dim, "dub", translate=False)
-    return one.select(F.lit("subtitle ocr").alias("mode"), "name").union(two.select(F.lit("dub asr"), "name"))
+    modes = {"subtitle ocr": control.stages_of(dim, "subtitle", "ocr"), "dub asr": control.stages_of(dim, "dub", translate=False)}
+    tasks = D.read(spark, sf, "orders").select(F.col("o_orderkey").alias("task_id"), F.when(F.col("o_orderkey") % 2 == 0, "subtitle ocr").otherwise("dub asr").alias("mode"))
+    return control.stages_by_mode(tasks, modes).select("task_id", "mode", "ord", "name")
+
+
+@query(f"WITH {D.STAGE_LOG_SQL}, w AS (SELECT task_id, name, seq, CASE WHEN progress % 7 <> 0 THEN progress END AS progress FROM stage_log) SELECT task_id, name, seq, coalesce(progress, 0) AS progress, CASE WHEN seq % 5 <> 0 THEN seq * 1000 END AS duration_ms, 0 AS off FROM w")
+def stage_durations(spark: SparkSession, sf: str) -> DataFrame:
+    """Stage rows with how long they took, null where they haven't ended; ``off`` is 1 if the clock's text has another form."""
+    stamp = lambda s: F.date_format(F.timestamp_seconds(s), "yyyy-MM-dd'T'HH:mm:ss")
+    begin = F.lit(1_700_000_000)
+    log = D.stage_log(spark, sf).select("task_id", "name", "seq", F.when(F.col("progress") % 7 != 0, F.col("progress")).alias("progress"), stamp(begin).alias("started_at"), F.when(F.col("seq") % 5 != 0, stamp(begin + F.col("seq"))).alias("completed_at"))
+    return control.with_durations(log).select("task_id", "name", "seq", "progress", "duration_ms", (~C.now_iso().rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d$")).cast("int").alias("off"))
+
+
+@query(FRAME + """, t AS (SELECT session_id, frame_idx, CASE WHEN frame_idx % 3 = 0 THEN '字幕' WHEN frame_idx % 3 = 1 THEN '字' ELSE text END AS piece FROM frame WHERE text <> '')
+SELECT session_id, count(*) AS pieces, count(*) FILTER (frame_idx % 3 <> 2) AS cjk, CAST(sum(CASE WHEN frame_idx % 3 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS tokens FROM t GROUP BY session_id""")
+def split_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of one session as an array, those of several CJK characters taken apart."""
+    third = F.col("frame_idx") % 3
+    rows = D.frame(spark, sf).where("text <> ''").withColumn("piece", F.when(third == 0, "字幕").when(third == 1, "字").otherwise(F.col("text")))
+    pieces = rows.select("piece").union(rows.where("piece = '字幕'").select(F.lit("幕"))).distinct()
+    vocabulary = pieces.select("piece", F.xxhash64("piece").alias("token"))
+    tokens = decoding.by_character(rows.select("session_id", F.col("frame_idx").alias("pos"), F.xxhash64("piece").alias("token")), vocabulary)
+    counts = rows.groupBy("session_id").agg(F.count("*").alias("pieces"), F.count_if(C.is_cjk(F.col("piece"))).alias("cjk"))
+    return counts.join(tokens, "session_id").select("session_id", "pieces", "cjk", F.size("tokens").cast("long").alias("tokens"))
 
 
 @query("WITH t AS (SELECT o_orderkey AS task_id, o_custkey % 50 AS video, o_orderdate AS created_at FROM orders WHERE o_custkey % 4 <> 0), k AS (SELECT video, arg_max(task_id, (created_at, task_id)) AS known FROM t GROUP BY video) SELECT 'v' || n_nationkey AS video_id, k.known AS known_task FROM nation LEFT JOIN k ON k.video = n_nationkey")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import files, observations, readers, tables, timeline
+from . import files, observations, readers, streams, tables, timeline
 
 
 def queries() -> dict:
-    return timeline.QUERIES | tables.QUERIES | readers.QUERIES | observations.QUERIES | files.QUERIES
+    return timeline.QUERIES | tables.QUERIES | readers.QUERIES | observations.QUERIES | files.QUERIES | streams.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return timeline.ORACLES | tables.ORACLES | readers.ORACLES | observations.ORACLES | files.ORACLES
+    return timeline.ORACLES | tables.ORACLES | readers.ORACLES | observations.ORACLES | files.ORACLES | streams.ORACLES

@@ -73,6 +73,14 @@ def delete_cascade(spark: SparkSession, sf: str) -> DataFrame:
     return control.delete_tasks(tasks, D.stage_log(spark, sf), gone)[0].select(F.col("id").alias("task_id"), "status")
 
 
+@query(f"WITH {D.STAGE_LOG_SQL} SELECT task_id, name, count(*) AS n FROM stage_log WHERE task_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY ALL")
+def delete_cascade_stages(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of the stages of deleted tasks: nothing."""
+    tasks = D.read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    gone = D.read(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id"))
+    return control.delete_tasks(tasks, D.stage_log(spark, sf), gone)[1].groupBy("task_id", "name").agg(F.count("*").alias("n"))
+
+
 @query("SELECT page_id, url FROM pages WHERE CAST(page_id AS VARCHAR) = '12' OR contains(url, '12') ORDER BY url DESC, page_id DESC LIMIT 1")
 def newest_task(spark: SparkSession, sf: str) -> DataFrame:
     pages = D.read(spark, sf, "pages").select(F.col("page_id").cast("string").alias("id"), "url", F.col("url").alias("created_at"), F.col("page_id").alias("seq"))

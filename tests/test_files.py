@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import EqualTo, GreaterThan, In
 
 from segloom.operators import plugs, versions
+from segloom.plans import runner
 from segloom.sources import databases, named_files, transcripts
 from segloom.streaming import sinks
 
@@ -171,3 +172,27 @@ def test_corrupt_documents(spark, tmp_path):
     (tmp_path / "bad.json").write_text('{"result": {"segm')
     rows = transcripts.read_transcripts(spark, str(tmp_path)).select("path", "corrupt", "result").collect()
     assert {r.path.rpartition("/")[2]: r.corrupt for r in rows} == {"good.json": None, "bad.json": '{"result": {"segm'}
+
+
+def test_runner(spark, tmp_path):
+    path, calls = f"{tmp_path}/run", []
+
+    def stage(name, *inputs, fails=()):
+        def make(tables):
+            calls.append(name)
+            if name in fails:
+                raise OSError("lost")
+            return tables[inputs[0]].withColumn(name, F.lit(len(inputs)))
+
+        return runner.Stage(name, inputs, make)
+
+    source = {"asr": spark.range(3), "video": spark.range(2)}
+    chain = lambda *fails: [stage("fix", "asr"), stage("ocr", "video"), stage("both", "fix", "ocr", fails=fails), stage("end", "both")]
+    with pytest.raises(runner.StageFailed) as failed:
+        runner.run(spark, path, chain("both"), source, {"asr": "1", "video": "1"}, attempts=2)
+    assert failed.value.outcomes == {"fix": "made", "ocr": "made", "both": "failed"} and calls == ["fix", "ocr", "both", "both"]
+    go = lambda **marks: list(runner.run(spark, path, chain(), source, marks).values())
+    assert go(asr="1", video="1") == ["fresh", "fresh", "made", "made"]
+    assert go(asr="1", video="1") == ["fresh"] * 4
+    assert go(asr="1", video="2") == ["fresh", "made", "made", "made"]
+    assert versions.read_tables(spark, path)["end"].columns == ["id", "fix", "both", "end"]
