@@ -25,4 +25,4 @@ def test_entry_with_and_without_the_operators(tmp_path):
     (copy / "corpus_pipeline.py").unlink(missing_ok=True)
     assert shown(copy) == [n, "0", "False", "True"]
     if (ROOT / "segloom" / "llm").is_dir() and (ROOT / "corpus_pipeline.py").is_file():
-        assert shown(ROOT)[1:] == ["10", "True", "True"]
+        assert shown(ROOT)[1:] == ["13", "True", "True"]
