@@ -197,6 +197,16 @@ def common_counts(values: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.nda
     return out
 
 
+def may_link(sizes: np.ndarray | None, keys: np.ndarray | None, choice: np.ndarray | None, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of rows may share NEAR of their shingles by the number of these, and share no bucket before this one."""
+    use = np.ones(len(a), dtype=bool)
+    if sizes is not None:
+        use &= sum(NEAR) * np.minimum(sizes[a], sizes[b]) >= NEAR[0] * (sizes[a] + sizes[b])
+    for k in range(0 if keys is None else keys.shape[1]):
+        use &= (keys[a, k] != keys[b, k]) | (choice[a] <= k)
+    return use
+
+
 def forest(prints: np.ndarray, group: np.ndarray, radius: int, side: np.ndarray | None = None, known: np.ndarray | None = None, sizes: np.ndarray | None = None, keys: np.ndarray | None = None, choice: np.ndarray | None = None, sets: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links in all groups, as a spanning forest; closer links first among those that are found together.
 
@@ -212,14 +222,9 @@ def forest(prints: np.ndarray, group: np.ndarray, radius: int, side: np.ndarray
     found = Forest(joined)
     for a, b, distance in near_pairs(prints, group, radius, side):
         use = found.find(a) != found.find(b)
-        if sizes is not None:
-            use &= sum(NEAR) * np.minimum(sizes[a], sizes[b]) >= NEAR[0] * (sizes[a] + sizes[b])
         a, b, distance = a[use], b[use], distance[use]
-        if keys is not None:
-            new = np.ones(len(a), dtype=bool)
-            for k in range(keys.shape[1]):
-                new &= (keys[a, k] != keys[b, k]) | (choice[a] <= k)
-            a, b, distance = a[new], b[new], distance[new]
+        new = may_link(sizes, keys, choice, a, b)
+        a, b, distance = a[new], b[new], distance[new]
         if sets is not None:
             near = sum(NEAR) * common_counts(*sets, a, b) >= NEAR[0] * (sizes[a] + sizes[b])
             a, b, distance = a[near], b[near], distance[near]
@@ -239,48 +244,91 @@ def _buckets(prints: DataFrame, radius: int) -> DataFrame:
     return prints.select("fp", key)
 
 
-def links_in_buckets(placed: DataFrame, radius: int) -> DataFrame:
-    """a, b: a spanning forest of each bucket's links.
+#: Columns of rows in buckets that are compared, beside node and words, as for ``forest``.
+MORE = ("known", "size", "keys", "shingles")
+
+
+def gathered_buckets(placed: DataFrame) -> DataFrame:
+    """choice, bits, x, y, rows: the rows of each bucket of two or more; the large ones in chunks, each pair of chunks together.
 
-    ``placed`` has choice, bits (the bucket), node, words (the fingerprint), and may have known, size, keys and shingles as
-    for ``forest``.
+    Chunks have CHUNK rows and, where shingles go along, SHINGLES of these. A bucket whose rows are all joined already has
+    no link to find.
     """
-    own_columns = ["node", "words", *(c for c in ("known", "size", "keys", "shingles") if c in placed.columns)]
-    compared = "shingles" in own_columns
-    weight = F.sum("size") / SHINGLES if compared else F.lit(0.0)
-    shared = checkpoint(placed.groupBy("choice", "bits").agg(F.count("*").alias("count"), F.ceil(F.greatest(F.count("*") / CHUNK, weight)).cast("int").alias("parts")).where(F.col("count") > 1))
-    # only buckets that two share are gathered; the large ones in chunks, each pair of chunks together
+    own = ["node", "words", *(c for c in MORE if c in placed.columns)]
+    weight = F.sum("size") / SHINGLES if "shingles" in own else F.lit(0.0)
+    apart = F.min("known") < F.max("known") if "known" in own else F.lit(True)
+    counts = placed.groupBy("choice", "bits").agg(F.count("*").alias("count"), apart.alias("apart"), F.ceil(F.greatest(F.count("*") / CHUNK, weight)).cast("int").alias("parts"))
+    shared = checkpoint(counts.where((F.col("count") > 1) & F.col("apart")).drop("apart"))
     mine = F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int")
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("mine")).alias("x"), F.greatest(k, F.col("mine")).alias("y"), (F.col("mine") > k).cast("int").alias("side"))))
-    together = placed.join(shared, ["choice", "bits"]).withColumn("mine", mine).select("choice", "bits", *own_columns, pair.alias("p"))
-    gathered = together.groupBy("choice", "bits", "p.x", "p.y").agg(F.collect_list(F.struct(*own_columns, "p.side")).alias("rows")).where(F.size("rows") > 1)
+    together = placed.join(shared, ["choice", "bits"]).withColumn("mine", mine).select("choice", "bits", *own, pair.alias("p"))
+    return together.groupBy("choice", "bits", "p.x", "p.y").agg(F.collect_list(F.struct(*own, "p.side")).alias("rows")).where(F.size("rows") > 1)
+
+
+def compared_rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, dict]]:
+    """Of gathered buckets: nodes, which bucket of the batch each is in, and the arguments of ``forest`` for them.
+
+    Buckets in one chunk come together, pairs of two chunks together; with shingles there must be one bucket only.
+    """
+    rows = batch.column("rows")
+    group = np.repeat(np.arange(len(rows)), rows.value_lengths().to_numpy(zero_copy_only=False))
+    fields = rows.flatten()
+    there = [field.name for field in fields.type]
+    plain = {f: fields.field(f).to_numpy(zero_copy_only=False) for f in ("node", "side", "known", "size") if f in there}
+    wide = lambda f, kind: np.ascontiguousarray(fields.field(f).flatten().to_numpy(zero_copy_only=False)).view(kind).reshape(len(group), -1)
+    prints, keys = wide("words", np.uint64), wide("keys", np.int64) if "keys" in there else None
+    choice = batch.column("choice").to_numpy()[group]
+    two = (batch.column("x").to_numpy() != batch.column("y").to_numpy())[group]
+    for chosen in (~two, two):
+        own = np.flatnonzero(chosen)
+        if len(own):
+            more = {"prints": np.ascontiguousarray(prints[own]), "group": group[own], "side": plain["side"][own] if two[own[0]] else None}
+            more |= {"known" if f == "known" else "sizes": plain[f][own] for f in ("known", "size") if f in there}
+            if keys is not None:
+                more |= {"keys": keys[own], "choice": choice[own]}
+            if "shingles" in there:
+                more["sets"] = list_values(fields.field("shingles"))  # one bucket, so that all of its rows are chosen
+            yield plain["node"][own], group[own], more
+
+
+def links_in_buckets(placed: DataFrame, radius: int) -> DataFrame:
+    """a, b: a spanning forest of each bucket's links.
+
+    ``placed`` has choice, bits (the bucket), node, words (the fingerprint), and may have columns of MORE.
+    """
+    alone = "shingles" in placed.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(k, 1 if compared else b.num_rows) for b in batches for k in range(0, b.num_rows, 1 if compared else b.num_rows)):
-            rows = batch.column("rows")
-            group = np.repeat(np.arange(len(rows)), rows.value_lengths().to_numpy(zero_copy_only=False))
-            fields = rows.flatten()
-            plain = lambda f: fields.field(f).to_numpy(zero_copy_only=False) if f in (*own_columns, "side") else None  # noqa: B023, E731
-            nodes, side, known, sizes = (plain(f) for f in ("node", "side", "known", "size"))
-            wide = lambda f, kind: np.ascontiguousarray(fields.field(f).flatten().to_numpy(zero_copy_only=False)).view(kind).reshape(len(nodes), -1)  # noqa: B023, E731
-            prints = wide("words", np.uint64)
-            two = (batch.column("x").to_numpy() != batch.column("y").to_numpy())[group]
-            for chosen, sides in ((~two, None), (two, side)):
-                own = np.flatnonzero(chosen)
-                of = lambda x: None if x is None else x[own]  # noqa: B023, E731
-                if not len(own):
-                    continue
-                more = {}
-                if compared:  # one bucket, so that all of its rows are chosen
-                    more = {"keys": wide("keys", np.int64), "choice": batch.column("choice").to_numpy()[group], "sets": list_values(fields.field("shingles"))}
-                a, b = forest(np.ascontiguousarray(prints[own]), group[own], radius, of(sides), of(known), of(sizes), **more)
+        for batch in (b.slice(k, 1 if alone else b.num_rows) for b in batches for k in range(0, b.num_rows, 1 if alone else b.num_rows)):
+            for nodes, _, rows in compared_rows(batch):
+                a, b = forest(radius=radius, **rows)
                 for k in range(0, len(a), LINKS):
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes[own][a[k : k + LINKS]]), pa.array(nodes[own][b[k : k + LINKS]])], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[a[k : k + LINKS]]), pa.array(nodes[b[k : k + LINKS]])], names=["a", "b"])
 
-    found = map_arrow(gathered.select("choice", "x", "y", "rows"), run, "a bigint, b bigint")
+    found = map_arrow(gathered_buckets(placed).select("choice", "x", "y", "rows"), run, "a bigint, b bigint")
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def contested(placed: DataFrame, radius: int) -> DataFrame:
+    """choice, bits, node: the rows of buckets that a pair needs which may be a link between two known sets.
+
+    Each such pair counts in the first bucket that it shares only, so that few rows must be followed by their shingles.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for nodes, group, rows in compared_rows(batch):
+                hit = np.zeros(len(nodes), dtype=bool)
+                for a, b, _ in near_pairs(rows["prints"], group, radius, rows["side"]):
+                    use = may_link(rows["sizes"], rows["keys"], rows["choice"], a, b) & (rows["known"][a] != rows["known"][b])
+                    hit[a[use]] = hit[b[use]] = True
+                of = pa.array(group[hit])
+                yield pa.RecordBatch.from_arrays([batch.column("choice").take(of), batch.column("bits").take(of), pa.array(nodes[hit])], names=["choice", "bits", "node"])
+
+    kind = placed.schema["choice"].dataType.simpleString()
+    return map_arrow(gathered_buckets(placed).select("choice", "bits", "x", "y", "rows"), run, f"choice {kind}, bits bigint, node bigint").distinct()
+
+
 def links_within(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """a, b: links of the distinct fingerprints ``fp`` that connect all that differ in at most ``radius`` bits."""
     return links_in_buckets(_buckets(prints, radius).select("choice", "bits", F.col("fp").alias("node"), F.array("fp").alias("words")), radius)
@@ -382,8 +430,13 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     maybe = table(links_in_buckets(placed.drop("keys"), NEAR_RADIUS))
     nodes = table(maybe.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     few = small_enough(nodes, BROADCAST_NODES)
-    linked = docs.select("text", text_nodes()[0]).join(F.broadcast(nodes) if few else nodes, "node", "left_semi").dropDuplicates(["node"])
-    sets = table(linked.select("node", shingles.alias("shingles")))
+    # texts of one hash are taken from the row with the smallest id, so that texts are no part of a shuffle where ids differ
+    first = checkpoint(rows.join(F.broadcast(nodes) if few else nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("first")))
+    same = (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first"))
+    texts_of = docs.select("doc_id", "text", text_nodes()[0]).join((F.broadcast(first) if few else first).withColumnRenamed("node", "of"), same)
+    sets = table(texts_of.select("node", shingles.alias("shingles")))
+    if sets.count() > first.count():
+        sets = table(sets.dropDuplicates(["node"]))
     # a text is in as many pairs as its buckets have it joined to others, so its shingles go along for each of these
     side = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"of_{k}"))
     near = sum(NEAR) * F.size(F.array_intersect("of_a", "of_b")) >= NEAR[0] * (F.size("of_a") + F.size("of_b"))
@@ -397,7 +450,11 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     unsure = checkpoint(failed.select(F.explode(F.array("known_a", "known_b")).alias("known")).distinct())
     if unsure.limit(1).count():
         again = checkpoint(known.join(unsure, "known", "left_semi"))
-        links = links.union(table(links_in_buckets(placed.join(again, "node").join(sets, "node"), NEAR_RADIUS)))
+        mixed = checkpoint(placed.join(F.broadcast(again) if small_enough(again, BROADCAST_NODES) else again, "node"))
+        needed = checkpoint(contested(mixed, NEAR_RADIUS))
+        of = needed.select("node").distinct()
+        followed = sets.join(F.broadcast(of) if small_enough(of, BROADCAST_NODES) else of, "node", "left_semi")
+        links = links.union(table(links_in_buckets(mixed.join(needed, ["choice", "bits", "node"]).join(followed, "node"), NEAR_RADIUS)))
     return rows.select("doc_id", "node", "check"), links
 
 
