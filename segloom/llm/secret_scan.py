@@ -1,8 +1,8 @@
 """Secret scans: patterns for known kinds, and sliding-window entropy for strings that match none.
 
 ``assign``, ``access`` and ``hex`` are found by pattern. Beyond them, each run of CANDIDATE characters is cut at the
-stretches that the allow-list knows (placeholders, plain sequences, one character repeated), and each part of WINDOW
-characters or more is read by a window: counts by character change by one in and one out at each step, and the Shannon
+stretches that the allow-list knows (placeholders, plain sequences, one character repeated, words of a path), parts put
+together of words are left out, and each other part of WINDOW characters or more is read by a window: counts by character change by one in and one out at each step, and the Shannon
 entropy with them. A run is reported as ``entropy`` if a window of one of its parts reaches the threshold of that part's
 character class, and if the run overlaps no pattern's span. All of it is SQL.
 
@@ -39,6 +39,11 @@ WINDOW = 20
 CLASSES = [("digits", r"^[0-9]+$", 2.8), ("hex", r"^[0-9a-fA-F]+$", 3.2), ("one case", r"^(?:[a-z]+|[A-Z]+)$", 4.0), ("letters", r"^[A-Za-z]+$", 3.9), ("words", r"^[A-Za-z]+(?:[+/_=-]+[A-Za-z]+)*$", 4.1), ("mixed", "", 3.7)]
 # Placeholders of documentation, plain sequences, one character repeated, UUIDs.
 ALLOWED = r"(?i)example|placeholder|changeme|dummy|sample|x{6,}|0123456789|1234567890|abcdefgh|(.)\1{7,}|(?<![0-9a-f])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?![0-9a-f])"
+#: What is put together of words, as paths and long names are: WORD_LENGTH characters or more for each stretch of one kind.
+#: Random keys have some 2.2 (base64), 2.5 (lower case and digits) or 2.8 (letters of both cases).
+PIECE, ONE_KIND, WORD_LENGTH = "[A-Z]?[a-z]+|[A-Z]+|[0-9]+", "^(?:[0-9]+|[a-z]+|[A-Z]+)$", 4
+#: Two or more words or short numbers, each with a separator behind it.
+PATH = r"(?<![A-Za-z])(?:(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[0-9]{1,4})[+/_=-]++){2,}+"
 #: Matches whose places are added up at a time.
 CHUNK = 128
 
@@ -98,9 +103,10 @@ def suspicious(value: Column) -> Column:
         limit = F.lit(CLASSES[-1][2])
         for _, pattern, bits in reversed(CLASSES[:-1]):
             limit = F.when(part.rlike(pattern), bits).otherwise(limit)
-        return (F.length(part) >= WINDOW) & (window_entropy(part) >= limit)
+        wordy = ~part.rlike(ONE_KIND) & (F.length(part) >= WORD_LENGTH * F.size(F.regexp_extract_all(part, F.lit(PIECE), F.lit(0))))
+        return (F.length(part) >= WINDOW) & ~wordy & (window_entropy(part) >= limit)
 
-    return F.exists(F.split(value, ALLOWED), fires)
+    return F.exists(F.split(value, f"{PATH}|{ALLOWED}"), fires)
 
 
 def _joined(spans: Column) -> Column:

@@ -358,6 +358,15 @@ def test_allow_list_hides_its_own_part_only(spark):
     assert [r.n_entropy for r in secret_scan.scan(spark.createDataFrame(rows, "text string")).collect()] == [1, 0, 0, 0, 0]
 
 
+def test_paths_and_names_are_no_secrets(spark):
+    key = "kZ8Qw3Lm9Xp2Vb7Nc4Jd6Rt5"
+    plain = ["/usr/local/lib/python3.11/site-packages/numpy/core", "getElementsByClassNameAndReturnThemAll", "ThisIsAVeryLongCamelCaseIdentifierName123", "/articles/2023/11/28/some-long-title-of-a-page-4711", "MAX_NUMBER_OF_OPEN_FILES_PER_USER", "org/apache/commons/lang3/StringUtilsTest"]
+    rows = [*((t, 0) for t in plain), (f"/usr/local/share/keys/{key}", 1), (f"{key}/path/to/some/file", 1)]
+    rows += [("ab/" * 60_000, 0), ("ab" * 90_000, 0)]
+    for row in secret_scan.scan(spark.createDataFrame(rows, "text string, want int")).collect():
+        assert row.n_entropy == row.want, row.text[:80]
+
+
 def test_many_matches(spark):
     text = " ".join(f"token=abcdefgh{i}" for i in range(700))
     row = secret_scan.scan(spark.createDataFrame([(text,)], "text string")).first()
