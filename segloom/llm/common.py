@@ -40,9 +40,16 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Bytes of an Arrow batch at which it is closed, where the session has no value of its own; Spark's default is 64 MB, of
+#: which a task has several copies on both sides of the pipe.
+BATCH_BYTES, BATCH_KEY = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInArrow`` with this package on the executors."""
+    """``df.mapInArrow`` with this package on the executors, in batches of BATCH_BYTES and the rest of the last row at most."""
     ship_package(df.sparkSession)
+    if df.sparkSession.conf.get(BATCH_KEY, None) is None:
+        df.sparkSession.conf.set(BATCH_KEY, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
 
@@ -70,7 +77,7 @@ def add_columns(df: DataFrame, source: str, made: Callable[[pa.Array], list[pa.A
 def slices(batches: Iterator[pa.RecordBatch], most: int, text: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches' rows again, as slices with ``most`` bytes of ``text`` and the rest of the last text at most.
 
-    Arrow batches are bounded by rows only, so whoever builds arrays by the byte takes these.
+    Arrow batches are bounded by BATCH_BYTES only, so whoever builds more arrays by the byte takes these.
     """
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
