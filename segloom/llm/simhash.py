@@ -37,12 +37,12 @@ from .common import checkpoint, let, lower_ascii, map_arrow, own_columns, read,
 
 BITS, RADIUS, BANDS, SHINGLE, SEED = 64, 3, 5, 3, 42
 CHUNK = 4096
-#: Pairs of a query and a word of 64 fingerprints that are compared at a time, some 100 bytes each.
-BLOCKS = 200_000
+#: Pairs of a query and a word of 64 fingerprints that are compared at a time, some 100 bytes each, and more for each link in dense buckets.
+BLOCKS = 50_000
 #: Links that are handed on at a time.
 LINKS = 500_000
-#: Hashes of shingles that are counted at a time, 64 bytes each for one fingerprint word.
-HASHES = 500_000
+#: Hashes of shingles that are counted at a time, 320 bytes each for one fingerprint word (64 bits, as bytes and as integers).
+HASHES = 50_000
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -69,6 +69,16 @@ def fingerprints_of(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > (ends - begins)[:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1)
 
 
+def list_slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches' rows again, as slices with HASHES values of a list column and the rest of the last list at most."""
+    for batch in batches:
+        sizes = batch.column(column).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        block = (np.cumsum(sizes) - sizes) // HASHES
+        edges = [*np.flatnonzero(np.diff(block, prepend=-1)), batch.num_rows]
+        for first, last in zip(edges, edges[1:]):  # noqa: B905
+            yield batch.slice(first, last - first)
+
+
 def list_values(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """The values of all lists, and where each list ends."""
     return np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False)), np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -78,7 +88,7 @@ def fingerprints(df: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id, fp: each row's fingerprint as a signed 64-bit number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in list_slices(batches, "hashes"):
             found = fingerprints_of(*list_values(batch.column("hashes")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
@@ -418,7 +428,7 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shingles = F.array_distinct(shingle_hashes(text_or_empty(), NEAR_SHINGLE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in list_slices(batches, "hashes"):
             hashes, ends = list_values(batch.column("hashes"))
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.view(np.int64).ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in sketches_of(hashes, ends)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), batch.column("check"), pa.array(np.diff(ends, prepend=0)), *lists], names=["doc_id", "node", "check", "size", "words", "keys"])
