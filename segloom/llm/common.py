@@ -134,5 +134,17 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+#: Rows of a few numbers each up to which a table gets by with one partition a core.
+FEW_ROWS = 1_000_000
+
+
+def narrowed(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in one partition a core at most, if it comes from few ``rows``; else with the partitions of its shuffle.
+
+    A partition costs files in each shuffle and checkpoint and a task, whether it has rows or not.
+    """
+    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism) if rows <= FEW_ROWS else df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, let, lower_ascii, map_arrow, own_columns, read, small_enough, split_words, table, text_or_empty
+from .common import checkpoint, let, lower_ascii, map_arrow, narrowed, own_columns, read, small_enough, split_words, table, text_or_empty
 
 BITS, RADIUS, BANDS, SHINGLE, SEED = 64, 3, 5, 3, 42
 CHUNK = 4096
@@ -349,20 +349,23 @@ def components(links: DataFrame) -> DataFrame:
 
     Rounds of large and small stars: each node's larger neighbours, then its smaller ones, are linked to the smallest
     that it knows, until nothing changes. Joins have no aggregate next to them, so that Spark can split a hub's rows.
+    Few links take few partitions, as each round has some ten shuffles.
     """
     now = checkpoint(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
+    rows = now.count()
+    few = lambda df: narrowed(df, rows)
+    now, before = few(now), None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = checkpoint(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = checkpoint(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = checkpoint(large.groupBy("u").agg(F.min("v").alias("m")))
-        joined = large.join(least, "u")
+        least = checkpoint(few(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))))
+        large = checkpoint(few(few(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()))
+        least = checkpoint(few(large.groupBy("u").agg(F.min("v").alias("m"))))
+        joined = few(large.join(least, "u"))
         stars = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        now = checkpoint(stars.distinct())
+        now = checkpoint(few(stars.distinct()))
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(few(now.select("v", "v").distinct()))
         before = state
 
 
@@ -435,15 +438,17 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     hashed = docs.select("doc_id", *text_nodes(), shingles.alias("hashes"))
     rows = table(map_arrow(hashed, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node bigint, check bigint, size bigint, words array<bigint>, keys array<bigint>"))
+    n = rows.count()
+    few = lambda df: narrowed(df, n)
     texts = table(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", "words", "keys"))))
     placed = texts.select("node", "size", "words", "keys", F.posexplode("keys").alias("choice", "bits")).where("bits <> 0")
-    maybe = table(links_in_buckets(placed.drop("keys"), NEAR_RADIUS))
-    nodes = table(maybe.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    few = small_enough(nodes, BROADCAST_NODES)
+    maybe = table(few(links_in_buckets(placed.drop("keys"), NEAR_RADIUS)))
+    nodes = table(few(maybe.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    sent = small_enough(nodes, BROADCAST_NODES)
     # texts of one hash are taken from the row with the smallest id, so that texts are no part of a shuffle where ids differ
-    first = checkpoint(rows.join(F.broadcast(nodes) if few else nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("first")))
+    first = checkpoint(few(rows.join(F.broadcast(nodes) if sent else nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("first"))))
     same = (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first"))
-    texts_of = docs.select("doc_id", "text", text_nodes()[0]).join((F.broadcast(first) if few else first).withColumnRenamed("node", "of"), same)
+    texts_of = docs.select("doc_id", "text", text_nodes()[0]).join((F.broadcast(first) if sent else first).withColumnRenamed("node", "of"), same)
     sets = table(texts_of.select("node", shingles.alias("shingles")))
     if sets.count() > first.count():
         sets = table(sets.dropDuplicates(["node"]))
@@ -453,38 +458,40 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     checked = table(maybe.join(side("a"), "a").join(side("b"), "b").select("a", "b", near.alias("near")))
     links = checked.where("near").select("a", "b")
     # a link that is hidden lies between two sets of linked texts that failed candidates touch
-    roots = checkpoint(components(links))
-    known = checkpoint(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("known")))
+    roots = checkpoint(few(components(links)))
+    known = checkpoint(few(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("known"))))
     end = lambda k: known.select(F.col("node").alias(k), F.col("known").alias(f"known_{k}"))
-    failed = checked.where("NOT near").join(end("a"), "a").join(end("b"), "b").where("known_a <> known_b")
-    unsure = checkpoint(failed.select(F.explode(F.array("known_a", "known_b")).alias("known")).distinct())
+    failed = few(checked.where("NOT near").join(end("a"), "a").join(end("b"), "b").where("known_a <> known_b"))
+    unsure = checkpoint(few(failed.select(F.explode(F.array("known_a", "known_b")).alias("known")).distinct()))
     if unsure.limit(1).count():
-        again = checkpoint(known.join(unsure, "known", "left_semi"))
+        again = checkpoint(few(known.join(unsure, "known", "left_semi")))
         mixed = checkpoint(placed.join(F.broadcast(again) if small_enough(again, BROADCAST_NODES) else again, "node"))
-        needed = checkpoint(contested(mixed, NEAR_RADIUS))
+        needed = checkpoint(few(contested(mixed, NEAR_RADIUS)))
         of = needed.select("node").distinct()
         followed = sets.join(F.broadcast(of) if small_enough(of, BROADCAST_NODES) else of, "node", "left_semi")
-        links = links.union(table(links_in_buckets(mixed.join(needed, ["choice", "bits", "node"]).join(followed, "node"), NEAR_RADIUS)))
+        links = links.union(table(few(links_in_buckets(mixed.join(needed, ["choice", "bits", "node"]).join(followed, "node"), NEAR_RADIUS))))
     return rows.select("doc_id", "node", "check"), links
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without the near copies: of each group of linked texts, the row with the smallest id stays (null: last)."""
     rows, links = near_links(docs)
-    roots = checkpoint(components(table(links)))
-    texts = checkpoint(rows.groupBy("node").agg(F.min("doc_id").alias("id"), F.min("check").alias("check"), F.max("check").alias("other")))
-    rooted = checkpoint(texts.select(F.col("node").alias("n"), "id").join(roots, F.col("n") == F.col("node"), "left").select("n", "id", F.coalesce("root", "n").alias("root")))
-    stays = checkpoint(rooted.groupBy("root").agg(F.min_by(F.struct("n", "id"), F.struct(F.col("id").isNull(), "id", "n")).alias("s"))).select(F.col("s.n").alias("n"), F.col("s.id").alias("id"))
+    n = rows.count()
+    few = lambda df: narrowed(df, n)
+    roots = checkpoint(few(components(links)))
+    texts = checkpoint(few(rows.groupBy("node").agg(F.min("doc_id").alias("id"), F.min("check").alias("check"), F.max("check").alias("other"))))
+    rooted = checkpoint(few(texts.select(F.col("node").alias("n"), "id").join(roots, F.col("n") == F.col("node"), "left").select("n", "id", F.coalesce("root", "n").alias("root"))))
+    stays = checkpoint(few(rooted.groupBy("root").agg(F.min_by(F.struct("n", "id"), F.struct(F.col("id").isNull(), "id", "n")).alias("s")))).select(F.col("s.n").alias("n"), F.col("s.id").alias("id"))
     # a group has one row in stays, so that the rows of a hot text lie apart by their ids
     goes = rows.join(stays, (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_anti")
     clashes = texts.where(F.col("check") != F.col("other")).select(F.col("node").alias("n"), F.col("check").alias("known"))
     if clashes.limit(1).count():  # other texts of the same hash are no copies
         goes = goes.join(F.broadcast(clashes) if small_enough(clashes, BROADCAST_NODES) else clashes, F.col("node") == F.col("n"), "left").where(F.col("known").isNull() | (F.col("known") == F.col("check")))
-    goes = checkpoint(goes.select(F.col("doc_id").alias("id"), F.col("node").alias("n"), F.col("check").alias("c")).distinct())
-    few = small_enough(goes, BROADCAST_NODES)
+    goes = checkpoint(few(goes.select(F.col("doc_id").alias("id"), F.col("node").alias("n"), F.col("check").alias("c")).distinct()))
+    sent = small_enough(goes, BROADCAST_NODES)
     marked = docs.select(own_columns(docs), F.col("doc_id").alias("doc"), *text_nodes())
     same = (F.col("node") == F.col("n")) & (F.col("check") == F.col("c")) & F.col("doc").eqNullSafe(F.col("id"))
-    kept = marked.join(F.broadcast(goes) if few else goes, same, "left_anti")
+    kept = marked.join(F.broadcast(goes) if sent else goes, same, "left_anti")
     if rows.groupBy("doc_id", "node", "check").count().where("count > 1").limit(1).count():  # rows that only a shuffle can tell apart
         kept = kept.dropDuplicates(["doc", "node", "check"])
     return kept.select("__own.*")

@@ -1,6 +1,7 @@
 """What a task holds at a time, beside its results."""
 
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -40,3 +41,28 @@ def test_pairs_of_dense_buckets_come_in_parts():
     parts = simhash.near_pairs(np.zeros((n, 1), dtype=np.uint64), np.zeros(n, dtype=np.int64), 3)
     sizes = [len(a) for a, _, _ in parts]
     assert sum(sizes) == n * (n - 1) // 2 and max(sizes) <= 50_000 * 64  # all 4.5 million at once before
+
+
+def test_few_links_take_few_partitions(spark):
+    """Rounds over a handful of links write no file for each shuffle partition: 1,600 files before, of 64 partitions."""
+    links = [(k, k + 1) for k in range(0, 20)] + [(100, 200), (200, 300), (7, 400)]
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    files = lambda: {f for f in folder.rglob("part-*") if not f.name.startswith(".")}
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        there = files()
+        found = simhash.components(spark.createDataFrame(links, "a bigint, b bigint"))
+        made = len(files() - there)
+        assert {r.node: r.root for r in found.collect()} == {k: 0 for k in [*range(21), 400]} | {k: 100 for k in (100, 200, 300)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert made <= 64 + 4 * 4 * 10  # those of the links, then one a core in each table of a round
+
+
+def test_many_rows_keep_their_partitions(spark):
+    assert common.narrowed(spark.range(0, 100, 1, 64), 1_000_001).rdd.getNumPartitions() == 64
+    assert common.narrowed(spark.range(0, 100, 1, 64), 1_000_000).rdd.getNumPartitions() == 4
