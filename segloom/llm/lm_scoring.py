@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .attention import GROUPS, MEMBERS, OWN, RATE, SIDE, Scorer, Shares, Trainer, Weights, score_texts
-from .common import map_arrow, read, slices, table, text_or_empty
+from .common import map_arrow, narrowed, read, slices, table, text_or_empty
 from .piece_coding import model_path, viterbi
 from .subwords import SPACE, Batch, pieces, spread, sums
 
@@ -42,7 +42,9 @@ FREQUENT, LONGEST = 500_000, 40
 PARTS, LEAST_TOKENS, PASSES = (1, 5, 16), 6_000_000, 8
 DEPTH, BUCKETS = 5, 128  # 2**DEPTH groups
 #: Bytes of text, and tokens, that a task holds as arrays at a time; a longer text makes a slice of its own.
-ARRAY_BYTES, LIST_BYTES, TOKENS = 2 << 20, 8 << 20, 400_000
+ARRAY_BYTES, LIST_BYTES, TOKENS = 1 << 20, 2 << 20, 400_000
+#: New words that a document is taken to bring, where it is decided whether the table of words stays in few partitions.
+NEW_WORDS = 10
 CHUNK = 256  # weights in a row
 END = 2  # the id of </s>, which no text encodes to
 
@@ -276,20 +278,20 @@ def score(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     marked = docs.select("doc_id", text_or_empty().alias("text"), (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"))
     training = marked.where("NOT held_out")
-    counts = table(word_counts(training))
-    figures = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     n_docs = training.count()
+    counts = table(narrowed(word_counts(training), NEW_WORDS * n_docs))
+    figures = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     n, v = figures["n"] + n_docs, figures["v"] + (n_docs > 0)
     often = (F.col("n") >= max(n / FREQUENT, 1)) & (F.length("word") <= LONGEST)
     coded = table(coded_texts(marked, counts.where(often).toArrow(), n, v, path))
-    shares = shares_of(table(piece_neighbours(counts, path)), n_docs, path)
+    shares = shares_of(table(narrowed(piece_neighbours(counts, path), v)), n_docs, path)
     scored = scored_rows(coded, fit(coded, shares), shares)
     total = F.lit(n + 0.5 * (v + 1))
     listed = coded.select("row", F.explode("rare").alias("word"))
     c = F.coalesce("n", F.lit(0))
     found = listed.join(counts.where(~often), "word", "left").groupBy("row").agg(F.count("n").alias("k"), F.sum(F.log10((c + 0.5) / total)).alias("b"))
     end = log10((n_docs + 0.5) / (n + 0.5 * (v + 1)))
-    return scored.join(found, "row", "left").select(
+    return narrowed(scored.join(found, "row", "left"), coded.count()).select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0)) + int(n_docs > 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("b", F.lit(0.0)) + end).alias("base_score"), "score",
     )

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from segloom.llm import common, simhash
+from segloom.llm import common, lm_scoring, simhash
 
 
 def test_batches_are_bounded_by_bytes(spark):
@@ -66,3 +66,22 @@ def test_few_links_take_few_partitions(spark):
 def test_many_rows_keep_their_partitions(spark):
     assert common.narrowed(spark.range(0, 100, 1, 64), 1_000_001).rdd.getNumPartitions() == 64
     assert common.narrowed(spark.range(0, 100, 1, 64), 1_000_000).rdd.getNumPartitions() == 4
+
+
+def test_scores_of_few_texts_take_few_files(spark):
+    """Tables of words and neighbours, and what is returned, in 64 partitions each before."""
+    docs = spark.createDataFrame([(k, f"the cat {k} sat on mat {k % 7} again and again") for k in range(40)], "doc_id bigint, text string")
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    files = lambda: {f for f in folder.rglob("part-*") if not f.name.startswith(".")}
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        there = files()
+        found = lm_scoring.score(docs, lm_scoring.model_path())
+        assert found.rdd.getNumPartitions() <= 4 and len(files() - there) <= 3 * 4
+        assert found.count() == 40 and found.where("score < 0 AND base_score < 0 AND n_known <= n_tokens").count() == 40
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
