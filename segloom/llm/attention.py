@@ -12,6 +12,7 @@ scored once, with STRIDE to 2 * STRIDE tokens of context.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, fields
 from functools import cached_property
 
@@ -108,23 +109,39 @@ def side_by_side(begins: np.ndarray, ends: np.ndarray, stride: int) -> tuple[np.
 def inputs(ids: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
     """For places ``at`` of windows, the piece before each (``start`` at a text's beginning), and which places there are."""
     there = (at >= begin[:, None]) & (at < end[:, None])
-    before = ids[np.clip(at - 1, 0, len(ids) - 1)]
+    before = ids.take(at - 1, mode="clip")
     return np.where(there & (at > begin[:, None]), before, start), there
 
 
-_LATER = np.triu(np.full((PLACES, PLACES), -1e9, dtype=np.float32), 1)
+_EARLIER = np.tril(np.ones((PLACES, PLACES), dtype=np.float32))
+#: Logits within these need no maximum of their row subtracted before exp, which costs more than exp: no sum of a row over- or underflows.
+BOUND = 60
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=-1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=-1, keepdims=True)
+def _bounded(x: np.ndarray) -> bool:
+    return not x.size or bool(-BOUND < x.min() and x.max() < BOUND)
+
+
+def _softmax(x: np.ndarray, shown: np.ndarray | None = None) -> np.ndarray:
+    """Softmax over the last axis, in place, of the entries where ``shown`` is 1 and not 0."""
+    if _bounded(x):
+        np.exp(x, out=x)
+        if shown is not None:
+            x *= shown
+    else:
+        if shown is not None:
+            x += (shown - 1) * np.float32(1e9)
+        x -= x.max(axis=-1, keepdims=True)
+        np.exp(x, out=x)
+    total = x.reshape(-1, x.shape[-1]) @ np.ones(x.shape[-1], dtype=x.dtype)
+    x *= (1 / total).reshape(*x.shape[:-1], 1)
     return x
 
 
 def _log_share(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=-1, keepdims=True)
-    found = logits[np.arange(len(at)), at]
+    if not _bounded(logits):
+        logits -= logits.max(axis=-1, keepdims=True)
+    found = logits.reshape(-1).take(np.arange(len(at)) * logits.shape[-1] + at)
     np.exp(logits, out=logits)
     return found - np.log(logits @ np.ones(logits.shape[-1], dtype=logits.dtype))
 
@@ -135,146 +152,197 @@ def _by_group(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(group[order], np.arange(GROUPS + 2))
 
 
+class Room:
+    """Arrays by name that are used again: new ones for every step would cost more in pages than the arithmetic in them."""
+
+    def __init__(self, kind: np.dtype):
+        self.kind, self.held = kind, {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        n = math.prod(shape)
+        if name not in self.held or self.held[name].size < n:
+            self.held[name] = np.empty(n, dtype=self.kind)
+        return self.held[name][:n].reshape(shape)
+
+    def with_ones(self, name: str, n: int) -> np.ndarray:
+        """Rows of WIDTH values and a one, so that a product with a bias below the weights adds it, and gives its derivatives."""
+        made = self(name, n, WIDTH + 1)
+        made[:, WIDTH] = 1
+        return made
+
+
 class Scorer:
     """Queries, keys and values of all pieces and places made once, so that a window needs gathers, a few products and softmaxes."""
 
     def __init__(self, w: Weights, shares: Shares):
         self.w, self.shares = w, shares
-        self.pieces = embeddings(w, shares)
+        pieces = embeddings(w, shares)
         scale = np.ones(3 * WIDTH, dtype=np.float32)
         scale[:WIDTH] = WIDTH**-0.5
-        self.mixed, self.mixed_place = self.pieces @ w.mix_in * scale, w.places @ w.mix_in * scale
-
-    def log_shares(self, x: np.ndarray, there: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Natural logs of the probabilities of the pieces ``wanted`` at the windows' second halves, [windows, STRIDE]."""
-        found = np.empty(wanted.shape, dtype=np.float32)
-        for i in range(0, len(x), AT_ONCE):
-            one = slice(i, i + AT_ONCE)
-            found[one] = self._block(x[one], there[one], wanted[one])
-        return found
-
-    def _block(self, x: np.ndarray, there: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        w = self.w
-        mixed = self.mixed.take(x, axis=0)
-        mixed += self.mixed_place
-        a = mixed[:, STRIDE:, :WIDTH] @ mixed[:, :, WIDTH : 2 * WIDTH].transpose(0, 2, 1)
-        a += _LATER[STRIDE:]
-        if not there.all():
-            a += np.where(there, np.float32(0), np.float32(-1e9))[:, None, :]
-        last = self.pieces.take(x[:, STRIDE:], axis=0)
-        last += w.places[STRIDE:]
-        z = last.reshape(-1, WIDTH) + (_softmax(a) @ mixed[:, :, 2 * WIDTH :]).reshape(-1, WIDTH) @ w.mix_out
-        high = z @ w.wide
-        high += w.wide_bias
+        mixed, place = pieces @ w.mix_in * scale, w.places @ w.mix_in * scale
+        self.now = np.concatenate([mixed[:, :WIDTH], pieces], axis=1)  # a place that is scored: its query and itself
+        self.now_place = np.concatenate([place[:, :WIDTH], w.places], axis=1)[STRIDE:]
+        self.seen, self.key_place, self.value_place = mixed[:, WIDTH:].copy(), place[:, WIDTH : 2 * WIDTH], place[:, 2 * WIDTH :].copy()
+        self.wide, self.out, self.rows = np.vstack([w.wide, w.wide_bias]), np.vstack([w.out, w.bias]), np.vstack([w.rows, w.rows_bias])
+        self.inner = np.concatenate([w.inner, w.inner_bias[:, None]], axis=1)
+        self.room = Room(w.slots.dtype)
+
+    def log_shares(self, x: np.ndarray, bare: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Natural logs of the probabilities of the pieces ``wanted``, STRIDE for each window.
+
+        ``x`` has STRIDE inputs more, those before the first window's; windows follow each other, so each has its context
+        in the one before it, but for ``bare`` ones, which have none.
+        """
+        w, room, n, size = self.w, self.room, len(bare), len(wanted)
+        seen = self.seen.take(x, axis=0, out=room("seen", len(x), 2 * WIDTH), mode="clip")
+        step, one = seen.strides
+        windows = np.lib.stride_tricks.as_strided(seen, (n, PLACES, 2 * WIDTH), (STRIDE * step, step, one), writeable=False)
+        now = self.now.take(x[STRIDE:], axis=0, out=room("now", size, 2 * WIDTH), mode="clip")
+        now.reshape(n, STRIDE, 2 * WIDTH)[...] += self.now_place
+        q = now[:, :WIDTH]
+        a = np.matmul(q.reshape(n, STRIDE, WIDTH), windows[..., :WIDTH].transpose(0, 2, 1), out=room("a", n, STRIDE, PLACES))
+        a.reshape(size, PLACES)[...] += np.matmul(q, self.key_place.T, out=room("a_place", size, PLACES))
+        shown = room("shown", n, STRIDE, PLACES)
+        shown[...] = _EARLIER[STRIDE:]
+        shown[bare, :, :STRIDE] = 0
+        a = _softmax(a, shown)
+        c = np.matmul(a, windows[..., WIDTH:], out=room("c", n, STRIDE, WIDTH)).reshape(size, WIDTH)
+        c += np.matmul(a.reshape(size, PLACES), self.value_place, out=room("c_place", size, WIDTH))
+        y1, z1 = room.with_ones("y", size), room.with_ones("z", size)
+        y, z = y1[:, :WIDTH], z1[:, :WIDTH]
+        np.matmul(c, w.mix_out, out=y)
+        y += now[:, WIDTH:]
+        high = np.matmul(y1, self.wide, out=room("high", size, HIDDEN))
         np.maximum(high, 0, out=high)
-        z += high @ w.narrow
-        flat = wanted.ravel()
-        group, member = self.shares.group[flat], self.shares.member[flat]
-        logits = z @ w.out
-        logits += w.bias
-        shares = _log_share(logits, group)
-        order, begin = _by_group(group)
-        inner = np.empty((begin[GROUPS], MEMBERS), dtype=np.float32)
+        np.matmul(high, w.narrow, out=z)
+        z += y
+        order, begin = _by_group(self.shares.group.take(wanted))
+        target = wanted.take(order)
+        z1 = z1.take(order, axis=0, out=room("sorted", size, WIDTH + 1), mode="clip")
+        member = self.shares.member.take(target)
+        found = _log_share(np.matmul(z1, self.out, out=room("groups", size, GROUPS + 1)), self.shares.group.take(target))
+        own, rest = slice(0, begin[GROUPS]), slice(begin[GROUPS], size)
+        inner = room("members", begin[GROUPS], MEMBERS)
         for k in range(GROUPS):
-            mine = order[begin[k] : begin[k + 1]]
-            np.matmul(z[mine], w.inner[k], out=inner[begin[k] : begin[k + 1]])
-            inner[begin[k] : begin[k + 1]] += w.inner_bias[k]
-        own = order[: begin[GROUPS]]
-        shares[own] += _log_share(inner, member[own])
-        if len(rest := order[begin[GROUPS] :]):
+            mine = slice(begin[k], begin[k + 1])
+            np.matmul(z1[mine], self.inner[k], out=inner[mine])
+        found[own] += _log_share(inner, member[own])
+        if begin[GROUPS] < size:
             row, column = np.divmod(member[rest], SIDE)
-            shares[rest] += _log_share(z[rest] @ w.rows + w.rows_bias, row)
-            shares[rest] += _log_share(z[rest] @ w.columns + self.shares.log_columns[row], column)
-        return shares.reshape(wanted.shape)
+            found[rest] += _log_share(z1[rest] @ self.rows, row)
+            found[rest] += _log_share(z1[rest, :WIDTH] @ w.columns + self.shares.log_columns[row], column)
+        logs = np.empty_like(found)
+        logs[order] = found
+        return logs
+
 
+def gradients(w: Weights, shares: Shares, x: np.ndarray, there: np.ndarray, wanted: np.ndarray, room: Room | None = None) -> tuple[float, Weights]:
+    """Mean loss of the tokens that there are, and its derivatives, which hold until ``room`` is used again.
 
-def gradients(w: Weights, shares: Shares, x: np.ndarray, there: np.ndarray, wanted: np.ndarray) -> tuple[float, Weights]:
-    """Mean loss of the tokens that there are, and its derivatives. ``x`` has pieces, the number of pieces for the start."""
+    ``x`` has pieces, the number of pieces for the start.
+    """
     kind = w.slots.dtype
+    room = room or Room(kind)
     flat_x = x.ravel()
+    size, shape = len(flat_x), (*x.shape, WIDTH)
     one, two = (slot.take(flat_x) for slot in shares.slots)
     square = np.flatnonzero(two >= 0)
-    h = w.slots.take(one, axis=0)
+    h = w.slots.take(one, axis=0, out=room("h", size, WIDTH), mode="clip")
     h[square] += w.slots[two[square]]
-    shape = (*x.shape, WIDTH)
-    h = (h.reshape(shape) + w.places).reshape(-1, WIDTH)
-    mixed = (h @ w.mix_in).reshape(*x.shape, 3 * WIDTH)
+    h.reshape(shape)[...] += w.places
+    mix_in = w.mix_in.copy()
+    mix_in[:, :WIDTH] *= kind.type(WIDTH**-0.5)
+    mixed = np.matmul(h, mix_in, out=room("mixed", size, 3 * WIDTH)).reshape(*x.shape, 3 * WIDTH)
     q, k, v = mixed[..., :WIDTH], mixed[..., WIDTH : 2 * WIDTH], mixed[..., 2 * WIDTH :]
-    scale = kind.type(WIDTH**-0.5)
-    a = q @ k.transpose(0, 2, 1)
-    a *= scale
-    a += _LATER
-    a = _softmax(a)
-    c = (a @ v).reshape(-1, WIDTH)
-    y = h + c @ w.mix_out
-    high = y @ w.wide + w.wide_bias
+    a = _softmax(np.matmul(q, k.transpose(0, 2, 1), out=room("a", *x.shape, PLACES)), _EARLIER)
+    c = np.matmul(a, v, out=room("c", *shape)).reshape(-1, WIDTH)
+    y1, z1 = room.with_ones("y", size), room.with_ones("z", size)
+    y, z = y1[:, :WIDTH], z1[:, :WIDTH]
+    np.matmul(c, w.mix_out, out=y)
+    y += h
+    high = np.matmul(y1, np.vstack([w.wide, w.wide_bias]), out=room("high", size, HIDDEN))
     np.maximum(high, 0, out=high)
-    z = y + high @ w.narrow
-    full = there.all()
-    used = slice(None) if full else np.flatnonzero(there.ravel())
-    z_used, target = z[used], wanted.ravel()[used]
-    n = max(len(target), 1)
-    group, member = shares.group[target], shares.member[target]
+    np.matmul(high, w.narrow, out=z)
+    z += y
+    # from here on tokens that there are, in the order of the groups of the wanted pieces
+    used = slice(None) if (full := there.all()) else np.flatnonzero(there.ravel())
+    target = wanted.ravel()[used]
+    order, begin = _by_group(shares.group.take(target))
+    target, place = target.take(order), order if full else used.take(order)
+    n = len(target)
+    group, member = shares.group.take(target), shares.member.take(target)
+    z1 = z1.take(place, axis=0, out=room("sorted", n, WIDTH + 1), mode="clip")
 
     def losses(logits: np.ndarray, at: np.ndarray) -> tuple[float, np.ndarray]:
         p = _softmax(logits)
-        rows = np.arange(len(p))
-        lost = -float(np.log(p[rows, at] + 1e-20).sum())
-        p[rows, at] -= 1
-        p /= n
-        return lost / n, p
-
-    loss, d = losses(z_used @ w.out + w.bias, group)
-    g_out, g_bias, dz_used = z_used.T @ d, d.sum(axis=0), d @ w.out.T
-    order, begin = _by_group(group)
-    g_inner, g_inner_bias = np.zeros_like(w.inner), np.zeros_like(w.inner_bias)
-    logits = np.empty((begin[GROUPS], MEMBERS), dtype=kind)
-    own = order[: begin[GROUPS]]
-    z_own = z_used[own]
-    for j in range(GROUPS):
-        mine = slice(begin[j], begin[j + 1])
-        np.matmul(z_own[mine], w.inner[j], out=logits[mine])
-        logits[mine] += w.inner_bias[j]
-    more, d = losses(logits, member[own])
+        all_p, wanted_at = p.reshape(-1), np.arange(len(p)) * p.shape[1] + at
+        found = all_p.take(wanted_at)
+        all_p[wanted_at] = found - 1
+        return -float(np.log(found + 1e-20).sum()), p
+
+    flat = room("g", sum(getattr(w, f.name).size for f in fields(w)))
+    g = w.filled(flat)
+    loss, d = losses(np.matmul(z1, np.vstack([w.out, w.bias]), out=room("groups", n, GROUPS + 1)), group)
+    dz = np.matmul(d, w.out.T, out=room("dz_sorted", n, WIDTH))
+    g_out = z1.T @ d
+    g.out[...], g.bias[...] = g_out[:-1], g_out[-1]
+    inner, g_inner = np.concatenate([w.inner, w.inner_bias[:, None]], axis=1), np.zeros((GROUPS, WIDTH + 1, MEMBERS), dtype=kind)
+    logits, more_dz = room("members", begin[GROUPS], MEMBERS), room("dz_members", begin[GROUPS], WIDTH)
+    parts = [(j, slice(begin[j], begin[j + 1])) for j in range(GROUPS) if begin[j] < begin[j + 1]]
+    for j, mine in parts:
+        np.matmul(z1[mine], inner[j], out=logits[mine])
+    more, d = losses(logits, member[: begin[GROUPS]])
     loss += more
-    dz_own = np.empty_like(z_own)
-    for j in range(GROUPS):
-        mine = slice(begin[j], begin[j + 1])
-        np.matmul(z_own[mine].T, d[mine], out=g_inner[j])
-        g_inner_bias[j] = d[mine].sum(axis=0)
-        np.matmul(d[mine], w.inner[j].T, out=dz_own[mine])
-    dz_used[own] += dz_own
-    rest = order[begin[GROUPS] :]
+    for j, mine in parts:
+        np.matmul(z1[mine].T, d[mine], out=g_inner[j])
+        np.matmul(d[mine], w.inner[j].T, out=more_dz[mine])
+    dz[: begin[GROUPS]] += more_dz
+    g.inner[...], g.inner_bias[...] = g_inner[:, :-1], g_inner[:, -1]
+    rest = slice(begin[GROUPS], n)
     row, column = np.divmod(member[rest], SIDE)
-    z_rest = z_used[rest]
-    more, d_row = losses(z_rest @ w.rows + w.rows_bias, row)
-    again, d_column = losses(z_rest @ w.columns + shares.log_columns[row], column)
+    more, d_row = losses(z1[rest] @ np.vstack([w.rows, w.rows_bias]), row)
+    again, d_column = losses(z1[rest, :WIDTH] @ w.columns + shares.log_columns[row], column)
     loss += more + again
-    dz_used[rest] += d_row @ w.rows.T + d_column @ w.columns.T
-    dz = dz_used
+    dz[rest] += d_row @ w.rows.T + d_column @ w.columns.T
+    g_rows = z1[rest].T @ d_row
+    g.rows[...], g.rows_bias[...], g.columns[...] = g_rows[:-1], g_rows[-1], z1[rest, :WIDTH].T @ d_column
+    dz_sorted, dz = dz, room("dz", size, WIDTH)
     if not full:
-        dz = np.zeros_like(z)
-        dz[used] = dz_used
-    d_high = dz @ w.narrow.T
+        dz[...] = 0
+    dz[place] = dz_sorted
+    np.matmul(high.T, dz, out=g.narrow)
+    d_high = np.matmul(dz, w.narrow.T, out=room("d_high", size, HIDDEN))
     d_high *= high > 0
-    dy = dz + d_high @ w.wide.T
-    dc = (dy @ w.mix_out.T).reshape(shape)
-    da, dv = dc @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dc
-    da -= (da * a).sum(axis=-1, keepdims=True)
+    dy = np.matmul(d_high, w.wide.T, out=room("dy", size, WIDTH))
+    dy += dz
+    g_wide = y1.T @ d_high
+    g.wide[...], g.wide_bias[...] = g_wide[:-1], g_wide[-1]
+    np.matmul(c.T, dy, out=g.mix_out)
+    dc = np.matmul(dy, w.mix_out.T, out=room("dc", size, WIDTH)).reshape(shape)
+    d_mixed = room("d_mixed", *x.shape, 3 * WIDTH)
+    da = np.matmul(dc, v.transpose(0, 2, 1), out=room("da", *a.shape))
+    np.matmul(a.transpose(0, 2, 1), dc, out=d_mixed[..., 2 * WIDTH :])
+    da -= np.einsum("wij,wij->wi", da, a)[..., None]
     da *= a
-    da *= scale
-    d_mixed = np.concatenate([da @ k, da.transpose(0, 2, 1) @ q, dv], axis=-1).reshape(-1, 3 * WIDTH)
-    dh = dy + d_mixed @ w.mix_in.T
-    g_slots = np.zeros_like(w.slots)
-    for slot, rows in ((one, np.arange(len(one))), (two[square], square)):
-        if len(rows):
+    np.matmul(da, k, out=d_mixed[..., :WIDTH])
+    np.matmul(da.transpose(0, 2, 1), q, out=d_mixed[..., WIDTH : 2 * WIDTH])
+    d_mixed = d_mixed.reshape(-1, 3 * WIDTH)
+    np.matmul(h.T, d_mixed, out=g.mix_in)
+    g.mix_in[:, :WIDTH] *= kind.type(WIDTH**-0.5)
+    dh = np.matmul(d_mixed, mix_in.T, out=room("dh", size, WIDTH))
+    dh += dy
+    g.places[...] = (np.ones(len(x), dtype=kind) @ dh.reshape(len(x), -1)).reshape(PLACES, WIDTH)
+    g.slots[...] = 0
+    for slot, rows in ((one, None), (two[square], square)):
+        if len(slot):
             by = np.argsort(slot, kind="stable")
-            starts = np.flatnonzero(np.diff(slot[by], prepend=-1))
-            g_slots[slot[by[starts]]] += np.add.reduceat(dh[rows[by]], starts, axis=0)
-    return loss, Weights(
-        g_slots, dh.reshape(shape).sum(axis=0), h.T @ d_mixed, c.T @ dy, y.T @ d_high, d_high.sum(axis=0), high.T @ dz, g_out, g_bias, g_inner, g_inner_bias,
-        z_rest.T @ d_row, d_row.sum(axis=0), z_rest.T @ d_column,
-    )
+            ordered = slot.take(by)
+            starts = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
+            moved = dh.take(by if rows is None else rows[by], axis=0, out=room("moved", len(by), WIDTH), mode="clip")
+            g.slots[ordered[starts]] += np.add.reduceat(moved, starts, axis=0)
+    n = max(n, 1)
+    flat /= n
+    return loss / n, g
 
 
 class Trainer:
@@ -284,6 +352,7 @@ class Trainer:
         self.values = w.flat()
         self.w, self.shares, self.rate = w.filled(self.values), shares, rate
         self.mean, self.square, self.steps = np.zeros_like(self.values), np.zeros_like(self.values), 0
+        self.room = Room(self.values.dtype)
         self.seen = 0  # tokens
 
     def learn(self, ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> float:
@@ -296,7 +365,7 @@ class Trainer:
             i += len(chosen)
             at = first[chosen][:, None] + np.arange(PLACES)
             x, there = inputs(ids, at, begins[text[chosen]], ends[text[chosen]], len(self.shares.group))
-            loss, g = gradients(self.w, self.shares, x, there, ids[np.minimum(at, len(ids) - 1)])
+            loss, g = gradients(self.w, self.shares, x, there, ids[np.minimum(at, len(ids) - 1)], self.room)
             total += loss * int(there.sum())
             self._step(g.flat())
         self.seen += int((ends - begins).sum())
@@ -311,18 +380,34 @@ class Trainer:
 
 
 def score_texts(scorer: Scorer, ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The natural log of each text's probability; arrays are made for AT_ONCE windows at a time."""
-    first, text = side_by_side(begins, ends, STRIDE)
-    total = np.zeros(len(first) + 1)
-    for i in range(0, len(first), AT_ONCE):
-        one = slice(i, i + AT_ONCE)
-        of = text[one]
-        at = first[one][:, None] + np.arange(-STRIDE, STRIDE)
-        x, there = inputs(ids, at, begins[of], ends[of], len(scorer.shares.group))
-        wanted = at[:, STRIDE:]
-        logs = scorer.log_shares(x, there, ids[np.minimum(wanted, len(ids) - 1)])
-        total[1:][one] = np.where(there[:, STRIDE:], logs, 0).sum(axis=1, dtype=np.float64)
-    total = np.cumsum(total)
+    """The natural log of each text's probability; arrays are made for AT_ONCE windows at a time.
+
+    The texts are laid out in blocks of STRIDE tokens, each text behind a block of starts. A block is scored with the one
+    before it as its context; the blocks of starts are gone through too, and count nothing.
+    """
     n = -(-(ends - begins) // STRIDE)
-    stop = np.cumsum(n)
-    return total[stop] - total[stop - n]
+    stop = np.cumsum(n + 1)
+    first = stop - n  # a text's first block
+    if not len(stop):
+        return np.zeros(0)
+    sizes = ends - begins
+    before = np.cumsum(sizes) - sizes
+    tokens = np.arange(int(sizes.sum()))
+    to = np.repeat(first * STRIDE - before, sizes) + tokens
+    there = np.zeros(int(stop[-1]) * STRIDE, dtype=bool)
+    there[to] = True
+    wanted, x = np.zeros(len(there), dtype=ids.dtype), np.empty(len(there), dtype=ids.dtype)
+    wanted[to] = ids[np.repeat(begins - before, sizes) + tokens]
+    x[1:] = wanted[:-1]
+    x.reshape(-1, STRIDE)[first - 1] = x[first[sizes > 0] * STRIDE] = len(scorer.shares.group)
+    bare = np.zeros(len(there) // STRIDE + 1, dtype=bool)
+    bare[first] = True
+    total = np.zeros(len(there) // STRIDE + 1)
+    for i in range(1, len(there) // STRIDE, AT_ONCE):
+        last = min(i + AT_ONCE, len(there) // STRIDE)
+        one = slice(i * STRIDE, last * STRIDE)
+        logs = scorer.log_shares(x[(i - 1) * STRIDE : last * STRIDE], bare[i:last], wanted[one])
+        logs[~there[one]] = 0
+        total[i + 1 : last + 1] = logs.reshape(-1, STRIDE).sum(axis=1, dtype=np.float64)
+    total = np.cumsum(total)
+    return total[stop] - total[first]
