@@ -326,7 +326,7 @@ def test_attention_learns():
 
 
 def test_attention_steps_use_their_arrays_again():
-    """A step over 512 windows made some 20 MB of new arrays before, whose pages cost about as much as the arithmetic."""
+    """A step over 512 windows made some 20 MB of new arrays before, and a quarter of its time went into their pages."""
     shares = small_shares(np.float32)
     w = shaken(shares, np.float32)
     ids = np.random.default_rng(4).integers(0, 200, attention.MOST * attention.PLACES)
