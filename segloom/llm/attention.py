@@ -27,6 +27,7 @@ START = OWN + 2 * SIDE
 #: Windows that are scored at a time; windows in the first step of training, in later ones at most, and how they grow.
 AT_ONCE, BATCH, MOST, GROWTH, RATE = 512, 64, 512, 2, 0.01
 BLOCK = 128  # tokens whose products are summed at a time
+LAID_OUT = 1 << 15  # tokens of texts
 
 
 @dataclass
@@ -388,7 +389,14 @@ class Trainer:
 
 
 def score_texts(scorer: Scorer, ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The natural log of each text's probability; arrays are made for AT_ONCE windows at a time.
+    """The natural log of each text's probability; LAID_OUT tokens, and the rest of the last text, are laid out at a time."""
+    some = np.cumsum(ends - begins) // LAID_OUT
+    edges = [*np.flatnonzero(np.diff(some, prepend=-1)), len(some)]
+    return np.concatenate([np.zeros(0), *(_scored(scorer, ids, begins[a:b], ends[a:b]) for a, b in zip(edges, edges[1:]))])  # noqa: B905
+
+
+def _scored(scorer: Scorer, ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of one text or more; arrays of numbers by token are made for AT_ONCE windows at a time.
 
     The texts are laid out in blocks of STRIDE tokens, each text behind a block of starts. A block is scored with the one
     before it as its context; the blocks of starts are gone through too, and count nothing.
@@ -396,8 +404,6 @@ def score_texts(scorer: Scorer, ids: np.ndarray, begins: np.ndarray, ends: np.nd
     n = -(-(ends - begins) // STRIDE)
     stop = np.cumsum(n + 1)
     first = stop - n  # a text's first block
-    if not len(stop):
-        return np.zeros(0)
     sizes = ends - begins
     before = np.cumsum(sizes) - sizes
     tokens = np.arange(int(sizes.sum()))

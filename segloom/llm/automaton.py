@@ -30,7 +30,7 @@ class Automaton:
                 at = children[at][byte]
             own[at] = number
         self.own, self.depth = np.array(own, dtype=np.int32), np.array(depth, dtype=np.int32)
-        self.goto = np.zeros((len(own), 256), dtype=np.int32)
+        self.goto = np.zeros((len(own), 256), dtype=np.uint16 if len(own) <= 1 << 16 else np.int32)  # the largest part of a worker's memory
         self.link = np.zeros(len(own), dtype=np.int32)
         fail = np.zeros(len(own), dtype=np.int32)
         level = [0]

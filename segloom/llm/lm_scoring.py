@@ -36,7 +36,7 @@ from .piece_coding import model_path, viterbi
 from .subwords import SPACE, Batch, pieces, spread, sums
 
 FOLDS, HELD_OUT = 5, 1
-#: A word with at least this fraction of the tokens is frequent if it has at most LONGEST characters: some 30 bytes each.
+#: A word with at least this fraction of the tokens is frequent if it has at most LONGEST characters: some 50 bytes each.
 FREQUENT, LONGEST = 500_000, 40
 #: Sixteenths of the documents at which the rounds end; passes over a small corpus.
 PARTS, LEAST_TOKENS, PASSES = (1, 5, 16), 6_000_000, 8
@@ -155,34 +155,62 @@ def shares_of(neighbours: DataFrame, n_docs: int, path: str) -> Shares:
     return Shares(group, member, groups / groups.sum(), members, rows[:, 0] / rows.sum(), np.log(square / rows).astype(np.float32))
 
 
+def coded_words(counts: DataFrame, path: str) -> DataFrame:
+    """word, n and the word's ``ids``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded, begins, ends, ids = _encoded(batch.column("word"), path)
+            sizes = (ends - begins)[coded.which]
+            stops = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            listed = pa.ListArray.from_arrays(stops, pa.array(ids[spread(begins[coded.which], sizes)], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), listed], names=["word", "n", "ids"])
+
+    return map_arrow(counts.select("word", "n"), run, "word string, n bigint, ids array<int>")
+
+
 def coded_texts(docs: DataFrame, frequent: pa.Table, n: int, v: int, path: str) -> DataFrame:
-    """row, doc_id, held_out, n_tokens, n_known and base_score of frequent words, the other words as ``rare``, and ``ids``."""
-    sent = docs.sparkSession.sparkContext.broadcast((frequent.column("word").combine_chunks(), frequent.column("n").to_numpy().astype(np.float64)))
+    """row, doc_id, held_out, n_tokens, n_known and base_score of frequent words, the other words as ``rare``, and ``ids``.
+
+    ``frequent`` has the pieces of its words, so that only the others are encoded for every slice of texts that has them.
+    """
+    listed = frequent.column("ids").combine_chunks()
+    known_sizes = listed.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    known_ids = listed.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+    sent = docs.sparkSession.sparkContext.broadcast((frequent.column("word").combine_chunks(), frequent.column("n").to_numpy().astype(np.float64), known_sizes, known_ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = sent.value
+        words, counts, known_sizes, known_ids = sent.value
+        known_begins = np.cumsum(known_sizes) - known_sizes
         for batch in slices(batches, ARRAY_BYTES):
             lists = words_of(batch.column("text")).cast(pa.list_(pa.string()))
-            coded = Batch(lists)
-            begins, ends, ids = viterbi(coded, pieces(path))
-            sizes = (ends - begins)[coded.which]
-            size = sums(sizes, coded.begins, coded.ends)
-            stop = np.cumsum(size + 1)
+            text_sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            text_ends = np.cumsum(text_sizes)
+            text_begins = text_ends - text_sizes
+            flat = lists.flatten()
+            distinct = flat.dictionary_encode()
+            which = distinct.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            place = pc.fill_null(pc.index_in(distinct.dictionary.cast(words.type), value_set=words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            own = place >= 0
+            coded, begins, ends, ids = _encoded(distinct.dictionary.filter(pa.array(~own)), path)
+            begin, size = np.empty(len(place), dtype=np.int64), np.empty(len(place), dtype=np.int64)
+            begin[own], size[own] = known_begins[place[own]], known_sizes[place[own]]
+            begin[~own], size[~own] = len(known_ids) + begins[coded.which], (ends - begins)[coded.which]
+            ids = np.concatenate([known_ids, ids])
+            place = place[which]
+            sizes = size[which]
+            text_pieces = sums(sizes, text_begins, text_ends)
+            stop = np.cumsum(text_pieces + 1)
             all_ids = np.full(int(stop[-1]), END, dtype=np.int32)
-            all_ids[spread(stop - size - 1, size)] = ids[spread(begins[coded.which], sizes)]
-            # distinct words lie in the order of the strings' lengths; the table's place of each, or -1
-            plain = pc.utf8_slice_codeunits(coded.words, 1).cast(words.type)
-            place = np.empty(len(plain), dtype=np.int64)
-            place[coded.strings.order] = pc.fill_null(pc.index_in(plain, value_set=words), -1).to_numpy(zero_copy_only=False)
-            place = place[coded.which]
+            all_ids[spread(stop - text_pieces - 1, text_pieces)] = ids[spread(begin[which], sizes)]
             is_known = place >= 0
             c = np.where(is_known, counts[place] if len(counts) else 0, 0)
             base = np.where(is_known, np.log10((c + 0.5) / (n + 0.5 * (v + 1))), 0)
-            lacking = np.concatenate([[0], np.cumsum(sums((~is_known).astype(np.int64), coded.begins, coded.ends))])
-            rare = pa.ListArray.from_arrays(pa.array(lacking, pa.int32()), lists.flatten().filter(pa.array(~is_known)))
+            lacking = np.concatenate([[0], np.cumsum(sums((~is_known).astype(np.int64), text_begins, text_ends))])
+            rare = pa.ListArray.from_arrays(pa.array(lacking, pa.int32()), flat.filter(pa.array(~is_known)))
             listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stop]), pa.int32()), pa.array(all_ids))
-            known = pa.array(sums(is_known.astype(np.int64), coded.begins, coded.ends))
-            columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(coded.ends - coded.begins + 1), known, pa.array(sums(base, coded.begins, coded.ends)), rare, listed]
+            known = pa.array(sums(is_known.astype(np.int64), text_begins, text_ends))
+            columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(text_sizes + 1), known, pa.array(sums(base, text_begins, text_ends)), rare, listed]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "rare", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -283,7 +311,7 @@ def score(docs: DataFrame, path: str) -> DataFrame:
     figures = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     n, v = figures["n"] + n_docs, figures["v"] + (n_docs > 0)
     often = (F.col("n") >= max(n / FREQUENT, 1)) & (F.length("word") <= LONGEST)
-    coded = table(coded_texts(marked, counts.where(often).toArrow(), n, v, path))
+    coded = table(coded_texts(marked, coded_words(counts.where(often), path).toArrow(), n, v, path))
     shares = shares_of(table(narrowed(piece_neighbours(counts, path), v)), n_docs, path)
     scored = scored_rows(coded, fit(coded, shares), shares)
     total = F.lit(n + 0.5 * (v + 1))

@@ -236,6 +236,17 @@ def test_lm_scoring(spark, folder, docs):
         assert g.base_score == pytest.approx(base) and g.score < 0
 
 
+def test_lm_pieces_do_not_depend_on_which_words_are_sent_along(spark):
+    texts = ["the cat sat", None, "", " \n", "The the ▁a b▁c ▁ a", "Straße 日本語 \U0001F600", "x" * 3000 + " cat"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("held_out", F.lit(False))
+    counts, path = lm_scoring.word_counts(docs), lm_scoring.model_path()
+    coded = lambda words: {r.doc_id: (r.ids, r.n_tokens) for r in lm_scoring.coded_texts(docs, lm_scoring.coded_words(words, path).toArrow(), 9, 9, path).collect()}
+    found = coded(counts)
+    assert found == coded(counts.where("false")) == coded(counts.where("length(word) < 4"))
+    ids = {r.doc_id: r.piece_ids for r in piece_coding.encode(docs, path).collect()}
+    assert all(found[k][0] == [*ids[k], lm_scoring.END] for k in (1, 2)) and found[0][0] == [*ids[0], lm_scoring.END]
+
+
 def small_shares(kind=np.float64):
     """200 pieces: five to a group, and the rest in the square."""
     rng = np.random.default_rng(3)
