@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from .. import schemas
 from ..functions.columns import srt_time
-from .named_files import write_named_files
+from .named_files import read_files, spark_folder, write_named_files
 
 
 def read_transcripts(spark: SparkSession, path: str, recursive: bool = False, pattern: str | None = None) -> DataFrame:
@@ -178,9 +179,21 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def session_info(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A row for each session's JSON file below ``path``, with its pipeline (``dub`` where it names none)."""
-    rows = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path)
-    return rows.withColumns({"pipeline": F.coalesce("pipeline", F.lit("dub")), "path": F.col("_metadata.file_path")})
+    """A row for each session's JSON file below ``path``, with its pipeline (``dub`` where it names none).
+
+    A folder's files are found and read by tasks, and parsed as by ``from_json``, which in a column of strings writes anew what
+    is no string (1.10 becomes 1.1). Spark's reader, which lists them on the driver and keeps such values' own text, takes
+    patterns, paths that Arrow doesn't find and schemas with the column of corrupt records.
+    """
+    kind, folder = spark.createDataFrame([], schema).schema, spark_folder(spark, path)
+    if folder is None or spark.conf.get("spark.sql.columnNameOfCorruptRecord") in kind.names:
+        rows = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path).withColumn("__path", F.col("_metadata.file_path"))
+    else:
+        files = read_files(spark, folder).where("value IS NULL OR btrim(value, ' \\t\\n\\r') <> ''")
+        objects = F.from_json("value", ArrayType(kind))  # a file may hold one or many
+        good = F.when(~F.exists(objects, lambda o: o.isNull()), objects)
+        rows = files.select(F.explode(F.coalesce(good, F.array(F.lit(None).cast(kind)))).alias("row"), F.col("path").alias("__path")).select("row.*", "__path")
+    return rows.withColumns({"pipeline": F.coalesce("pipeline", F.lit("dub")), "path": F.col("__path")}).drop("__path")
 
 
 def renamed_words(segments: DataFrame) -> DataFrame:
